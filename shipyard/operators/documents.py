@@ -72,6 +72,11 @@ def phases(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
     return p.select("msg_id", "plan_pos", "ph.*").withColumn("type", codes.phase_type("type"))
 
 
+def phases_from_rows(rows: DataFrame, type_col: str = "type") -> DataFrame:
+    """Plan actions already flat: only the phase type is normalised."""
+    return rows.withColumn(type_col, codes.phase_type(type_col))
+
+
 # ---------------------------------------------------------------------------
 # Phase plan
 # ---------------------------------------------------------------------------
@@ -157,6 +162,7 @@ def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
     exploded = grouped.select("*", F.posexplode("_items").alias("item_pos", "_item"))
     ctx = F.broadcast(contexts.select(F.col("context_key").alias("_ckey"), F.col("context").alias("_ctx")))
     exploded = exploded.withColumn("_ckey", F.translate("_item", "-", "_")).join(ctx, "_ckey", "left")
+    # An item without a context is an error in the agent (the lookup throws).
     cols = app_rows.columns
     # Keys and positions stay; of the app's own fields only ``copy_cols`` are carried.
     carried = [c for c in cols if c not in {name_col, type_col, "context"}
@@ -166,9 +172,10 @@ def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
         F.col("_ctx").alias("context"), "item_pos")
     err = F.lit(None).cast("string")
     plain = plain.select(*cols, "item_pos").withColumn("_error", err)
-    missing = missing.select(*cols, "item_pos").withColumn(
-        "_error", F.concat(F.lit("no product group "), F.col("_gkey")))
-    expanded = expanded.withColumn("_error", err)
+    missing = missing.withColumn("_error", F.concat(F.lit("no product group "), F.col("_gkey"))) \
+        .select(*cols, "item_pos", "_error")
+    expanded = expanded.withColumn("_error", F.when(F.col("context").isNull(), F.concat(
+        F.lit("no product context "), F.translate(F.col(name_col), "-", "_"))).otherwise(err))
     return plain.unionByName(missing).unionByName(expanded, allowMissingColumns=True)
 
 

@@ -54,3 +54,106 @@ FROM (SELECT *, row_number() OVER (PARTITION BY client_id, message_id, type_mess
 WHERE rn = 1
 GROUP BY 1
 """
+
+_LINE_ORDER = ("l_linenumber NULLS FIRST, l_shipdate NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST, "
+               "l_quantity NULLS FIRST, l_extendedprice NULLS FIRST")
+
+ORACLE["products_first"] = f"""
+SELECT msg_id, productname, version, itemVersion, l_linenumber FROM (
+  SELECT l.l_orderkey AS msg_id, p.p_brand AS productname, p.p_name AS version,
+         CAST(l.l_partkey AS VARCHAR) AS itemVersion, l.l_linenumber,
+         row_number() OVER (PARTITION BY l.l_orderkey, p.p_brand ORDER BY {_LINE_ORDER}) AS rn
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey) WHERE rn = 1
+"""
+
+ORACLE["group_expand"] = """
+WITH apps AS (
+  SELECT l.l_orderkey AS msg_id, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_type AS productname,
+         CASE WHEN l.l_returnflag = 'R' THEN 'reports' ELSE 'web' END AS type,
+         p.p_name AS version, CAST(l.l_partkey AS VARCHAR) AS itemVersion
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+grp(group_key, item_pos, item) AS (VALUES ('PROMO', 0, 'PROMO-BOX'), ('PROMO', 1, 'PROMO-BAG'),
+     ('PROMO_REPORTS', 0, 'PROMO-REPORT'),
+     ('SMALL', 0, 'SMALL-CASE'), ('SMALL', 1, 'SMALL-PACK'), ('SMALL', 2, 'SMALL-JAR')),
+ctx(context_key, context) AS (VALUES ('PROMO_BOX', 'promo-box'), ('PROMO_BAG', 'promo-bag'),
+     ('PROMO_REPORT', 'promo-report'), ('SMALL_CASE', 'small-case'), ('SMALL_PACK', 'small-pack')),
+k AS (SELECT *, replace(productname, '-', '_') || CASE WHEN type = 'reports' THEN '_REPORTS' ELSE '' END AS gkey,
+             productname IN ('PROMO', 'SMALL') AS is_group FROM apps)
+SELECT msg_id, l_linenumber, l_partkey, l_suppkey, productname, type, CAST(NULL AS VARCHAR) AS context,
+       version, itemVersion, CAST(NULL AS INTEGER) AS item_pos, CAST(NULL AS VARCHAR) AS _error
+FROM k WHERE NOT is_group
+UNION ALL
+SELECT msg_id, l_linenumber, l_partkey, l_suppkey, productname, type, NULL, version, itemVersion, NULL,
+       'no product group ' || gkey
+FROM k WHERE is_group AND gkey NOT IN (SELECT group_key FROM grp)
+UNION ALL
+SELECT k.msg_id, k.l_linenumber, k.l_partkey, k.l_suppkey, g.item, 'forms', c.context, k.version, k.itemVersion,
+       g.item_pos, CASE WHEN c.context IS NULL THEN 'no product context ' || replace(g.item, '-', '_') END
+FROM k JOIN grp g ON k.gkey = g.group_key
+LEFT JOIN ctx c ON c.context_key = replace(g.item, '-', '_')
+WHERE k.is_group
+"""
+
+ORACLE["phase_plan"] = """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS phase_id,
+       CASE WHEN o.o_orderpriority = '5-LOW' THEN 'AGENT' ELSE 'CHEF' END AS phase_type,
+       count(l.l_orderkey) AS n_servers
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R'
+GROUP BY o.o_orderkey, o.o_orderpriority
+HAVING count(l.l_orderkey) > 0 OR o.o_orderpriority = '5-LOW'
+"""
+
+ORACLE["fail_stop"] = f"""
+SELECT msg_id, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, exit_status,
+       exit_status <> 0 AS failed_here
+FROM (
+  SELECT l_orderkey AS msg_id, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS exit_status,
+         coalesce(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (
+             PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed_before
+  FROM lineitem) WHERE failed_before = 0
+"""
+
+ORACLE["phase_outcome"] = f"""
+SELECT msg_id, l_linenumber, l_partkey, l_suppkey, exit_status, effective_exit,
+       CASE WHEN exit_status IS NOT NULL THEN 'own' WHEN effective_exit IS NOT NULL THEN 'carried'
+            ELSE 'none' END AS exit_source,
+       CASE WHEN effective_exit IS NULL THEN NULL WHEN effective_exit <> 0 THEN 'error' ELSE 'complete' END
+           AS phase_status,
+       CASE WHEN effective_exit IS NULL THEN 'no earlier response to reuse' END AS _error
+FROM (
+  SELECT l_orderkey AS msg_id, l_linenumber, l_partkey, l_suppkey, exit_status,
+         last_value(exit_status IGNORE NULLS) OVER (
+             PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS effective_exit
+  FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS exit_status FROM lineitem))
+"""
+
+ORACLE["status_events"] = f"""
+WITH prod AS (
+  SELECT msg_id, name, itemVersion, environment FROM (
+    SELECT l.l_orderkey AS msg_id, p.p_brand AS name, CAST(l.l_partkey AS VARCHAR) AS itemVersion,
+           l.l_linestatus AS environment,
+           row_number() OVER (PARTITION BY l.l_orderkey, p.p_brand ORDER BY {_LINE_ORDER}) AS rn
+    FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey) WHERE rn = 1),
+ph AS (SELECT o_orderkey AS msg_id, CAST(o_orderkey AS VARCHAR) AS phase_id, o_orderpriority,
+              CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS exit_status,
+              CAST(o_custkey AS VARCHAR) AS client_id FROM orders),
+pairs AS (SELECT * FROM ph JOIN prod USING (msg_id))
+SELECT msg_id, phase_id, itemVersion AS cd_item, client_id AS cd_cliente, environment AS cd_ambiente,
+       o_orderpriority AS cd_plano_execucao, TIMESTAMP '2024-02-01 00:00:00' AS dh_criacao,
+       'start' AS event_kind, 'start' AS cd_item_status, '0' AS nr_progresso, o_orderpriority AS ds_progresso
+FROM pairs
+UNION ALL
+SELECT msg_id, phase_id, itemVersion, client_id, environment, o_orderpriority, TIMESTAMP '2024-02-01 00:00:00',
+       'result', CASE WHEN exit_status <> 0 THEN 'fail' ELSE 'done' END, '100',
+       CASE WHEN exit_status <> 0 THEN 'Erro - ' || o_orderpriority ELSE 'finished' END
+FROM pairs
+"""
+
+ORACLE["script_index"] = """
+SELECT name, package, pos FROM (
+  SELECT p_name AS name, p_brand AS package, p_partkey AS pos,
+         row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn = 1
+"""

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
 from ..operators import messages as M
+from ..operators import outcomes as O
 from . import standins as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +47,89 @@ def q_msg_route(spark: SparkSession, d: str) -> DataFrame:
     return routed.groupBy("route").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
+# ---------------------------------------------------------------------------
+# Documents (W1, J1, J2, J6, J9) and outcomes
+# ---------------------------------------------------------------------------
+
+EVENT_TS = "2024-02-01 00:00:00"  # fixed creation time of status rows, so reruns repeat
+
+
+def q_products_first(spark: SparkSession, d: str) -> DataFrame:
+    """First app per (document, product name) in line order."""
+    apps = SI.line_apps(spark, d).withColumnRenamed("brand", "productname")
+    first = D.first_products(apps, name_col="productname", order=SI.LINE_ORDER)
+    return first.select("msg_id", "productname", "version", "itemVersion", "l_linenumber")
+
+
+def q_group_expand(spark: SparkSession, d: str) -> DataFrame:
+    """J1 + T6: group apps replaced by their items; a missing variant is an error row."""
+    apps = SI.line_apps(spark, d).select(
+        "msg_id", *SI.LINE_ID, F.col("ptype").alias("productname"),
+        F.when(F.col("l_returnflag") == "R", F.lit("reports")).otherwise(F.lit("web")).alias("type"),
+        "version", "itemVersion")
+    groups, contexts = SI.standin_groups(spark)
+    out = D.expand_groups(apps, groups, contexts, expandable=SI.STANDIN_EXPANDABLE,
+                          copy_cols=("version", "itemVersion"))
+    return out.select("msg_id", *SI.LINE_ID, "productname", "type", "context", "version",
+                      "itemVersion", "item_pos", "_error")
+
+
+def q_phase_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Phases with their server visits; phases without any kept only when AGENT."""
+    ph, en = SI.plan_rows(spark, d)
+    ph = ph.withColumn("type", F.upper("type"))
+    plan = D.plan_phases(D.phases_from_rows(ph), en)
+    return plan.select(F.col("id").alias("phase_id"), F.col("type").alias("phase_type"), "n_servers")
+
+
+def _line_exit(flag_col="l_returnflag"):
+    return (F.when(F.col(flag_col) == "R", 1).when(F.col(flag_col) == "A", 0)
+            .otherwise(F.lit(None)).cast("int"))
+
+
+def q_fail_stop(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of each document up to and including its first failing step."""
+    st = SI.line_steps(spark, d).withColumn(
+        "exit_status", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    kept = O.fail_stop(st, order=SI.LINE_ORDER)
+    return kept.select("msg_id", *SI.LINE_ORDER, "exit_status", "failed_here")
+
+
+def q_phase_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """Phases that ran nothing reuse the previous response; none -> error row."""
+    st = SI.line_steps(spark, d).withColumn("exit_status", _line_exit())
+    out = O.phase_outcome(st, order=SI.LINE_ORDER, status_error=F.lit("error"),
+                          status_complete=F.lit("complete"))
+    return out.select("msg_id", *SI.LINE_ID, "exit_status", "effective_exit", "exit_source",
+                      "phase_status", "_error")
+
+
+def q_status_events(spark: SparkSession, d: str) -> DataFrame:
+    """Start and result rows per (phase, first-wins product) of each document."""
+    apps = SI.line_apps(spark, d).select(
+        "msg_id", *SI.LINE_ORDER, F.col("brand").alias("name"), "itemVersion",
+        F.col("l_linestatus").alias("environment"))
+    products = D.first_products(apps, name_col="name", order=SI.LINE_ORDER) \
+        .select("msg_id", "name", "itemVersion", "environment")
+    ev = D.status_events(SI.order_phases(spark, d), products, created_at=EVENT_TS)
+    return ev
+
+
+def q_script_index(spark: SparkSession, d: str) -> DataFrame:
+    """Script name -> package of the greatest position (a later package overwrites)."""
+    idx = D.script_index(SI.part_scripts(spark, d))
+    return idx.select("name", "package", "pos")
+
+
 QUERIES: dict[str, Query] = {
     "msg_accept": q_msg_accept,
     "msg_dedup": q_msg_dedup,
     "msg_route": q_msg_route,
+    "products_first": q_products_first,
+    "group_expand": q_group_expand,
+    "phase_plan": q_phase_plan,
+    "fail_stop": q_fail_stop,
+    "phase_outcome": q_phase_outcome,
+    "status_events": q_status_events,
+    "script_index": q_script_index,
 }

@@ -58,3 +58,85 @@ def clients(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "customer")
     return c.select(F.col("c_custkey").cast("string").alias("client_id"),
                     (F.col("c_nationkey") % 2).cast("string").alias("env_hash"))
+
+
+# ---------------------------------------------------------------------------
+# Documents: an order is a document, its lines are apps / steps
+# ---------------------------------------------------------------------------
+
+# Line order inside an order; (l_orderkey, l_linenumber) alone is not unique.
+LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+LINE_ID = ["l_linenumber", "l_partkey", "l_suppkey"]
+
+# Product groups of the stand-in: p_type names play group apps; a line with return
+# flag R asks for the "reports" variant, which only PROMO has.
+STANDIN_EXPANDABLE = ["PROMO", "SMALL"]
+STANDIN_GROUPS = [
+    ("PROMO", ["PROMO-BOX", "PROMO-BAG"]),
+    ("PROMO_REPORTS", ["PROMO-REPORT"]),
+    ("SMALL", ["SMALL-CASE", "SMALL-PACK", "SMALL-JAR"]),
+]
+STANDIN_CONTEXTS = [
+    ("PROMO_BOX", "promo-box"),
+    ("PROMO_BAG", "promo-bag"),
+    ("PROMO_REPORT", "promo-report"),
+    ("SMALL_CASE", "small-case"),
+    ("SMALL_PACK", "small-pack"),
+]
+
+
+def line_apps(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem + part -> apps of a document: order = msg_id, part = app."""
+    li = read_table(spark, d, "lineitem")
+    p = read_table(spark, d, "part")
+    a = li.join(p, li.l_partkey == p.p_partkey, "inner")
+    return a.select(
+        F.col("l_orderkey").alias("msg_id"), *LINE_ORDER, "l_returnflag", "l_linestatus",
+        F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"),
+        F.col("p_name").alias("version"), F.col("l_partkey").cast("string").alias("itemVersion"))
+
+
+def standin_groups(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    g = spark.createDataFrame(STANDIN_GROUPS, "group_key string, items array<string>")
+    c = spark.createDataFrame(STANDIN_CONTEXTS, "context_key string, context string")
+    return g, c
+
+
+def plan_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """orders -> plan actions of one document; lines with return flag R -> run-list entries."""
+    o = read_table(spark, d, "orders")
+    li = read_table(spark, d, "lineitem")
+    ph = o.select(F.lit("plan").alias("msg_id"), F.col("o_orderkey").cast("string").alias("id"),
+                  F.when(F.col("o_orderpriority") == "5-LOW", F.lit("agent")).otherwise(F.lit("chef"))
+                  .alias("type"))
+    en = li.where(F.col("l_returnflag") == "R").select(
+        F.lit("plan").alias("msg_id"), F.col("l_orderkey").cast("string").alias("id"),
+        F.col("l_suppkey").alias("srv"))
+    return ph, en
+
+
+def line_steps(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem -> ordered steps of a document (order); exit from the return flag."""
+    li = read_table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("msg_id"), *LINE_ORDER, "l_returnflag")
+
+
+def order_phases(spark: SparkSession, d: str) -> DataFrame:
+    """orders -> one phase per document with status texts; exit 0 when status F."""
+    o = read_table(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("msg_id"), F.col("o_orderkey").cast("string").alias("phase_id"),
+        F.lit("start").alias("statusInitial"), F.lit("done").alias("statusComplete"),
+        F.lit("fail").alias("statusError"), F.lit("0").alias("initialProgress"),
+        F.lit("100").alias("finalProgress"), F.col("o_orderpriority").alias("initialDescription"),
+        F.lit("finished").alias("finalDescription"),
+        F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("exit_status"),
+        F.col("o_custkey").cast("string").alias("client_id"),
+        F.col("o_orderpriority").alias("execution_plan"))
+
+
+def part_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """part -> scripts of packages: name = p_name, package = p_brand, position = p_partkey."""
+    p = read_table(spark, d, "part")
+    return p.select(F.lit("pkgs").alias("msg_id"), F.col("p_name").alias("name"),
+                    F.col("p_brand").alias("package"), F.col("p_partkey").alias("pos"))
