@@ -84,7 +84,7 @@ def replace_by_key(registry: DataFrame, updates: DataFrame, key: Sequence[str],
         updates = first_by(updates, key, list(update_order), last=True)
     kept = registry.join(updates.select(*key), key, "left_anti")
     return kept.withColumn("origin", F.lit("kept")).unionByName(
-        updates.withColumn("origin", F.lit("new")))
+        updates.select(*registry.columns).withColumn("origin", F.lit("new")))
 
 
 def registry_updates(products: DataFrame, name_col: str = "name", version_col: str = "version",

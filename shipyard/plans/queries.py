@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalog as C
 from ..operators import documents as D
 from ..operators import messages as M
 from ..operators import outcomes as O
+from ..operators import rules as R
+from ..operators import scripts as X
 from . import standins as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +124,129 @@ def q_script_index(spark: SparkSession, d: str) -> DataFrame:
     return idx.select("name", "package", "pos")
 
 
+# ---------------------------------------------------------------------------
+# Catalog (A1, A3, A5, A6, T2-T5, W7) and rules
+# ---------------------------------------------------------------------------
+
+TABLESPACE_STANDIN_RULES = [("PROMO", 3000), ("SMALL", 4000), ("ABSENT", 1)]
+
+
+def q_tablespace(spark: SparkSession, d: str) -> DataFrame:
+    """A1: max MB per tablespace over data and temp files (temp headers fan out)."""
+    f = SI.file_catalog(spark, d)
+    return C.tablespace_capacity(names=SI.TABLESPACE_NAMES, **f)
+
+
+def q_tablespace_check(spark: SparkSession, d: str) -> DataFrame:
+    """Rule tablespaces missing / undersized / ok against the A1 result."""
+    cap = q_tablespace(spark, d)
+    return R.tablespace_check(cap, rules=TABLESPACE_STANDIN_RULES)
+
+
+def q_grant_gap(spark: SparkSession, d: str) -> DataFrame:
+    """A3: GRANT statements for objects with too few grants (views twice)."""
+    return C.grant_gap(SI.customer_objects(spark, d), SI.order_grants(spark, d))
+
+
+def q_not_in(spark: SparkSession, d: str) -> DataFrame:
+    """DBAMV tables and views without a public synonym (NULL-aware NOT IN)."""
+    return C.synonym_gap_tables(SI.customer_objects(spark, d), SI.order_synonyms(spark, d))
+
+
+def q_not_exists(spark: SparkSession, d: str) -> DataFrame:
+    """T4: code objects and sequences without a public synonym (NOT EXISTS)."""
+    return C.synonym_gap_objects(SI.part_objects(spark, d), SI.line_synonyms(spark, d))
+
+
+def q_fk_gap(spark: SparkSession, d: str) -> DataFrame:
+    """CREATE INDEX statements for foreign keys no index covers (MINUS, join back)."""
+    cons, idx = SI.fk_catalog(spark, d)
+    return C.fk_index_gap(cons, idx)
+
+
+def q_column_list(spark: SparkSession, d: str) -> DataFrame:
+    """Comma-joined column names per key in position order."""
+    return C.column_list(SI.line_key_columns(spark, d), ["constraint_name"])
+
+
+def q_privileges(spark: SparkSession, d: str) -> DataFrame:
+    """T5 + J8: required privileges a user lacks; the first one is the reported one."""
+    users, tab, role = SI.event_privileges(spark, d)
+    privs = C.user_privileges(tab, role, keys=["user_id"])
+    return R.privilege_gap(users, privs, keys=["user_id"])
+
+
+def q_audit_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 200 audit rows (events)."""
+    ev = SI.read_table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return C.audit_tail(ev, ts_col="ts", id_col="event_id")
+
+
+def q_audit_tail_client(spark: SparkSession, d: str) -> DataFrame:
+    """W7 for many sources: the newest 20 rows of each client (user)."""
+    ev = SI.read_table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return C.audit_tail(ev, n=20, ts_col="ts", id_col="event_id", keys=["user_id"])
+
+
+def q_registry_exists(spark: SparkSession, d: str) -> DataFrame:
+    """A5: per environment (user), does the registry table exist among its objects?"""
+    ev = SI.read_table(spark, d, "events")
+    k = SI.event_k()
+    objs = ev.where(F.col("event_type") == "view").select(
+        "user_id", F.when(k < 20, F.lit("GCM_VERSAO")).otherwise(F.concat(F.lit("OBJ"), k)).alias("object_name"),
+        F.when(k % 2 == 0, F.lit("DBAMV")).otherwise(F.lit("DBAPS")).alias("owner"))
+    envs = ev.select("user_id").distinct()
+    return C.registry_exists(envs, objs, ["user_id"])
+
+
+def q_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Replace registry rows by product key with the latest update."""
+    old, new = SI.event_registry(spark, d, until="2024-01-02", since="2024-01-29")
+    out = O.replace_by_key(old.drop("event_id"), new, ["cd_produto"],
+                           update_order=["dh_atualizacao", "event_id"])
+    return out.select("cd_produto", "ds_versao", "dh_atualizacao", "origin")
+
+
+def q_disk(spark: SparkSession, d: str) -> DataFrame:
+    """A4 + F2: largest partition of each node and its free MB against 150 MB."""
+    out = R.disk_check(SI.event_devices(spark, d), ["node"], 150)
+    return out.select("node", "device", "kb_size", "kb_available", "free_mb", "passed")
+
+
+def q_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """A2: per document (customer) no rule failed; documents without results pass."""
+    ev = SI.read_table(spark, d, "events")
+    results = ev.select(F.col("user_id").alias("msg_id"), F.lit("CHECK_SERVERS_DISK_SPACE").alias("rule"),
+                        (F.col("value") < 150).alias("passed"))
+    docs = SI.read_table(spark, d, "customer").select(F.col("c_custkey").alias("msg_id"))
+    return R.validation_verdict(results, docs).select("msg_id", "verdict", "n_rules", "n_failed")
+
+
+def q_version_check(spark: SparkSession, d: str) -> DataFrame:
+    """CHECK_AGENT_VERSION requests (click events) against the client's installed version."""
+    ev = SI.read_table(spark, d, "events").where(F.col("event_type") == "click")
+    req = ev.select("event_id", F.col("user_id").alias("client_id"),
+                    F.concat(F.lit("v"), SI.event_k() % 3).alias("metric"))
+    agents = SI.read_table(spark, d, "customer").select(
+        F.col("c_custkey").alias("client_id"), F.concat(F.lit("v"), F.col("c_nationkey") % 3).alias("agent_version"))
+    return R.version_check(req, agents).select("event_id", "client_id", "metric", "agent_version", "passed")
+
+
+# ---------------------------------------------------------------------------
+# Scripts and artifacts
+# ---------------------------------------------------------------------------
+
+def q_statements(spark: SparkSession, d: str) -> DataFrame:
+    """audit scripts split into statements on "/" lines."""
+    return X.statements(SI.event_scripts(spark, d))
+
+
+def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Artifact md5 against the first line of its published .md5 file."""
+    art, exp = SI.document_artifacts(spark, d)
+    return X.fingerprint_check(art, exp)
+
+
 QUERIES: dict[str, Query] = {
     "msg_accept": q_msg_accept,
     "msg_dedup": q_msg_dedup,
@@ -132,4 +258,21 @@ QUERIES: dict[str, Query] = {
     "phase_outcome": q_phase_outcome,
     "status_events": q_status_events,
     "script_index": q_script_index,
+    "tablespace": q_tablespace,
+    "tablespace_check": q_tablespace_check,
+    "grant_gap": q_grant_gap,
+    "not_in": q_not_in,
+    "not_exists": q_not_exists,
+    "fk_gap": q_fk_gap,
+    "column_list": q_column_list,
+    "privileges": q_privileges,
+    "audit_tail": q_audit_tail,
+    "audit_tail_client": q_audit_tail_client,
+    "registry_exists": q_registry_exists,
+    "registry": q_registry,
+    "disk": q_disk,
+    "verdict": q_verdict,
+    "version_check": q_version_check,
+    "statements": q_statements,
+    "fingerprint": q_fingerprint,
 }

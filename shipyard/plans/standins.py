@@ -140,3 +140,188 @@ def part_scripts(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "part")
     return p.select(F.lit("pkgs").alias("msg_id"), F.col("p_name").alias("name"),
                     F.col("p_brand").alias("package"), F.col("p_partkey").alias("pos"))
+
+
+# ---------------------------------------------------------------------------
+# Catalog extracts
+# ---------------------------------------------------------------------------
+
+# Owner of a stand-in object: position key % 5 in this list (the last is outside
+# the four grant owners, so filters have something to drop).
+STANDIN_OWNERS = ["DBAMV", "DBASGU", "DBAPS", "MVINTEGRA", "SYSTEM"]
+# Grantee of a stand-in grant: order key % 5 in this list.
+STANDIN_GRANTEES = ["DBAMV", "DBASGU", "DBAPS", "MVINTEGRA", "MV2000"]
+SEGMENT_AS_TYPE = [("AUTOMOBILE", "VIEW"), ("BUILDING", "SEQUENCE"), ("FURNITURE", "FUNCTION"),
+                   ("HOUSEHOLD", "PACKAGE"), ("MACHINERY", "TABLE")]
+STATUS_AS_PRIVILEGE = [("F", "EXECUTE"), ("O", "SELECT"), ("P", "INSERT")]
+PTYPE_AS_TYPE = [("PROMO", "FUNCTION"), ("SMALL", "PROCEDURE"), ("MEDIUM", "PACKAGE"), ("LARGE", "SEQUENCE"),
+                 ("STANDARD", "TABLE"), ("ECONOMY", "VIEW")]
+FK_STANDIN_OWNERS = ["DBAMV", "DBASGU", "DBAPS"]
+TABLESPACE_NAMES = ["PROMO", "SMALL", "TEMP"]
+TEMP_TABLESPACES = ["PROMO", "SMALL", "TEMP"]
+
+
+def _pick(col, values):
+    """values[col % len(values)] as a column."""
+    expr = F.lit(None).cast("string")
+    for i, v in reversed(list(enumerate(values))):
+        expr = F.when((col % len(values)) == i, F.lit(v)).otherwise(expr)
+    return expr
+
+
+def customer_objects(spark: SparkSession, d: str) -> DataFrame:
+    """customer -> catalog objects: name C<custkey>, owner by custkey, type by segment."""
+    c = read_table(spark, d, "customer")
+    return c.select(_pick(F.col("c_custkey"), STANDIN_OWNERS).alias("owner"),
+                    F.concat(F.lit("C"), F.col("c_custkey")).alias("object_name"),
+                    _case("c_mktsegment", SEGMENT_AS_TYPE).alias("object_type"))
+
+
+def order_grants(spark: SparkSession, d: str) -> DataFrame:
+    """orders -> grants on the customer's object: grantee by orderkey, privilege by status."""
+    o = read_table(spark, d, "orders")
+    return o.select(_pick(F.col("o_custkey"), STANDIN_OWNERS).alias("owner"),
+                    F.concat(F.lit("C"), F.col("o_custkey")).alias("table_name"),
+                    _pick(F.col("o_orderkey"), STANDIN_GRANTEES).alias("grantee"),
+                    _case("o_orderstatus", STATUS_AS_PRIVILEGE).alias("privilege"))
+
+
+def order_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """orders of status P -> public synonyms of the customer's object."""
+    o = read_table(spark, d, "orders").where(F.col("o_orderstatus") == "P")
+    return o.select(F.lit("PUBLIC").alias("owner"),
+                    F.concat(F.lit("C"), F.col("o_custkey")).alias("table_name"),
+                    _pick(F.col("o_custkey"), STANDIN_OWNERS).alias("table_owner"))
+
+
+def part_objects(spark: SparkSession, d: str) -> DataFrame:
+    p = read_table(spark, d, "part")
+    return p.select(_pick(F.col("p_partkey"), STANDIN_OWNERS).alias("owner"),
+                    F.concat(F.lit("P"), F.col("p_partkey")).alias("object_name"),
+                    _case("p_type", PTYPE_AS_TYPE).alias("object_type"))
+
+
+def line_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with quantity > 45 -> synonyms of the part's object; public when returned (R)."""
+    li = read_table(spark, d, "lineitem").where(F.col("l_quantity") > 45)
+    return li.select(F.when(F.col("l_returnflag") == "R", F.lit("PUBLIC")).otherwise(F.lit("DBAMV")).alias("owner"),
+                     F.concat(F.lit("P"), F.col("l_partkey")).alias("table_name"),
+                     _pick(F.col("l_partkey"), STANDIN_OWNERS).alias("table_owner"))
+
+
+def fk_catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """lineitem -> constraints (flag R: foreign keys, N: other) and indexes (flag A).
+
+    Table = T<suppkey>, column list = C<partkey>, owner by orderkey.
+    """
+    li = read_table(spark, d, "lineitem")
+    owner = _pick(F.col("l_orderkey"), FK_STANDIN_OWNERS)
+    table = F.concat(F.lit("T"), F.col("l_suppkey"))
+    cols = F.concat(F.lit("C"), F.col("l_partkey"))
+    cons = li.where(F.col("l_returnflag").isin("R", "N")).select(
+        owner.alias("owner"), table.alias("table_name"),
+        F.concat_ws("_", table, F.col("l_orderkey"), F.col("l_linenumber"), F.lit("FK")).alias("constraint_name"),
+        F.when(F.col("l_returnflag") == "R", F.lit("R")).otherwise(F.lit("P")).alias("constraint_type"),
+        cols.alias("colunas"))
+    idx = li.where(F.col("l_returnflag") == "A").select(
+        owner.alias("owner"), table.alias("table_name"),
+        F.concat_ws("_", table, F.col("l_orderkey"), F.col("l_linenumber"), F.lit("IX")).alias("index_name"),
+        cols.alias("colunas"))
+    return cons, idx
+
+
+def line_key_columns(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem -> key columns: constraint = order, column = C<partkey>, position = line number."""
+    li = read_table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("constraint_name"),
+                     F.concat(F.lit("C"), F.col("l_partkey")).alias("column_name"),
+                     F.col("l_linenumber").alias("position"))
+
+
+def file_catalog(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """part = data files (p_type tablespace, p_size MB); supplier = temp files; lines = free
+    space and temp headers (first lines, so a file id repeats)."""
+    p = read_table(spark, d, "part")
+    s = read_table(spark, d, "supplier")
+    li = read_table(spark, d, "lineitem")
+    mb = F.lit(1024 * 1024)
+    fname = F.concat(F.lit("/data/df"), F.col("p_partkey"))
+    return {
+        "data_files": p.select(F.col("p_partkey").alias("file_id"), F.col("p_type").alias("tablespace_name"),
+                               fname.alias("file_name"), (F.col("p_size").cast("long") * mb).alias("maxbytes")),
+        "datafile_view": p.where(F.col("p_size") % 5 != 0).select(fname.alias("name")),
+        "free_space": li.select(F.col("l_partkey").alias("file_id"),
+                                (F.col("l_quantity") * 1024).cast("long").alias("bytes")),
+        "temp_files": s.select(F.col("s_suppkey").alias("file_id"),
+                               _pick(F.col("s_nationkey"), TEMP_TABLESPACES).alias("tablespace_name"),
+                               ((F.col("s_suppkey") % 7 + 1) * mb).alias("maxbytes")),
+        "temp_header": li.where(F.col("l_linenumber") == 1).select(F.col("l_suppkey").alias("file_id")),
+        "tempfile_view": s.where(F.col("s_suppkey") % 4 != 0).select(F.col("s_suppkey").alias("file_no")),
+    }
+
+
+def event_privileges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """events -> users, package grants (purchase; UTL_RECOMP when k = 7), role grants (signup; DBA when k < 10)."""
+    ev = read_table(spark, d, "events")
+    k = event_k()
+    users = ev.select("user_id").distinct()
+    tab = ev.where(F.col("event_type") == "purchase").select(
+        "user_id", F.when(k == 7, F.lit("UTL_RECOMP")).otherwise(F.concat(F.lit("PKG"), k)).alias("table_name"),
+        F.lit("EXECUTE").alias("privilege"))
+    role = ev.where(F.col("event_type") == "signup").select(
+        "user_id", F.when(k < 10, F.lit("DBA")).otherwise(F.concat(F.lit("ROLE"), k)).alias("granted_role"))
+    return users, tab, role
+
+
+# ---------------------------------------------------------------------------
+# Registry, rules, scripts, artifacts
+# ---------------------------------------------------------------------------
+
+def event_registry(spark: SparkSession, d: str, until: str, since: str) -> tuple[DataFrame, DataFrame]:
+    """events -> version registry rows (before ``until``) and updates (from ``since``)."""
+    ev = read_table(spark, d, "events")
+    k = event_k()
+    rows = ev.select(F.concat_ws(":", F.col("user_id"), F.col("event_type")).alias("cd_produto"),
+                     F.concat_ws(".", F.col("event_type"), k).alias("ds_versao"),
+                     F.col("ts").alias("dh_atualizacao"), "event_id")
+    return (rows.where(F.col("dh_atualizacao") < F.lit(until).cast("timestamp")),
+            rows.where(F.col("dh_atualizacao") >= F.lit(since).cast("timestamp")))
+
+
+def event_devices(spark: SparkSession, d: str) -> DataFrame:
+    """events -> devices of a node: node = user, device = event id, size = k, free KB = value * 1000."""
+    ev = read_table(spark, d, "events")
+    return ev.select(F.col("user_id").alias("node"), F.col("event_id").alias("device"),
+                     event_k().cast("string").alias("kb_size"),
+                     (F.col("value") * 1000).cast("long").cast("string").alias("kb_available"))
+
+
+# Script lines of the stand-in: an event type becomes one line.
+EVENT_AS_LINE = [("error", "/"), ("view", "")]
+
+
+def event_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """events -> one audit script per user: event lines in (ts, event_id) order.
+
+    "error" becomes a "/" line, "view" an empty line, other types their name.
+    """
+    ev = read_table(spark, d, "events")
+    line = F.coalesce(_case("event_type", EVENT_AS_LINE), F.col("event_type"))
+    items = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
+    return ev.groupBy(F.col("user_id").alias("script_id")).agg(
+        F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("text"))
+
+
+def document_artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """documents -> artifacts; labelled documents -> their published .md5 files.
+
+    A label of quality 0 publishes the hash of a changed text (a corrupt download).
+    """
+    docs = read_table(spark, d, "documents")
+    lab = read_table(spark, d, "labels")
+    art = docs.select(F.col("doc_id").alias("name"), F.col("text").alias("content"))
+    published = F.when(F.col("quality") == 1, F.md5("text")).otherwise(F.md5(F.concat("text", F.lit("#"))))
+    exp = docs.join(lab, "doc_id").select(
+        F.col("doc_id").alias("name"),
+        F.concat(published, F.lit("  doc"), F.col("doc_id"), F.lit("\n")).alias("md5_text"))
+    return art, exp
