@@ -293,7 +293,7 @@ ORACLE["tablespace"] = _TABLESPACE
 
 ORACLE["tablespace_check"] = f"""
 WITH cap AS ({_TABLESPACE}),
-r(rule_pos, tablespace_name, required_mb) AS (VALUES (0, 'PROMO', 3000), (1, 'SMALL', 4000), (2, 'ABSENT', 1))
+r(rule_pos, tablespace_name, required_mb) AS (VALUES (0, 'PROMO', 3000), (1, 'SMALL', 20000), (2, 'ABSENT', 1))
 SELECT r.rule_pos, r.tablespace_name, r.required_mb, c.value,
        CASE WHEN c.tablespace_name IS NULL THEN 'missing'
             WHEN coalesce(c.value < r.required_mb, true) THEN 'undersized' ELSE 'ok' END AS status
@@ -417,7 +417,7 @@ SELECT script_id, 0, '' FROM s WHERE script_id NOT IN (SELECT script_id FROM stm
 ORACLE["fingerprint"] = """
 WITH art AS (SELECT doc_id AS name, text AS content FROM documents),
 exp AS (SELECT d.doc_id AS name,
-               CASE WHEN l.quality = 1 THEN md5(d.text) ELSE md5(d.text || '#') END || '  doc' || d.doc_id || chr(10)
+               CASE WHEN l.quality = 1 THEN md5(d.text) ELSE md5(d.text || '#') END || chr(10) || 'doc' || d.doc_id || chr(10)
                  AS md5_text
         FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
 SELECT coalesce(a.name, e.name) AS name, e.md5_text IS NOT NULL AS has_expected,
@@ -425,3 +425,103 @@ SELECT coalesce(a.name, e.name) AS name, e.md5_text IS NOT NULL AS has_expected,
        coalesce(md5(a.content) = split_part(e.md5_text, chr(10), 1), false) AS ok
 FROM art a FULL OUTER JOIN exp e ON a.name = e.name
 """
+
+
+# ---------------------------------------------------------------------------
+# Topology
+# ---------------------------------------------------------------------------
+
+def _topology_ctes(p: str, where: str) -> str:
+    """CTEs ``{p}bal``, ``{p}m``, ``{p}surv`` and ``{p}topo`` for lines matching ``where``."""
+    return f"""
+{p}li AS (SELECT * FROM lineitem WHERE {where}),
+{p}lines AS (SELECT l.*, n.n_name, n.n_nationkey, pt.p_brand, pt.p_type
+             FROM {p}li l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+             JOIN part pt ON l.l_partkey = pt.p_partkey),
+{p}bal AS (SELECT DISTINCT n_name AS balancer_host, l_returnflag AS balancer_port,
+                  n_nationkey * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS bal_pos
+           FROM {p}lines),
+{p}ports AS (SELECT DISTINCT l_suppkey AS srv_pos, CAST(l_linenumber AS VARCHAR) AS port
+             FROM {p}li WHERE l_linestatus = 'O'),
+{p}apps AS (SELECT l_suppkey AS srv_pos, l_orderkey, l_linenumber, l_partkey, p_brand AS productname,
+                   CASE WHEN p_type = 'PROMO' THEN 'soul-product-reports' ELSE 'soul-product-forms' END AS context,
+                   'forms' AS type, CAST(l_linenumber AS VARCHAR) AS port, n_name AS balancer_host,
+                   l_returnflag AS balancer_port FROM {p}lines),
+{p}m AS (SELECT a.*, b.bal_pos, 'h' || (a.srv_pos % 60) AS server_host,
+                EXISTS (SELECT 1 FROM {p}ports q WHERE q.srv_pos = a.srv_pos AND q.port = a.port) AS hit
+         FROM {p}apps a JOIN {p}bal b ON a.balancer_host = b.balancer_host AND a.balancer_port = b.balancer_port
+         JOIN supplier s ON s.s_suppkey = a.srv_pos),
+{p}surv AS (SELECT bal_pos, balancer_host, balancer_port, server_host, min(srv_pos) AS srv_pos
+            FROM {p}m GROUP BY bal_pos, balancer_host, balancer_port, server_host),
+{p}topo AS (
+  SELECT m.bal_pos, m.balancer_host, m.balancer_port, m.server_host, m.srv_pos, m.port,
+         m.productname AS product_name,
+         CASE WHEN m.context = 'soul-product-reports' THEN 'reports' ELSE m.type END AS product_type,
+         m.l_orderkey, m.l_linenumber, m.l_partkey
+  FROM {p}m m JOIN {p}surv v ON m.bal_pos = v.bal_pos AND m.balancer_host = v.balancer_host
+       AND m.balancer_port = v.balancer_port AND m.server_host = v.server_host AND m.srv_pos = v.srv_pos
+  WHERE m.hit
+  UNION ALL
+  SELECT v.bal_pos, v.balancer_host, v.balancer_port, v.server_host, v.srv_pos, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM {p}surv v WHERE NOT EXISTS (SELECT 1 FROM {p}m m WHERE m.hit AND m.bal_pos = v.bal_pos
+       AND m.balancer_host = v.balancer_host AND m.balancer_port = v.balancer_port AND m.srv_pos = v.srv_pos)
+  UNION ALL
+  SELECT b.bal_pos, b.balancer_host, b.balancer_port, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM {p}bal b WHERE NOT EXISTS (SELECT 1 FROM {p}surv v WHERE v.bal_pos = b.bal_pos
+       AND v.balancer_host = b.balancer_host AND v.balancer_port = b.balancer_port))"""
+
+
+_TOPO_COLS = ("balancer_host, balancer_port, server_host, srv_pos, port, product_name, product_type, "
+              "l_orderkey, l_linenumber, l_partkey")
+
+ORACLE["topology"] = f"""
+WITH {_topology_ctes('a_', 'true')}
+SELECT {_TOPO_COLS} FROM a_topo
+"""
+
+ORACLE["topology_merge"] = f"""
+WITH {_topology_ctes('n_', "l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'")},
+{_topology_ctes('o_', "l_shipdate < TIMESTAMP '1998-01-01 00:00:00'")},
+nb AS (SELECT balancer_host, balancer_port, min(bal_pos) AS bal_pos FROM n_topo GROUP BY 1, 2),
+old_in AS (SELECT o.* EXCLUDE (bal_pos), nb.bal_pos FROM o_topo o
+           JOIN nb ON o.balancer_host = nb.balancer_host AND o.balancer_port = nb.balancer_port),
+add_prod AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT o.*, row_number() OVER (PARTITION BY o.balancer_host, o.balancer_port, o.server_host, o.port,
+                                                o.product_name, o.product_type
+                                   ORDER BY o.srv_pos, o.l_orderkey, o.l_linenumber, o.l_partkey) AS rn
+    FROM old_in o
+    WHERE o.product_name IS NOT NULL
+      AND EXISTS (SELECT 1 FROM n_topo n WHERE n.balancer_host = o.balancer_host AND n.balancer_port = o.balancer_port
+                    AND n.server_host = o.server_host AND n.port = o.port)
+      AND NOT EXISTS (SELECT 1 FROM n_topo n WHERE n.balancer_host = o.balancer_host
+                        AND n.balancer_port = o.balancer_port AND n.server_host = o.server_host AND n.port = o.port
+                        AND n.product_name = o.product_name AND n.product_type IS NOT DISTINCT FROM o.product_type))
+  WHERE rn = 1),
+add_port AS (
+  SELECT o.* FROM old_in o
+  WHERE o.port IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM n_topo n WHERE n.balancer_host = o.balancer_host AND n.balancer_port = o.balancer_port
+                      AND n.server_host = o.server_host AND n.port = o.port)
+    AND EXISTS (SELECT 1 FROM n_topo n WHERE n.balancer_host = o.balancer_host AND n.balancer_port = o.balancer_port
+                  AND n.server_host = o.server_host)),
+add_srv AS (
+  SELECT o.* FROM old_in o
+  WHERE o.server_host IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM n_topo n WHERE n.balancer_host = o.balancer_host AND n.balancer_port = o.balancer_port
+                      AND n.server_host = o.server_host)),
+kept AS (
+  SELECT n.* FROM n_topo n
+  WHERE NOT (n.server_host IS NOT NULL AND n.port IS NULL AND EXISTS (
+               SELECT 1 FROM add_port a WHERE a.balancer_host = n.balancer_host AND a.balancer_port = n.balancer_port
+                 AND a.server_host = n.server_host))
+    AND NOT (n.server_host IS NULL AND EXISTS (
+               SELECT 1 FROM add_srv a WHERE a.balancer_host = n.balancer_host AND a.balancer_port = n.balancer_port)))
+SELECT {_TOPO_COLS}, 'new' AS origin, server_host IS NOT NULL AS returned FROM kept
+UNION ALL
+SELECT {_TOPO_COLS}, 'old', server_host IS NOT NULL FROM add_prod
+UNION ALL
+SELECT {_TOPO_COLS}, 'old', server_host IS NOT NULL FROM add_port
+UNION ALL
+SELECT {_TOPO_COLS}, 'old', server_host IS NOT NULL FROM add_srv
+"""

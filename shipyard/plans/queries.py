@@ -17,6 +17,7 @@ from ..operators import messages as M
 from ..operators import outcomes as O
 from ..operators import rules as R
 from ..operators import scripts as X
+from ..operators import topology as TP
 from . import standins as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +129,7 @@ def q_script_index(spark: SparkSession, d: str) -> DataFrame:
 # Catalog (A1, A3, A5, A6, T2-T5, W7) and rules
 # ---------------------------------------------------------------------------
 
-TABLESPACE_STANDIN_RULES = [("PROMO", 3000), ("SMALL", 4000), ("ABSENT", 1)]
+TABLESPACE_STANDIN_RULES = [("PROMO", 3000), ("SMALL", 20000), ("ABSENT", 1)]
 
 
 def q_tablespace(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +248,30 @@ def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return X.fingerprint_check(art, exp)
 
 
+# ---------------------------------------------------------------------------
+# Topology (J3, W6, J4)
+# ---------------------------------------------------------------------------
+
+TOPO_APP = ["l_orderkey", "l_linenumber", "l_partkey"]
+TOPO_COLS = ["balancer_host", "balancer_port", "server_host", "srv_pos", "port", "product_name",
+             "product_type", *TOPO_APP]
+
+
+def q_topology(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + W6: flat balancer topology; duplicate hosts keep their first entry."""
+    b, s, p, a = SI.topology_inputs(spark, d)
+    topo = TP.balancer_topology(b, s, p, a, app_cols=TOPO_APP)
+    return topo.select(*TOPO_COLS)
+
+
+def q_topology_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The topology of lines from 1998 merged with the snapshot of earlier lines."""
+    new = TP.balancer_topology(*SI.topology_inputs(spark, d, since="1998-01-01"), app_cols=TOPO_APP)
+    old = TP.balancer_topology(*SI.topology_inputs(spark, d, until="1998-01-01"), app_cols=TOPO_APP)
+    merged = TP.merge_topology(new, old, keys=["msg_id"], order=["srv_pos", *TOPO_APP])
+    return merged.select(*TOPO_COLS, "origin", "returned")
+
+
 QUERIES: dict[str, Query] = {
     "msg_accept": q_msg_accept,
     "msg_dedup": q_msg_dedup,
@@ -275,4 +300,6 @@ QUERIES: dict[str, Query] = {
     "version_check": q_version_check,
     "statements": q_statements,
     "fingerprint": q_fingerprint,
+    "topology": q_topology,
+    "topology_merge": q_topology_merge,
 }

@@ -323,5 +323,51 @@ def document_artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     published = F.when(F.col("quality") == 1, F.md5("text")).otherwise(F.md5(F.concat("text", F.lit("#"))))
     exp = docs.join(lab, "doc_id").select(
         F.col("doc_id").alias("name"),
-        F.concat(published, F.lit("  doc"), F.col("doc_id"), F.lit("\n")).alias("md5_text"))
+        F.concat(published, F.lit("\ndoc"), F.col("doc_id"), F.lit("\n")).alias("md5_text"))
     return art, exp
+
+
+# ---------------------------------------------------------------------------
+# Topology: nation x return flag = balancer, supplier = server entry, line = app
+# ---------------------------------------------------------------------------
+
+TOPOLOGY_HOSTS = 60  # server host = h<suppkey % 60>: entries past 60 share a host
+
+
+def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until: str | None = None) \
+        -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(balancers, servers, server_ports, apps) of one document built from lines.
+
+    Balancer = (supplier nation name, return flag); server entry = supplier at
+    position s_suppkey, host h<suppkey % 60>; its ports = line numbers of its open
+    (status O) lines; app = line (product = brand, port = line number). Lines of
+    parts of type PROMO carry the reports context. ``since`` / ``until`` select lines
+    by ship date.
+    """
+    li = read_table(spark, d, "lineitem")
+    if since:
+        li = li.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp"))
+    if until:
+        li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
+    s = read_table(spark, d, "supplier")
+    n = read_table(spark, d, "nation")
+    p = read_table(spark, d, "part")
+    sn = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "n_name", "n_nationkey")
+    lines = li.join(sn, li.l_suppkey == sn.s_suppkey).join(p, li.l_partkey == p.p_partkey)
+    doc = F.lit("topo").alias("msg_id")
+    balancers = lines.select(doc, F.col("n_name").alias("balancer_host"),
+                             F.col("l_returnflag").alias("balancer_port"),
+                             (F.col("n_nationkey") * 10 + F.when(F.col("l_returnflag") == "A", 0)
+                              .when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("bal_pos")).distinct()
+    servers = s.select(doc, F.col("s_suppkey").alias("srv_pos"),
+                       F.concat(F.lit("h"), F.col("s_suppkey") % TOPOLOGY_HOSTS).alias("server_host"))
+    ports = li.where(F.col("l_linestatus") == "O").select(
+        doc, F.col("l_suppkey").alias("srv_pos"), F.col("l_linenumber").cast("string").alias("port")).distinct()
+    apps = lines.select(
+        doc, F.col("l_suppkey").alias("srv_pos"), "l_orderkey", "l_linenumber", "l_partkey",
+        F.col("p_brand").alias("productname"),
+        F.when(F.col("p_type") == "PROMO", F.lit("soul-product-reports")).otherwise(F.lit("soul-product-forms"))
+        .alias("context"),
+        F.lit("forms").alias("type"), F.col("l_linenumber").cast("string").alias("port"),
+        F.col("n_name").alias("balancer_host"), F.col("l_returnflag").alias("balancer_port"))
+    return balancers, servers, ports, apps
