@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import codes
@@ -84,10 +85,12 @@ def parse_body(msgs: DataFrame, route_name: str, body_col: str = "body") -> Data
     """
     from .documents import mask_secrets
 
-    schema = S.BODY_SCHEMAS[route_name]
+    schema = T.StructType(S.BODY_SCHEMAS[route_name].fields + [T.StructField("_corrupt_record", T.StringType())])
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = (msgs.where(F.col("route") == route_name)
-              .withColumn("doc", F.from_json(F.col(body_col), schema, {"mode": "PERMISSIVE"}))
-              .withColumn("_corrupt", F.when(F.col("doc").isNull() & F.col(body_col).isNotNull(),
-                                             F.col(body_col)))
+              .withColumn("doc", F.from_json(F.col(body_col), schema, opts))
+              .withColumn("_corrupt", F.regexp_replace(
+                  F.col("doc._corrupt_record"), f'"({"|".join(S.SECRET_FIELDS)})"\\s*:\\s*"[^"]*"', '"$1":""'))
+              .withColumn("doc", F.col("doc").dropFields("_corrupt_record"))
               .drop(body_col))
     return mask_secrets(parsed, "doc")
