@@ -100,19 +100,23 @@ def privilege_gap(users: DataFrame, privileges: DataFrame, keys: Sequence[str],
 # A4 / F2: disk space
 # ---------------------------------------------------------------------------
 
-DEVICE_SCHEMA = T.MapType(T.StringType(), T.StructType([
-    T.StructField("kb_size", T.StringType()), T.StructField("kb_available", T.StringType())]))
+DEVICE_SCHEMA = T.StructType([T.StructField("kb_size", T.StringType()),
+                              T.StructField("kb_available", T.StringType())])
 
 
 def parse_filesystem(nodes: DataFrame, attr_col: str = "attributes", keys: Sequence[str] = ("server_host",)) \
         -> DataFrame:
     """F2 parse: Ruby-hash node attributes -> one row per (node, device)."""
     keys = list(keys)
-    m = F.from_json(ruby_hash_to_json(attr_col), DEVICE_SCHEMA)
+    # Values are devices (objects) or plain attributes such as mvHome: read every
+    # value as text first, then each one as a device; non-devices get NULL sizes.
+    m = F.from_json(ruby_hash_to_json(attr_col), T.MapType(T.StringType(), T.StringType()))
     out = nodes.select(*keys, *[c for c in nodes.columns if c not in keys and c != attr_col],
-                       F.explode(m).alias("device", "fs"))
-    return out.select("*", F.col("fs.kb_size").alias("kb_size"),
-                      F.col("fs.kb_available").alias("kb_available")).drop("fs")
+                       F.explode(m).alias("device", "raw"))
+    fs = F.from_json(F.col("raw"), DEVICE_SCHEMA)
+    return out.withColumn("fs", fs).select(
+        *[c for c in out.columns if c != "raw"], F.col("fs.kb_size").alias("kb_size"),
+        F.col("fs.kb_available").alias("kb_available"))
 
 
 def home_drive(nodes: DataFrame, attr_col: str = "attributes") -> Column:
