@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .keyed import first_by
+from .scan import last_non_null
 
 STEP_ORDER = ("phase_id", "phase_pos", "visit_pos", "entry_pos", "rec_pos")
 
@@ -48,19 +49,23 @@ def phase_response(step_rows: DataFrame, keys: Sequence[str] = ("msg_id", "phase
 def phase_outcome(phase_rows: DataFrame, keys: Sequence[str] = ("msg_id",),
                   order: Sequence[str | Column] = ("phase_id", "phase_pos"),
                   exit_col: str = "exit_status", status_error: str | Column = "statusError",
-                  status_complete: str | Column = "statusComplete") -> DataFrame:
+                  status_complete: str | Column = "statusComplete", chunked: bool = True) -> DataFrame:
     """A phase that ran nothing reuses the previous phase's response.
 
     ``exit_col`` NULL = nothing ran. ``effective_exit`` = the last non-NULL exit up
     to this phase; with no earlier value the row gets ``_error`` (the agent fails
-    there). The window is per message: its rows are the phases of one document.
+    there). ``chunked`` (default) runs the scan over range chunks
+    (``scan.last_non_null``), so one message with very many phases is spread over
+    many tasks; ``chunked=False`` is the single window per message.
     """
-    w = (Window.partitionBy(*keys).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    eff = F.last(F.col(exit_col), ignorenulls=True).over(w)
+    if chunked:
+        out = last_non_null(phase_rows, keys, order, exit_col, "effective_exit")
+    else:
+        w = (Window.partitionBy(*keys).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = phase_rows.withColumn("effective_exit", F.last(F.col(exit_col), ignorenulls=True).over(w))
     se = F.col(status_error) if isinstance(status_error, str) else status_error
     sc = F.col(status_complete) if isinstance(status_complete, str) else status_complete
-    out = phase_rows.withColumn("effective_exit", eff)
     return (out
             .withColumn("exit_source", F.when(F.col(exit_col).isNotNull(), F.lit("own"))
                         .when(F.col("effective_exit").isNotNull(), F.lit("carried"))

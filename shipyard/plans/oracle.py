@@ -382,13 +382,10 @@ WHERE e.event_type = 'click'
 # statement at its 1st, 3rd, ... line; a run at the start of the script at its 2nd,
 # 4th, ... line. Empty lines at the start of a statement vanish; text after the
 # last terminator is dropped unless there is no terminator at all.
-ORACLE["statements"] = """
-WITH s AS (
-  SELECT user_id AS script_id,
-         string_agg(CASE event_type WHEN 'error' THEN '/' WHEN 'view' THEN '' ELSE event_type END, chr(10)
-                    ORDER BY ts, event_id) AS text
-  FROM events GROUP BY user_id),
-sp AS (SELECT script_id, text, string_split(text, chr(10)) AS parts FROM s),
+_STATEMENTS_TMPL = """
+WITH s AS ({scripts}),
+s1 AS (SELECT script_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM s),
+sp AS (SELECT script_id, text, string_split(text, chr(10)) AS parts FROM s1),
 l AS (SELECT script_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS ln,
              len(parts) - CASE WHEN text = '' OR suffix(text, chr(10)) THEN 1 ELSE 0 END AS n_lines
       FROM sp),
@@ -414,6 +411,17 @@ UNION ALL
 SELECT script_id, 0, '' FROM s WHERE script_id NOT IN (SELECT script_id FROM stm)
 """
 
+ORACLE["statements"] = _STATEMENTS_TMPL.format(scripts="""
+  SELECT user_id AS script_id,
+         string_agg(CASE event_type WHEN 'error' THEN '/' WHEN 'view' THEN '' ELSE event_type END, chr(10)
+                    ORDER BY ts, event_id) AS text
+  FROM events GROUP BY user_id""")
+
+ORACLE["statements_docs"] = _STATEMENTS_TMPL.format(scripts="""
+  SELECT doc_id AS script_id,
+         regexp_replace(regexp_replace(text, '(?m)^[^ \\n]+\\.$', '/', 'g'), '(?m)^[^\\n]*!$', '', 'g') AS text
+  FROM documents""")
+
 ORACLE["fingerprint"] = """
 WITH art AS (SELECT doc_id AS name, text AS content FROM documents),
 exp AS (SELECT d.doc_id AS name,

@@ -242,6 +242,11 @@ def q_statements(spark: SparkSession, d: str) -> DataFrame:
     return X.statements(SI.event_scripts(spark, d))
 
 
+def q_statements_docs(spark: SparkSession, d: str) -> DataFrame:
+    """F1 on whole document texts (each script is one row; no shuffle)."""
+    return X.statements(SI.document_scripts(spark, d))
+
+
 def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Artifact md5 against the first line of its published .md5 file."""
     art, exp = SI.document_artifacts(spark, d)
@@ -299,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "verdict": q_verdict,
     "version_check": q_version_check,
     "statements": q_statements,
+    "statements_docs": q_statements_docs,
     "fingerprint": q_fingerprint,
     "topology": q_topology,
     "topology_merge": q_topology_merge,

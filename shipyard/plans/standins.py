@@ -371,3 +371,15 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
         F.lit("forms").alias("type"), F.col("l_linenumber").cast("string").alias("port"),
         F.col("n_name").alias("balancer_host"), F.col("l_returnflag").alias("balancer_port"))
     return balancers, servers, ports, apps
+
+
+def document_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """documents -> audit scripts, whole texts, one row each (no grouping).
+
+    Per line, in place: a line that is one word and a period (for example "Of.")
+    becomes "/", a line that ends with "!" becomes empty; other lines stay.
+    """
+    docs = read_table(spark, d, "documents")
+    t = F.regexp_replace(F.col("text"), "(?md)^[^ \\n]+\\.$", "/")
+    t = F.regexp_replace(t, "(?md)^[^\\n]*!$", "")
+    return docs.select(F.col("doc_id").alias("script_id"), t.alias("text"))

@@ -86,6 +86,23 @@ def test_phase_outcome_against_loop(spark):
             assert got[(m, p)] == (eff, st, err)
 
 
+def test_chunked_carry_forward_on_a_hot_key(spark):
+    import random
+
+    from shipyard.operators.scan import last_non_null
+
+    rnd = random.Random(9)
+    # one message holds most rows; it is cut into several range chunks
+    data = [(0, p, rnd.choice([None, None, None, 1, 0])) for p in range(3000)]
+    data += [(m, p, rnd.choice([None, 0, 1])) for m in range(1, 40) for p in range(rnd.randint(1, 6))]
+    df = spark.createDataFrame(data, "msg_id int, pos int, v int").repartition(7)
+    got = {(r.msg_id, r.pos): r.eff for r in last_non_null(df, ["msg_id"], ["pos"], "v", "eff", chunks=16)
+           .collect()}
+    for m in {d[0] for d in data}:
+        seq = [v for (mm, p, v) in sorted(data) if mm == m]
+        assert [got[(m, p)] for p in range(len(seq))] == carry_loop(seq)
+
+
 def test_fail_stop_against_loop(spark):
     import random
 
