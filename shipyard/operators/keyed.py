@@ -28,13 +28,16 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike],
     picks the greatest, i.e. descending with NULLs last. Ties on ``order`` are
     broken by the remaining columns, so the pick is deterministic.
     """
-    rest = [c for c in df.columns if c not in keys]
+    # Plain order columns travel once, as order fields; the payload holds the rest.
+    named = {c: i for i, c in enumerate(order) if isinstance(c, str)}
+    rest = [c for c in df.columns if c not in keys and c not in named]
     packed = F.struct(
         *[_col(c).alias(f"_o{i}") for i, c in enumerate(order)],
         F.struct(*rest).alias("_row"),
     )
     pick = (F.max(packed) if last else F.min(packed)).alias("_pick")
-    return df.groupBy(*keys).agg(pick).select(*keys, "_pick._row.*")
+    return df.groupBy(*keys).agg(pick).select(
+        *keys, *[F.col(f"_pick._o{i}").alias(c) for c, i in named.items() if c not in keys], "_pick._row.*")
 
 
 def first_value_by(keys: Sequence[str], value: ColumnLike, order: Sequence[ColumnLike],

@@ -60,7 +60,8 @@ EVENT_TS = "2024-02-01 00:00:00"  # fixed creation time of status rows, so rerun
 
 def q_products_first(spark: SparkSession, d: str) -> DataFrame:
     """First app per (document, product name) in line order."""
-    apps = SI.line_apps(spark, d).withColumnRenamed("brand", "productname")
+    apps = SI.line_apps(spark, d).select("msg_id", F.col("brand").alias("productname"), "version", "itemVersion",
+                                         *SI.LINE_ORDER)
     first = D.first_products(apps, name_col="productname", order=SI.LINE_ORDER)
     return first.select("msg_id", "productname", "version", "itemVersion", "l_linenumber")
 

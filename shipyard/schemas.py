@@ -105,6 +105,11 @@ REGISTRY_OBJECT = "GCM_VERSAO"
 REGISTRY_OWNER = "DBAMV"
 
 # Events and logs.
+LOG_RECIPE_START = "Executando {recipe}!"
+LOG_RECIPE_OK = "{recipe} finalizado no servidor com sucesso!"
+LOG_RECIPE_FAIL = "{recipe} finalizado no servidor com falha!"
+LOG_DONE = "Processo concluido!"
+LOG_REJECTED = "Requisitos para procedimentos no ambiente não atendidos, processo abortado!"
 LOG_TYPE = "plano.execucao"
 LOG_SYNC_FLAG = "S"
 LOG_LEVELS = ["INFO", "WARN", "ERROR", "DEBUG"]
