@@ -45,10 +45,21 @@ def split_statements(text: str | Column) -> Column:
       when the whole buffer is the only statement (an empty script gives "").
     Lines inside a statement are joined by LF.
     """
-    body = _drop_final_terminator(normalize_newlines(text))
-    found = F.regexp_extract_all(F.concat(F.lit("\n"), body), F.lit(_STATEMENT), 1)
-    whole = F.regexp_replace(body, "^\\n+", "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(whole))
+    def split(body: Column) -> Column:
+        def pick(found: Column) -> Column:
+            return F.when(F.size(found) > 0, found).otherwise(F.array(F.regexp_replace(body, "^\\n+", "")))
+        return _let(F.regexp_extract_all(F.concat(F.lit("\n"), body), F.lit(_STATEMENT), 1), pick)
+
+    return _let(_drop_final_terminator(normalize_newlines(text)), split)
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
+
+    A generator such as ``posexplode`` does not share repeated subexpressions, so
+    the regular expressions above would otherwise run twice per text.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def first_line(text: str | Column) -> Column:

@@ -123,9 +123,13 @@ def null_aware_not_in(left: DataFrame, right: DataFrame, keys: Sequence[str], le
         out = out.join(null_lists.distinct(), keys, "left_anti")
         nulls = left.where(F.col(left_col).isNull()).join(nonempty.distinct(), keys, "left_anti")
     else:
-        # One list: anti join against at most one row (a proven size bound).
-        out = out.join(null_lists.limit(1), F.lit(True), "left_anti")
-        nulls = left.where(F.col(left_col).isNull()).join(nonempty.limit(1), F.lit(True), "left_anti")
+        # One list: an equi anti join on a constant against a one-row flag table
+        # (distinct of a constant: at most one row, so broadcasting it is bounded).
+        def flag(df: DataFrame) -> DataFrame:
+            return F.broadcast(df.select(F.lit(1).alias("_k")).distinct())
+        out = out.withColumn("_k", F.lit(1)).join(flag(null_lists), "_k", "left_anti").drop("_k")
+        nulls = left.where(F.col(left_col).isNull()).withColumn("_k", F.lit(1)) \
+            .join(flag(nonempty), "_k", "left_anti").drop("_k")
     return out.unionByName(nulls)
 
 

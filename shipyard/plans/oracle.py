@@ -533,3 +533,25 @@ SELECT {_TOPO_COLS}, 'old', server_host IS NOT NULL FROM add_port
 UNION ALL
 SELECT {_TOPO_COLS}, 'old', server_host IS NOT NULL FROM add_srv
 """
+
+ORACLE["step_logs"] = f"""
+SELECT CAST(msg_id AS VARCHAR) AS cd_cliente, 'plano.execucao' AS cd_tipo_log, 'lines' AS ds_identificador,
+       'S' AS sn_sincronizado, CASE WHEN exit_status <> 0 THEN 'ERROR' ELSE 'INFO' END AS ds_nivel,
+       TIMESTAMP '2024-02-01 00:00:00' AS dh_log, 'line ' || l_linenumber || ' part ' || l_partkey AS lo_conteudo
+FROM (
+  SELECT l_orderkey AS msg_id, l_linenumber, l_partkey,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS exit_status,
+         coalesce(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (
+             PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed_before
+  FROM lineitem) WHERE failed_before = 0
+"""
+
+ORACLE["balancer_for_server"] = """
+WITH bal AS (SELECT DISTINCT n.n_name AS balancer_host, l.l_returnflag AS balancer_port
+             FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+             JOIN part p ON l.l_partkey = p.p_partkey)
+SELECT c.c_custkey AS srv_pos, n.n_name AS server_host, b.balancer_port
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN bal b ON b.balancer_host = n.n_name
+"""

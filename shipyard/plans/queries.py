@@ -100,6 +100,18 @@ def q_fail_stop(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("msg_id", *SI.LINE_ORDER, "exit_status", "failed_here")
 
 
+def q_step_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Log rows of the steps that ran: INFO per passed step, ERROR for the failing one."""
+    st = SI.line_steps(spark, d).withColumn(
+        "exit_status", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    kept = O.fail_stop(st, order=SI.LINE_ORDER).withColumn("client_id", F.col("msg_id").cast("string")) \
+        .withColumn("execution_plan", F.lit("lines")) \
+        .withColumn("_text", F.concat(F.lit("line "), F.col("l_linenumber"), F.lit(" part "), F.col("l_partkey")))
+    ok = O.log_events(kept.where(~F.col("failed_here")), "INFO", "_text", logged_at=EVENT_TS)
+    bad = O.log_events(kept.where(F.col("failed_here")), "ERROR", "_text", logged_at=EVENT_TS)
+    return ok.unionByName(bad)
+
+
 def q_phase_outcome(spark: SparkSession, d: str) -> DataFrame:
     """Phases that ran nothing reuse the previous response; none -> error row."""
     st = SI.line_steps(spark, d).withColumn("exit_status", _line_exit())
@@ -270,6 +282,17 @@ def q_topology(spark: SparkSession, d: str) -> DataFrame:
     return topo.select(*TOPO_COLS)
 
 
+def q_balancer_for_server(spark: SparkSession, d: str) -> DataFrame:
+    """The balancers whose host equals a server's host (customers as servers in their nation)."""
+    balancers = SI.topology_inputs(spark, d)[0]
+    c = SI.read_table(spark, d, "customer")
+    n = SI.read_table(spark, d, "nation")
+    srv = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.lit("topo").alias("msg_id"), F.col("c_custkey").alias("srv_pos"), F.col("n_name").alias("server_host"))
+    out = D.balancer_for_server(srv, balancers)
+    return out.select("srv_pos", "server_host", "balancer_port")
+
+
 def q_topology_merge(spark: SparkSession, d: str) -> DataFrame:
     """The topology of lines from 1998 merged with the snapshot of earlier lines."""
     new = TP.balancer_topology(*SI.topology_inputs(spark, d, since="1998-01-01"), app_cols=TOPO_APP)
@@ -287,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "phase_plan": q_phase_plan,
     "fail_stop": q_fail_stop,
     "phase_outcome": q_phase_outcome,
+    "step_logs": q_step_logs,
     "status_events": q_status_events,
     "script_index": q_script_index,
     "tablespace": q_tablespace,
@@ -309,4 +333,5 @@ QUERIES: dict[str, Query] = {
     "fingerprint": q_fingerprint,
     "topology": q_topology,
     "topology_merge": q_topology_merge,
+    "balancer_for_server": q_balancer_for_server,
 }
