@@ -148,7 +148,8 @@ TABLESPACE_STANDIN_RULES = [("PROMO", 3000), ("SMALL", 20000), ("ABSENT", 1)]
 def q_tablespace(spark: SparkSession, d: str) -> DataFrame:
     """A1: max MB per tablespace over data and temp files (temp headers fan out)."""
     f = SI.file_catalog(spark, d)
-    return C.tablespace_capacity(names=SI.TABLESPACE_NAMES, **f)
+    # Ordered by name at the sink (a handful of rows).
+    return C.tablespace_capacity(names=SI.TABLESPACE_NAMES, **f).orderBy("tablespace_name")
 
 
 def q_tablespace_check(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,30 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (thousands of executors, ~100 TB inputs). The
+# library never sets them itself; a deployment passes them to spark-submit or the
+# session builder. AQE picks the real partition count and join strategy per stage
+# from measured sizes.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    # Initial shuffle width; AQE coalesces small partitions after each stage.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # Joins become broadcasts only under this measured size (AQE re-checks at run time).
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+    # Streaming de-duplication state lives in RocksDB, off the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "shipyard") -> SparkSession:
     master = master or os.environ.get("SHIPYARD_MASTER", "local[*]")
