@@ -90,3 +90,20 @@ def mask_password_arg(command_text: str | Column, password: str | Column) -> Col
     needle = F.concat(F.lit("-P '"), _c(password), F.lit("'"))
     return F.when(_c(password).isNull(), _c(command_text)) \
         .otherwise(F.replace(_c(command_text), needle, F.lit("-P ***")))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A fixed message text with ``{name}`` placeholders filled from columns.
+
+    A NULL value prints as "null", as string interpolation in the agent does.
+    """
+    import re
+
+    parts: list[Column] = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        parts.append(F.lit(template[pos:m.start()]))
+        parts.append(F.coalesce(values[m.group(1)].cast("string"), F.lit("null")))
+        pos = m.end()
+    parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)

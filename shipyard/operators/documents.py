@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import codes
+from ..functions.text import fill
 from .keyed import first_by
 
 
@@ -237,7 +238,7 @@ def server_status_events(visit_rows: DataFrame, app_rows: DataFrame) -> DataFram
     failed = F.coalesce(F.col("exit_status") != 0, F.lit(False))
     return pairs.select(
         "msg_id", "phase_id", "srv_pos",
-        F.concat_ws(".", F.col("productname"), F.col("version")).alias("cd_item"),
+        fill("{name}.{version}", name=F.col("productname"), version=F.col("version")).alias("cd_item"),
         F.when(failed, F.col("statusError")).otherwise(F.col("statusComplete")).alias("cd_item_status"),
         F.col("client_id").alias("cd_cliente"), F.col("environment").alias("cd_ambiente"),
         F.col("execution_plan").alias("cd_plano_execucao"), F.col("serverId").alias("cd_servidor"))

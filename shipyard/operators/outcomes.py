@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.text import fill
 from .keyed import first_by
 from .scan import last_non_null
 
@@ -98,7 +99,7 @@ def registry_updates(products: DataFrame, name_col: str = "name", version_col: s
     ts = F.lit(updated_at).cast("timestamp") if updated_at else F.current_timestamp()
     return products.select(
         F.col(name_col).alias("cd_produto"),
-        F.concat(F.col(name_col), F.lit("."), F.col(version_col)).alias("ds_versao"),
+        fill("{name}.{version}", name=F.col(name_col), version=F.col(version_col)).alias("ds_versao"),
         ts.alias("dh_atualizacao"))
 
 

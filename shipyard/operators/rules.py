@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.text import drive_of, ruby_hash_to_json
+from ..functions.text import drive_of, fill, ruby_hash_to_json
 from .keyed import explode_literal, first_by
 
 
@@ -27,7 +27,9 @@ def version_check(requests: DataFrame, agents: DataFrame, keys: Sequence[str] =
     """Fail when the installed agent version differs from the required one (NULL-safe)."""
     keys = list(keys)
     j = requests.join(agents.select(*keys, version_col), keys, "left")
-    return j.withColumn("passed", F.col(version_col).eqNullSafe(F.col(metric_col)))
+    passed = F.col(version_col).eqNullSafe(F.col(metric_col))
+    return j.withColumn("passed", passed).withColumn("message", F.when(~passed, fill(
+        S.MSG_AGENT_OLD, current=F.col(version_col), required=F.col(metric_col))))
 
 
 # ---------------------------------------------------------------------------
@@ -72,7 +74,11 @@ def tablespace_messages(check: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         arr = F.array_sort(F.collect_list(F.when(F.col("status") == st, item)))
         return F.array_join(F.transform(arr, lambda x: x["t"]), ", ")
 
-    return check.groupBy(*keys).agg(joined("missing").alias("not_found"), joined("undersized").alias("wrong"))
+    out = check.groupBy(*keys).agg(joined("missing").alias("not_found"), joined("undersized").alias("wrong"))
+    return (out.withColumn("not_found_message", F.when(F.col("not_found") != "", fill(
+                S.MSG_TABLESPACE_MISSING, items=F.col("not_found"))))
+            .withColumn("wrong_message", F.when(F.col("wrong") != "", fill(
+                S.MSG_TABLESPACE_WRONG, items=F.col("wrong")))))
 
 
 # ---------------------------------------------------------------------------
@@ -80,20 +86,27 @@ def tablespace_messages(check: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 # ---------------------------------------------------------------------------
 
 def privilege_gap(users: DataFrame, privileges: DataFrame, keys: Sequence[str],
-                  rules: Sequence[tuple[str, str]] = tuple(S.PRIVILEGE_RULES)) -> DataFrame:
+                  rules: Sequence[tuple[str, str]] = tuple(S.PRIVILEGE_RULES),
+                  user_col: str | None = None) -> DataFrame:
     """Required (kind, value) rules without any privilege row of that kind.
 
     ``reported`` marks the first missing rule per user, which is the one the agent
     reports before it stops. A user group holds at most ``len(rules)`` rows.
     """
     keys = list(keys)
-    req = users.select(*keys, explode_literal(
+    extra = [user_col] if user_col and user_col not in keys else []
+    req = users.select(*keys, *extra, explode_literal(
         [(k, v, i) for i, (k, v) in enumerate(rules)], ["NAME", "value", "rule_pos"]).alias("_r")) \
-        .select(*keys, "_r.*")
+        .select(*keys, *extra, "_r.*")
     have = privileges.select(*keys, "NAME").distinct()
     missing = req.join(have, keys + ["NAME"], "left_anti")
     w = Window.partitionBy(*keys)
-    return missing.withColumn("reported", F.col("rule_pos") == F.min("rule_pos").over(w))
+    user = F.col(user_col) if user_col else F.lit(None).cast("string")
+    rule = dict(rules)
+    message = F.when(F.col("NAME") == "PACKAGE", fill(S.MSG_NO_PACKAGE, user=user, package=F.lit(rule["PACKAGE"]))) \
+        .otherwise(fill(S.MSG_NO_ROLE, user=user, role=F.col("value")))
+    return missing.withColumn("reported", F.col("rule_pos") == F.min("rule_pos").over(w)) \
+        .withColumn("message", message)
 
 
 # ---------------------------------------------------------------------------
@@ -159,9 +172,14 @@ def disk_check(devices: DataFrame, keys: Sequence[str], metric_mb: int | Column,
         chosen = lin.unionByName(win, allowMissingColumns=True)
         err = F.when(F.col(device_col).isNull(), F.concat(F.lit("home drive not found: "), F.col(drive_col)))
     free = (F.col(avail_col).cast("long") / 1000).cast("long")
-    return (chosen.withColumn("free_mb", free)
-            .withColumn("passed", F.coalesce(F.col("free_mb") >= metric, F.lit(False)))
-            .withColumn("_error", err))
+    out = (chosen.withColumn("free_mb", free)
+           .withColumn("passed", F.coalesce(F.col("free_mb") >= metric, F.lit(False)))
+           .withColumn("_error", err))
+    host = F.col(keys[-1])
+    cause = F.when(F.col("_error").isNotNull(), fill(S.MSG_HOME_MISSING, drive=F.col(drive_col) if drive_col
+                                                     else F.lit(None))) \
+        .otherwise(fill(S.MSG_DISK_LOW, free=F.col("free_mb"), metric=metric))
+    return out.withColumn("message", F.when(~F.col("passed"), fill(S.MSG_DISK_FAILED, host=host, cause=cause)))
 
 
 # ---------------------------------------------------------------------------

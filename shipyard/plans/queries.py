@@ -188,7 +188,7 @@ def q_privileges(spark: SparkSession, d: str) -> DataFrame:
     """T5 + J8: required privileges a user lacks; the first one is the reported one."""
     users, tab, role = SI.event_privileges(spark, d)
     privs = C.user_privileges(tab, role, keys=["user_id"])
-    return R.privilege_gap(users, privs, keys=["user_id"])
+    return R.privilege_gap(users, privs, keys=["user_id"]).select("user_id", "NAME", "value", "rule_pos", "reported")
 
 
 def q_audit_tail(spark: SparkSession, d: str) -> DataFrame:

@@ -104,6 +104,16 @@ AUDIT_ROWS = 200
 REGISTRY_OBJECT = "GCM_VERSAO"
 REGISTRY_OWNER = "DBAMV"
 
+# Rule messages ({...} are filled in per row).
+MSG_TABLESPACE_MISSING = "As Tablespaces [{items}] nao foram criadas!"
+MSG_TABLESPACE_WRONG = "As Tablespaces [{items}] foram criadas com tamanho errado!"
+MSG_NO_PACKAGE = "Usuário logado [{user}] não tem permissão na PACKAGE {package}"
+MSG_NO_ROLE = "Usuário logado [{user}] não tem permissão de DBA [{role}]"
+MSG_DISK_LOW = "Servidor sem espaço em disco suficiente! Livre: {free} MB / Necessário: {metric} MB"
+MSG_DISK_FAILED = "Falha ao checar espaço em disco livre do servidor {host} / Causa {cause}"
+MSG_HOME_MISSING = "MV_HOME [{drive}] não encontrada nos atributos do chef!"
+MSG_AGENT_OLD = "Agente desatualizado! Versão do agente atual [{current}] / Versão do agente necessária {required} "
+
 # Events and logs.
 LOG_RECIPE_START = "Executando {recipe}!"
 LOG_RECIPE_OK = "{recipe} finalizado no servidor com sucesso!"

@@ -60,7 +60,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a scratch folder only when unset."""
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+
+    Only a local session with the setting unset gets a scratch folder; a cluster
+    session without it is an error, never a machine-local folder.
+    """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         current = spark.sparkContext.getCheckpointDir()
@@ -70,6 +74,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    # Local runs only (tests, bench): a scratch folder on this machine.
     local = tempfile.mkdtemp(prefix="shipyard-ckpt-", dir=os.environ.get("SHIPYARD_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

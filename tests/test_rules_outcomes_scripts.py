@@ -18,6 +18,8 @@ def test_tablespace_check_and_messages(spark):
         ("MV2000_D", "ok"), ("MV2000_I", "undersized"), ("MV2000_L", "missing")]
     msg = R.tablespace_messages(chk).collect()[0]
     assert (msg.not_found, msg.wrong) == ("MV2000_L : 8192", "MV2000_I : 28672")
+    assert msg.not_found_message == "As Tablespaces [MV2000_L : 8192] nao foram criadas!"
+    assert msg.wrong_message == "As Tablespaces [MV2000_I : 28672] foram criadas com tamanho errado!"
     nulls = spark.createDataFrame([("MV2000_L", None)], "tablespace_name string, value double")
     assert rows(R.tablespace_check(nulls).where("tablespace_name = 'MV2000_L'"), "status") == [("undersized",)]
 
@@ -26,8 +28,11 @@ def test_privilege_gap_reports_first_missing(spark):
     users = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "user string")
     privs = spark.createDataFrame([("u2", "PACKAGE", "EXECUTE"), ("u3", "ROLE", "DBA"), ("u3", "PACKAGE", "X")],
                                   "user string, NAME string, VALUE string")
-    got = rows(R.privilege_gap(users, privs, ["user"]), "user", "NAME", "reported")
-    assert got == [("u1", "PACKAGE", True), ("u1", "ROLE", False), ("u2", "ROLE", True)]
+    gap = R.privilege_gap(users.withColumn("login", F.upper("user")), privs, ["user"], user_col="login")
+    got = rows(gap, "user", "NAME", "reported", "message")
+    assert got == [("u1", "PACKAGE", True, "Usuário logado [U1] não tem permissão na PACKAGE UTL_RECOMP"),
+                   ("u1", "ROLE", False, "Usuário logado [U1] não tem permissão de DBA [DBA]"),
+                   ("u2", "ROLE", True, "Usuário logado [U2] não tem permissão de DBA [DBA]")]
 
 
 def test_disk_check_linux_and_windows(spark):
@@ -45,6 +50,11 @@ def test_disk_check_linux_and_windows(spark):
     # ties on size: the smaller device name wins; kb / 1000 truncated
     assert got == [("lin", "/dev/a", 400, True, None), ("win", "D:", 5, False, None),
                    ("win2", None, None, False, "home drive not found: E:")]
+    msgs = dict(rows(out, "server_host", "message"))
+    assert msgs["lin"] is None
+    assert msgs["win"] == ("Falha ao checar espaço em disco livre do servidor win / Causa Servidor sem espaço "
+                           "em disco suficiente! Livre: 5 MB / Necessário: 100 MB")
+    assert msgs["win2"].endswith("Causa MV_HOME [E:] não encontrada nos atributos do chef!")
 
 
 def test_verdict_and_version_check(spark):
@@ -57,7 +67,10 @@ def test_verdict_and_version_check(spark):
                    ("d4", True, None)]
     req = spark.createDataFrame([("c1", "1.2"), ("c2", "1.2"), ("c3", None)], "client_id string, metric string")
     ag = spark.createDataFrame([("c1", "1.2"), ("c2", "1.1")], "client_id string, agent_version string")
-    assert rows(R.version_check(req, ag), "client_id", "passed") == [("c1", True), ("c2", False), ("c3", True)]
+    vc = R.version_check(req, ag)
+    assert rows(vc, "client_id", "passed") == [("c1", True), ("c2", False), ("c3", True)]
+    assert rows(vc.where("NOT passed"), "message") == [
+        ("Agente desatualizado! Versão do agente atual [1.1] / Versão do agente necessária 1.2 ",)]
 
 
 def carry_loop(exits):
