@@ -334,15 +334,16 @@ def document_artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
 TOPOLOGY_HOSTS = 60  # server host = h<suppkey % 60>: entries past 60 share a host
 
 
-def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until: str | None = None) \
-        -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until: str | None = None,
+                    split_at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(balancers, servers, server_ports, apps) of one document built from lines.
 
     Balancer = (supplier nation name, return flag); server entry = supplier at
     position s_suppkey, host h<suppkey % 60>; its ports = line numbers of its open
     (status O) lines; app = line (product = brand, port = line number). Lines of
     parts of type PROMO carry the reports context. ``since`` / ``until`` select lines
-    by ship date.
+    by ship date. ``split_at`` makes two documents instead: "new" (lines shipped
+    from that date) and "old" (earlier lines), each with every supplier as a server.
     """
     li = read_table(spark, d, "lineitem")
     if since:
@@ -354,12 +355,17 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
     p = read_table(spark, d, "part")
     sn = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "n_name", "n_nationkey")
     lines = li.join(sn, li.l_suppkey == sn.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-    doc = F.lit("topo").alias("msg_id")
+    if split_at:
+        doc = F.when(F.col("l_shipdate") >= F.lit(split_at).cast("timestamp"), F.lit("new")) \
+            .otherwise(F.lit("old")).alias("msg_id")
+        server_doc = F.explode(F.array(F.lit("new"), F.lit("old"))).alias("msg_id")
+    else:
+        doc = server_doc = F.lit("topo").alias("msg_id")
     balancers = lines.select(doc, F.col("n_name").alias("balancer_host"),
                              F.col("l_returnflag").alias("balancer_port"),
                              (F.col("n_nationkey") * 10 + F.when(F.col("l_returnflag") == "A", 0)
                               .when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("bal_pos")).distinct()
-    servers = s.select(doc, F.col("s_suppkey").alias("srv_pos"),
+    servers = s.select(server_doc, F.col("s_suppkey").alias("srv_pos"),
                        F.concat(F.lit("h"), F.col("s_suppkey") % TOPOLOGY_HOSTS).alias("server_host"))
     ports = li.where(F.col("l_linestatus") == "O").select(
         doc, F.col("l_suppkey").alias("srv_pos"), F.col("l_linenumber").cast("string").alias("port")).distinct()
