@@ -214,7 +214,7 @@ def status_events(phase_rows: DataFrame, products: DataFrame, keys: Sequence[str
     keys = list(keys)
     pairs = phase_rows.join(products, keys, "inner")
     failed = F.coalesce(F.col("exit_status") != 0, F.lit(False))
-    ts = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
+    ts = F.lit(created_at).cast("timestamp_ntz") if created_at else F.localtimestamp()
     common = [*[F.col(k) for k in keys], "phase_id", F.col("itemVersion").alias("cd_item"),
               F.col("client_id").alias("cd_cliente"), F.col("environment").alias("cd_ambiente"),
               F.col("execution_plan").alias("cd_plano_execucao"), ts.alias("dh_criacao")]

@@ -96,7 +96,7 @@ def replace_by_key(registry: DataFrame, updates: DataFrame, key: Sequence[str],
 def registry_updates(products: DataFrame, name_col: str = "name", version_col: str = "version",
                      updated_at: str | None = None) -> DataFrame:
     """U1 rows: (cd_produto = name, ds_versao = name.version, dh_atualizacao)."""
-    ts = F.lit(updated_at).cast("timestamp") if updated_at else F.current_timestamp()
+    ts = F.lit(updated_at).cast("timestamp_ntz") if updated_at else F.localtimestamp()
     return products.select(
         F.col(name_col).alias("cd_produto"),
         fill("{name}.{version}", name=F.col(name_col), version=F.col(version_col)).alias("ds_versao"),
@@ -114,7 +114,7 @@ def log_events(df: DataFrame, level: str, content: str | Column, client_col: str
     c = F.col(content) if isinstance(content, str) else content
     dtype = df.select(c.alias("_c")).schema["_c"].dataType.typeName()
     text = c if dtype == "string" else F.to_json(c)
-    ts = F.lit(logged_at).cast("timestamp") if logged_at else F.current_timestamp()
+    ts = F.lit(logged_at).cast("timestamp_ntz") if logged_at else F.localtimestamp()
     return df.select(
         F.col(client_col).alias("cd_cliente"),
         F.lit(S.LOG_TYPE).alias("cd_tipo_log"),

@@ -284,8 +284,8 @@ def event_registry(spark: SparkSession, d: str, until: str, since: str) -> tuple
     rows = ev.select(F.concat_ws(":", F.col("user_id"), F.col("event_type")).alias("cd_produto"),
                      F.concat_ws(".", F.col("event_type"), k).alias("ds_versao"),
                      F.col("ts").alias("dh_atualizacao"), "event_id")
-    return (rows.where(F.col("dh_atualizacao") < F.lit(until).cast("timestamp")),
-            rows.where(F.col("dh_atualizacao") >= F.lit(since).cast("timestamp")))
+    return (rows.where(F.col("dh_atualizacao") < F.lit(until).cast("timestamp_ntz")),
+            rows.where(F.col("dh_atualizacao") >= F.lit(since).cast("timestamp_ntz")))
 
 
 def event_devices(spark: SparkSession, d: str) -> DataFrame:
@@ -347,16 +347,16 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
     """
     li = read_table(spark, d, "lineitem")
     if since:
-        li = li.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp"))
+        li = li.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
     if until:
-        li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
+        li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz"))
     s = read_table(spark, d, "supplier")
     n = read_table(spark, d, "nation")
     p = read_table(spark, d, "part")
     sn = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "n_name", "n_nationkey")
     lines = li.join(sn, li.l_suppkey == sn.s_suppkey).join(p, li.l_partkey == p.p_partkey)
     if split_at:
-        doc = F.when(F.col("l_shipdate") >= F.lit(split_at).cast("timestamp"), F.lit("new")) \
+        doc = F.when(F.col("l_shipdate") >= F.lit(split_at).cast("timestamp_ntz"), F.lit("new")) \
             .otherwise(F.lit("old")).alias("msg_id")
         server_doc = F.explode(F.array(F.lit("new"), F.lit("old"))).alias("msg_id")
     else:
