@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -16,7 +18,7 @@ def _c(c: str | Column) -> Column:
 
 # Characters a Java ``String.trim()`` removes, minus the line feed (lines never hold one).
 _WS = "[\\x00-\\x09\\x0B-\\x20]"
-_SLASH_LINE = f"{_WS}*/{_WS}*(?=\\n|\\z)"
+_SLASH_LINE = f"{_WS}*{S.STATEMENT_TERMINATOR}{_WS}*(?=\\n|\\z)"
 # One statement: skip empty lines, take a first non-empty line (a "/" line there is
 # text, because the buffer is still empty), then every following line that is not
 # a "/" line, then the "/" line that ends it. \G chains the matches, so the scan
@@ -70,8 +72,11 @@ def first_line(text: str | Column) -> Column:
 
 
 def ruby_hash_to_json(text: str | Column) -> Column:
-    """Ruby-hash attribute text to JSON text: ``=>`` becomes ``:``, ``:nil`` becomes ``:null``."""
-    return F.regexp_replace(F.regexp_replace(_c(text), "=>", ":"), ":nil", ":null")
+    """Ruby-hash attribute text to JSON text (``=>`` becomes ``:``, ``:nil`` becomes ``:null``)."""
+    out = _c(text)
+    for old, new in S.RUBY_HASH_REWRITES:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def drive_of(path: str | Column, default: str = "C:") -> Column:
@@ -87,15 +92,16 @@ def drive_of(path: str | Column, default: str = "C:") -> Column:
 
 def mask_password_arg(command_text: str | Column, password: str | Column) -> Column:
     """Replace the literal ``-P '<password>'`` argument by ``-P ***`` (no regex on the password)."""
-    needle = F.concat(F.lit("-P '"), _c(password), F.lit("'"))
+    needle = fill(S.PASSWORD_ARG, password=_c(password))
     return F.when(_c(password).isNull(), _c(command_text)) \
-        .otherwise(F.replace(_c(command_text), needle, F.lit("-P ***")))
+        .otherwise(F.replace(_c(command_text), needle, F.lit(S.PASSWORD_MASK)))
 
 
-def fill(template: str, **values: Column) -> Column:
-    """A fixed message text with ``{name}`` placeholders filled from columns.
+def fill(template: str, null_text: str = "null", **values: Column) -> Column:
+    """A fixed text with ``{name}`` placeholders filled from columns.
 
-    A NULL value prints as "null", as string interpolation in the agent does.
+    A NULL value prints as ``null_text``: "null" as string interpolation in the
+    agent does, "" as Oracle's ``||`` does.
     """
     import re
 
@@ -103,7 +109,7 @@ def fill(template: str, **values: Column) -> Column:
     pos = 0
     for m in re.finditer(r"\{(\w+)\}", template):
         parts.append(F.lit(template[pos:m.start()]))
-        parts.append(F.coalesce(values[m.group(1)].cast("string"), F.lit("null")))
+        parts.append(F.coalesce(values[m.group(1)].cast("string"), F.lit(null_text)))
         pos = m.end()
     parts.append(F.lit(template[pos:]))
     return F.concat(*parts)

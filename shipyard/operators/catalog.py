@@ -12,11 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-
-
-def _oracle_concat(*parts: Column | str) -> Column:
-    """``||`` as Oracle evaluates it: a NULL operand counts as the empty string."""
-    return F.concat(*[F.coalesce(F.lit(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
+from ..functions.text import fill  # null_text="" renders Oracle's || (NULL counts as "")
 
 
 def _not_recycled(name: str = "object_name") -> Column:
@@ -88,11 +84,11 @@ def grant_gap(objects: DataFrame, tab_privs: DataFrame, keys: Sequence[str] = ()
     gap = (((typ == "VIEW") & (n("n_view") < S.VIEW_GRANT_MIN))
            | ((typ == "SEQUENCE") & (n("n_select") < S.CODE_GRANT_MIN))
            | (typ.isin(*code_types) & (n("n_execute") < S.CODE_GRANT_MIN)))
-    verb = (F.when(typ == "VIEW", F.lit("GRANT SELECT,UPDATE,DELETE,INSERT ON "))
-            .when(typ == "SEQUENCE", F.lit("GRANT SELECT ON "))
-            .otherwise(F.lit("GRANT EXECUTE ON ")))
     owner = F.col("owner")
-    command = _oracle_concat(verb, owner, ".", F.col("object_name"), " TO ", _grant_targets(owner))
+    parts = dict(owner=owner, name=F.col("object_name"), grantees=_grant_targets(owner), null_text="")
+    command = (F.when(typ == "VIEW", fill(S.GRANT_VIEW, **parts))
+               .when(typ == "SEQUENCE", fill(S.GRANT_SEQUENCE, **parts))
+               .otherwise(fill(S.GRANT_CODE, **parts)))
     copies = 1 if dedupe else 2
     out = j.where(gap).select(*keys, "owner", "object_name", "object_type", command.alias("command"),
                               F.when(typ == "VIEW", F.lit(copies)).otherwise(F.lit(1)).alias("_n"))
@@ -134,7 +130,7 @@ def null_aware_not_in(left: DataFrame, right: DataFrame, keys: Sequence[str], le
 
 
 def _synonym_command(name: Column, owner: Column) -> Column:
-    return _oracle_concat("CREATE PUBLIC SYNONYM ", name, " FOR ", owner, ".", name)
+    return fill(S.CREATE_SYNONYM, name=name, owner=owner, null_text="")
 
 
 def synonym_gap_tables(objects: DataFrame, synonyms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -192,10 +188,9 @@ def fk_index_gap(constraints: DataFrame, indexes: DataFrame, keys: Sequence[str]
     r = cons.subtract(inde)
     dc = fk.select(*keys, F.col("table_name").alias("_t"), F.col("colunas").alias("_c"), "constraint_name")
     j = r.join(dc, [r[k] == dc[k] for k in keys] + [r["table_name"] == dc["_t"], r["colunas"] == dc["_c"]])
-    command = _oracle_concat("create index ", r["owner"], ".", F.replace(F.col("constraint_name"),
-                                                                        F.lit("_FK"), F.lit("_IX")),
-                             F.lit("\n"), " ON ", r["owner"], ".", r["table_name"], "(", r["colunas"],
-                             f") TABLESPACE {S.FK_INDEX_TABLESPACE} COMPUTE STATISTICS")
+    index = F.replace(F.col("constraint_name"), F.lit(S.FK_SUFFIX), F.lit(S.IX_SUFFIX))
+    command = fill(S.CREATE_FK_INDEX, owner=r["owner"], index=index, table=r["table_name"], columns=r["colunas"],
+                   null_text="")
     return j.select(*[r[k] for k in keys], r["owner"], r["table_name"], r["colunas"], "constraint_name",
                     command.alias("command"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import first_line, split_statements
+from .. import schemas as S
+from ..functions.text import fill, first_line, split_statements
 
 
 def statements(scripts: DataFrame, keys: Sequence[str] = ("script_id",), text_col: str = "text") -> DataFrame:
@@ -40,7 +41,7 @@ def fingerprint_check(artifacts: DataFrame, expected: DataFrame, name_col: str =
 # Script packages (zip files)
 # ---------------------------------------------------------------------------
 
-PRE_DIR = "/database/pre/"
+_PREFIX_HEAD, _, _PREFIX_TAIL = S.SCRIPT_ENTRY_PREFIX.partition("{product}")  # "products/", "/database/pre/"
 ENTRY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("product_dir", T.StringType()),
@@ -62,12 +63,12 @@ def _unzip_pre_entries(batches: Iterator) -> Iterator:
             with zipfile.ZipFile(io.BytesIO(blob)) as zf:
                 for info in zf.infolist():
                     name = info.filename
-                    if info.is_dir() or not name.startswith("products/"):
+                    if info.is_dir() or not name.startswith(_PREFIX_HEAD):
                         continue
-                    product, sep, rest = name[len("products/"):].partition(PRE_DIR)
+                    product, sep, rest = name[len(_PREFIX_HEAD):].partition(_PREFIX_TAIL)
                     if not sep or "/" in product:
                         continue
-                    rows.append((path, product, name, zf.read(info).decode("iso-8859-1")))
+                    rows.append((path, product, name, zf.read(info).decode(S.SCRIPT_ENCODING)))
         yield pd.DataFrame(rows, columns=["path", "product_dir", "entry_name", "content"])
 
 
@@ -85,9 +86,11 @@ def scan_script_packages(spark: SparkSession, zip_glob: str, packages: DataFrame
         .withColumn("filename", F.element_at(F.split("path", "/"), -1))
     pk = packages.select(*keys, "filename", "productName", "scriptId", "version")
     j = pk.join(entries, (pk["filename"] == entries["filename"]) & (pk["productName"] == entries["product_dir"]))
-    name = F.expr("substring(entry_name, length(concat('products/', productName, '/database/pre/')) + 1)")
-    return j.select(*[pk[k] for k in keys], pk["filename"], "productName", "scriptId", "version",
-                    name.alias("name"), F.lit("pre").alias("phase"), "content")
+    prefix_len = F.length(fill(S.SCRIPT_ENTRY_PREFIX, product=F.col("productName")))
+    name = F.expr("substring(entry_name, _plen + 1)")
+    return j.withColumn("_plen", prefix_len).select(
+        *[pk[k] for k in keys], pk["filename"], "productName", "scriptId", "version",
+        name.alias("name"), F.lit(S.SCRIPT_PHASE).alias("phase"), "content")
 
 
 def scripts_per_package(scripts: DataFrame, keys: Sequence[str] = ("msg_id",)) -> DataFrame:

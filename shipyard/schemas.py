@@ -96,7 +96,6 @@ CODE_GRANT_MIN = 4
 SYNONYM_TABLE_OWNER = "DBAMV"
 SYNONYM_OBJECT_TYPES = ["FUNCTION", "PROCEDURE", "PACKAGE", "SEQUENCE"]
 FK_OWNERS = ["DBAMV", "DBASGU"]
-FK_INDEX_TABLESPACE = "MV2000_I"
 RECYCLE_BIN_PATTERN = "%BIN$%"
 PLAN_TABLE = "PLAN_TABLE"
 PUBLIC = "PUBLIC"
@@ -104,6 +103,26 @@ AUDIT_ROWS = 200
 REGISTRY_OBJECT = "GCM_VERSAO"
 REGISTRY_OWNER = "DBAMV"
 
+# Statements produced from the catalog ({...} are filled in per row).
+GRANT_VIEW = "GRANT SELECT,UPDATE,DELETE,INSERT ON {owner}.{name} TO {grantees}"
+GRANT_SEQUENCE = "GRANT SELECT ON {owner}.{name} TO {grantees}"
+GRANT_CODE = "GRANT EXECUTE ON {owner}.{name} TO {grantees}"
+CREATE_SYNONYM = "CREATE PUBLIC SYNONYM {name} FOR {owner}.{name}"
+CREATE_FK_INDEX = "create index {owner}.{index}\n ON {owner}.{table}({columns}) TABLESPACE MV2000_I COMPUTE STATISTICS"
+FK_SUFFIX = "_FK"
+IX_SUFFIX = "_IX"
+
+# Script packages and scripts.
+SCRIPT_ENTRY_PREFIX = "products/{product}/database/pre/"
+SCRIPT_ENCODING = "iso-8859-1"
+SCRIPT_PHASE = "pre"
+STATEMENT_TERMINATOR = "/"
+
+# Text rewrites.
+PASSWORD_ARG = "-P '{password}'"
+PASSWORD_MASK = "-P ***"
+RUBY_HASH_REWRITES = [("=>", ":"), (":nil", ":null")]
+
 # Rule messages ({...} are filled in per row).
 MSG_TABLESPACE_MISSING = "As Tablespaces [{items}] nao foram criadas!"
 MSG_TABLESPACE_WRONG = "As Tablespaces [{items}] foram criadas com tamanho errado!"
