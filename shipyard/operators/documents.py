@@ -106,7 +106,9 @@ def phase_visits(phase_rows: DataFrame, entries: DataFrame, keys: Sequence[str]
     """The flat (phase, server entry) visits behind ``plan_phases`` (one per matching entry)."""
     keys = list(keys)
     e = entries.withColumnRenamed(id_col, "_eid")
-    return phase_rows.join(e, keys, "inner").where(F.col(id_col) == F.col("_eid")).drop("_eid")
+    cond = [phase_rows[k] == e[k] for k in keys] + [phase_rows[id_col] == e["_eid"]]
+    out = phase_rows.join(e, cond, "inner")
+    return out.select(phase_rows["*"], *[e[c] for c in e.columns if c not in keys and c != "_eid"])
 
 
 def steps(visits: DataFrame, entries: DataFrame) -> DataFrame:

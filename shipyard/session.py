@@ -65,19 +65,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local session with the setting unset gets a scratch folder; a cluster
     session without it is an error, never a machine-local folder.
     """
+    sc = _context(spark)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        current = spark.sparkContext.getCheckpointDir()
-        if not current:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     # Local runs only (tests, bench): a scratch folder on this machine.
     local = tempfile.mkdtemp(prefix="shipyard-ckpt-", dir=os.environ.get("SHIPYARD_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
+
+
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
