@@ -23,6 +23,7 @@ from ..operators import outcomes as O
 from ..operators import rules as R
 from ..operators import topology as TP
 from ..operators.keyed import first_by
+from ..operators.tables import materialize_table
 
 STEP_KEY = ["msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos"]
 STEP_ORDER = ["phase_id", "plan_pos", "srv_pos", "visit_pos", "entry_pos", "rec_pos"]
@@ -57,9 +58,12 @@ def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame |
     verdict = R.validation_verdict(results, docs.select("msg_id"))
     ok_docs = docs.join(verdict.where("verdict").select("msg_id"), "msg_id", "left_semi")
 
-    srv = D.servers(ok_docs)
+    # Flattened servers, the plan and the steps that ran are each read by several
+    # outputs; they are written once as tables (materialize_table) instead of being
+    # recomputed inside one very large plan.
+    srv = materialize_table(D.servers(ok_docs))
     entries = D.run_entries(srv)
-    plan = D.plan_phases(D.phases(ok_docs), entries)
+    plan = materialize_table(D.plan_phases(D.phases(ok_docs), entries))
 
     # W1 products (before expansion), J1 expanded apps for the topology.
     app_rows = D.apps(srv)
@@ -111,7 +115,7 @@ def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame |
         "exit_status", F.when(F.col("carried"), F.coalesce(F.col("effective_exit"), F.lit(1)))
         .otherwise(F.col("exit_status"))) \
         .drop("effective_exit", "exit_source", "phase_status", "_error")
-    ran = O.fail_stop(all_steps, order=STEP_ORDER)
+    ran = materialize_table(O.fail_stop(all_steps, order=STEP_ORDER))
 
     # Phases that started: every phase up to the one holding the first failure.
     first_fail = ran.where("failed_here").groupBy("msg_id").agg(

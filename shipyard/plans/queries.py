@@ -18,6 +18,7 @@ from ..operators import outcomes as O
 from ..operators import rules as R
 from ..operators import scripts as X
 from ..operators import topology as TP
+from ..operators.tables import materialize_table
 from . import standins as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,7 +300,7 @@ def q_topology_merge(spark: SparkSession, d: str) -> DataFrame:
     # Both periods are documents of one topology job, materialised once; the old
     # document plays the stored snapshot of the same environment.
     both = TP.balancer_topology(*SI.topology_inputs(spark, d, split_at="1998-01-01"), app_cols=TOPO_APP)
-    both = TP.materialize_table(both.withColumn("environment", F.lit("topo")))
+    both = materialize_table(both.withColumn("environment", F.lit("topo")))
     new, old = both.where(F.col("msg_id") == "new"), both.where(F.col("msg_id") == "old")
     merged = TP.merge_topology(new, old, keys=["environment"], order=["srv_pos", *TOPO_APP], materialize=False)
     return merged.select(*TOPO_COLS, "origin", "returned")

@@ -389,3 +389,87 @@ def document_scripts(spark: SparkSession, d: str) -> DataFrame:
     t = F.regexp_replace(F.col("text"), "(?md)^[^ \\n]+\\.$", "/")
     t = F.regexp_replace(t, "(?md)^[^\\n]*!$", "")
     return docs.select(F.col("doc_id").alias("script_id"), t.alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Installation messages: one per order
+# ---------------------------------------------------------------------------
+
+# Plan of every stand-in document: two chef phases, then an agent phase.
+STANDIN_PLAN = [
+    ("1", "chef", "deploy.started", "deploy.done", "deploy.failed"),
+    ("2", "chef", "lines.started", "lines.done", "lines.failed"),
+    ("3", "agent", "agent.started", "agent.done", "agent.failed"),
+]
+STANDIN_DEPLOY_RECIPE = "recipe[app::deploy]"
+
+
+def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """orders + lines -> installation messages (JSON bodies) and their step outcomes.
+
+    An order is one message. Its server entries are the suppliers of its lines (in
+    supplier order); a server's apps are its lines (brand = product, line number =
+    port, supplier nation and return flag = balancer); its run list is the deploy
+    recipe (phase "1") and one recipe per line (phase "2"). A line with return
+    flag R fails its recipe. A document is assembled from the lines of one order.
+    """
+    o = read_table(spark, d, "orders")
+    li = read_table(spark, d, "lineitem")
+    p = read_table(spark, d, "part")
+    s = read_table(spark, d, "supplier")
+    n = read_table(spark, d, "nation")
+    lines = (li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
+             .join(n, s.s_nationkey == n.n_nationkey))
+    line_key = F.struct(*[F.col(c) for c in LINE_ORDER])
+    app = F.struct(
+        F.col("p_brand").alias("productname"), F.lit("g").alias("group"), F.lit(None).cast("string").alias("context"),
+        F.lit("web").alias("type"), F.col("p_name").alias("version"),
+        F.col("l_partkey").cast("string").alias("itemVersion"), F.col("l_linenumber").cast("string").alias("port"),
+        F.col("l_suppkey").cast("string").alias("serverId"), F.col("n_name").alias("balancer_host"),
+        F.col("l_returnflag").alias("balancer_port"), F.lit("i").alias("serverInstance"))
+    recipe = F.concat(F.lit("recipe[line::"), F.col("l_linenumber"), F.lit("_"), F.col("l_partkey"), F.lit("]"))
+    per_server = lines.groupBy("l_orderkey", "l_suppkey", "s_name").agg(
+        F.array_sort(F.collect_list(F.struct(line_key.alias("k"), app.alias("app"), recipe.alias("r"),
+                                             F.col("l_returnflag").alias("flag")))).alias("items"))
+    server = F.struct(
+        F.struct(F.col("s_name").alias("serverHost"), F.lit("deploy").alias("serverUser"),
+                 F.lit("secret").alias("serverPassword"), F.lit("linux").alias("serverType"),
+                 F.lit("prod").alias("environment"), F.lit("u").alias("urlbase")).alias("soulmvlinux"),
+        F.struct(F.array_distinct(F.transform("items", lambda x: x["app"]["port"])).alias("port"))
+        .alias("tomcatinstance"),
+        F.transform("items", lambda x: x["app"]).alias("app_list"),
+        F.array(F.struct(F.lit("1").alias("id"), F.array(F.lit(STANDIN_DEPLOY_RECIPE)).alias("recipes")),
+                F.struct(F.lit("2").alias("id"), F.transform("items", lambda x: x["r"]).alias("recipes")))
+        .alias("run_list"))
+    docs = per_server.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_suppkey", server.alias("srv")))).alias("servers"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform(
+            "items", lambda x: F.struct(x["app"]["balancer_host"].alias("host"),
+                                        x["app"]["balancer_port"].alias("port")))))).alias("balancers"))
+    plan = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("type"), F.lit("0").alias("initialProgress"),
+                              F.lit("100").alias("finalProgress"), F.lit(si).alias("statusInitial"),
+                              F.lit(sc).alias("statusComplete"), F.lit(se).alias("statusError"),
+                              F.lit(f"phase {i}").alias("initialDescription"),
+                              F.lit(f"phase {i} done").alias("finalDescription"))
+                     for i, t, si, sc, se in STANDIN_PLAN])
+    body = F.to_json(F.struct(F.transform("servers", lambda x: x["srv"]).alias("list_server"),
+                              F.array_sort("balancers").alias("listBalancer"), plan.alias("executionPlan")))
+    msgs = o.join(docs, o.o_orderkey == docs.l_orderkey).select(
+        F.col("o_orderkey").cast("string").alias("msg_id"), F.col("o_custkey").cast("string").alias("client_id"),
+        F.lit("Prod").alias("environment"), F.col("o_orderpriority").alias("execution_plan"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("download")).otherwise(F.lit("install")).alias("command"),
+        F.lit("installation").alias("type_message"), body.alias("body"))
+    # Outcomes: every recipe exits 0 except a line with return flag R.
+    srv_pos = per_server.select("l_orderkey", "l_suppkey", F.posexplode("items").alias("rec_pos", "it"))
+    rank = per_server.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("sups"))
+    steps = srv_pos.join(rank, "l_orderkey").select(
+        F.col("l_orderkey").cast("string").alias("msg_id"),
+        (F.array_position("sups", F.col("l_suppkey")) - 1).cast("int").alias("srv_pos"), "rec_pos",
+        F.col("it.flag").alias("flag"))
+    line_out = steps.select("msg_id", F.lit("2").alias("phase_id"), "srv_pos", F.lit(1).alias("visit_pos"),
+                            F.lit(1).alias("entry_pos"), F.col("rec_pos").cast("int").alias("rec_pos"),
+                            F.when(F.col("flag") == "R", 1).otherwise(0).alias("exit_status"))
+    deploy_out = steps.select("msg_id", "srv_pos").distinct().select(
+        "msg_id", F.lit("1").alias("phase_id"), "srv_pos", F.lit(0).alias("visit_pos"), F.lit(0).alias("entry_pos"),
+        F.lit(0).alias("rec_pos"), F.lit(0).alias("exit_status"))
+    return msgs, line_out.unionByName(deploy_out)

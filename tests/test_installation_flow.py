@@ -65,3 +65,36 @@ def test_flow_rejects_failed_validation(spark):
     assert res.steps.count() == 0
     assert rows(res.logs, "ds_nivel", "lo_conteudo") == [
         ("ERROR", "Requisitos para procedimentos no ambiente não atendidos, processo abortado!")]
+
+
+import os  # noqa: E402
+
+import pytest  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver tables not present")
+def test_flow_on_order_documents(spark):
+    """Every order of the driver tables as an installation message, through the whole flow."""
+    from shipyard.plans import standins as SI
+
+    msgs, outcomes = SI.order_installations(spark, SF_SMALL)
+    docs = M.parse_body(M.route(M.normalize_codes(msgs)), "INSTALLATION").select(
+        "msg_id", "client_id", "environment", "execution_plan", "command", "doc")
+    res = run_installation(docs, outcomes, created_at="2024-01-01 00:00:00")
+    per = {(r.msg_id, r.phase_id): r.effective_exit for r in res.phase_results.collect()}
+    msgs_all = {m for m, _ in per}
+    assert len(msgs_all) == spark.read.parquet(f"{SF_SMALL}/orders.parquet").join(
+        spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"),
+        "left_semi").count()
+    for m in msgs_all:
+        assert per[(m, "1")] == 0                       # the deploy recipe always passes
+        assert ((m, "3") in per) == (per[(m, "2")] == 0)  # phase 3 starts exactly when phase 2 passed
+        if (m, "3") in per:
+            assert per[(m, "3")] == 0                   # it carries phase 2's response
+    failing = {r.msg_id for r in spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+               .where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("msg_id")).collect()}
+    assert {m for m in msgs_all if per[(m, "2")] != 0} == failing
+    # passwords never reach a flattened table
+    assert "secret" not in str(res.steps.columns)
