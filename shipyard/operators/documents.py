@@ -157,29 +157,35 @@ def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
     is_group = F.coalesce(F.col(name_col).isin(*expandable), F.lit(False))
     flagged = app_rows.withColumn("_is_group", is_group).withColumn("_gkey", F.when(is_group, key))
     g = F.broadcast(groups.select(F.col("group_key").alias("_gkey"), F.col("items").alias("_items")))
-    looked = flagged.join(g, "_gkey", "left")
-    plain = looked.where(~F.col("_is_group")).withColumn("item_pos", F.lit(None).cast("int"))
-    missing = (looked.where(F.col("_is_group") & F.col("_items").isNull())
-               .withColumn("item_pos", F.lit(None).cast("int")))
-    grouped = looked.where(F.col("_is_group") & F.col("_items").isNotNull())
-    exploded = grouped.select("*", F.posexplode("_items").alias("item_pos", "_item"))
     ctx = F.broadcast(contexts.select(F.col("context_key").alias("_ckey"), F.col("context").alias("_ctx")))
-    exploded = exploded.withColumn("_ckey", F.translate("_item", "-", "_")).join(ctx, "_ckey", "left")
-    # An item without a context is an error in the agent (the lookup throws).
+    # One pass: a group app explodes into its items; any other app (and a group
+    # without its variant) stays one row, with no item.
+    looked = flagged.join(g, "_gkey", "left")
+    rows = looked.select("*", F.posexplode_outer(F.when(F.col("_is_group"), F.col("_items")))
+                         .alias("item_pos", "_item"))
+    rows = rows.withColumn("_ckey", F.translate("_item", "-", "_")).join(ctx, "_ckey", "left")
+    item = F.col("_item").isNotNull()
     cols = app_rows.columns
-    # Keys and positions stay; of the app's own fields only ``copy_cols`` are carried.
-    carried = [c for c in cols if c not in {name_col, type_col, "context"}
-               and (c in copy_cols or c not in _app_fields())]
-    expanded = exploded.select(
-        *carried, F.col("_item").alias(name_col), F.lit(S.EXPANDED_TYPE).alias(type_col),
-        F.col("_ctx").alias("context"), "item_pos")
-    err = F.lit(None).cast("string")
-    plain = plain.select(*cols, "item_pos").withColumn("_error", err)
-    missing = missing.withColumn("_error", F.concat(F.lit("no product group "), F.col("_gkey"))) \
-        .select(*cols, "item_pos", "_error")
-    expanded = expanded.withColumn("_error", F.when(F.col("context").isNull(), F.concat(
-        F.lit("no product context "), F.translate(F.col(name_col), "-", "_"))).otherwise(err))
-    return plain.unionByName(missing).unionByName(expanded, allowMissingColumns=True)
+    out = []
+    for c in cols:
+        if c == name_col:
+            out.append(F.when(item, F.col("_item")).otherwise(F.col(c)).alias(c))
+        elif c == type_col:
+            out.append(F.when(item, F.lit(S.EXPANDED_TYPE)).otherwise(F.col(c)).alias(c))
+        elif c == "context":
+            out.append(F.when(item, F.col("_ctx")).otherwise(F.col(c)).alias(c))
+        elif c in _app_fields() and c not in copy_cols:
+            # Of the app's own fields only ``copy_cols`` are carried to its items.
+            out.append(F.when(item, F.lit(None).cast(app_rows.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+        else:
+            out.append(F.col(c))
+    if "context" not in cols:
+        out.append(F.when(item, F.col("_ctx")).alias("context"))
+    error = (F.when(F.col("_is_group") & F.col("_items").isNull(), F.concat(F.lit("no product group "), F.col("_gkey")))
+             .when(item & F.col("_ctx").isNull(),
+                   F.concat(F.lit("no product context "), F.translate(F.col("_item"), "-", "_"))))
+    # An item without a context is an error in the agent (the lookup throws).
+    return rows.select(*out, F.col("item_pos").cast("int").alias("item_pos"), error.alias("_error"))
 
 
 def _app_fields() -> set[str]:
