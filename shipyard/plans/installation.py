@@ -52,6 +52,9 @@ def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame |
     ``results``: validation results (msg_id, rule, passed); only passing messages run.
     """
     spark = docs.sparkSession
+    missing = [f.name for f in S.STEP_OUTCOME_SCHEMA.fields if f.name not in outcomes.columns]
+    if missing:
+        raise ValueError(f"outcomes lack columns {missing} (see schemas.STEP_OUTCOME_SCHEMA)")
     head = docs.select("msg_id", "client_id", "environment", "execution_plan", "command")
     if results is None:
         results = spark.createDataFrame([], "msg_id string, rule string, passed boolean")

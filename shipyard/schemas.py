@@ -220,18 +220,17 @@ BODY_SCHEMAS = {
 # Fields that hold secrets; they never enter a table.
 SECRET_FIELDS = ["serverPassword", "passwordUser"]
 
+# Exit statuses of the recipes as they come back from the nodes (input of the
+# installation flow). A step is (phase, server entry, visiting entry, run-list
+# entry, recipe); database phases use -1 for the four positions.
 STEP_OUTCOME_SCHEMA = T.StructType([
     T.StructField("msg_id", S),
     T.StructField("phase_id", S),
-    T.StructField("phase_type", S),
-    T.StructField("server_host", S),
-    T.StructField("recipe", S),
-    T.StructField("phase_pos", T.IntegerType()),
+    T.StructField("srv_pos", T.IntegerType()),
     T.StructField("visit_pos", T.IntegerType()),
     T.StructField("entry_pos", T.IntegerType()),
     T.StructField("rec_pos", T.IntegerType()),
     T.StructField("exit_status", T.IntegerType()),
-    T.StructField("output", S),
 ])
 
 
