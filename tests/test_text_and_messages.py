@@ -1,7 +1,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from shipyard.functions import codes, text
