@@ -1,7 +1,6 @@
 import datetime as dt
 import random
 
-
 from conftest import rows
 from shipyard.functions import codes, text
 from shipyard.operators import messages as M

@@ -1,4 +1,3 @@
-
 from conftest import rows
 from shipyard.operators import catalog as C
 from shipyard.operators import topology as TP
