@@ -16,9 +16,12 @@ SF = "/root/testdata/sf0.01"
 def _write_batches(folder, batches):
     os.makedirs(folder, exist_ok=True)
     for i, batch in enumerate(batches):
-        with open(os.path.join(folder, f"part-{i:03d}.json"), "w") as fh:
+        path = os.path.join(folder, f"part-{i:03d}.json")
+        with open(path, "w") as fh:
             for m in batch:
                 fh.write(json.dumps(m) + "\n")
+        # the file source takes files in modification-time order
+        os.utime(path, (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))
 
 
 def _msg(i, client, mid, typ, checksum, minute):
@@ -87,3 +90,25 @@ def test_query_matches_oracle(spark, name):
     from oracle_compare import compare
 
     assert compare(spark, SF, [name], verbose=False)[name] is True
+
+
+def test_stream_dedup_is_bounded_by_event_time(spark, tmp_path):
+    """A repeat within the watermark is dropped; once the watermark has passed the
+    first copy, its state expires at the end of that micro-batch and a later repeat
+    runs again. The bound is event time, not a count of messages."""
+    batches = [
+        [_msg(1, "c1", "m1", "check_database", None, 0)],
+        [_msg(2, "c1", "m1", "check_database", None, 5),      # within 10 minutes: dropped
+         _msg(3, "c1", "m9", "check_database", None, 60)],    # moves the watermark to 50 minutes
+        [_msg(4, "c1", "m8", "check_database", None, 61)],    # this batch ends by expiring m1's state
+        [_msg(5, "c1", "m1", "check_database", None, 55)],    # first copy expired: runs again
+    ]
+    src = str(tmp_path / "in")
+    _write_batches(src, batches)
+    clients = spark.createDataFrame([("c1", "h1", "1")], S.CLIENT_SCHEMA)
+    routed = SM.message_stream(spark, src, clients, watermark="10 minutes", max_files_per_trigger=1)
+    out = str(tmp_path / "out")
+    SM.start_fan_out(routed, out, str(tmp_path / "ckpt")).awaitTermination(120)
+    got = rows(spark.read.parquet(out), "message_id", "arrival_ts")
+    assert [m for m, _ in got] == ["m1", "m1", "m8", "m9"]
+    assert sorted(ts.minute for m, ts in got if m == "m1") == [0, 55]
