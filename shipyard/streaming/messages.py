@@ -59,3 +59,25 @@ def start_fan_out(routed: DataFrame, out_dir: str, checkpoint_location: str,
     elif processing_time:
         w = w.trigger(processingTime=processing_time)
     return w.start()
+
+
+def installation_writer(outcomes: DataFrame, out_dir: str,
+                        created_at: str | None = None) -> Callable[[DataFrame, int], None]:
+    """X5 for the batch-only steps: run the installation flow on each micro-batch.
+
+    The INSTALLATION messages of a batch are parsed (secrets dropped) and run
+    against the static ``outcomes`` table (W1, W3, W4, W6 and the rest run here,
+    where each message is complete in one row). Status, server and log rows go to
+    ``<out_dir>/<output>/batch_id=<id>``; a retried batch overwrites its own folders.
+    """
+    from ..plans.installation import run_installation
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        docs = M.parse_body(batch, "INSTALLATION").select(
+            "msg_id", "client_id", "environment", "execution_plan", "command", "doc")
+        mine = outcomes.join(docs.select("msg_id"), "msg_id", "left_semi")
+        res = run_installation(docs, mine, created_at=created_at)
+        for name in ("status_events", "server_events", "logs"):
+            getattr(res, name).write.mode("overwrite").parquet(
+                f"{out_dir.rstrip('/')}/{name}/batch_id={batch_id}")
+    return write

@@ -112,3 +112,35 @@ def test_stream_dedup_is_bounded_by_event_time(spark, tmp_path):
     got = rows(spark.read.parquet(out), "message_id", "arrival_ts")
     assert [m for m, _ in got] == ["m1", "m1", "m8", "m9"]
     assert sorted(ts.minute for m, ts in got if m == "m1") == [0, 55]
+
+
+def test_installation_flow_inside_foreach_batch(spark, tmp_path):
+    """The batch-only flow runs per micro-batch and gives the rows of one batch run."""
+    from shipyard.plans.installation import run_installation
+    from test_documents import DOC
+
+    def inst(mid, minute):
+        m = _msg(0, "c1", mid, "installation", "h1", minute)
+        m["body"] = json.dumps(DOC)
+        return m
+
+    src = str(tmp_path / "in")
+    _write_batches(src, [[inst("m1", 0)], [inst("m2", 1)]])
+    clients = spark.createDataFrame([("c1", "h1", "1")], S.CLIENT_SCHEMA)
+    outcomes = spark.createDataFrame(
+        [(m, "10", 0, 1, 1, 0, 0) for m in ("m1", "m2")] + [(m, "10", 1, 0, 0, 0, 0) for m in ("m1", "m2")],
+        S.STEP_OUTCOME_SCHEMA)
+    routed = SM.message_stream(spark, src, clients, watermark="1 day", max_files_per_trigger=1) \
+        .withColumn("msg_id", F.col("message_id"))
+    out = str(tmp_path / "out")
+    q = routed.writeStream.foreachBatch(SM.installation_writer(outcomes, out, created_at="2024-01-01 00:00:00")) \
+        .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    streamed = spark.read.parquet(f"{out}/status_events").drop("batch_id")
+
+    batch_msgs = spark.read.schema(S.MESSAGE_SCHEMA).json(src).withColumn("msg_id", F.col("message_id"))
+    docs = M.parse_body(M.route(M.normalize_codes(batch_msgs)), "INSTALLATION").select(
+        "msg_id", "client_id", "environment", "execution_plan", "command", "doc")
+    batch = run_installation(docs, outcomes, created_at="2024-01-01 00:00:00").status_events
+    assert rows(streamed) == rows(batch.select(*streamed.columns))
+    assert streamed.count() > 0
