@@ -14,6 +14,8 @@ __all__ = ["arrow_rows", "fold", "materialize_table", "read_table", "row_slices"
 
 #: Text bytes that a Python worker handles at a time (one longer text is taken alone).
 BLOCK_BYTES = 4 << 20
+#: Rows that it handles at a time.
+BLOCK_ROWS = 2048
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +28,13 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def row_slices(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows whose ``column`` holds about ``block_bytes``."""
+    """Cuts a batch into runs of up to ``BLOCK_ROWS`` rows whose ``column`` holds up to ``block_bytes``."""
     if not batch.num_rows:
         return
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     low, size = 0, 0
     for k, n in enumerate(lengths.tolist()):
-        if size and size + n > block_bytes:
+        if k > low and (size + n > block_bytes or k - low >= BLOCK_ROWS):
             yield batch.slice(low, k - low)
             low, size = k, 0
         size += n
