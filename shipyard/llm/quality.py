@@ -117,11 +117,13 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
 
 
-def fit_non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500,
-                          rate: float = 0.02, decay: float = 1e-4) -> Linear:
+def fit_non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000,
+                          rate: float = 0.05, decay: float = 1e-5) -> Linear:
     """Full-batch Adam on the non-negative risk. Where the negative part of the risk falls
     below zero, a step is taken that raises that part alone."""
-    width = positive.shape[1]
+    used = np.flatnonzero((positive != 0).any(0) | (unlabelled != 0).any(0))  # the others get no weight
+    whole, positive, unlabelled = np.zeros(positive.shape[1]), positive[:, used], unlabelled[:, used]
+    width = len(used)
     w, b = np.zeros(width, np.float32), np.float32(0)
     m, v = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
 
@@ -142,7 +144,8 @@ def fit_non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: f
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Linear(w.astype(np.float64), float(b), prior)
+    whole[used] = w
+    return Linear(whole, float(b), prior)
 
 
 def estimate_prior(quality: DataFrame) -> float | None:

@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize_table
+from .near_dedup import shingles
 from .textnp import WORD, Texts, mix, padded, span_keys
 
 #: Bound of the toxic texts that the model is fitted on; of the others, twice as many.
 SAMPLE_ROWS = 4_000
+#: What a text's score rests on, see ``ToxicModel.evidence``.
+EVIDENCE = 6
 #: Bound of the lexicon.
 LEXICON = 4_096
 #: Least log-likelihood ratio and log odds of an entry.
-LEAST_RATIO, LEAST_ODDS = 18.0, 1.5
+LEAST_RATIO, LEAST_ODDS = 12.0, 1.5
 #: Beginnings of words that are features beside the words, in bytes.
 PREFIXES = (4, 5, 6)
 
@@ -251,28 +254,33 @@ class ToxicModel:
     letters: np.ndarray
     keys: np.ndarray
     weights: np.ndarray
-    coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0]))
+    coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0] + [0.0] * (EVIDENCE - 1)))
 
     def evidence(self, texts: Texts, restorer: Restorer) -> np.ndarray:
         """Per text: 1, the largest weight, the log of the summed weights, the log of the number
-        of different lexicon entries."""
+        of different lexicon entries, the log of the number of words (chance entries come with
+        length), and the weights of the words that carry any, per root of the number of words."""
         n = len(texts)
-        out = np.zeros((n, 4))
+        out = np.zeros((n, EVIDENCE))
         out[:, 0] = 1
         if not len(self.keys):
             return out
         owner, key = features(texts, restorer)
+        words = np.bincount(texts.spans(WORD)[0], minlength=n)
         filled = np.zeros(1 << 16, bool)  # most words are told apart from the lexicon here
         filled[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         maybe = filled[(key >> np.uint64(48)).astype(np.int64)]
         owner, key = owner[maybe], key[maybe]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
+        every = np.bincount(owner[hit], weights=self.weights[at[hit]], minlength=n)
         pairs = np.unique(owner[hit].astype(np.int64) * len(self.keys) + at[hit])
         owner, weight = pairs // len(self.keys), self.weights[pairs % len(self.keys)]
         np.maximum.at(out[:, 1], owner, weight)
         out[:, 2] = np.log1p(np.bincount(owner, weights=weight, minlength=n))
         out[:, 3] = np.log1p(np.bincount(owner, minlength=n))
+        out[:, 4] = np.log1p(words)
+        out[:, 5] = every / np.sqrt(np.maximum(words, 1))
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -295,6 +303,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60,
     return w
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (label, _text) with most near copies merged: of texts that share one of three
+    min-hashes of their shingles one stays, or a text with many copies would fill the lexicon."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, "_text"):
+            owner, key, _ = shingles(Texts(batch.column("_text")))
+            least = np.full((3, batch.num_rows), np.iinfo(np.uint64).max, np.uint64)
+            for k in range(3):
+                np.minimum.at(least[k], owner, mix(key ^ np.uint64(0x9E37 + k)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("label", "half", "_text")), *(pa.array(h.view(np.int64)) for h in least)],
+                names=["label", "half", "_text", "h0", "h1", "h2"])
+
+    schema = "label long, half long, _text string, h0 long, h1 long, h2 long"
+    out = rows.select("label", "half", "_text").mapInArrow(hashes, schema)
+    for h in ("h0", "h1", "h2"):
+        whole = F.struct(*out.columns)
+        out = out.groupBy("label", h).agg(F.max(whole).alias("row")).select("row.*")
+    return out.select("label", "half", "_text")
+
+
 def learn_lexicon(rows: DataFrame, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and weights of the features that toxic texts of ``rows`` (label, _text) have far
     more often than others: log odds, of those whose log-likelihood ratio leaves little to chance."""
@@ -336,8 +366,8 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, doc_id: str = "
     """Learns from ``docs`` and ``labels``; ``corpus`` only gives the letter counts.
 
     The logistic model sees each text through a lexicon learned from the other half of
-    the texts; the lexicon that is kept is learned from all of them. Of texts that occur
-    several times one is used. Without both labels no lexicon is learned, and every
+    the texts; the lexicon that is kept is learned from all of them. Of copies and most
+    near copies one is used. Without both labels no lexicon is learned, and every
     text scores low.
     """
     letters = language_model(letter_counts(corpus, text))
@@ -353,11 +383,10 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, doc_id: str = "
     chosen = marks.where(drawn < share)  # bounded by sample_rows
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"))
     rows = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    # Copies of one text are one example, on one side.
     half = F.pmod(F.xxhash64("_text"), F.lit(2)).cast("long")
-    rows = materialize_table(rows.select(F.col("label").cast("long").alias("label"), half.alias("half"), "_text")
-                             .dropDuplicates(["_text"]))
-    found = []
+    rows = materialize_table(one_of_each(
+        rows.select(F.col("label").cast("long").alias("label"), half.alias("half"), "_text")))
+    found, columns = [], [f"e{c}" for c in range(1, EVIDENCE)]
     for k in (0, 1):
         model = ToxicModel(letters, *learn_lexicon(rows.where(F.col("half") != k), letters))
 
@@ -366,12 +395,12 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, doc_id: str = "
             for batch in arrow_rows(batches, "_text"):
                 e = model.evidence(Texts(batch.column("_text")), restorer)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label"), *[pa.array(e[:, k]) for k in range(1, 4)]], names=["label", "a", "b", "c"])
+                    [batch.column("label"), *(pa.array(e[:, c]) for c in range(1, EVIDENCE))], names=["label", *columns])
 
         found.append(rows.where(F.col("half") == k).mapInArrow(
-            weigh, "label long, a double, b double, c double").toPandas())
+            weigh, ", ".join(["label long", *(f"{c} double" for c in columns)])).toPandas())
     y = np.concatenate([f["label"].to_numpy(float) for f in found])
-    x = np.concatenate([np.column_stack([np.ones(len(f)), f[["a", "b", "c"]].to_numpy()]) for f in found])
+    x = np.concatenate([np.column_stack([np.ones(len(f)), f[columns].to_numpy()]) for f in found])
     if len(np.unique(y)) < 2:
         return empty
     weight = np.where(y == 1, max(1.0, sizes[1] / bound[1]), max(1.0, sizes[0] / bound[0]))

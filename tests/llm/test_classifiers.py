@@ -25,10 +25,10 @@ def auc(score, y):
     return (order[y == 1].sum() - n * (n - 1) / 2) / (n * (len(y) - n))
 
 
-def held_out(spark, name, label):
-    got = queries.QUERIES[name](spark, SF).toPandas()
-    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
-    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+def held_out(spark, name, label, sf=SF):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.3) == (got["predicted"] == 1)).all()
     both = got[got["held_out"]].merge(labels, on="doc_id")
     return both["score"].to_numpy(), both["predicted"].to_numpy(), both[label].to_numpy()
@@ -49,8 +49,9 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    score, predicted, y = held_out(spark, "op10_toxicity", "toxic")
-    assert auc(score, y) > 0.95 and (predicted == y).mean() > 0.95
+    # sf0.01 has only 30 toxic texts to learn from, in four languages
+    score, predicted, y = held_out(spark, "op10_toxicity", "toxic", "/root/testdata/sf0.1")
+    assert auc(score, y) > 0.95 and (predicted == y).mean() > 0.97
 
 
 def test_codewords_correct_a_bit():
