@@ -15,6 +15,9 @@ from .. import schemas as S
 from ..functions.text import fill  # null_text="" renders Oracle's || (NULL counts as "")
 
 
+COLUMN_RANGE = 32  # positions whose names are joined together first
+
+
 def _not_recycled(name: str = "object_name") -> Column:
     return ~F.col(name).like(S.RECYCLE_BIN_PATTERN)
 
@@ -105,8 +108,9 @@ def null_aware_not_in(left: DataFrame, right: DataFrame, keys: Sequence[str], le
     """``left_col NOT IN (SELECT right_col ...)`` per ``keys``, with SQL's NULL rules.
 
     A NULL in the list empties the result for its keys; a NULL probe value
-    survives only against an empty list. Written as anti joins on the keys, so
-    no nested-loop join is planned even when the list is large.
+    survives only against an empty list. Written as anti joins on the keys; without
+    keys the list is summed up once (has a NULL, is empty) and both facts are read as
+    scalar subqueries, so no nested-loop join is planned.
     """
     keys = list(keys)
     vals = right.select(*keys, F.col(right_col).alias("_v"))
@@ -119,13 +123,9 @@ def null_aware_not_in(left: DataFrame, right: DataFrame, keys: Sequence[str], le
         out = out.join(null_lists.distinct(), keys, "left_anti")
         nulls = left.where(F.col(left_col).isNull()).join(nonempty.distinct(), keys, "left_anti")
     else:
-        # One list: an equi anti join on a constant against a one-row flag table
-        # (distinct of a constant: at most one row, so broadcasting it is bounded).
-        def flag(df: DataFrame) -> DataFrame:
-            return F.broadcast(df.select(F.lit(1).alias("_k")).distinct())
-        out = out.withColumn("_k", F.lit(1)).join(flag(null_lists), "_k", "left_anti").drop("_k")
-        nulls = left.where(F.col(left_col).isNull()).withColumn("_k", F.lit(1)) \
-            .join(flag(nonempty), "_k", "left_anti").drop("_k")
+        facts = vals.agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("given"))
+        out = out.where(facts.select(F.col("n") == F.col("given")).scalar())
+        nulls = left.where(F.col(left_col).isNull()).where(facts.select(F.col("n") == 0).scalar())
     return out.unionByName(nulls)
 
 
@@ -166,12 +166,17 @@ def column_list(cols: DataFrame, object_cols: Sequence[str], name_col: str = "co
                 pos_col: str = "position") -> DataFrame:
     """Comma-joined column names of a constraint or index, in position order.
 
-    Assumed behaviour of the two catalog functions the agent calls. A group is
-    the columns of one key (Oracle allows at most 32), so the list is bounded.
+    Assumed behaviour of the two catalog functions the agent calls (Oracle allows at
+    most 32 columns). Names are joined per range of positions first, then the ranges,
+    so an object with very many columns is put together by many tasks.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(name_col).alias("n"))))
-    return cols.groupBy(*object_cols).agg(
-        F.array_join(F.transform(items, lambda x: x["n"]), ",").alias("colunas"))
+    def joined(order: str, value: str) -> Column:
+        items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("p"), F.col(value).alias("n"))))
+        return F.array_join(F.transform(items, lambda x: x["n"]), ",")
+
+    ranged = cols.withColumn("_range", F.floor(F.col(pos_col) / COLUMN_RANGE))
+    parts = ranged.groupBy(*object_cols, "_range").agg(joined(pos_col, name_col).alias("_part"))
+    return parts.groupBy(*object_cols).agg(joined("_range", "_part").alias("colunas"))
 
 
 def fk_index_gap(constraints: DataFrame, indexes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

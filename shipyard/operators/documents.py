@@ -29,7 +29,7 @@ def mask_secrets(df: DataFrame, doc_col: str = "doc") -> DataFrame:
         doc = doc.withField("list_server", F.transform(
             F.col(f"{doc_col}.list_server"),
             lambda s: s.withField("soulmvlinux", s["soulmvlinux"].dropFields("serverPassword"))))
-    return df.withColumn(doc_col, doc)
+    return df.withColumn(doc_col, F.when(F.col(doc_col).isNotNull(), doc))
 
 
 # ---------------------------------------------------------------------------
@@ -114,12 +114,13 @@ def phase_visits(phase_rows: DataFrame, entries: DataFrame, keys: Sequence[str]
 def steps(visits: DataFrame, entries: DataFrame) -> DataFrame:
     """Each visit runs every matching entry of its server, recipe by recipe.
 
-    ``visits``: (msg_id, phase_id, phase_pos, srv_pos, visit_pos); ``entries`` from
-    ``run_entries``. Output is the ordered step table that ``fail_stop`` reads.
+    ``visits``: (msg_id, phase_id, srv_pos, visit_pos and any phase columns); ``entries``
+    from ``run_entries``. Output is the ordered step table that ``fail_stop`` reads. A
+    visit of an entry without recipes is one row with a NULL recipe.
     """
     e = entries.select("msg_id", "srv_pos", F.col("entry_pos"), F.col("id").alias("phase_id"),
-                       F.posexplode("recipes").alias("rec_pos", "recipe"))
-    return (visits.join(e, ["msg_id", "srv_pos", "phase_id"], "inner")
+                       F.posexplode_outer("recipes").alias("rec_pos", "recipe"))
+    return (visits.join(e, ["msg_id", "srv_pos", "phase_id"], "left")
             .withColumn("is_balancer", codes.is_balancer_recipe("recipe")))
 
 
@@ -149,15 +150,15 @@ def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
     app type is "reports". An item gets type "forms", the context of its own key,
     and the listed fields of its group app; other fields are dropped. A group
     without that variant is kept as one row with ``_error`` set. ``groups`` and
-    ``contexts`` are fixed dimension tables (a few rows), so broadcasting them is
-    bounded. Apps keep their place; items carry ``item_pos``.
+    ``contexts`` are dimension tables; Spark broadcasts them where their size allows.
+    Apps keep their place; items carry ``item_pos``.
     """
     key = F.concat(F.translate(F.col(name_col), "-", "_"),
                    F.when(F.col(type_col) == S.REPORTS_TYPE, F.lit(S.REPORTS_SUFFIX)).otherwise(F.lit("")))
     is_group = F.coalesce(F.col(name_col).isin(*expandable), F.lit(False))
     flagged = app_rows.withColumn("_is_group", is_group).withColumn("_gkey", F.when(is_group, key))
-    g = F.broadcast(groups.select(F.col("group_key").alias("_gkey"), F.col("items").alias("_items")))
-    ctx = F.broadcast(contexts.select(F.col("context_key").alias("_ckey"), F.col("context").alias("_ctx")))
+    g = groups.select(F.col("group_key").alias("_gkey"), F.col("items").alias("_items"))
+    ctx = contexts.select(F.col("context_key").alias("_ckey"), F.col("context").alias("_ctx"))
     # One pass: a group app explodes into its items; any other app (and a group
     # without its variant) stays one row, with no item.
     looked = flagged.join(g, "_gkey", "left")
@@ -226,18 +227,18 @@ def status_events(phase_rows: DataFrame, products: DataFrame, keys: Sequence[str
     common = [*[F.col(k) for k in keys], "phase_id", F.col("itemVersion").alias("cd_item"),
               F.col("client_id").alias("cd_cliente"), F.col("environment").alias("cd_ambiente"),
               F.col("execution_plan").alias("cd_plano_execucao"), ts.alias("dh_criacao")]
-    start = pairs.select(*common, F.lit("start").alias("event_kind"),
-                         F.col("statusInitial").alias("cd_item_status"),
-                         F.col("initialProgress").alias("nr_progresso"),
-                         F.col("initialDescription").alias("ds_progresso"))
-    result = pairs.select(*common, F.lit("result").alias("event_kind"),
-                          F.when(failed, F.col("statusError")).otherwise(F.col("statusComplete"))
-                          .alias("cd_item_status"),
-                          F.col("finalProgress").alias("nr_progresso"),
-                          F.when(failed, F.concat(F.lit(S.ERROR_DESCRIPTION_PREFIX),
-                                                  F.coalesce(F.col("initialDescription"), F.lit("null"))))
-                          .otherwise(F.col("finalDescription")).alias("ds_progresso"))
-    return start.unionByName(result)
+    def row(kind: str, status: Column, progress: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("event_kind"), status.alias("cd_item_status"),
+                        F.col(progress).alias("nr_progresso"), text.alias("ds_progresso"))
+
+    start = row("start", F.col("statusInitial"), "initialProgress", F.col("initialDescription"))
+    result = row("result", F.when(failed, F.col("statusError")).otherwise(F.col("statusComplete")), "finalProgress",
+                 F.when(failed, F.concat(F.lit(S.ERROR_DESCRIPTION_PREFIX),
+                                         F.coalesce(F.col("initialDescription"), F.lit("null"))))
+                 .otherwise(F.col("finalDescription")))
+    # Both rows leave one join.
+    both = pairs.select(*common, F.explode(F.array(start, result)).alias("_e"))
+    return both.select(*[c for c in both.columns if c != "_e"], "_e.*")
 
 
 def server_status_events(visit_rows: DataFrame, app_rows: DataFrame) -> DataFrame:

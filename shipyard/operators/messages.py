@@ -43,9 +43,11 @@ def checksum_gate(msgs: DataFrame, clients: DataFrame, client_col: str = "client
                   type_col: str = "type_message", checksum_col: str = "checksum") -> DataFrame:
     """BOOTSTRAP and INSTALLATION need checksum = the client's stored hash (NULL = NULL).
 
-    Other types pass. The registry holds one row per client (``replace_by_key``).
+    Other types pass. A client that the registry lists more than once (its owner keeps
+    one row by ``replace_by_key``) counts once, with the least hash, so no message is
+    multiplied.
     """
-    reg = clients.select(F.col("client_id").alias("_cid"), F.col("env_hash").alias("_hash"))
+    reg = clients.groupBy(F.col("client_id").alias("_cid")).agg(F.min("env_hash").alias("_hash"))
     joined = msgs.join(reg, F.col(client_col) == F.col("_cid"), "inner")
     gated = F.col(type_col).isin(*S.CHECKSUM_TYPES)
     keep = (~gated) | F.col(checksum_col).eqNullSafe(F.col("_hash"))
@@ -78,19 +80,28 @@ def route(msgs: DataFrame, type_col: str = "type_message") -> DataFrame:
 
 
 def parse_body(msgs: DataFrame, route_name: str, body_col: str = "body") -> DataFrame:
-    """Parse the JSON body of one route with its explicit schema.
+    """Parse the JSON body of one route with its explicit schema (a map for routes without one).
 
-    Rows that do not parse keep the raw text in ``_corrupt``. Password fields are
+    A body that does not parse gives a NULL ``doc`` and, in ``_corrupt``, only its md5 and
+    length: broken text cannot be searched for secrets safely. Password fields are
     removed right here, before anything can be written.
     """
     from .documents import mask_secrets
 
-    schema = T.StructType(S.BODY_SCHEMAS[route_name].fields + [T.StructField("_corrupt_record", T.StringType())])
+    kind = S.BODY_SCHEMAS[route_name]
+    rows = msgs.where(F.col("route") == route_name)
+    note = F.concat(F.lit("md5 "), F.md5(F.coalesce(F.col(body_col), F.lit(""))), F.lit(", length "),
+                    F.coalesce(F.length(body_col), F.lit(0)))
+    if isinstance(kind, T.MapType):
+        parsed = rows.withColumn("doc", F.from_json(F.col(body_col), kind))
+        secret = F.array(*[F.lit(n) for n in S.SECRET_FIELDS])
+        parsed = parsed.withColumn("doc", F.map_filter("doc", lambda k, v: ~F.array_contains(secret, k)))
+        return parsed.withColumn("_corrupt", F.when(F.col("doc").isNull(), note)).drop(body_col)
+    schema = T.StructType(kind.fields + [T.StructField("_corrupt_record", T.StringType())])
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = (msgs.where(F.col("route") == route_name)
-              .withColumn("doc", F.from_json(F.col(body_col), schema, opts))
-              .withColumn("_corrupt", F.regexp_replace(
-                  F.col("doc._corrupt_record"), f'"({"|".join(S.SECRET_FIELDS)})"\\s*:\\s*"[^"]*"', '"$1":""'))
-              .withColumn("doc", F.col("doc").dropFields("_corrupt_record"))
+    parsed = rows.withColumn("doc", F.from_json(F.col(body_col), schema, opts))
+    broken = F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull()
+    parsed = (parsed.withColumn("_corrupt", F.when(broken, note))
+              .withColumn("doc", F.when(~broken, F.col("doc").dropFields("_corrupt_record")))
               .drop(body_col))
     return mask_secrets(parsed, "doc")

@@ -93,24 +93,36 @@ def replace_by_key(registry: DataFrame, updates: DataFrame, key: Sequence[str],
         updates.select(*registry.columns).withColumn("origin", F.lit("new")))
 
 
+#: Each client's environment has a version registry of its own.
+REGISTRY_KEY = ("client_id", "environment", "cd_produto")
+
+
 def registry_updates(products: DataFrame, name_col: str = "name", version_col: str = "version",
-                     updated_at: str | None = None) -> DataFrame:
-    """U1 rows: (cd_produto = name, ds_versao = name.version, dh_atualizacao)."""
+                     updated_at: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """U1 rows: ``keep`` columns, cd_produto = name, ds_versao = name.version, dh_atualizacao.
+
+    Over many clients ``keep`` names the message, client and environment, and
+    ``replace_by_key`` takes ``REGISTRY_KEY``.
+    """
     ts = F.lit(updated_at).cast("timestamp_ntz") if updated_at else F.localtimestamp()
     return products.select(
+        *keep,
         F.col(name_col).alias("cd_produto"),
         fill("{name}.{version}", name=F.col(name_col), version=F.col(version_col)).alias("ds_versao"),
         ts.alias("dh_atualizacao"))
 
 
-def log_events(df: DataFrame, level: str, content: str | Column, client_col: str = "client_id",
+def log_events(df: DataFrame, level: str | Column, content: str | Column, client_col: str = "client_id",
                plan_col: str = "execution_plan", logged_at: str | None = None) -> DataFrame:
     """Log rows with the constant type and sync flag; content as JSON text.
 
-    The timestamp is a parameter so that reruns produce identical rows.
+    ``level`` is one of ``LOG_LEVELS`` or a column that holds them, so rows of several
+    levels take one pass. The timestamp is a parameter so that reruns produce identical rows.
     """
-    if level not in S.LOG_LEVELS:
-        raise ValueError(f"unknown log level {level}")
+    if isinstance(level, str):
+        if level not in S.LOG_LEVELS:
+            raise ValueError(f"unknown log level {level}")
+        level = F.lit(level)
     c = F.col(content) if isinstance(content, str) else content
     dtype = df.select(c.alias("_c")).schema["_c"].dataType.typeName()
     text = c if dtype == "string" else F.to_json(c)
@@ -120,6 +132,6 @@ def log_events(df: DataFrame, level: str, content: str | Column, client_col: str
         F.lit(S.LOG_TYPE).alias("cd_tipo_log"),
         F.col(plan_col).alias("ds_identificador"),
         F.lit(S.LOG_SYNC_FLAG).alias("sn_sincronizado"),
-        F.lit(level).alias("ds_nivel"),
+        level.alias("ds_nivel"),
         ts.alias("dh_log"),
         text.alias("lo_conteudo"))

@@ -26,15 +26,14 @@ def fingerprint_check(artifacts: DataFrame, expected: DataFrame, name_col: str =
     """md5 of an artifact equals the first line of its published .md5 file.
 
     A missing file on either side is false. Artifact content may be text (hashed
-    as UTF-8) or binary.
+    as UTF-8) or binary; it is hashed before the join, so no content travels.
     """
     exp = expected.select(F.col(name_col).alias("_n"), first_line(md5_text_col).alias("_expected"))
-    j = artifacts.join(exp, artifacts[name_col] == exp["_n"], "full_outer")
-    name = F.coalesce(artifacts[name_col], exp["_n"])
-    digest = F.md5(F.col(content_col))
-    return j.select(name.alias(name_col), exp["_expected"].isNotNull().alias("has_expected"),
-                    F.col(content_col).isNotNull().alias("has_artifact"),
-                    F.coalesce(digest == exp["_expected"], F.lit(False)).alias("ok"))
+    art = artifacts.select(F.col(name_col).alias("_a"), F.md5(F.col(content_col)).alias("_digest"))
+    j = art.join(exp, F.col("_a") == F.col("_n"), "full_outer")
+    return j.select(F.coalesce("_a", "_n").alias(name_col), F.col("_expected").isNotNull().alias("has_expected"),
+                    F.col("_digest").isNotNull().alias("has_artifact"),
+                    F.coalesce(F.col("_digest") == F.col("_expected"), F.lit(False)).alias("ok"))
 
 
 # ---------------------------------------------------------------------------
@@ -47,29 +46,36 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("product_dir", T.StringType()),
     T.StructField("entry_name", T.StringType()),
     T.StructField("content", T.StringType()),
+    T.StructField("_error", T.StringType()),
 ])
 
 
 def _unzip_pre_entries(batches: Iterator) -> Iterator:
-    """Executor-side: list files under products/<p>/database/pre/ of each zip (ISO-8859-1)."""
+    """Executor-side: list files under products/<p>/database/pre/ of each zip (ISO-8859-1).
+
+    Zips are given out one by one; one that cannot be read is an error row.
+    """
     import io
     import zipfile
 
     import pandas as pd
 
     for pdf in batches:
-        rows = []
         for path, blob in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(blob)) as zf:
-                for info in zf.infolist():
-                    name = info.filename
-                    if info.is_dir() or not name.startswith(_PREFIX_HEAD):
-                        continue
-                    product, sep, rest = name[len(_PREFIX_HEAD):].partition(_PREFIX_TAIL)
-                    if not sep or "/" in product:
-                        continue
-                    rows.append((path, product, name, zf.read(info).decode(S.SCRIPT_ENCODING)))
-        yield pd.DataFrame(rows, columns=["path", "product_dir", "entry_name", "content"])
+            rows = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(blob)) as zf:
+                    for info in zf.infolist():
+                        name = info.filename
+                        if info.is_dir() or not name.startswith(_PREFIX_HEAD):
+                            continue
+                        product, sep, rest = name[len(_PREFIX_HEAD):].partition(_PREFIX_TAIL)
+                        if not sep or "/" in product:
+                            continue
+                        rows.append((path, product, name, zf.read(info).decode(S.SCRIPT_ENCODING), None))
+            except (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, ValueError) as e:
+                rows = [(path, None, None, None, f"unreadable package: {e}")]
+            yield pd.DataFrame(rows, columns=[f.name for f in ENTRY_SCHEMA])
 
 
 def scan_script_packages(spark: SparkSession, zip_glob: str, packages: DataFrame,
@@ -78,21 +84,23 @@ def scan_script_packages(spark: SparkSession, zip_glob: str, packages: DataFrame
 
     ``binaryFile`` reads each zip as one row (prune by path; few files per task);
     the unzip runs on executors in ``mapInPandas``; entries join the package table
-    on (file name, product). Name = entry path without the prefix.
+    on (file name, product). Name = entry path without the prefix. A package whose zip
+    cannot be read has one row with ``_error`` and no name.
     """
     keys = list(keys)
     files = spark.read.format("binaryFile").load(zip_glob).select("path", "content")
     entries = files.mapInPandas(_unzip_pre_entries, ENTRY_SCHEMA) \
         .withColumn("filename", F.element_at(F.split("path", "/"), -1))
     pk = packages.select(*keys, "filename", "productName", "scriptId", "version")
-    j = pk.join(entries, (pk["filename"] == entries["filename"]) & (pk["productName"] == entries["product_dir"]))
+    j = pk.join(entries, (pk["filename"] == entries["filename"])
+                & (F.col("_error").isNotNull() | (pk["productName"] == entries["product_dir"])))
     prefix_len = F.length(fill(S.SCRIPT_ENTRY_PREFIX, product=F.col("productName")))
     name = F.expr("substring(entry_name, _plen + 1)")
     return j.withColumn("_plen", prefix_len).select(
         *[pk[k] for k in keys], pk["filename"], "productName", "scriptId", "version",
-        name.alias("name"), F.lit(S.SCRIPT_PHASE).alias("phase"), "content")
+        name.alias("name"), F.lit(S.SCRIPT_PHASE).alias("phase"), "content", "_error")
 
 
 def scripts_per_package(scripts: DataFrame, keys: Sequence[str] = ("msg_id",)) -> DataFrame:
     """S4 count: number of scripts found per package."""
-    return scripts.groupBy(*keys, "filename", "scriptId").agg(F.count(F.lit(1)).alias("n_scripts"))
+    return scripts.groupBy(*keys, "filename", "scriptId").agg(F.count("name").alias("n_scripts"))

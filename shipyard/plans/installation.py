@@ -1,6 +1,6 @@
 """Installation flow over a table of installation messages, batch form.
 
-    validation_verdict -> plan_phases -> first_products, expand_groups ->
+    run_rules -> validation_verdict -> plan_phases -> first_products, expand_groups ->
     balancer_topology -> merge_topology -> steps -> fail_stop -> phase responses ->
     phase_outcome -> status_events / server_status_events / log rows -> registry rows
 
@@ -27,63 +27,79 @@ from ..operators.tables import materialize_table
 
 STEP_KEY = ["msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos"]
 STEP_ORDER = ["phase_id", "plan_pos", "srv_pos", "visit_pos", "entry_pos", "rec_pos"]
+APP_COLS = ["app_pos", "item_pos"]
 
 
 @dataclass
 class InstallationResult:
     verdict: DataFrame          # msg_id, verdict, n_rules, n_failed
+    errors: DataFrame           # msg_id, error: messages that did not run, or not to their end
     phases: DataFrame           # planned phases (J2)
-    steps: DataFrame            # steps that ran, with exit status (W3)
-    phase_results: DataFrame    # started phases with their effective exit (W4)
+    steps: DataFrame            # steps that ran, with exit status (W3); _error where none was reported
+    phase_results: DataFrame    # completed phases with their effective exit (W4)
     status_events: DataFrame    # environment-item rows (J6)
     server_events: DataFrame    # server-item rows (J6)
     logs: DataFrame             # log rows (U3)
-    topology: DataFrame         # merged topology, flat (J3, W6, J4)
-    registry_updates: DataFrame  # U1 rows for messages that completed an install
+    topology: DataFrame         # merged topology, flat, per client, environment and message (J3, W6, J4)
+    registry_updates: DataFrame  # U1 rows (msg_id, client_id, environment lead) of completed installs
 
 
 def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame | None = None,
-                     snapshot: DataFrame | None = None, created_at: str | None = None) -> InstallationResult:
+                     snapshot: DataFrame | None = None, created_at: str | None = None,
+                     observations: R.Observations | None = None) -> InstallationResult:
     """Run the plan of each installation message against its step outcomes.
 
-    ``docs``: msg_id, client_id, environment, execution_plan, command (normalised), doc.
+    ``docs``: msg_id, client_id, environment, execution_plan, command (normalised), doc
+    and, as ``parse_body`` gives it, _corrupt.
     ``outcomes``: msg_id, phase_id, srv_pos, visit_pos, entry_pos, rec_pos, exit_status
     (database phases use srv_pos = visit_pos = entry_pos = rec_pos = -1).
-    ``results``: validation results (msg_id, rule, passed); only passing messages run.
+    ``observations``: what the messages' own rules are judged on (``rules.run_rules``);
+    or ``results``: ready validation results (msg_id, rule, passed). Only passing messages run.
+    ``snapshot``: the stored topology (client_id and environment lead). Each message is
+    merged with its own client's environment; messages of one batch do not see each
+    other's topology.
+
+    A message with a corrupt body, an unknown rule or an app without its product group
+    does not run and is an error. A planned step without a reported outcome stops its
+    message there: the message is an error, its phase is not completed, and nothing of
+    it counts as success.
     """
     spark = docs.sparkSession
     missing = [f.name for f in S.STEP_OUTCOME_SCHEMA.fields if f.name not in outcomes.columns]
     if missing:
         raise ValueError(f"outcomes lack columns {missing} (see schemas.STEP_OUTCOME_SCHEMA)")
     head = docs.select("msg_id", "client_id", "environment", "execution_plan", "command")
+    bad = F.col("_corrupt").isNotNull() if "_corrupt" in docs.columns else F.col("doc").isNull()
+    corrupt = docs.where(bad).select("msg_id", F.lit("corrupt body").alias("error"))
+    whole = docs.where(~bad)
+
+    if observations is not None:
+        results = materialize_table(R.run_rules(R.required_rules(whole), observations))
     if results is None:
         results = spark.createDataFrame([], "msg_id string, rule string, passed boolean")
-    verdict = R.validation_verdict(results, docs.select("msg_id"))
-    ok_docs = docs.join(verdict.where("verdict").select("msg_id"), "msg_id", "left_semi")
+    verdict = R.validation_verdict(results, whole.select("msg_id"))
+    unknown = verdict.where(F.col("_error").isNotNull()).select("msg_id", F.col("_error").alias("error"))
+    passing = whole.join(verdict.where(F.col("verdict") & F.col("_error").isNull()).select("msg_id"), "msg_id", "left_semi")
 
     # Flattened servers, the plan and the steps that ran are each read by several
     # outputs; they are written once as tables (materialize_table) instead of being
     # recomputed inside one very large plan.
-    srv = materialize_table(D.servers(ok_docs))
-    entries = D.run_entries(srv)
-    plan = materialize_table(D.plan_phases(D.phases(ok_docs), entries))
-
+    servers = materialize_table(D.servers(passing))
     # W1 products (before expansion), J1 expanded apps for the topology.
+    groups, contexts = D.dimension_tables(spark)
+    all_apps = D.apps(servers)
+    expanded = D.expand_groups(all_apps, groups, contexts)
+    no_group = expanded.where(F.col("_error").isNotNull()).groupBy("msg_id").agg(F.min("_error").alias("error"))
+    blocked = materialize_table(corrupt.unionByName(unknown).unionByName(no_group))
+    runnable = passing.join(blocked.select("msg_id"), "msg_id", "left_anti")
+    srv = servers.join(blocked.select("msg_id"), "msg_id", "left_anti")
     app_rows = D.apps(srv)
     products = D.first_products(app_rows).select(
         "msg_id", F.col("productname").alias("name"), "version", "itemVersion", "environment")
-    groups, contexts = D.dimension_tables(spark)
-    expanded = D.expand_groups(app_rows, groups, contexts).where(F.col("_error").isNull())
-    expanded = expanded.withColumn("app_pos", F.col("app_pos") * 1000 + F.coalesce("item_pos", F.lit(0)))
+    entries = D.run_entries(srv)
+    plan = materialize_table(D.plan_phases(D.phases(runnable), entries))
 
-    bal = ok_docs.select("msg_id", F.posexplode("doc.listBalancer").alias("bal_pos", "b")).select(
-        "msg_id", "bal_pos", F.col("b.host").alias("balancer_host"), F.col("b.port").alias("balancer_port"))
-    ports = srv.select("msg_id", "srv_pos", F.explode("ports").alias("port"))
-    topo = TP.balancer_topology(bal, srv.select("msg_id", "srv_pos", "server_host"), ports,
-                                expanded, commands=head)
-    topo = topo.join(head.select("msg_id", F.lower("environment").alias("environment")), "msg_id")
-    merged = TP.merge_topology(topo, snapshot, keys=["environment"], order=["srv_pos", "app_pos"],
-                               materialize=snapshot is not None)
+    merged = _topology(runnable, srv, expanded.join(blocked.select("msg_id"), "msg_id", "left_anti"), head, snapshot)
 
     # Steps: chef phases visit their servers; database phases run one script action;
     # other phases (AGENT) run nothing and reuse the previous response.
@@ -92,11 +108,9 @@ def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame |
     chef = p.where((F.col("type") == "CHEF") & ~db_phase)
     visits = chef.join(entries.select("msg_id", "srv_pos", "server_host", F.col("id").alias("phase_id"),
                                       F.col("entry_pos").alias("visit_pos")), ["msg_id", "phase_id"])
-    matching = entries.select("msg_id", "srv_pos", F.col("id").alias("phase_id"), "entry_pos",
-                              F.posexplode_outer("recipes").alias("rec_pos", "recipe"))
-    chef_steps = visits.join(matching, ["msg_id", "phase_id", "srv_pos"], "left")
     # A visit with no recipe to run makes the agent throw: exit 1 and no server row.
-    chef_steps = chef_steps.withColumn("throws", F.col("recipe").isNull()).withColumn("carried", F.lit(False))
+    chef_steps = D.steps(visits, entries).withColumn("throws", F.col("recipe").isNull()) \
+        .withColumn("carried", F.lit(False))
 
     def single(rows: DataFrame, pos: int, recipe: str | None, carried: bool) -> DataFrame:
         return rows.select("*", *[F.lit(pos).alias(c) for c in ("srv_pos", "visit_pos", "entry_pos", "rec_pos")],
@@ -112,21 +126,29 @@ def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame |
         .select(all_steps["*"], "_exit") \
         .withColumn("exit_status", F.when(F.col("throws"), F.lit(1))
                     .when(F.col("carried"), F.lit(None).cast("int")).otherwise(F.col("_exit"))).drop("_exit")
+    silent = ~F.col("throws") & ~F.col("carried") & F.col("exit_status").isNull()
+    all_steps = all_steps.withColumn("silent", silent)
     # W4 at step level: an idle phase takes the last response before it; with none the agent fails.
     all_steps = O.phase_outcome(all_steps, order=STEP_ORDER, status_error=F.lit("e"), status_complete=F.lit("c"))
     all_steps = all_steps.withColumn(
         "exit_status", F.when(F.col("carried"), F.coalesce(F.col("effective_exit"), F.lit(1)))
         .otherwise(F.col("exit_status"))) \
         .drop("effective_exit", "exit_source", "phase_status", "_error")
-    ran = materialize_table(O.fail_stop(all_steps, order=STEP_ORDER))
-
-    # Phases that started: every phase up to the one holding the first failure.
-    first_fail = ran.where("failed_here").groupBy("msg_id").agg(
-        F.min(F.struct("phase_id", "plan_pos")).alias("_ff"))
+    # A step without an outcome stops the message as a failing one does.
+    halts = all_steps.withColumn("_halt", F.when(F.col("silent"), F.lit(1)).otherwise(F.col("exit_status")))
+    ran = O.fail_stop(halts, order=STEP_ORDER, exit_col="_halt")
+    ran = ran.withColumn("failed_here", F.coalesce(F.col("exit_status") != 0, F.lit(False)))
+    ran = materialize_table(ran.withColumn("_error", F.when(F.col("silent"), F.lit(NO_OUTCOME))).drop("_halt"))
+
+    # Phases that were completed: every phase up to the one holding the first failure, but
+    # not one that waits for an outcome.
+    stopped = ran.where(F.col("failed_here") | F.col("silent")).select("msg_id").distinct()
+    waiting = ran.where("silent").select("msg_id", "phase_id", "plan_pos")
     response = O.phase_response(ran, keys=["msg_id", "phase_id", "plan_pos"],
                                 order=["srv_pos", "visit_pos", "entry_pos", "rec_pos"])
     phase_rows = p.join(response.select("msg_id", "phase_id", "plan_pos", "exit_status"),
-                        ["msg_id", "phase_id", "plan_pos"], "inner")
+                        ["msg_id", "phase_id", "plan_pos"], "inner") \
+        .join(waiting, ["msg_id", "phase_id", "plan_pos"], "left_anti")
     phase_results = O.phase_outcome(phase_rows, order=["phase_id", "plan_pos"])
     ev_phases = phase_results.join(head.select("msg_id", "client_id", "execution_plan"), "msg_id") \
         .select("msg_id", "phase_id", "statusInitial", "statusComplete", "statusError", "initialProgress",
@@ -134,21 +156,50 @@ def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame |
                 F.coalesce("effective_exit", F.lit(1)).alias("exit_status"), "client_id", "execution_plan")
     status = D.status_events(ev_phases, products, created_at=created_at)
 
-    # One server row per visit that ran recipes; its response is the last step run.
+    # One server row per visit that ran its recipes; its response is the last step run.
+    silent_visit = ran.where("silent").select("msg_id", "phase_id", "srv_pos", "visit_pos").distinct()
     visit_resp = first_by(ran.where(~F.col("throws") & (F.col("srv_pos") >= 0))
+                          .join(silent_visit, ["msg_id", "phase_id", "srv_pos", "visit_pos"], "left_anti")
                           .select("msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos",
                                   "exit_status", "statusComplete", "statusError"),
                           ["msg_id", "phase_id", "srv_pos", "visit_pos"], ["entry_pos", "rec_pos"], last=True)
     visit_rows = visit_resp.join(head.select("msg_id", "client_id", "execution_plan"), "msg_id")
     server_events = D.server_status_events(visit_rows, app_rows.drop("server_host"))
 
-    logs = _logs(ran, head, verdict, created_at)
-    done = head.join(first_fail, "msg_id", "left_anti") \
-        .join(ok_docs.select("msg_id"), "msg_id", "left_semi") \
-        .where(F.col("command").isin(*S.INSTALL_COMMANDS))
-    registry = O.registry_updates(products.join(done.select("msg_id"), "msg_id", "left_semi"),
-                                  updated_at=created_at)
-    return InstallationResult(verdict, plan, ran, phase_results, status, server_events, logs, merged, registry)
+    errors = blocked.unionByName(ran.where("silent").select("msg_id", F.col("_error").alias("error")))
+    done = materialize_table(runnable.join(stopped, "msg_id", "left_anti").select(*head.columns))
+    logs = _logs(ran, head, verdict, errors, done, created_at)
+    finished = products.drop("environment").join(
+        done.where(F.col("command").isin(*S.INSTALL_COMMANDS)).select("msg_id", "client_id", "environment"), "msg_id")
+    registry = O.registry_updates(finished, updated_at=created_at, keep=("msg_id", "client_id", "environment"))
+    return InstallationResult(verdict, errors, plan, ran, phase_results, status, server_events, logs, merged, registry)
+
+
+NO_OUTCOME = "no outcome reported"
+
+
+def _topology(docs: DataFrame, srv: DataFrame, expanded: DataFrame, head: DataFrame,
+              snapshot: DataFrame | None) -> DataFrame:
+    """J3, W6 and J4 per (client, environment, message)."""
+    where = head.select("msg_id", "client_id", F.lower("environment").alias("environment"))
+    apps = expanded.withColumn("item_pos", F.coalesce("item_pos", F.lit(0)))
+    bal = docs.select("msg_id", F.posexplode("doc.listBalancer").alias("bal_pos", "b")).select(
+        "msg_id", "bal_pos", F.col("b.host").alias("balancer_host"), F.col("b.port").alias("balancer_port"))
+    ports = srv.select("msg_id", "srv_pos", F.explode("ports").alias("port"))
+    topo = TP.balancer_topology(bal, srv.select("msg_id", "srv_pos", "server_host"), ports,
+                                apps, app_cols=APP_COLS, commands=head)
+    topo = topo.join(where, "msg_id")
+    if snapshot is not None:
+        lacking = [c for c in ("client_id", "environment") if c not in snapshot.columns]
+        if lacking:
+            raise ValueError(f"the snapshot lacks {lacking}")
+        old = snapshot.drop("msg_id", "origin", "returned", "generation")
+        for c in APP_COLS:
+            if c not in old.columns:
+                old = old.withColumn(c, F.lit(0))
+        snapshot = old.join(where, ["client_id", "environment"])  # each message meets its own
+    return TP.merge_topology(topo, snapshot, keys=["client_id", "environment", "msg_id"],
+                             order=["srv_pos", *APP_COLS], materialize=snapshot is not None)
 
 
 def _text(template: str, recipe: F.Column) -> F.Column:
@@ -157,24 +208,32 @@ def _text(template: str, recipe: F.Column) -> F.Column:
     return F.concat(F.lit(before), recipe, F.lit(after))
 
 
-def _logs(ran: DataFrame, head: DataFrame, verdict: DataFrame, created_at: str | None) -> DataFrame:
+def _logs(ran: DataFrame, head: DataFrame, verdict: DataFrame, errors: DataFrame, done: DataFrame,
+          created_at: str | None) -> DataFrame:
+    """Start and result of each step, then one row per message: finished, rejected or why it stopped.
+
+    A step without an outcome leaves its start row only.
+    """
     steps = ran.where(F.col("recipe").isNotNull()).join(head, "msg_id")
     command_text = F.lit(None).cast("string")
     for text, code in S.COMMANDS.items():
         command_text = F.when(F.col("command") == code, F.lit(text)).otherwise(command_text)
     prefix = F.concat(F.concat_ws(" | ", F.coalesce("server_host", F.lit("database")), "environment",
                                   F.coalesce(command_text, F.lit(""))), F.lit(" | "))
-
-    def log(df: DataFrame, level: str, text: F.Column) -> DataFrame:
-        return O.log_events(df.withColumn("_t", text), level, "_t", logged_at=created_at)
-
     recipe = F.col("recipe")
-    start = log(steps, "INFO", F.concat(prefix, _text(S.LOG_RECIPE_START, recipe)))
-    done_ok = log(steps.where(~F.col("failed_here")), "INFO", F.concat(prefix, _text(S.LOG_RECIPE_OK, recipe)))
-    done_fail = log(steps.where(F.col("failed_here")), "ERROR", F.concat(prefix, _text(S.LOG_RECIPE_FAIL, recipe)))
-    failed_msgs = ran.where("failed_here").select("msg_id").distinct()
-    finished = log(head.join(failed_msgs, "msg_id", "left_anti")
-                   .join(verdict.where("verdict").select("msg_id"), "msg_id", "left_semi"), "INFO", F.lit(S.LOG_DONE))
-    rejected = log(head.join(verdict.where("NOT verdict").select("msg_id"), "msg_id", "left_semi"), "ERROR",
-                   F.lit(S.LOG_REJECTED))
-    return start.unionByName(done_ok).unionByName(done_fail).unionByName(finished).unionByName(rejected)
+
+    def entry(level: str, text: F.Column) -> F.Column:
+        return F.struct(F.lit(level).alias("_level"), text.alias("_t"))
+
+    start = entry("INFO", F.concat(prefix, _text(S.LOG_RECIPE_START, recipe)))
+    result = F.when(F.col("failed_here"), entry("ERROR", F.concat(prefix, _text(S.LOG_RECIPE_FAIL, recipe)))) \
+        .when(~F.col("silent"), entry("INFO", F.concat(prefix, _text(S.LOG_RECIPE_OK, recipe))))
+    who = ["client_id", "execution_plan"]
+    rows = steps.select(*who, F.explode(F.filter(F.array(start, result), lambda e: e.isNotNull())).alias("_e")) \
+        .select(*who, "_e.*")
+    finished = done.select(*who, F.lit("INFO").alias("_level"), F.lit(S.LOG_DONE).alias("_t"))
+    rejected = head.join(verdict.where("NOT verdict AND _error IS NULL").select("msg_id"), "msg_id", "left_semi") \
+        .select(*who, F.lit("ERROR").alias("_level"), F.lit(S.LOG_REJECTED).alias("_t"))
+    failed = head.join(errors, "msg_id").select(*who, F.lit("ERROR").alias("_level"), F.col("error").alias("_t"))
+    rows = rows.unionByName(finished).unionByName(rejected).unionByName(failed)
+    return O.log_events(rows, F.col("_level"), "_t", logged_at=created_at)

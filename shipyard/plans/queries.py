@@ -6,11 +6,13 @@ names match the oracle SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..operators import messages as M
@@ -19,7 +21,10 @@ from ..operators import rules as R
 from ..operators import scripts as X
 from ..operators import topology as TP
 from ..operators.tables import materialize_table
+from ..session import checkpoint_dir
+from ..streaming import messages as SM
 from . import standins as SI
+from .installation import run_installation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,9 +113,8 @@ def q_step_logs(spark: SparkSession, d: str) -> DataFrame:
     kept = O.fail_stop(st, order=SI.LINE_ORDER).withColumn("client_id", F.col("msg_id").cast("string")) \
         .withColumn("execution_plan", F.lit("lines")) \
         .withColumn("_text", F.concat(F.lit("line "), F.col("l_linenumber"), F.lit(" part "), F.col("l_partkey")))
-    ok = O.log_events(kept.where(~F.col("failed_here")), "INFO", "_text", logged_at=EVENT_TS)
-    bad = O.log_events(kept.where(F.col("failed_here")), "ERROR", "_text", logged_at=EVENT_TS)
-    return ok.unionByName(bad)
+    level = F.when(F.col("failed_here"), F.lit("ERROR")).otherwise(F.lit("INFO"))
+    return O.log_events(kept, level, "_text", logged_at=EVENT_TS)
 
 
 def q_phase_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +147,7 @@ def q_script_index(spark: SparkSession, d: str) -> DataFrame:
 # Catalog (A1, A3, A5, A6, T2-T5, W7) and rules
 # ---------------------------------------------------------------------------
 
-TABLESPACE_STANDIN_RULES = [("PROMO", 3000), ("SMALL", 20000), ("ABSENT", 1)]
+TABLESPACE_STANDIN_RULES = [("PROMO", 3000), ("SMALL", 2000000000), ("ABSENT", 1)]
 
 
 def q_tablespace(spark: SparkSession, d: str) -> DataFrame:
@@ -208,8 +212,8 @@ def q_registry_exists(spark: SparkSession, d: str) -> DataFrame:
     """A5: per environment (user), does the registry table exist among its objects?"""
     ev = SI.read_table(spark, d, "events")
     k = SI.event_k()
-    objs = ev.where(F.col("event_type") == "view").select(
-        "user_id", F.when(k < 20, F.lit("GCM_VERSAO")).otherwise(F.concat(F.lit("OBJ"), k)).alias("object_name"),
+    objs = ev.select(
+        "user_id", F.when((F.col("event_type") == "view") & (k < 20), F.lit("GCM_VERSAO")).otherwise(F.concat(F.lit("OBJ"), k)).alias("object_name"),
         F.when(k % 2 == 0, F.lit("DBAMV")).otherwise(F.lit("DBAPS")).alias("owner"))
     envs = ev.select("user_id").distinct()
     return C.registry_exists(envs, objs, ["user_id"])
@@ -217,7 +221,7 @@ def q_registry_exists(spark: SparkSession, d: str) -> DataFrame:
 
 def q_registry(spark: SparkSession, d: str) -> DataFrame:
     """Replace registry rows by product key with the latest update."""
-    old, new = SI.event_registry(spark, d, until="2024-01-02", since="2024-01-29")
+    old, new = SI.event_registry(spark, d, split_at="2024-01-16")
     out = O.replace_by_key(old.drop("event_id"), new, ["cd_produto"],
                            update_order=["dh_atualizacao", "event_id"])
     return out.select("cd_produto", "ds_versao", "dh_atualizacao", "origin")
@@ -239,8 +243,8 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_version_check(spark: SparkSession, d: str) -> DataFrame:
-    """CHECK_AGENT_VERSION requests (click events) against the client's installed version."""
-    ev = SI.read_table(spark, d, "events").where(F.col("event_type") == "click")
+    """CHECK_AGENT_VERSION requests (events) against the client's installed version."""
+    ev = SI.read_table(spark, d, "events")
     req = ev.select("event_id", F.col("user_id").alias("client_id"),
                     F.concat(F.lit("v"), SI.event_k() % 3).alias("metric"))
     agents = SI.read_table(spark, d, "customer").select(
@@ -254,7 +258,7 @@ def q_version_check(spark: SparkSession, d: str) -> DataFrame:
 
 def q_statements(spark: SparkSession, d: str) -> DataFrame:
     """audit scripts split into statements on "/" lines."""
-    return X.statements(SI.event_scripts(spark, d))
+    return X.statements(SI.turn_scripts(spark, d))
 
 
 def q_statements_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -306,6 +310,94 @@ def q_topology_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select(*TOPO_COLS, "origin", "returned")
 
 
+# ---------------------------------------------------------------------------
+# Installation flow
+# ---------------------------------------------------------------------------
+
+def _flow(spark: SparkSession, d: str):
+    msgs, outcomes = SI.order_installations(spark, d)
+    docs = M.parse_body(M.route(M.normalize_codes(msgs)), "INSTALLATION")
+    docs = materialize_table(docs.select("msg_id", "client_id", "environment", "execution_plan", "command", "doc", "_corrupt"))
+    return run_installation(docs, outcomes, created_at=EVENT_TS, observations=R.Observations(agents=SI.client_agents(spark, d)))
+
+
+def q_parse_body(spark: SparkSession, d: str) -> DataFrame:
+    """S2 + P6 + P8: parsed installation bodies; corrupt ones only leave a hash and a length."""
+    msgs, _ = SI.order_installations(spark, d)
+    docs = M.parse_body(M.route(M.normalize_codes(msgs)), "INSTALLATION")
+    kept = F.to_json("doc").contains("secret") | F.coalesce(F.col("_corrupt").contains("secret"), F.lit(False))
+    return docs.select(
+        "msg_id", "command", F.col("_corrupt").isNotNull().alias("corrupt"),
+        F.size("doc.list_server").alias("n_servers"),
+        F.aggregate("doc.list_server", F.lit(0), lambda n, s: n + F.size(s["app_list"])).alias("n_apps"),
+        F.size("doc.executionPlan").alias("n_phases"), F.size("doc.validations").alias("n_rules"),
+        F.coalesce(kept, F.lit(False)).alias("shows_password"))
+
+
+def q_flow_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that did not run, or not to their end, and why."""
+    return _flow(spark, d).errors
+
+
+def q_flow_steps(spark: SparkSession, d: str) -> DataFrame:
+    """P7 + W3 + W5: the steps that ran, by text phase id; a missing outcome stops its message."""
+    return _flow(spark, d).steps.select("msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos", "recipe",
+                                        "exit_status", "failed_here", "_error")
+
+
+def q_flow_status(spark: SparkSession, d: str) -> DataFrame:
+    """Environment-item rows of the completed phases."""
+    return _flow(spark, d).status_events
+
+
+def q_flow_server_events(spark: SparkSession, d: str) -> DataFrame:
+    """J6 (servers): rows per app of each visited server."""
+    return _flow(spark, d).server_events
+
+
+def q_flow_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Start and result of each step, and how each message ended."""
+    return _flow(spark, d).logs
+
+
+def q_flow_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Registry rows of the messages that completed an install, with their client and environment."""
+    return _flow(spark, d).registry_updates
+
+
+def q_disk_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """nodes by their Ruby-hash attributes; every node is judged, readable or not."""
+    nodes = SI.order_nodes(spark, d)
+    nodes = nodes.withColumn("drive", R.home_drive(nodes))
+    out = R.disk_check(R.parse_filesystem(nodes), ["server_host"], 40, "server_type", "drive")
+    return out.select("server_host", "server_type", "device", "free_mb", "passed", "_error", "message")
+
+
+def q_client_registry(spark: SparkSession, d: str) -> DataFrame:
+    """The client registry after its latest updates (events): one row per client."""
+    ev = SI.read_table(spark, d, "events")
+    k = SI.event_k()
+    old = SI.client_agents(spark, d).join(SI.clients(spark, d), "client_id")
+    new = ev.select(F.col("user_id").cast("string").alias("client_id"), F.concat(F.lit("v"), k % 3).alias("agent_version"),
+                    (k % 2).cast("string").alias("env_hash"), "ts", "event_id")
+    return O.replace_by_key(old, new, ["client_id"], update_order=["ts", "event_id"])
+
+
+def q_stream_route(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of message files, drained through the front end and the
+    fan-out; the written messages counted per route. The watermark spans all events, so no
+    row is late and the counts equal those of the batch form."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+    msgs = SI.messages(spark, d)
+    rows = msgs.select(*[
+        (F.col(f.name) if f.name in msgs.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in S.MESSAGE_SCHEMA.fields])
+    rows.write.parquet(f"{root}/in")
+    stream = SM.message_stream(spark, f"{root}/in", SI.clients(spark, d), watermark="3650 days", fmt="parquet")
+    SM.start_fan_out(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
 QUERIES: dict[str, Query] = {
     "msg_accept": q_msg_accept,
     "msg_dedup": q_msg_dedup,
@@ -339,4 +431,14 @@ QUERIES: dict[str, Query] = {
     "topology": q_topology,
     "topology_merge": q_topology_merge,
     "balancer_for_server": q_balancer_for_server,
+    "parse_body": q_parse_body,
+    "flow_errors": q_flow_errors,
+    "flow_steps": q_flow_steps,
+    "flow_status": q_flow_status,
+    "flow_server_events": q_flow_server_events,
+    "flow_logs": q_flow_logs,
+    "flow_registry": q_flow_registry,
+    "disk_nodes": q_disk_nodes,
+    "client_registry": q_client_registry,
+    "stream_route": q_stream_route,
 }

@@ -103,14 +103,20 @@ def standin_groups(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def plan_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """orders -> plan actions of one document; lines with return flag R -> run-list entries."""
+    """orders -> plan actions of one document; lines -> run-list entries.
+
+    An entry of a line with return flag R carries its order's phase id, the others the
+    id of a phase that the plan lacks (order key and flag).
+    """
     o = read_table(spark, d, "orders")
     li = read_table(spark, d, "lineitem")
     ph = o.select(F.lit("plan").alias("msg_id"), F.col("o_orderkey").cast("string").alias("id"),
                   F.when(F.col("o_orderpriority") == "5-LOW", F.lit("agent")).otherwise(F.lit("chef"))
                   .alias("type"))
-    en = li.where(F.col("l_returnflag") == "R").select(
-        F.lit("plan").alias("msg_id"), F.col("l_orderkey").cast("string").alias("id"),
+    order = F.col("l_orderkey").cast("string")
+    en = li.select(
+        F.lit("plan").alias("msg_id"),
+        F.when(F.col("l_returnflag") == "R", order).otherwise(F.concat(order, "l_returnflag")).alias("id"),
         F.col("l_suppkey").alias("srv"))
     return ph, en
 
@@ -187,9 +193,9 @@ def order_grants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    """orders of status P -> public synonyms of the customer's object."""
-    o = read_table(spark, d, "orders").where(F.col("o_orderstatus") == "P")
-    return o.select(F.lit("PUBLIC").alias("owner"),
+    """orders -> synonyms of the customer's object; public for status P."""
+    o = read_table(spark, d, "orders")
+    return o.select(F.when(F.col("o_orderstatus") == "P", F.lit("PUBLIC")).otherwise(F.lit("DBAMV")).alias("owner"),
                     F.concat(F.lit("C"), F.col("o_custkey")).alias("table_name"),
                     _pick(F.col("o_custkey"), STANDIN_OWNERS).alias("table_owner"))
 
@@ -202,9 +208,10 @@ def part_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with quantity > 45 -> synonyms of the part's object; public when returned (R)."""
-    li = read_table(spark, d, "lineitem").where(F.col("l_quantity") > 45)
-    return li.select(F.when(F.col("l_returnflag") == "R", F.lit("PUBLIC")).otherwise(F.lit("DBAMV")).alias("owner"),
+    """lineitem -> synonyms of the part's object; public for returned lines (R) of quantity over 45."""
+    li = read_table(spark, d, "lineitem")
+    public = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)
+    return li.select(F.when(public, F.lit("PUBLIC")).otherwise(F.lit("DBAMV")).alias("owner"),
                      F.concat(F.lit("P"), F.col("l_partkey")).alias("table_name"),
                      _pick(F.col("l_partkey"), STANDIN_OWNERS).alias("table_owner"))
 
@@ -240,7 +247,7 @@ def line_key_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def file_catalog(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """part = data files (p_type tablespace, p_size MB); supplier = temp files; lines = free
-    space and temp headers (first lines, so a file id repeats)."""
+    space and temp headers (so a file id repeats)."""
     p = read_table(spark, d, "part")
     s = read_table(spark, d, "supplier")
     li = read_table(spark, d, "lineitem")
@@ -255,21 +262,22 @@ def file_catalog(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "temp_files": s.select(F.col("s_suppkey").alias("file_id"),
                                _pick(F.col("s_nationkey"), TEMP_TABLESPACES).alias("tablespace_name"),
                                ((F.col("s_suppkey") % 7 + 1) * mb).alias("maxbytes")),
-        "temp_header": li.where(F.col("l_linenumber") == 1).select(F.col("l_suppkey").alias("file_id")),
+        "temp_header": li.select(F.col("l_suppkey").alias("file_id")),
         "tempfile_view": s.where(F.col("s_suppkey") % 4 != 0).select(F.col("s_suppkey").alias("file_no")),
     }
 
 
 def event_privileges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """events -> users, package grants (purchase; UTL_RECOMP when k = 7), role grants (signup; DBA when k < 10)."""
+    """events -> users, package grants and role grants, one of each per event: UTL_RECOMP for a
+    purchase with k = 7 and DBA for a signup with k < 10, else a package or role of another name."""
     ev = read_table(spark, d, "events")
     k = event_k()
     users = ev.select("user_id").distinct()
-    tab = ev.where(F.col("event_type") == "purchase").select(
-        "user_id", F.when(k == 7, F.lit("UTL_RECOMP")).otherwise(F.concat(F.lit("PKG"), k)).alias("table_name"),
+    tab = ev.select(
+        "user_id", F.when((F.col("event_type") == "purchase") & (k == 7), F.lit("UTL_RECOMP")).otherwise(F.concat(F.lit("PKG"), k)).alias("table_name"),
         F.lit("EXECUTE").alias("privilege"))
-    role = ev.where(F.col("event_type") == "signup").select(
-        "user_id", F.when(k < 10, F.lit("DBA")).otherwise(F.concat(F.lit("ROLE"), k)).alias("granted_role"))
+    role = ev.select(
+        "user_id", F.when((F.col("event_type") == "signup") & (k < 10), F.lit("DBA")).otherwise(F.concat(F.lit("ROLE"), k)).alias("granted_role"))
     return users, tab, role
 
 
@@ -277,15 +285,15 @@ def event_privileges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
 # Registry, rules, scripts, artifacts
 # ---------------------------------------------------------------------------
 
-def event_registry(spark: SparkSession, d: str, until: str, since: str) -> tuple[DataFrame, DataFrame]:
-    """events -> version registry rows (before ``until``) and updates (from ``since``)."""
+def event_registry(spark: SparkSession, d: str, split_at: str) -> tuple[DataFrame, DataFrame]:
+    """events -> version registry rows (before ``split_at``) and updates (from then on)."""
     ev = read_table(spark, d, "events")
     k = event_k()
     rows = ev.select(F.concat_ws(":", F.col("user_id"), F.col("event_type")).alias("cd_produto"),
                      F.concat_ws(".", F.col("event_type"), k).alias("ds_versao"),
                      F.col("ts").alias("dh_atualizacao"), "event_id")
-    return (rows.where(F.col("dh_atualizacao") < F.lit(until).cast("timestamp_ntz")),
-            rows.where(F.col("dh_atualizacao") >= F.lit(since).cast("timestamp_ntz")))
+    at = F.lit(split_at).cast("timestamp_ntz")
+    return rows.where(F.col("dh_atualizacao") < at), rows.where(F.col("dh_atualizacao") >= at)
 
 
 def event_devices(spark: SparkSession, d: str) -> DataFrame:
@@ -296,20 +304,15 @@ def event_devices(spark: SparkSession, d: str) -> DataFrame:
                      (F.col("value") * 1000).cast("long").cast("string").alias("kb_available"))
 
 
-# Script lines of the stand-in: an event type becomes one line.
-EVENT_AS_LINE = [("error", "/"), ("view", "")]
-
+def turn_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """conversations -> audit scripts, one per turn: id ``<conv>-<turn>``.
 
-def event_scripts(spark: SparkSession, d: str) -> DataFrame:
-    """events -> one audit script per user: event lines in (ts, event_id) order.
-
-    "error" becomes a "/" line, "view" an empty line, other types their name.
+    " the " and " de " become a "/" line, ". " an empty line; the rest stays.
     """
-    ev = read_table(spark, d, "events")
-    line = F.coalesce(_case("event_type", EVENT_AS_LINE), F.col("event_type"))
-    items = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
-    return ev.groupBy(F.col("user_id").alias("script_id")).agg(
-        F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("text"))
+    c = read_table(spark, d, "conversations")
+    t = F.regexp_replace(F.col("text"), " (the|de) ", "\n/\n")
+    t = F.regexp_replace(t, "\\. ", "\n\n")
+    return c.select(F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("script_id"), t.alias("text"))
 
 
 def document_artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -320,8 +323,10 @@ def document_artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     docs = read_table(spark, d, "documents")
     lab = read_table(spark, d, "labels")
     art = docs.select(F.col("doc_id").alias("name"), F.col("text").alias("content"))
-    published = F.when(F.col("quality") == 1, F.md5("text")).otherwise(F.md5(F.concat("text", F.lit("#"))))
-    exp = docs.join(lab, "doc_id").select(
+    # Hashed before the join: no text travels.
+    hashes = docs.select("doc_id", F.md5("text").alias("good"), F.md5(F.concat("text", F.lit("#"))).alias("bad"))
+    published = F.when(F.col("quality") == 1, F.col("good")).otherwise(F.col("bad"))
+    exp = hashes.join(lab, "doc_id").select(
         F.col("doc_id").alias("name"),
         F.concat(published, F.lit("\ndoc"), F.col("doc_id"), F.lit("\n")).alias("md5_text"))
     return art, exp
@@ -331,7 +336,7 @@ def document_artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
 # Topology: nation x return flag = balancer, supplier = server entry, line = app
 # ---------------------------------------------------------------------------
 
-TOPOLOGY_HOSTS = 60  # server host = h<suppkey % 60>: entries past 60 share a host
+HOST_SUPPLIERS = 50  # server host = h<suppkey div 50>: about two entries per nation share a host
 
 
 def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until: str | None = None,
@@ -339,7 +344,7 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
     """(balancers, servers, server_ports, apps) of one document built from lines.
 
     Balancer = (supplier nation name, return flag); server entry = supplier at
-    position s_suppkey, host h<suppkey % 60>; its ports = line numbers of its open
+    position s_suppkey, host h<suppkey div 50>; its ports = line numbers of its open
     (status O) lines; app = line (product = brand, port = line number). Lines of
     parts of type PROMO carry the reports context. ``since`` / ``until`` select lines
     by ship date. ``split_at`` makes two documents instead: "new" (lines shipped
@@ -366,7 +371,7 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
                              (F.col("n_nationkey") * 10 + F.when(F.col("l_returnflag") == "A", 0)
                               .when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("bal_pos")).distinct()
     servers = s.select(server_doc, F.col("s_suppkey").alias("srv_pos"),
-                       F.concat(F.lit("h"), F.col("s_suppkey") % TOPOLOGY_HOSTS).alias("server_host"))
+                       F.concat(F.lit("h"), F.expr(f"s_suppkey div {HOST_SUPPLIERS}")).alias("server_host"))
     ports = li.where(F.col("l_linestatus") == "O").select(
         doc, F.col("l_suppkey").alias("srv_pos"), F.col("l_linenumber").cast("string").alias("port")).distinct()
     apps = lines.select(
@@ -379,6 +384,41 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
     return balancers, servers, ports, apps
 
 
+def client_agents(spark: SparkSession, d: str) -> DataFrame:
+    """customer -> installed agents: version v<custkey % 3>."""
+    c = read_table(spark, d, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("client_id"),
+                    F.concat(F.lit("v"), F.col("c_custkey") % 3).alias("agent_version"))
+
+
+def order_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """orders -> nodes with Ruby-hash attributes: one device per line, in line order.
+
+    Linux nodes: device /dev/l<line>_<part>, size = quantity, free KB = price. Orders of
+    0 modulo 3 are Windows: device letter by line number (line 1 = C:), home drive D: for
+    even order keys. By order key modulo 10: 3 garbage, 5 NULL, 7 sizes that are no numbers.
+    """
+    o = read_table(spark, d, "orders")
+    li = read_table(spark, d, "lineitem").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    windows, key = F.col("l_orderkey") % 3 == 0, F.col("l_orderkey")
+    device = F.when(windows, F.concat(F.char(F.col("l_linenumber") + 66), F.lit(":"))).otherwise(
+        F.concat(F.lit("/dev/l"), F.col("l_linenumber"), F.lit("_"), F.col("l_partkey")))
+    size = F.concat(F.col("l_quantity").cast("long"), F.when(key % 10 == 7, F.lit("kB")).otherwise(F.lit("")))
+    text = F.concat(F.lit('"'), device, F.lit('"=>{"kb_size"=>"'), size, F.lit('", "kb_available"=>"'),
+                    F.col("l_extendedprice").cast("long"), F.lit('"}'))
+    # The lines of one order; a device that repeats keeps its last line.
+    lines = li.groupBy("l_orderkey", device.alias("device")).agg(
+        F.max(F.struct(*LINE_ORDER, text.alias("t"))).alias("m"))
+    per = lines.groupBy(key.alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("device", "m.t"))).alias("items"))
+    home = F.when(F.col("o_orderkey") % 2 == 0, F.lit(', "mvHome"=>"D:/mv"')).otherwise(F.lit(', "mvHome"=>nil'))
+    attributes = F.concat(F.lit("{"), F.array_join(F.transform("items", lambda x: x["t"]), ", "), home, F.lit("}"))
+    rest = F.col("o_orderkey") % 10
+    attributes = F.when(rest == 3, F.lit("no hash")).when(rest == 5, F.lit(None).cast("string")).otherwise(attributes)
+    return per.select(F.col("o_orderkey").alias("server_host"),
+                      F.when(F.col("o_orderkey") % 3 == 0, F.lit("WINDOWS")).otherwise(F.lit("LINUX")).alias("server_type"),
+                      attributes.alias("attributes"))
+
+
 def document_scripts(spark: SparkSession, d: str) -> DataFrame:
     """documents -> audit scripts, whole texts, one row each (no grouping).
 
@@ -395,10 +435,11 @@ def document_scripts(spark: SparkSession, d: str) -> DataFrame:
 # Installation messages: one per order
 # ---------------------------------------------------------------------------
 
-# Plan of every stand-in document: two chef phases, then an agent phase.
+# Plan of every stand-in document: two chef phases and an agent phase. Phase ids are
+# text, so "10" runs before "2".
 STANDIN_PLAN = [
-    ("1", "chef", "deploy.started", "deploy.done", "deploy.failed"),
-    ("2", "chef", "lines.started", "lines.done", "lines.failed"),
+    ("2", "chef", "deploy.started", "deploy.done", "deploy.failed"),
+    ("10", "chef", "lines.started", "lines.done", "lines.failed"),
     ("3", "agent", "agent.started", "agent.done", "agent.failed"),
 ]
 STANDIN_DEPLOY_RECIPE = "recipe[app::deploy]"
@@ -410,8 +451,13 @@ def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
     An order is one message. Its server entries are the suppliers of its lines (in
     supplier order); a server's apps are its lines (brand = product, line number =
     port, supplier nation and return flag = balancer); its run list is the deploy
-    recipe (phase "1") and one recipe per line (phase "2"). A line with return
+    recipe (phase "2") and one recipe per line (phase "10"). A line with return
     flag R fails its recipe. A document is assembled from the lines of one order.
+
+    By order key: 3 modulo 11 has a body that breaks off, 5 modulo 13 no outcomes of its
+    lines, and in its first line 3 modulo 17 names a product group and 7 modulo 17 a
+    group without that variant. Every document asks for an agent version (0 modulo 4:
+    one that no client has), 0 modulo 19 for a rule that does not exist.
     """
     o = read_table(spark, d, "orders")
     li = read_table(spark, d, "lineitem")
@@ -422,8 +468,12 @@ def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
              .join(n, s.s_nationkey == n.n_nationkey))
     line_key = F.struct(*[F.col(c) for c in LINE_ORDER])
     app = F.struct(
-        F.col("p_brand").alias("productname"), F.lit("g").alias("group"), F.lit(None).cast("string").alias("context"),
-        F.lit("web").alias("type"), F.col("p_name").alias("version"),
+        F.when((F.col("l_orderkey") % 17 == 3) & (F.col("l_linenumber") == 1), F.lit("SOULMV-H5"))
+        .when((F.col("l_orderkey") % 17 == 7) & (F.col("l_linenumber") == 1), F.lit("CLASRISCO"))
+        .otherwise(F.col("p_brand")).alias("productname"),
+        F.lit("g").alias("group"), F.lit(None).cast("string").alias("context"),
+        F.when((F.col("l_orderkey") % 17 == 7) & (F.col("l_linenumber") == 1), F.lit("reports"))
+        .otherwise(F.lit("web")).alias("type"), F.col("p_name").alias("version"),
         F.col("l_partkey").cast("string").alias("itemVersion"), F.col("l_linenumber").cast("string").alias("port"),
         F.col("l_suppkey").cast("string").alias("serverId"), F.col("n_name").alias("balancer_host"),
         F.col("l_returnflag").alias("balancer_port"), F.lit("i").alias("serverInstance"))
@@ -438,8 +488,8 @@ def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
         F.struct(F.array_distinct(F.transform("items", lambda x: x["app"]["port"])).alias("port"))
         .alias("tomcatinstance"),
         F.transform("items", lambda x: x["app"]).alias("app_list"),
-        F.array(F.struct(F.lit("1").alias("id"), F.array(F.lit(STANDIN_DEPLOY_RECIPE)).alias("recipes")),
-                F.struct(F.lit("2").alias("id"), F.transform("items", lambda x: x["r"]).alias("recipes")))
+        F.array(F.struct(F.lit("2").alias("id"), F.array(F.lit(STANDIN_DEPLOY_RECIPE)).alias("recipes")),
+                F.struct(F.lit("10").alias("id"), F.transform("items", lambda x: x["r"]).alias("recipes")))
         .alias("run_list"))
     docs = per_server.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_suppkey", server.alias("srv")))).alias("servers"),
@@ -452,24 +502,35 @@ def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
                               F.lit(f"phase {i}").alias("initialDescription"),
                               F.lit(f"phase {i} done").alias("finalDescription"))
                      for i, t, si, sc, se in STANDIN_PLAN])
+    key = F.col("o_orderkey")
+
+    def rule(name: str, metric: F.Column) -> F.Column:
+        return F.struct(F.lit(name).alias("name"), metric.alias("metric"))
+
+    version = F.when(key % 4 == 0, F.lit("v9")).otherwise(F.concat(F.lit("v"), F.col("o_custkey") % 3))
+    asked = F.filter(F.array(rule("CHECK_AGENT_VERSION", version),
+                             F.when(key % 19 == 0, rule("CHECK_MOON", F.lit("full")))), lambda r: r.isNotNull())
     body = F.to_json(F.struct(F.transform("servers", lambda x: x["srv"]).alias("list_server"),
-                              F.array_sort("balancers").alias("listBalancer"), plan.alias("executionPlan")))
+                              F.array_sort("balancers").alias("listBalancer"), plan.alias("executionPlan"),
+                              asked.alias("validations")))
+    body = F.when(key % 11 == 3, F.substring(body, F.lit(1), F.length(body) - 9)).otherwise(body)
     msgs = o.join(docs, o.o_orderkey == docs.l_orderkey).select(
         F.col("o_orderkey").cast("string").alias("msg_id"), F.col("o_custkey").cast("string").alias("client_id"),
         F.lit("Prod").alias("environment"), F.col("o_orderpriority").alias("execution_plan"),
         F.when(F.col("o_orderstatus") == "P", F.lit("download")).otherwise(F.lit("install")).alias("command"),
         F.lit("installation").alias("type_message"), body.alias("body"))
-    # Outcomes: every recipe exits 0 except a line with return flag R.
+    # Outcomes: every recipe exits 0 except a line with return flag R; some orders report none for their lines.
     srv_pos = per_server.select("l_orderkey", "l_suppkey", F.posexplode("items").alias("rec_pos", "it"))
     rank = per_server.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("sups"))
     steps = srv_pos.join(rank, "l_orderkey").select(
         F.col("l_orderkey").cast("string").alias("msg_id"),
         (F.array_position("sups", F.col("l_suppkey")) - 1).cast("int").alias("srv_pos"), "rec_pos",
         F.col("it.flag").alias("flag"))
-    line_out = steps.select("msg_id", F.lit("2").alias("phase_id"), "srv_pos", F.lit(1).alias("visit_pos"),
+    reported = F.col("msg_id").cast("long") % 13 != 5
+    line_out = steps.where(reported).select("msg_id", F.lit("10").alias("phase_id"), "srv_pos", F.lit(1).alias("visit_pos"),
                             F.lit(1).alias("entry_pos"), F.col("rec_pos").cast("int").alias("rec_pos"),
                             F.when(F.col("flag") == "R", 1).otherwise(0).alias("exit_status"))
     deploy_out = steps.select("msg_id", "srv_pos").distinct().select(
-        "msg_id", F.lit("1").alias("phase_id"), "srv_pos", F.lit(0).alias("visit_pos"), F.lit(0).alias("entry_pos"),
+        "msg_id", F.lit("2").alias("phase_id"), "srv_pos", F.lit(0).alias("visit_pos"), F.lit(0).alias("entry_pos"),
         F.lit(0).alias("rec_pos"), F.lit(0).alias("exit_status"))
     return msgs, line_out.unionByName(deploy_out)

@@ -151,6 +151,7 @@ ERROR_DESCRIPTION_PREFIX = "Erro - "
 S = T.StringType()
 
 MESSAGE_SCHEMA = T.StructType([
+    T.StructField("msg_id", S),
     T.StructField("client_id", S),
     T.StructField("environment", S),
     T.StructField("execution_plan", S),
@@ -208,17 +209,23 @@ INSTALLATION_SCHEMA = T.StructType([
     ])),
 ])
 
-# Body schema per route; routes without a body of interest parse as a string map.
+# Body schema per route. The update and version checks carry no fields of interest: their
+# bodies parse as a map from names to texts.
+ANY_BODY = T.MapType(S, S)
 BODY_SCHEMAS = {
     "INSTALLATION": INSTALLATION_SCHEMA,
     "BOOTSTRAP": T.StructType([T.StructField(n, S) for n in (
         "name", "host", "type", "userLogin", "passwordUser", "initialExecution")]),
     "CHECK_DATABASE": INSTALLATION_SCHEMA["databaseInformation"].dataType,
     "DATABASE_AUDIT_INFORMATION": INSTALLATION_SCHEMA["databaseInformation"].dataType,
+    "UPDATE_AGENT": ANY_BODY,
+    "UPDATE_COOKBOOKS": ANY_BODY,
+    "CHECK_AGENT_VERSION": ANY_BODY,
+    "CHECK_COOKBOOK_VERSION": ANY_BODY,
 }
 
 # Fields that hold secrets; they never enter a table.
-SECRET_FIELDS = ["serverPassword", "passwordUser"]
+SECRET_FIELDS = ["serverPassword", "passwordUser", "passwordApp", "passwordInstall"]
 
 # Exit statuses of the recipes as they come back from the nodes (input of the
 # installation flow). A step is (phase, server entry, visiting entry, run-list

@@ -41,29 +41,42 @@ def read_catalog_jdbc(spark: SparkSession, url: str, table: str, properties: dic
 
 
 def load_snapshot(spark: SparkSession, path: str, environment: str | None = None) -> DataFrame | None:
-    """The latest generation of the balancer snapshot (partition pruning on environment)."""
+    """The latest generation of each client environment's balancer snapshot.
+
+    Partitions are pruned on the environment. None if the path does not exist; any other
+    failure (an unreadable or schemaless folder) is raised, not taken for "no snapshot".
+    """
     from pyspark.errors import AnalysisException
 
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if environment is not None:
         df = df.where(F.col("environment") == environment.lower())
-    latest = df.groupBy("environment").agg(F.max("generation").alias("generation"))
-    return df.join(latest, ["environment", "generation"], "left_semi")
+    key = ["client_id", "environment"]
+    latest = df.groupBy(*key).agg(F.max("generation").alias("generation"))
+    return df.join(latest, [*key, "generation"], "left_semi")
 
 
 def save_snapshot(topo: DataFrame, path: str, generation: int) -> None:
-    """Append a new generation (never overwrite a path being read).
+    """Write a new generation (never overwrite one being read).
 
-    Older generations stay readable as backups; readers take the latest one.
+    ``topo`` carries client_id and environment. Older generations stay readable as
+    backups; readers take the latest one. A retry of the same generation replaces the
+    partitions it writes.
     """
     (topo.withColumn("generation", F.lit(generation).cast("long"))
-     .write.mode("append").partitionBy("environment", "generation").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("environment", "generation").parquet(path))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Status and log rows as JSON documents, one per line."""
+def write_events(events: DataFrame, path: str, batch_id: int | str) -> None:
+    """Status and log rows as JSON documents, one per line, under ``batch_id=<id>``.
+
+    A retried batch replaces its own folder.
+    """
     (events.select(F.to_json(F.struct(*events.columns)).alias("value"))
-     .write.mode("append").text(path))
+     .write.mode("overwrite").text(f"{path.rstrip('/')}/batch_id={batch_id}"))

@@ -19,12 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas as S
 from ..operators import messages as M
+from ..operators.tables import materialize_table, scratch_tables
 from ..sources.files import read_messages
 
 
 def accepted_messages(msgs: DataFrame, clients: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Stream-safe front end on an already-read message stream."""
+    """Stream-safe front end on an already-read message stream.
+
+    The de-duplication drops rows that arrive later than the watermark. They are not
+    lost: ``late_messages`` reads the same files and returns what the sink lacks.
+    """
     norm = M.normalize_codes(msgs)
     acc = M.accept_messages(norm, clients)
     dd = acc.withWatermark("arrival_ts", watermark).dropDuplicatesWithinWatermark(M.DEDUP_KEYS)
@@ -38,15 +44,41 @@ def message_stream(spark: SparkSession, path: str, clients: DataFrame, watermark
     return accepted_messages(msgs, clients, watermark)
 
 
+def late_messages(arrived: DataFrame, written: DataFrame, clients: DataFrame) -> DataFrame:
+    """Accepted messages (batch) of which no copy reached the sink: what came behind the watermark.
+
+    ``arrived``: all messages of the source; ``written``: the fan-out's output. Each is an
+    error row, first copy by arrival, to be run again or reported.
+    """
+    acc = M.dedup_messages(M.accept_messages(M.normalize_codes(arrived), clients))
+    seen = written.select(*M.DEDUP_KEYS).distinct()
+    same = [acc[k].eqNullSafe(seen[k]) for k in M.DEDUP_KEYS]
+    return M.route(acc.join(seen, same, "left_anti")).withColumn("_error", F.lit("later than the watermark")).drop("body")
+
+
 def route_writer(out_dir: str) -> Callable[[DataFrame, int], None]:
     """Write each micro-batch under ``batch_id=<id>/route=<route>``.
 
-    A retried batch overwrites its own folder, so the sink is idempotent.
+    Bodies are parsed first (secrets dropped, corrupt text replaced by its hash) and
+    written as JSON of what was parsed; the raw body is never written. A retried batch
+    overwrites its own folder, so the sink is idempotent.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").partitionBy("route")
-         .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}"))
+        batch = batch.persist()  # one read of the source for all routes
+        try:
+            out = batch.where(~F.col("route").isin(*S.BODY_SCHEMAS)).drop("body").withColumn("doc", F.lit(None).cast("string")) \
+                .withColumn("_corrupt", F.lit(None).cast("string"))
+            if "body" in batch.columns:
+                for route in S.BODY_SCHEMAS:
+                    parsed = M.parse_body(batch, route)
+                    out = out.unionByName(parsed.withColumn("doc", F.to_json("doc")))
+            else:
+                out = batch
+            (out.withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").partitionBy("route")
+             .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
     return write
 
 
@@ -73,11 +105,12 @@ def installation_writer(outcomes: DataFrame, out_dir: str,
     from ..plans.installation import run_installation
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = M.parse_body(batch, "INSTALLATION").select(
-            "msg_id", "client_id", "environment", "execution_plan", "command", "doc")
-        mine = outcomes.join(docs.select("msg_id"), "msg_id", "left_semi")
-        res = run_installation(docs, mine, created_at=created_at)
-        for name in ("status_events", "server_events", "logs"):
-            getattr(res, name).write.mode("overwrite").parquet(
-                f"{out_dir.rstrip('/')}/{name}/batch_id={batch_id}")
+        with scratch_tables():  # the flow's intermediate tables go with the batch
+            docs = materialize_table(M.parse_body(batch, "INSTALLATION").select(
+                "msg_id", "client_id", "environment", "execution_plan", "command", "doc", "_corrupt"))
+            mine = outcomes.join(docs.select("msg_id"), "msg_id", "left_semi")
+            res = run_installation(docs, mine, created_at=created_at)
+            for name in ("status_events", "server_events", "logs", "errors"):
+                getattr(res, name).write.mode("overwrite").parquet(
+                    f"{out_dir.rstrip('/')}/{name}/batch_id={batch_id}")
     return write

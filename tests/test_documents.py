@@ -1,3 +1,4 @@
+import copy
 import json
 
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ DOC = {
     "validations": [],
 }
 
+# The same without the app that names a group variant which does not exist.
+RUNNABLE = copy.deepcopy(DOC)
+RUNNABLE["list_server"][1]["app_list"][1]["type"] = "web"
+
 
 def docs(spark):
     msgs = spark.createDataFrame([("m1", "INSTALLATION", json.dumps(DOC)), ("m2", "INSTALLATION", "{bad json")],

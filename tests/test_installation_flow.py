@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from shipyard.operators import messages as M
 from shipyard.plans.installation import run_installation
-from test_documents import DOC
+from test_documents import DOC, RUNNABLE
 
 OUT_SCHEMA = "msg_id string, phase_id string, srv_pos int, visit_pos int, entry_pos int, rec_pos int, exit_status int"
 
@@ -20,9 +20,9 @@ def _docs(spark, bodies):
 
 
 def test_flow_stops_at_first_failure(spark):
-    ok_doc = copy.deepcopy(DOC)
+    ok_doc = copy.deepcopy(RUNNABLE)
     ok_doc["executionPlan"] = [ph for ph in ok_doc["executionPlan"] if ph["id"] != "1"]  # no leading AGENT
-    docs = _docs(spark, [("m1", ok_doc), ("m2", ok_doc), ("m3", DOC)])
+    docs = _docs(spark, [("m1", ok_doc), ("m2", ok_doc), ("m3", RUNNABLE)])
     # m1: every step passes. m2: the balancer recipe of phase "2" fails.
     ok = [("10", 0, 1, 1, 0), ("10", 1, 0, 0, 0), ("2", 0, 0, 0, 0), ("2", 0, 0, 0, 1), ("2", 0, 0, 2, 0),
           ("2", 0, 2, 0, 0), ("2", 0, 2, 0, 1), ("2", 0, 2, 2, 0)]
@@ -58,7 +58,7 @@ def test_flow_stops_at_first_failure(spark):
 
 
 def test_flow_rejects_failed_validation(spark):
-    docs = _docs(spark, [("m1", DOC)])
+    docs = _docs(spark, [("m1", RUNNABLE)])
     res = run_installation(docs, spark.createDataFrame([], OUT_SCHEMA),
                            results=spark.createDataFrame([("m1", "CHECK_AGENT_VERSION", False)],
                                                          "msg_id string, rule string, passed boolean"))
@@ -81,20 +81,93 @@ def test_flow_on_order_documents(spark):
 
     msgs, outcomes = SI.order_installations(spark, SF_SMALL)
     docs = M.parse_body(M.route(M.normalize_codes(msgs)), "INSTALLATION").select(
-        "msg_id", "client_id", "environment", "execution_plan", "command", "doc")
+        "msg_id", "client_id", "environment", "execution_plan", "command", "doc", "_corrupt")
     res = run_installation(docs, outcomes, created_at="2024-01-01 00:00:00")
-    per = {(r.msg_id, r.phase_id): r.effective_exit for r in res.phase_results.collect()}
-    msgs_all = {m for m, _ in per}
-    assert len(msgs_all) == spark.read.parquet(f"{SF_SMALL}/orders.parquet").join(
-        spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"),
-        "left_semi").count()
-    for m in msgs_all:
-        assert per[(m, "1")] == 0                       # the deploy recipe always passes
-        assert ((m, "3") in per) == (per[(m, "2")] == 0)  # phase 3 starts exactly when phase 2 passed
-        if (m, "3") in per:
-            assert per[(m, "3")] == 0                   # it carries phase 2's response
-    failing = {r.msg_id for r in spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-               .where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("msg_id")).collect()}
-    assert {m for m in msgs_all if per[(m, "2")] != 0} == failing
-    # passwords never reach a flattened table
-    assert "secret" not in str(res.steps.columns)
+    errors = {}
+    for r in res.errors.collect():
+        errors.setdefault(r.error, set()).add(int(r.msg_id))
+    lines = [(r.l_orderkey, r.l_linenumber, r.l_returnflag) for r in spark.read.parquet(f"{SF_SMALL}/orders.parquet").join(
+        spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey")).collect()]
+    keys = {k for k, _, _ in lines}
+    # no observations are given, so only broken bodies and missing variants keep a message from running
+    assert errors["corrupt body"] == {k for k in keys if k % 11 == 3}
+    missing = {k for k, n, _ in lines if k % 17 == 7 and n == 1 and k % 11 != 3}
+    assert errors["no product group CLASRISCO_REPORTS"] == missing
+    running = {k for k in keys if k % 11 != 3} - missing
+    silent = {k for k in running if k % 13 == 5}
+    assert errors["no outcome reported"] == silent
+    per = {(int(r.msg_id), r.phase_id): r.effective_exit for r in res.phase_results.collect()}
+    failing = {k for k, _, flag in lines if flag == "R" and k in running - silent}
+    assert {k for k, _ in per} == running - silent
+    for k in running - silent:
+        assert per[k, "10"] == (1 if k in failing else 0)  # text order: "10" before "2"
+        assert ((k, "2") in per) == ((k, "3") in per) == (k not in failing)
+        if k not in failing:
+            assert per[k, "2"] == per[k, "3"] == 0  # phase 3 carries phase 2's response
+    assert {int(r.msg_id) for r in res.registry_updates.collect()} <= running - silent - failing
+
+
+def test_missing_outcomes_are_no_success(spark):
+    ok_doc = copy.deepcopy(RUNNABLE)
+    ok_doc["executionPlan"] = [ph for ph in ok_doc["executionPlan"] if ph["id"] != "1"]
+    res = run_installation(_docs(spark, [("m1", ok_doc)]), spark.createDataFrame([], OUT_SCHEMA),
+                           created_at="2024-01-01 00:00:00")
+    assert rows(res.errors) == [("m1", "no outcome reported")]
+    assert rows(res.steps, "phase_id", "srv_pos", "exit_status", "_error") == [("10", 0, None, "no outcome reported")]
+    assert res.phase_results.count() == res.status_events.count() == res.registry_updates.count() == 0
+    assert res.server_events.count() == 0
+    texts = [t for _, t in rows(res.logs, "ds_nivel", "lo_conteudo")]
+    assert not any("sucesso" in t or "concluido" in t for t in texts)
+    assert rows(res.logs.where("ds_nivel = 'ERROR'"), "lo_conteudo") == [("no outcome reported",)]
+
+
+def test_errors_keep_a_message_from_running(spark):
+    bad = copy.deepcopy(RUNNABLE)
+    bad["validations"] = [{"name": "CHECK_MOON", "metric": "full"}]
+    old = copy.deepcopy(RUNNABLE)
+    old["validations"] = [{"name": "CHECK_AGENT_VERSION", "metric": "v2"}]
+    docs = _docs(spark, [("group", DOC), ("rule", bad), ("version", old)])
+    from shipyard.operators.rules import Observations
+
+    agents = spark.createDataFrame([("c1", "v1")], "client_id string, agent_version string")
+    res = run_installation(docs, spark.createDataFrame([], OUT_SCHEMA), observations=Observations(agents=agents),
+                           created_at="2024-01-01 00:00:00")
+    assert rows(res.errors) == [("group", "no product group CLASRISCO_REPORTS"), ("rule", "unknown validation rule")]
+    assert res.steps.count() == 0 and res.topology.count() == 0
+    assert len([t for _, t in rows(res.logs, "ds_nivel", "lo_conteudo") if t.startswith("Requisitos")]) == 1
+
+
+def test_snapshot_stays_with_its_client(spark):
+    """Two clients with an environment of one name: only the snapshot's own client gets its servers."""
+    docs = _docs(spark, [("m1", RUNNABLE)])
+    docs = docs.unionByName(docs.withColumn("msg_id", F.lit("m2")).withColumn("client_id", F.lit("c2")))
+    first = run_installation(docs, spark.createDataFrame([], OUT_SCHEMA), created_at="2024-01-01 00:00:00").topology
+    snap = first.where("msg_id = 'm1' AND server_host = 'h1'").limit(1).withColumn("server_host", F.lit("gone"))
+    res = run_installation(docs, spark.createDataFrame([], OUT_SCHEMA), snapshot=snap, created_at="2024-01-01 00:00:00")
+    got = rows(res.topology.where("server_host = 'gone'"), "client_id", "environment", "msg_id")
+    assert got == [("c1", "prod", "m1")]
+
+
+def test_no_password_reaches_a_file(spark, tmp_path):
+    """Broken bodies, escaped quotes and every secret field, through the fan-out."""
+    import glob
+
+    from shipyard.streaming.messages import route_writer
+
+    broken = json.dumps(RUNNABLE)[:-40].replace('"secret"', '"ab\\\\\\"hunter2"')
+    database = json.dumps({"cdUserApp": "u", "passwordApp": "hunter3", "passwordInstall": "hunter4"})
+    boot = json.dumps({"name": "n", "passwordUser": "hunter5"})
+    free = json.dumps({"version": "1", "serverPassword": "hunter6"})
+    msgs = spark.createDataFrame(
+        [("m1", "installation", broken), ("m2", "installation", json.dumps(RUNNABLE)), ("m3", "check_database", database),
+         ("m4", "bootstrap", boot), ("m5", "update_agent", free), ("m6", "else", "hunter7"), ("m7", "update_agent", "hunter8")],
+        "msg_id string, type_message string, body string")
+    out = str(tmp_path / "out")
+    route_writer(out)(M.route(M.normalize_codes(msgs, command_col=None)), 0)
+    got = spark.read.parquet(out)
+    assert got.count() == 7 and "body" not in got.columns
+    text = " ".join(str(tuple(r)) for r in got.collect())
+    assert "hunter" not in text and "secret" not in text and "md5 " in text
+    for f in glob.glob(f"{out}/**/*.parquet", recursive=True):
+        raw = open(f, "rb").read()
+        assert b"hunter" not in raw and b"secret" not in raw

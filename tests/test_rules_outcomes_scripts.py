@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -179,18 +180,85 @@ def test_scan_script_packages(spark, tmp_path):
     assert rows(sc, "filename", "name", "content") == [
         ("p1.zip", "001.sql", "select 'é'"), ("p1.zip", "sub/002.sql", "x"), ("p2.zip", "001.sql", "second")]
     assert rows(X.scripts_per_package(sc), "filename", "n_scripts") == [("p1.zip", 2), ("p2.zip", 1)]
+    (d / "p3.zip").write_bytes(b"no zip")
+    bad = spark.createDataFrame([("m", "p3.zip", "PROD", "12", "1.2"), ("m", "p1.zip", "PROD", "10", "1.0")], pk.schema)
+    both = X.scan_script_packages(spark, str(d / "*.zip"), bad)
+    assert rows(both.where("_error IS NOT NULL"), "filename", "name") == [("p3.zip", None)]
+    assert rows(X.scripts_per_package(both), "filename", "n_scripts") == [("p1.zip", 2), ("p3.zip", 0)]
 
 
 def test_snapshot_generations(spark, tmp_path):
     path = str(tmp_path / "snap")
     assert files.load_snapshot(spark, path) is None
-    a = spark.createDataFrame([("prod", "lb", 1)], "environment string, balancer_host string, v int")
+    a = spark.createDataFrame([("c1", "prod", "lb", 1)], "client_id string, environment string, balancer_host string, v int")
     files.save_snapshot(a, path, 1)
     files.save_snapshot(a.withColumn("v", F.lit(2)), path, 2)
+    files.save_snapshot(a.withColumn("v", F.lit(2)), path, 2)  # a retry replaces its generation
     files.save_snapshot(a.withColumn("environment", F.lit("qa")), path, 1)
-    got = rows(files.load_snapshot(spark, path), "environment", "v", "generation")
-    assert got == [("prod", 2, 2), ("qa", 1, 1)]
+    files.save_snapshot(a.withColumn("client_id", F.lit("c2")).withColumn("environment", F.lit("dev")), path, 1)
+    got = rows(files.load_snapshot(spark, path), "client_id", "environment", "v", "generation")
+    assert got == [("c1", "prod", 2, 2), ("c1", "qa", 1, 1), ("c2", "dev", 1, 1)]
     assert rows(files.load_snapshot(spark, path, "PROD"), "v") == [(2,)]
+    (tmp_path / "odd").mkdir()
+    with pytest.raises(Exception):  # a folder without a schema is no missing snapshot
+        files.load_snapshot(spark, str(tmp_path / "odd"))
+
+
+def test_event_sink_is_idempotent(spark, tmp_path):
+    rows_ = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    for _ in range(2):
+        files.write_events(rows_, str(tmp_path / "ev"), 7)
+    assert spark.read.text(str(tmp_path / "ev")).count() == 2
+
+
+NODES = [("m", "lin", "LINUX", '{"/a"=>{"kb_size"=>"10", "kb_available"=>"99000"}, "/b"=>{"kb_size"=>"9", "kb_available"=>"1"}}'),
+         ("m", "win", "WINDOWS", '{"C:"=>{"kb_size"=>"1", "kb_available"=>"1"}, "D:"=>{"kb_size"=>"5", "kb_available"=>"200000"}, "mvHome"=>"D:/x"}'),
+         ("m", "nohome", "WINDOWS", '{"C:"=>{"kb_size"=>"1", "kb_available"=>"1"}, "mvHome"=>"E:/x"}'),
+         ("m", "nil", "LINUX", '{"/a"=>{"kb_size"=>nil, "kb_available"=>"5"}}'),
+         ("m", "text", "LINUX", '{"/a"=>{"kb_size"=>"12kB", "kb_available"=>"x"}}'),
+         ("m", "null", "LINUX", None), ("m", "garbage", "LINUX", "no hash")]
+NODE_COLS = "msg_id string, server_host string, server_type string, attributes string"
+
+
+def test_every_node_is_judged(spark):
+    nodes = spark.createDataFrame(NODES, NODE_COLS)
+    nodes = nodes.withColumn("drive", R.home_drive(nodes))
+    got = rows(R.disk_check(R.parse_filesystem(nodes), ["server_host"], 90, "server_type", "drive"),
+               "server_host", "device", "free_mb", "passed", "_error")
+    assert got == [("garbage", None, None, False, "no usable device"), ("lin", "/a", 99, True, None),
+                   ("nil", None, None, False, "no usable device"), ("nohome", None, None, False, "home drive not found: E:"),
+                   ("null", None, None, False, "no usable device"), ("text", None, None, False, "no usable device"),
+                   ("win", "D:", 200, True, None)]
+
+
+def test_run_rules(spark):
+    """Every rule of a message, in one result shape; the tablespace rule only warns."""
+    asked = [("m1", "c1", "prod", k, n, v) for k, (n, v) in enumerate([
+        ("CHECK_AGENT_VERSION", "v1"), ("CHECK_SERVERS_DISK_SPACE", "90"), ("CHECK_DATABASE_CONNECTION", None),
+        ("CHECK_DATABASE_TABLESPACE", None), ("CHECK_DATABASE_USER_MASTER", None)])]
+    asked += [("m2", "c2", "prod", 0, "CHECK_AGENT_VERSION", "v9"), ("m2", "c2", "prod", 1, "CHECK_SERVERS_DISK_SPACE", "10"),
+              ("m2", "c2", "prod", 2, "CHECK_DATABASE_CONNECTION", None), ("m2", "c2", "prod", 3, "CHECK_DATABASE_USER_MASTER", None),
+              ("m3", "c1", "prod", 0, "CHECK_MOON", None)]
+    rules = spark.createDataFrame(asked, "msg_id string, client_id string, environment string, rule_pos int, rule string, metric string")
+    nodes = spark.createDataFrame([("m1", *n[1:]) for n in NODES[:2]] + [("m2", *NODES[5][1:])], NODE_COLS)
+    seen = R.Observations(
+        agents=spark.createDataFrame([("c1", "v1"), ("c2", "v1")], "client_id string, agent_version string"), nodes=nodes,
+        connections=spark.createDataFrame([("c1", "prod", True)], "client_id string, environment string, connected boolean"),
+        capacity=spark.createDataFrame([("c1", "prod", "MV2000_D", 1.0)],
+                                       "client_id string, environment string, tablespace_name string, value double"),
+        privileges=spark.createDataFrame([("c1", "prod", "PACKAGE"), ("c1", "prod", "ROLE"), ("c2", "prod", "ROLE")],
+                                         "client_id string, environment string, NAME string"))
+    out = R.run_rules(rules, seen)
+    got = {(r.msg_id, r.rule): r.passed for r in out.collect()}
+    assert got == {("m1", n): True for _, _, _, _, n, _ in asked[:5]} | {
+        ("m2", "CHECK_AGENT_VERSION"): False, ("m2", "CHECK_SERVERS_DISK_SPACE"): False,
+        ("m2", "CHECK_DATABASE_CONNECTION"): False, ("m2", "CHECK_DATABASE_USER_MASTER"): False, ("m3", "CHECK_MOON"): False}
+    warned = [r.message for r in out.collect() if r.rule == "CHECK_DATABASE_TABLESPACE"]
+    assert "MV2000_I : 28672" in warned[0] and "MV2000_D : 28672" in warned[0]
+    verdict = rows(R.validation_verdict(out, rules.select("msg_id").distinct()), "msg_id", "verdict", "_error")
+    assert verdict == [("m1", True, None), ("m2", False, None), ("m3", False, "unknown validation rule")]
+    nothing = R.run_rules(rules.where("msg_id = 'm1'"), R.Observations())
+    assert {r.message for r in nothing.collect()} == {"not observed"}
 
 
 def test_statements_operator(spark):

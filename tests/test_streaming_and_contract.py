@@ -117,11 +117,13 @@ def test_stream_dedup_is_bounded_by_event_time(spark, tmp_path):
 def test_installation_flow_inside_foreach_batch(spark, tmp_path):
     """The batch-only flow runs per micro-batch and gives the rows of one batch run."""
     from shipyard.plans.installation import run_installation
-    from test_documents import DOC
+    from test_documents import RUNNABLE
+
+    doc = dict(RUNNABLE, executionPlan=[ph for ph in RUNNABLE["executionPlan"] if ph["id"] != "1"])
 
     def inst(mid, minute):
         m = _msg(0, "c1", mid, "installation", "h1", minute)
-        m["body"] = json.dumps(DOC)
+        m["body"] = json.dumps(doc)
         return m
 
     src = str(tmp_path / "in")
@@ -144,3 +146,24 @@ def test_installation_flow_inside_foreach_batch(spark, tmp_path):
     batch = run_installation(docs, outcomes, created_at="2024-01-01 00:00:00").status_events
     assert rows(streamed) == rows(batch.select(*streamed.columns))
     assert streamed.count() > 0
+    errors = rows(spark.read.parquet(f"{out}/errors"), "msg_id", "error")
+    assert errors == [("m1", "no outcome reported"), ("m2", "no outcome reported")]  # phase "2" has none
+
+
+def test_late_messages_are_found(spark, tmp_path):
+    """What comes behind the watermark is dropped by the stream and returned as error rows."""
+    def msg(seq, mid, minute):
+        return _msg(seq, "c1", mid, "check_database", None, minute)
+
+    # the late filter follows the watermark by one micro-batch
+    batches = [[msg(1, "m1", 0)], [msg(2, "m2", 59)], [msg(3, "m5", 59)], [msg(4, "m3", 1), msg(5, "m1", 2)],
+               [msg(6, "m4", 59)]]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _write_batches(src, batches)
+    clients = spark.createDataFrame([("c1", "h1", "1")], S.CLIENT_SCHEMA)
+    routed = SM.message_stream(spark, src, clients, watermark="10 minutes", max_files_per_trigger=1)
+    SM.start_fan_out(routed, out, str(tmp_path / "ckpt")).awaitTermination(120)
+    written = spark.read.parquet(out)
+    assert [m for m, in rows(written, "message_id")] == ["m1", "m2", "m4", "m5"]
+    late = SM.late_messages(spark.read.schema(S.MESSAGE_SCHEMA).json(src), written, clients)
+    assert rows(late, "message_id", "_error") == [("m3", "later than the watermark")]
