@@ -132,3 +132,81 @@ def test_tablespace_capacity_fans_out_temp_headers(spark):
     tview = spark.createDataFrame([(7,), (8,)], "file_no int")
     cap = C.tablespace_capacity(data, dview, free, temp, header, tview, ["MV2000_D", "MV2000_L"])
     assert rows(cap) == [("MV2000_D", 10.0), ("MV2000_L", 4.0)]
+
+
+def _nest(flat):
+    """Flat topology rows -> {(key, bal_pos, host, port): {server: {port: [(name, type)]}}}."""
+    out = {}
+    for key, pos, host, port, server, sport, name, kind in flat:
+        servers = out.setdefault((key, pos, host, port), {})
+        if server is not None:
+            ports = servers.setdefault(server, {})
+            if sport is not None:
+                ports.setdefault(sport, []).append((name, kind))
+    return out
+
+
+def _plain_merge(new, old):
+    """The snapshot merged balancer by balancer, server by server, port by port."""
+    new, old = _nest(new), _nest(old)
+    for (key, pos, host, port), servers in new.items():
+        for (okey, _, ohost, oport), oservers in old.items():
+            if (okey, ohost, oport) != (key, host, port):
+                continue
+            had = {s: {p: list(v) for p, v in ports.items()} for s, ports in servers.items()}
+            for server, oports in oservers.items():
+                if server not in had:
+                    servers[server] = {p: list(v) for p, v in oports.items()}
+                    continue
+                for sport, products in oports.items():
+                    if sport not in had[server]:
+                        servers[server][sport] = list(products)
+                        continue
+                    for product in products:
+                        if product not in servers[server][sport]:
+                            servers[server][sport].append(product)
+    out = []
+    for bal, servers in new.items():
+        if not servers:
+            out.append((*bal, None, None, None, None))
+        for server, ports in servers.items():
+            if not ports:
+                out.append((*bal, server, None, None, None))
+            for sport, products in ports.items():
+                out += [(*bal, server, sport, *p) for p in products]
+    return sorted(out, key=str)
+
+
+def test_merge_follows_the_nested_loops(spark):
+    """J4 against plain loops, with balancers that are listed twice, bare servers and empty balancers."""
+    import random
+
+    from shipyard.operators import topology as TP
+
+    rng = random.Random(4)
+    schema = ("environment string, bal_pos int, balancer_host string, balancer_port string, server_host string, port string, "
+              "product_name string, product_type string, srv_pos int, app_pos int")
+
+    def side(twice):
+        flat = []
+        for key in ("e1", "e2"):
+            names = [("lb1", "80"), ("lb2", "80")] + ([("lb1", "80")] if twice else [])
+            for pos, (host, port) in enumerate(names):
+                servers = rng.sample(["h1", "h2", "h3"], rng.randint(0, 3))
+                if not servers:
+                    flat.append((key, pos, host, port, None, None, None, None))
+                for server in servers:
+                    ports = rng.sample(["1", "2", "3"], rng.randint(0, 3))
+                    if not ports:
+                        flat.append((key, pos, host, port, server, None, None, None))
+                    for sport in ports:
+                        for name in rng.sample(["A", "B", "C"], rng.randint(1, 3)):
+                            flat.append((key, pos, host, port, server, sport, name, rng.choice(["x", None])))
+        return flat
+
+    for _ in range(3):
+        new, old = side(True), side(False)
+        frames = [spark.createDataFrame([(*r, 0, k) for k, r in enumerate(rows_)], schema) for rows_ in (new, old)]
+        got = TP.merge_topology(*frames, order=["srv_pos", "app_pos"], materialize=False)
+        cols = schema.split(", ")[:8]
+        assert sorted((tuple(r) for r in got.select(*[c.split()[0] for c in cols]).collect()), key=str) == _plain_merge(new, old)
