@@ -6,8 +6,8 @@ of times, so the suffixes are first brought together by anchors:
 
 1. Each ``LENGTH``-byte window names as its anchor the ``GRAM``-byte string in it with
    the least hash (the leftmost of equals). Equal windows have equal anchors, and
-   consecutive windows mostly share one. Anchors are exchanged by hash; those that occur in one
-   row of the table only are done with.
+   consecutive windows mostly share one. Anchors are exchanged as packed hashes; those that
+   occur in one row of the table only are done with.
 2. The stretch of text that an anchor's windows cover is exchanged, whole and byte by
    byte, for the anchors left. All suffixes of a stretch that hold a full window are
    sorted: multikey quicksort, eight bytes a symbol, to ``SHALLOW`` bytes, then blind
@@ -16,9 +16,10 @@ of times, so the suffixes are first brought together by anchors:
    and its least document id decides.
 3. The marked intervals go back to their texts.
 
-Exact copies of an earlier text are found by their sha256 and marked as a whole. Within
-a block of texts, repeats are settled where they are and only one representative is
-sent, so a passage that very many texts share arrives as a row per block.
+Exact copies of an earlier text are found by their sha256 and marked as a whole. What a
+task finds repeated among its own texts is settled there, and only one representative
+is sent on, so a passage that very many texts share arrives once per task. (Where the
+texts differ around it, the stretches at its two ends differ as well and are all sent.)
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ from .textnp import Texts, U, mix, padded, span_keys, words64
 LENGTH = 50
 GRAM = 20
 SHALLOW = 16
+#: Text bytes searched for anchors at a time.
+SEARCH_BYTES = 1 << 20
+#: Keys, and stretches, that a task gathers before it sends them on.
+ASK_KEYS, CUT_STRETCHES = 1 << 20, 1 << 18
 #: Windows sorted at a time (a key with more is taken whole).
 SORT_WINDOWS = 400_000
 NO_ID = (1 << 63) - 1
@@ -63,8 +68,8 @@ def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
 
 
 def stretches(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """The anchors of all windows: text, hash of the anchor, first and last window start of
-    each run of windows with one anchor (positions in the buffer)."""
+    """The anchors of all windows: text, key (hash of the anchor), first and last window start
+    of each run of windows with one anchor (positions in the buffer)."""
     n = len(texts.buf)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -216,29 +221,92 @@ def _route(*parts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in arrow_rows(batches, "text"):
-        texts = Texts(batch.column("text"))
-        doc, key, _, _ = stretches(texts)
-        idx = _index_in_text(doc).astype(np.int64)
-        row = batch.column("row").to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
+def _runs_of(rows: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted row hashes as the different ones and how often each occurs."""
+    starts = _groups(rows)
+    return rows[starts].tobytes(), np.diff(np.append(starts, len(rows))).astype("<u4").tobytes()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, all lowest bytes first: planes of equal bytes compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def _rows_from(rows: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(np.frombuffer(rows, np.int64), np.frombuffer(counts, "<u4"))
+
+
+_NOT_WANTED = 0xFFFFFFFF  # the asking row needs no answer
+_ASK = "route int, keys binary, rows binary, counts binary, idx binary, known_rows binary, known_counts binary, known_idx binary"
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Differences of consecutive numbers (modulo 2 ** 32), in planes."""
+    v = values.astype("<u4")
+    return _planes(np.diff(v, prepend=np.zeros(1, "<u4")))
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, "<u4"), dtype="<u4")
+
+
+def _ask_anchors(parts: int):
+    """Per task: which keys occur, for each of ``parts`` routes as one packed row. What the
+    task itself finds in several rows of the table is sent as known, spread over the routes,
+    and one row asks for the key."""
+    names = [f.split()[0] for f in _ASK.split(", ")]
+
+    def send(key: np.ndarray, row: np.ndarray, idx: np.ndarray) -> pa.RecordBatch:
         order, starts, many = _repeated(key, row)
         sizes = np.diff(np.append(starts, len(order)))
-        settled = order[np.repeat(many, sizes)]  # the block itself holds another row with them
-        single = order[starts]  # one row asks for each group
-        idx_ask = np.where(many, -1, idx[single])
-        more = np.ones(len(order), bool)  # repeats within one row follow it
+        settled = order[np.repeat(many, sizes)]
+        ask = order[starts]
+        wanted = np.where(many, _NOT_WANTED, idx[ask])
+        more = np.ones(len(order), bool)  # repeats within one row follow the first
         more[starts] = False
-        more &= ~np.repeat(many, sizes)
-        ask = np.concatenate([single, order[more]])
-        idx_ask = np.concatenate([idx_ask, idx[order[more]]])
-        keys = key.view(np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([keys[ask], _route(row[settled], idx[settled])])),
-            pa.array(np.concatenate([row[ask], row[settled]])),
-            pa.array(np.concatenate([idx_ask, idx[settled]])),
-            pa.array(np.concatenate([np.zeros(len(ask), bool), np.ones(len(settled), bool)]))],
-            names=["route", "row", "idx", "settled"])
+        more = order[more & ~np.repeat(many, sizes)]
+        ask, wanted = np.concatenate([ask, more]), np.concatenate([wanted, idx[more]]).astype("<u4")
+        route = (key[ask] % U(parts)).astype(np.int64)
+        by = np.lexsort((wanted, row[ask], route))
+        ask, wanted, route = ask[by], wanted[by], route[by]
+        other = (_route(row[settled], idx[settled]).view(np.uint64) % U(parts)).astype(np.int64)
+        by = np.lexsort((idx[settled], row[settled], other))
+        settled, other = settled[by], other[by]
+        out = {n: [] for n in names}
+        bounds, known = np.searchsorted(route, np.arange(parts + 1)), np.searchsorted(other, np.arange(parts + 1))
+        for r in range(parts):
+            a, k = slice(bounds[r], bounds[r + 1]), slice(known[r], known[r + 1])
+            if a.start == a.stop and k.start == k.stop:
+                continue
+            hashed = key[ask[a]] // U(parts)  # 32 of the bits that the route leaves
+            rows, counts = _runs_of(row[ask[a]])
+            known_rows, known_counts = _runs_of(row[settled[k]])
+            values = (r, hashed.astype("<u4").tobytes(), rows, counts, _steps(wanted[a]), known_rows, known_counts,
+                      _steps(idx[settled[k]]))
+            for n, v in zip(names, values):
+                out[n].append(v)
+        types = [pa.int32()] + [pa.binary()] * (len(names) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
+
+    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in arrow_rows(batches, "text", SEARCH_BYTES):
+            doc, key, _, _ = stretches(Texts(batch.column("text")))
+            if len(doc):
+                held.append((key, batch.column("row").to_numpy()[doc], _index_in_text(doc)))
+                size += len(doc)
+            if size >= ASK_KEYS:
+                yield send(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if held:
+            yield send(*(np.concatenate(x) for x in zip(*held)))
+
+    return ask_anchors
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -247,85 +315,135 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of anchors (its width is set by spark.sql.shuffle.partitions)."""
-    table = _gather(batches)
-    if table is None:
-        return
-    key, row, idx = (table.column(c).to_numpy() for c in ("route", "row", "idx"))
-    settled = table.column("settled").to_numpy(zero_copy_only=False)
-    asked = np.flatnonzero(~settled)
-    order, starts, many = _repeated(key[asked], row[asked])
-    found = asked[order[np.repeat(many, np.diff(np.append(starts, len(order))))]]
-    found = np.concatenate([found[idx[found] >= 0], np.flatnonzero(settled)])
-    for k in range(0, len(found), 1 << 16):
-        part = found[k:k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(row[part]), pa.array(idx[part].astype(np.int32))], names=["row", "idx"])
-
-
-_STRETCH = ["route", "doc", "row", "at", "end", "text"]
-
-
-def _cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in arrow_rows(batches, "text"):
-        texts = Texts(batch.column("text"))
-        doc, key, first, last = stretches(texts)
-        idx = _index_in_text(doc)
-        lists = batch.column("anchors")
-        wanted = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
-        wanted = np.unique(wanted.astype(np.int64) << 32 | lists.flatten().to_numpy().astype(np.int64))
-        pick = np.flatnonzero(np.isin(doc << 32 | idx, wanted, assume_unique=True))
-        doc, key, first, end = doc[pick], key[pick], first[pick], last[pick] + LENGTH
-        ids, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
-        if not len(doc):
-            continue
-        # Equal stretches of one block: the least document asks for all, the others are marked.
-        same = span_keys(padded(texts.buf), first, end)
-        order = np.lexsort((ids[doc], same))
+    """One route: the keys that occur in several rows, as (row, index of the key in it)."""
+    keys, rows, idx, known_rows, known_idx = ([np.zeros(0, d)] for d in ("<u8", "<i8", "<u4", "<i8", "<u4"))
+    for batch in batches:
+        for r in batch.to_pylist():
+            keys.append(np.frombuffer(r["keys"], "<u4").astype(np.uint64) | U(r["route"]) << U(32))
+            rows.append(_rows_from(r["rows"], r["counts"]))
+            idx.append(_from_steps(r["idx"]))
+            known_rows.append(_rows_from(r["known_rows"], r["known_counts"]))
+            known_idx.append(_from_steps(r["known_idx"]))
+    key, row, index = np.concatenate(keys), np.concatenate(rows), np.concatenate(idx)
+    order, starts, many = _repeated(key, row)
+    found = order[np.repeat(many, np.diff(np.append(starts, len(order))))]
+    found = found[index[found] != _NOT_WANTED]
+    row = np.concatenate([row[found], *known_rows])
+    index = np.concatenate([index[found], *known_idx])
+    index = index.astype(np.int32)
+    for k in range(0, len(row), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(row[k:k + (1 << 16)]), pa.array(index[k:k + (1 << 16)])], names=["row", "idx"])
+
+
+_CUT = ("route int, keys binary, rows binary, docs binary, counts binary, at binary, size binary, text binary, "
+        "known_rows binary, known_docs binary, known_counts binary, known_at binary, known_size binary")
+
+
+def _cut_stretches(parts: int):
+    """The wanted stretches of each text, for each of ``parts`` routes as one packed row."""
+    names = [f.split()[0] for f in _CUT.split(", ")]
+
+    def packed(row: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[bytes, ...]:
+        starts = _groups(row)
+        counts = np.diff(np.append(starts, len(row))).astype("<u4")
+        return row[starts].tobytes(), doc[starts].tobytes(), counts.tobytes(), _steps(at), size.astype(np.uint8).tobytes()
+
+    def send(key, doc, row, at, size, place, raw: bytes) -> pa.RecordBatch:
+        buf = padded(np.frombuffer(raw, np.uint8))
+        # Equal stretches: the least document asks for all, the others are marked.
+        same = span_keys(buf, place, place + size)
+        order = np.lexsort((doc, same))
         starts = _groups(same[order])
         head = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
-        raw = texts.buf.tobytes()
-        spans = list(zip(first.tolist(), end.tolist()))
-        later = np.flatnonzero(ids[doc[order]] > ids[doc[head]])
-        equal = [raw[slice(*spans[a])] == raw[slice(*spans[b])] for a, b in zip(order[later].tolist(), head[later].tolist())]
+        later = np.flatnonzero(doc[order] > doc[head])
+        equal = [raw[a:a + n] == raw[b:b + m] for a, n, b, m in zip(
+            *(x.tolist() for i in (order[later], head[later]) for x in (place[i], size[i])))]
         marked = order[later[np.array(equal, bool)]]
-        ask = np.setdiff1d(np.arange(len(doc)), marked, assume_unique=True)
-        relative = first - texts.starts[doc]
-        strings = [raw[slice(*spans[a])] for a in ask.tolist()] + [None] * len(marked)
-        both = np.concatenate([ask, marked])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([key[ask].view(np.int64), _route(rows[doc[marked]], relative[marked])])),
-            pa.array(ids[doc[both]]), pa.array(rows[doc[both]]), pa.array(relative[both].astype(np.int32)),
-            pa.array((relative + end - first)[both].astype(np.int32)), pa.array(strings, pa.binary())], names=_STRETCH)
+        wanted = np.ones(len(key), bool)
+        wanted[marked] = False
+        ask = np.flatnonzero(wanted)
+        route = (key[ask] % U(parts)).astype(np.int64)
+        by = np.lexsort((at[ask], row[ask], route))
+        ask, route = ask[by], route[by]
+        other = (_route(row[marked], at[marked]).view(np.uint64) % U(parts)).astype(np.int64)
+        by = np.lexsort((at[marked], row[marked], other))
+        marked, other = marked[by], other[by]
+        bounds, known = np.searchsorted(route, np.arange(parts + 1)), np.searchsorted(other, np.arange(parts + 1))
+        out = {n: [] for n in names}
+        for r in range(parts):
+            a, k = ask[bounds[r]:bounds[r + 1]], marked[known[r]:known[r + 1]]
+            if not len(a) and not len(k):
+                continue
+            text = b"".join([raw[p:p + n] for p, n in zip(place[a].tolist(), size[a].tolist())])
+            # Keys only bring stretches together: 32 of the bits that the route leaves are enough.
+            values = (r, (key[a] // U(parts)).astype("<u4").tobytes(), *packed(row[a], doc[a], at[a], size[a]), text,
+                      *packed(row[k], doc[k], at[k], size[k]))
+            for n, v in zip(names, values):
+                out[n].append(v)
+        types = [pa.int32()] + [pa.binary()] * (len(names) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
+
+    def cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts_held, size_held, count = [], [], 0, 0
+        for batch in arrow_rows(batches, "text", SEARCH_BYTES):
+            texts = Texts(batch.column("text"))
+            doc, key, first, last = stretches(texts)
+            lists = batch.column("anchors")
+            wanted = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            wanted = np.unique(wanted.astype(np.int64) << 32 | lists.flatten().to_numpy().astype(np.int64))
+            pick = np.flatnonzero(np.isin(doc << 32 | _index_in_text(doc), wanted, assume_unique=True))
+            if not len(pick):
+                continue
+            doc, first, size = doc[pick], first[pick], last[pick] + LENGTH - first[pick]
+            held.append((key[pick], batch.column("doc").to_numpy()[doc], batch.column("row").to_numpy()[doc],
+                         first - texts.starts[doc], size, first + size_held))
+            texts_held.append(texts.buf.tobytes())
+            size_held += len(texts.buf)
+            count += len(pick)
+            if count >= CUT_STRETCHES:
+                yield send(*(np.concatenate(x) for x in zip(*held)), b"".join(texts_held))
+                held, texts_held, size_held, count = [], [], 0, 0
+        if held:
+            yield send(*(np.concatenate(x) for x in zip(*held)), b"".join(texts_held))
+
+    return cut_stretches
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of stretches: those with one anchor meet here."""
-    table = _gather(batches)
-    if table is None:
-        return
-    key, doc, row, at, end = (table.column(c).to_numpy() for c in _STRETCH[:-1])
-    text = table.column("text").combine_chunks()
-    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-    given = text.is_valid().to_numpy(zero_copy_only=False)
+    """One route of stretches: those with one key meet here."""
 
     def out(r, d, a, b):
         return pa.RecordBatch.from_arrays(
             [pa.array(r), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["row", "doc", "at", "end"])
 
-    known = np.flatnonzero(~given)
-    if len(known):
-        yield out(row[known], doc[known], at[known], end[known])
-    asked = np.flatnonzero(given)
-    asked = asked[np.argsort(key[asked], kind="stable")]
-    starts = _groups(key[asked])
-    windows = np.maximum(end - at - LENGTH + 1, 0)[asked]
-    upto = np.concatenate([[0], np.cumsum(windows)])
-    low = 0
-    bounds = np.append(starts, len(asked))
+    def unpacked(r: dict, known: str) -> tuple[np.ndarray, ...]:
+        counts = np.frombuffer(r[known + "counts"], "<u4")
+        row, doc = (np.repeat(np.frombuffer(r[known + c], "<i8"), counts) for c in ("rows", "docs"))
+        return row, doc, _from_steps(r[known + "at"]).astype(np.int64), np.frombuffer(r[known + "size"], np.uint8).astype(np.int64)
+
+    held, keys, raw = [], [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            row, doc, at, size = unpacked(r, "known_")
+            if len(row):
+                yield out(row, doc, at, at + size)
+            held.append(unpacked(r, ""))
+            keys.append(np.frombuffer(r["keys"], "<u4"))
+            raw.append(r["text"])
+    if not held:
+        return
+    row, doc, at, size = (np.concatenate(x) for x in zip(*held))
+    key, raw = np.concatenate(keys), b"".join(raw)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    order = np.argsort(key, kind="stable")
+    starts = _groups(key[order])
+    upto = np.concatenate([[0], np.cumsum((size - LENGTH + 1)[order])])
+    bounds, low = np.append(starts, len(order)), 0
     while low < len(starts):
         # as many whole keys as make up a block of windows
         high = max(low + 1, int(np.searchsorted(upto[bounds], upto[bounds[low]] + SORT_WINDOWS, "right")) - 1)
-        part = asked[bounds[low]:bounds[high]]
+        part = order[bounds[low]:bounds[high]]
         string, a, b = earlier_windows(Texts(text.take(pa.array(part))), doc[part])
         part = part[string]
         if len(part):
@@ -373,13 +491,14 @@ def marked_bytes(base: DataFrame) -> DataFrame:
         F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = digests.join(firsts, "hash").where("doc > first").select("row", "doc", "size").distinct()
 
-    asked = base.select("row", "text").mapInArrow(_ask_anchors, "route long, row long, idx long, settled boolean")
-    anchors = asked.repartition("route").mapInArrow(_answer_anchors, "row long, idx int")
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Copies need no look at their strings: what they hold, an earlier text holds.
+    others = base.join(copies.select("row").distinct(), "row", "left_anti").select("row", "doc_id", "doc", "text")
+    asked = others.mapInArrow(_ask_anchors(parts), _ASK)
+    anchors = asked.repartitionById(parts, F.col("route")).mapInArrow(_answer_anchors, "row long, idx int")
     lists = anchors.groupBy("row").agg(F.collect_list("idx").alias("anchors"))
-    lists = lists.join(copies.select("row").distinct(), "row", "left_anti")
-    cut = base.join(lists, "row").select("row", "doc_id", "doc", "text", "anchors").mapInArrow(
-        _cut_stretches, "route long, doc long, row long, at int, end int, text binary")
-    marks = cut.repartition("route").mapInArrow(_mark, "row long, doc long, at int, end int")
+    cut = base.join(lists, "row").select("row", "doc_id", "doc", "text", "anchors").mapInArrow(_cut_stretches(parts), _CUT)
+    marks = cut.repartitionById(parts, F.col("route")).mapInArrow(_mark, "row long, doc long, at int, end int")
     return marks.unionByName(copies.select("row", "doc", F.lit(0).alias("at"), F.col("size").cast("int").alias("end")))
 
 
