@@ -27,21 +27,22 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def row_slices(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of up to ``BLOCK_ROWS`` rows whose ``column`` holds up to ``block_bytes``."""
+def row_slices(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES,
+               block_rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of up to ``block_rows`` rows whose ``column`` holds up to ``block_bytes``."""
     if not batch.num_rows:
         return
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     low, size = 0, 0
     for k, n in enumerate(lengths.tolist()):
-        if k > low and (size + n > block_bytes or k - low >= BLOCK_ROWS):
+        if k > low and (size + n > block_bytes or k - low >= block_rows):
             yield batch.slice(low, k - low)
             low, size = k, 0
         size += n
     yield batch.slice(low)
 
 
-def arrow_rows(batches: Iterable[pa.RecordBatch], column: str,
-               block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def arrow_rows(batches: Iterable[pa.RecordBatch], column: str, block_bytes: int = BLOCK_BYTES,
+               block_rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from row_slices(batch, column, block_bytes)
+        yield from row_slices(batch, column, block_bytes, block_rows)

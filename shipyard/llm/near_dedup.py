@@ -12,8 +12,9 @@ Classes are the connected components of the links (similarity >= 0.8, checked on
 texts) among the texts that share a bucket. Not all pairs of a bucket are needed for
 that: copies are first merged by hash, each text is then compared with the least
 partner of its buckets, and after that only pairs that the links found so far leave
-in different components are compared. Every such pair is, whatever a bucket's size, so
-no link between components is lost.
+in different components are compared, first those that are likeliest to join them. Every such pair is, whatever a bucket's size, so
+no link between components is lost; signatures are compared block by block inside the
+tasks, and only pairs that come close are sent on to have their texts read.
 """
 
 from __future__ import annotations
@@ -33,9 +34,15 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Two texts at the least similarity share no band once in about 16,000 cases.
 BANDS, ROWS = 32, 6
+#: Coordinates of a signature; the bands take the first of them.
+COORDINATES = 384
 #: Pairs whose signatures agree less than this are not read: at the least similarity the
-#: agreement of 192 coordinates lies 7 standard deviations above it.
-AGREEMENT = 0.6
+#: agreement of 384 coordinates lies 4 standard deviations (0.0204 each) above it.
+AGREEMENT = 0.718
+#: Texts signed at a time: each throws about 3,000 darts, each dart some hundred bytes.
+SIGN_BYTES, SIGN_ROWS = 1 << 20, 256
+#: Members of a bucket that are compared with each other at a time.
+BLOCK_MEMBERS = 256
 
 # -- signatures --------------------------------------------------------------
 
@@ -103,10 +110,10 @@ def dart_minhash(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
 def signatures(texts: Texts, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket keys (a row of ``bands``) and signature bytes of each text, and whether it has any."""
     owner, key, times = shingles(texts)
-    ranks = dart_minhash(owner, key, 1 + np.log(times), len(texts), bands * rows)
+    ranks = dart_minhash(owner, key, 1 + np.log(times), len(texts), max(COORDINATES, bands * rows))
     some = np.isfinite(ranks).all(1)
     bits = mix(ranks.view(np.uint64).copy())
-    parts = bits.reshape(len(texts), bands, rows)
+    parts = bits[:, :bands * rows].reshape(len(texts), bands, rows)
     bucket = mix(np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(texts), bands)).copy())
     for r in range(rows):
         bucket = mix(bucket ^ parts[:, :, r])
@@ -131,7 +138,7 @@ def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     """``id``, ``hash``, ``buckets`` (null without words) and ``sig`` of each row of id, hash, text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches, "text"):
+        for batch in arrow_rows(batches, "text", SIGN_BYTES, SIGN_ROWS):
             bucket, sig, some = signatures(Texts(batch.column("text")), bands, rows)
             offsets = pa.array(np.arange(len(sig) + 1) * bands, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(bucket.reshape(-1).view(np.int64)))
@@ -173,6 +180,103 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: fl
     return full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
+def _forest(edges: list[tuple[int, int]]) -> list[int]:
+    """The places of the edges that join what the edges before them have not joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(edges):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return kept
+
+
+def close_pairs(members: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a > b) of one bucket but different components whose signatures come close.
+
+    With ``forest`` only as many of them as could join the components of a block, those
+    that agree best first.
+
+    ``members``: bucket, n (its members), id, comp, buckets, sig. A bucket is cut into
+    blocks by a hash of the id, and each pair of blocks is compared in one place; a pair of
+    members is given by its first common band only.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    own = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    spread = own.withColumn("other", other).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
+        "id", "comp", "buckets", "sig")
+    met = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        bucket, low, high, block, node, comp = (table.column(c).to_numpy() for c in (
+            "bucket", "low", "high", "block", "id", "comp"))
+        bands = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+        new = np.ones(len(node), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.flatnonzero(new)
+        end = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
+        later = end - np.arange(len(node)) - 1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        upto = np.cumsum(later)
+        row = 0
+        while row < len(node):
+            stop = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + (1 << 17), "right")))
+            left = np.repeat(np.arange(row, stop), later[row:stop])
+            first = np.cumsum(later[row:stop]) - later[row:stop]
+            right = left + 1 + np.arange(len(left)) - np.repeat(first, later[row:stop])
+            ok = (comp[left] != comp[right]) & ((low[left] == high[left]) | (block[left] != block[right]))
+            left, right = left[ok], right[ok]
+            for k in range(0, len(left), 1 << 14):
+                x, y = left[k:k + (1 << 14)], right[k:k + (1 << 14)]
+                agree = (sigs[x] == sigs[y]).mean(1)
+                near = agree >= AGREEMENT
+                x, y, agree = x[near], y[near], agree[near]
+                common = (bands[x] == bands[y]).argmax(1)
+                once = bands[x, common] == bucket[x]
+                found.append((x[once], y[once], agree[once]))
+            row = stop
+        x, y, agree = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+        if forest and len(x):
+            group = np.cumsum(new)
+            _, part = np.unique(np.stack([group, comp]), axis=1, return_inverse=True)  # a component within a group
+            best = np.argsort(-agree, kind="stable")
+            kept = best[_forest(list(zip(part[x[best]].tolist(), part[y[best]].tolist())))]
+            x, y = x[kept], y[kept]
+        x, y = node[x], node[y]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < 4 * BLOCK_MEMBERS:
+                continue
+            # all but the last group, which may go on in the next batch
+            keys = [held.column(c).to_numpy() for c in ("bucket", "low", "high")]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = held.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
+            if cut:
+                yield compare(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield compare(held.combine_chunks())
+
+    return met.mapInArrow(work, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id``, ``comp`` (the least id it is connected with) for every node of ``edges`` (a, b).
 
@@ -224,26 +328,22 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     bodies = materialize_table(base.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     # Each text against the least partner of all its buckets.
-    first = shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a")
+    first = materialize_table(shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a"))
     links = materialize_table(verified(first, sigs, bodies, similarity))
     comps = components(links)
-    for stars in (True, False):
+    signed_members = texts.where("buckets IS NOT NULL").select("id", "buckets", "sig")
+    tried = first
+    for forest in (True, True, False):
+        # Pairs that the links so far leave in different components: the likeliest first, then all.
         comps = materialize_table(comps)
         placed = shared.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                             F.min("id").alias("head")).where("lo < hi")
-        rest = placed.join(mixed.select("bucket", "head"), "bucket")
-        if stars:  # every member against the bucket's head
-            head = comps.select(F.col("id").alias("head"), F.col("comp").alias("head_comp"))
-            pairs = rest.where("id <> head").join(head, "head", "left").where(
-                F.col("comp") != F.coalesce("head_comp", "head")).select(F.col("id").alias("a"), F.col("head").alias("b"))
-        else:  # what is left: all pairs of different components
-            rest = materialize_table(rest)
-            other = rest.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = rest.select("bucket", F.col("id").alias("a"), "comp").join(other, "bucket").where(
-                "b < a AND comp <> comp_b").select("a", "b")
-        more = verified(pairs.distinct(), sigs, bodies, similarity)
-        links = materialize_table(links.unionByName(more))
+                                             F.count(F.lit(1)).alias("n")).where("lo < hi")
+        rest = placed.join(mixed.select("bucket", "n"), "bucket").join(signed_members, "id")
+        pairs = close_pairs(rest.where(F.expr("array_contains(buckets, bucket)")), forest)
+        pairs = materialize_table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = materialize_table(links.unionByName(verified(pairs, sigs, bodies, similarity)))
         comps = components(links)
 
     copies = base.where("id IS NOT NULL").select("id", "hash")
@@ -264,4 +364,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     with all its columns."""
     classes = near_classes(docs, doc_id, text)
     gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
