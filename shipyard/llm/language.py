@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
 from .textnp import LOWER, Texts
 
-#: Bound of the sample the classifiers are fitted on, shared evenly by the languages.
+#: Bound of the sample the classifiers are fitted on, shared evenly by the languages (each has a text at least).
 SAMPLE_ROWS = 3_000
 BUCKETS = 4096
 UNDECIDED = "und"
@@ -98,19 +98,27 @@ def fit_bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, steps: int = 200, r
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> CodeModel:
-    """Learns every non-null language of ``docs`` from a bounded sample of its texts."""
-    known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).cast("string").alias("_text"))
-    sizes = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}  # one row per language
+    """Learns every non-null language of ``docs`` from a bounded sample of its different texts;
+    null and blank texts teach nothing."""
+    body = F.col(text).cast("string")
+    known = docs.where(F.col(lang).isNotNull() & body.rlike(r"\S")).select(F.col(lang).alias("_lang"), body.alias("_text"))
+    known = known.withColumn("_hash", F.xxhash64("_text"))
+    different = known.select("_lang", "_hash").distinct()
+    sizes = {r["_lang"]: r["count"] for r in different.groupBy("_lang").count().collect()}  # one row per language
     languages = sorted(sizes)
     if len(languages) < 2:
         return CodeModel(languages, np.zeros((len(languages), 0)), np.zeros((BUCKETS, 0)), np.zeros(0))
-    each = max(50, sample_rows // len(languages))
+    each = max(1, sample_rows // len(languages))
+    spare = each + 5 * each ** 0.5 + 10  # so many are drawn that ``each`` are left
     share = F.lit(0.0)
     for name in languages:
-        share = F.when(F.col("_lang") == name, F.lit(min(1.0, each / sizes[name]))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / float(1 << 30) < share
+        share = F.when(F.col("_lang") == name, F.lit(min(1.0, spare / sizes[name]))).otherwise(share)
+    drawn = F.pmod("_hash", F.lit(1 << 30)) / float(1 << 30) < share
     index = F.array_position(F.array(*[F.lit(n) for n in languages]), F.col("_lang")) - 1
-    rows = known.where(drawn).select(index.cast("long").alias("y"), "_text")
+    rows = known.where(drawn).select(index.cast("long").alias("y"), "_hash", "_text").distinct()
+    # The window holds what is drawn of one language, about ``spare`` rows.
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash", "_text"))
+    rows = rows.withColumn("_place", place).where(F.col("_place") <= each).select("y", "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, "_text"):

@@ -76,6 +76,21 @@ def test_language_edge_cases(spark):
     assert language.identify(docs(spark, []), model).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    # null and blank texts and copies neither pass the bound nor weigh on the classes
+    rows = [(k, f"the house and the {k}", "en") for k in range(300)] + [(k, f"das haus und der {k}", "de") for k in range(300)]
+    rows += [(k, t, "en") for k in range(400) for t in (None, "", " \n", "the very same text")]
+    fitted = []
+    monkeypatch.setattr(language, "fit_bits", lambda x, y, code, fit=language.fit_bits: fitted.append((x, y)) or fit(x, y, code))
+    table = spark.createDataFrame([(i, t, lang, "x", "y", 3) for i, t, lang in rows], DOCS)
+    language.train(table, sample_rows=100)
+    x, y = fitted[-1]
+    assert np.bincount(y).tolist() == [50, 50] and len(np.unique(x, axis=0)) > 60 and (x.sum(1) > 0).all()
+    many = [(k, f"text {k} of language {k % 40}", f"l{k % 40}") for k in range(2000)]
+    language.train(spark.createDataFrame([(i, t, lang, "x", "y", 3) for i, t, lang in many], DOCS), sample_rows=100)
+    assert np.bincount(fitted[-1][1]).tolist() == [2] * 40
+
+
 def test_non_negative_risk_learns_without_negatives():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (4000, 5)).astype(np.float32), rng.normal(-1, 1, (1500, 5)).astype(np.float32)
