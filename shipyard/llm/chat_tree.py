@@ -6,10 +6,11 @@ out depth-first as one sequence: every node's formatted text is emitted once, at
 conversation) and the intervals of the layout that it may attend to, those of its
 ancestors; neighbouring intervals are merged.
 
-A node is named by a chained 128-bit hash of its path. The depth-first order is a sort
-by path: nodes are range-partitioned by path, each partition adds up its lengths, and
-the partitions' sums shift the offsets, so a first turn that most conversations share
-is spread over many tasks. Conversations are units: each is read as one row.
+A node is named by a chained 128-bit hash of its path. The conversations' turns are sorted
+and streamed: a task holds a turn at a time, however long the conversation. The layout
+places chains, the nodes that one conversation owns (:func:`chains`): they are
+range-partitioned by where they branch off, each partition adds up its lengths, and the
+partitions' sums shift the offsets.
 
 Template, with ``t`` the escaped text:
 
@@ -88,43 +89,89 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _by_conversation(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with each conversation in one task, in ``order``; only one row is held at a time."""
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+
+
 def conversation_paths(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                        text: str = "text") -> DataFrame:
-    """One row per turn: conv_id, depth, node, parent, path (sort key), position, segment, loss_from, loss_to.
+    """One row per turn: conv_id, depth, node, parent, position, segment, size, loss_from, loss_to.
 
     Turns go by turn, then role, then text; null texts and roles count as empty. Rows
     with a null conversation id are one conversation.
     """
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-                   F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    conversations = turns.groupBy(F.col(conv_id).cast("long").alias("conv_id")).agg(
-        F.sort_array(F.collect_list(one)).alias("turns"))
+    said = _by_conversation(turns.select(
+        F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "turn", "role", "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, depth, parent, position = object(), 0, "", 0
         for batch in batches:
-            out = {n: [] for n in ("conv_id", "depth", "node", "parent", "path", "position", "segment", "loss_from", "loss_to")}
-            for conv, said in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()):
-                parent, path, position = "", "", 0
-                for depth, t in enumerate(said):
-                    segment, low, high = format_turn(t["role"], t["text"])
-                    node = hashlib.md5(f"{parent}|{segment}".encode()).hexdigest()
-                    path += node[:16]
-                    for name, value in zip(out, (conv, depth, node, parent, path, position, segment, low, high)):
-                        out[name].append(value)
-                    parent, position = node, position + len(segment)
+            out = {n: [] for n in schema.names}
+            for conv, by, what in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+                if conv != current:
+                    current, depth, parent, position = conv, 0, "", 0
+                segment, low, high = format_turn(by, what)
+                node = hashlib.md5(f"{parent}|{segment}".encode()).hexdigest()
+                for name, value in zip(out, (conv, depth, node, parent, position, segment, len(segment), low, high)):
+                    out[name].append(value)
+                depth, parent, position = depth + 1, node, position + len(segment)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([
         ("conv_id", pa.int64()), ("depth", pa.int32()), ("node", pa.string()), ("parent", pa.string()),
-        ("path", pa.string()), ("position", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int32()),
+        ("position", pa.int64()), ("segment", pa.string()), ("size", pa.int64()), ("loss_from", pa.int32()),
         ("loss_to", pa.int32())])
-    return conversations.mapInArrow(
-        walk, "conv_id long, depth int, node string, parent string, path string, position long, segment string, "
+    return said.mapInArrow(
+        walk, "conv_id long, depth int, node string, parent string, position long, segment string, size long, "
               "loss_from int, loss_to int")
 
 
-def lay_out(nodes: DataFrame) -> DataFrame:
-    """Adds ``start``: each node's place in the depth-first sequence of all nodes."""
+def chains(lines: DataFrame) -> DataFrame:
+    """One row per conversation that owns nodes: owner, key, first (position of its first node), size.
+
+    A node's owner is the least conversation through it, so owners never get smaller
+    along a path (a null id is the greatest), and a conversation owns the tail of its
+    path: a chain. Depth first, with the owner's own continuation before other children, a
+    chain is one stretch, and the branches off it follow, deepest first. ``key`` orders the
+    chains so: for each chain on the path, where it branches off and whose it is. It
+    grows with the branchings on a path, not with its turns.
+    """
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(*rows: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        current, owner, key, first, end = object(), object(), [], 0, 0
+        done: list[tuple] = []
+        for batch in batches:
+            for conv, depth, position, size, own in zip(*(batch.column(c).to_pylist() for c in (
+                    "conv_id", "depth", "position", "size", "owner"))):
+                if conv != current:
+                    if key and owner == current:
+                        done.append((owner, b"".join(key), first, end - first))
+                    current, owner, key = conv, object(), []
+                if own != owner:
+                    # Big-endian: deeper branches first, then by owner, null last.
+                    name = (1 << 64) if own is None else own + (1 << 63)
+                    owner, first = own, position
+                    key.append((0xFFFFFFFF - depth).to_bytes(4, "big") + name.to_bytes(9, "big"))
+                end = position + size
+            if done:
+                yield packed(*done)
+                done = []
+        if key and owner == current:
+            yield packed((owner, b"".join(key), first, end - first))
+
+    schema = pa.schema([("owner", pa.int64()), ("key", pa.binary()), ("first", pa.int64()), ("size", pa.int64())])
+    return _by_conversation(lines.select("conv_id", "depth", "position", "size", "owner"), "depth").mapInArrow(
+        walk, "owner long, key binary, first long, size long")
+
+
+def lay_out(found: DataFrame) -> DataFrame:
+    """``owner`` and ``base`` of each chain: what a position in the owner's conversation is shifted by
+    in the depth-first sequence of all nodes."""
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -137,14 +184,14 @@ def lay_out(nodes: DataFrame) -> DataFrame:
                 [batch.column(n) for n in batch.schema.names] + [pa.array(starts, pa.int64())],
                 names=[*batch.schema.names, "inner"])
 
-    ordered = nodes.withColumn("size", F.length("segment").cast("long")).repartitionByRange("path").sortWithinPartitions("path")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", inner long"
-    placed = materialize_table(ordered.mapInArrow(offsets, schema).withColumn("part", F.spark_partition_id()))
+    ordered = found.repartitionByRange("key").sortWithinPartitions("key").select("owner", "first", "size")
+    placed = materialize_table(ordered.mapInArrow(offsets, "owner long, first long, size long, inner long").withColumn(
+        "part", F.spark_partition_id()))
     # One row per partition; ranges follow each other in the order of the partitions.
     sums = placed.groupBy("part").agg((F.max(F.col("inner") + F.col("size"))).alias("sum"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("shift"))
-    return placed.join(shift, "part").withColumn("start", F.col("inner") + F.col("shift")).drop("part", "inner", "shift")
+    return placed.join(shift, "part").select("owner", (F.col("inner") + F.col("shift") - F.col("first")).alias("base"))
 
 
 def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -158,66 +205,79 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     """
     paths = materialize_table(conversation_paths(turns, conv_id, turn, role, text))
     nodes = paths.groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("parent", "path", "position", "segment", "loss_from", "loss_to")],
+        *[F.first(c).alias(c) for c in ("parent", "position", "segment", "size", "loss_from", "loss_to")],
         F.min("conv_id").alias("owner"))
-    nodes = materialize_table(lay_out(nodes))
-    members = materialize_table(paths.select("conv_id", "depth", "node").join(
-        nodes.select("node", "start", "size", "owner"), "node"))
+    nodes = materialize_table(nodes)
+    lines = materialize_table(paths.select("conv_id", "depth", "node", "position", "size").join(
+        nodes.select("node", "owner"), "node"))
+    bases = materialize_table(lay_out(materialize_table(chains(lines)))).withColumnRenamed("owner", "_owner")
+
+    def started(rows: DataFrame) -> DataFrame:
+        placed = rows.join(bases, F.col("owner").eqNullSafe(F.col("_owner")))
+        return placed.withColumn("start", F.col("base") + F.col("position")).drop("_owner", "base")
 
-    # Ancestors come with the one conversation that owns the node.
-    lines = members.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
-        "depth", "node", "start", "size", F.col("conv_id").eqNullSafe(F.col("owner")).alias("own")))).alias("line"))
+    members = materialize_table(started(lines).select(
+        "conv_id", "depth", "node", "start", "size", F.col("conv_id").eqNullSafe(F.col("owner")).alias("own")))
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = object(), []
         for batch in batches:
             node, intervals = [], []
-            for line in batch.column("line").to_pylist():
-                seen: list[list[int]] = []
-                for t in line:
-                    if t["own"]:
-                        node.append(t["node"])
-                        intervals.append([{"from": a, "to": b} for a, b in seen])
-                    if seen and seen[-1][1] == t["start"]:
-                        seen[-1] = [seen[-1][0], t["start"] + t["size"]]
-                    else:
-                        seen.append([t["start"], t["start"] + t["size"]])
+            for conv, name, start, size, own in zip(*(batch.column(c).to_pylist() for c in (
+                    "conv_id", "node", "start", "size", "own"))):
+                if conv != current:
+                    current, seen = conv, []
+                if own:  # ancestors come with the one conversation that owns the node
+                    node.append(name)
+                    intervals.append([{"from": a, "to": b} for a, b in seen])
+                if seen and seen[-1][1] == start:
+                    seen[-1] = (seen[-1][0], start + size)
+                else:
+                    seen.append((start, start + size))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node, pa.string()),
                  pa.array(intervals, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))],
                 names=["_node", "attend"])
 
-    intervals = lines.select("line").mapInArrow(attend, "_node string, attend array<struct<from: long, to: long>>")
-    emitted = nodes.drop("owner", "path").join(intervals, F.col("node") == F.col("_node")).drop("_node")
+    intervals = _by_conversation(members, "depth").mapInArrow(
+        attend, "_node string, attend array<struct<from: long, to: long>>")
+    emitted = started(nodes).drop("owner").join(intervals, F.col("node") == F.col("_node")).drop("_node")
     return emitted, members.select("conv_id", "depth", "node", "start", "size")
 
 
 def read_back(emitted: DataFrame, members: DataFrame) -> DataFrame:
     """Each conversation read from the emitted nodes: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars."""
+    loss_sha256, formatted_chars. Turns are parsed and digested one after the other."""
     segments = emitted.select("node", "segment", "loss_from", "loss_to")
-    lines = members.join(segments, "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(
-        F.struct("depth", "segment", "loss_from", "loss_to"))).alias("line"))
+    lines = members.join(segments, "node").select("conv_id", "depth", "segment", "loss_from", "loss_to")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(conv) -> pa.RecordBatch:
+            values = conv, n_turns, said.hexdigest(), loss_chars, loss.hexdigest(), chars
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+        current, n_turns, said, loss, loss_chars, chars = None, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
         for batch in batches:
-            out = {f.name: [] for f in schema}
-            for conv, line in zip(batch.column("conv_id").to_pylist(), batch.column("line").to_pylist()):
-                formatted = "".join(t["segment"] for t in line)
-                turns, loss = parse(formatted), []
-                at = 0
-                for t in line:  # the mask marks places of the formatted conversation
-                    if t["loss_to"] > t["loss_from"]:
-                        loss.append(unescape(formatted[at + t["loss_from"]:at + t["loss_to"]]))
-                    at += len(t["segment"])
-                said = "".join(f"{r}\n{x}\n" for r, x in turns)
-                under = "".join(loss)
-                for name, value in zip(out, (
-                        conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(under),
-                        hashlib.sha256(under.encode()).hexdigest(), len(formatted))):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            done = []
+            for conv, segment, low, high in zip(*(batch.column(c).to_pylist() for c in (
+                    "conv_id", "segment", "loss_from", "loss_to"))):
+                if conv != current:
+                    if n_turns:
+                        done.append(packed(current))
+                    current, n_turns, said, loss, loss_chars, chars = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+                for role, text in parse(segment):
+                    said.update(f"{role}\n{text}\n".encode())
+                    n_turns += 1
+                under = unescape(segment[low:high])  # the mask marks places of the formatted turn
+                loss.update(under.encode())
+                loss_chars += len(under)
+                chars += len(segment)
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if n_turns:
+            yield packed(current)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return lines.mapInArrow(
+    return _by_conversation(lines, "depth").mapInArrow(
         digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

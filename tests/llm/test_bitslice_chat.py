@@ -118,3 +118,29 @@ def test_empty_conversations(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     emitted, members = chat_tree.build_tree(table)
     assert chat_tree.read_back(emitted, members).count() == 0
+
+
+def test_long_conversations(spark):
+    # nothing that is stored grows with the square of the turns, and a subtree is one stretch
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", f"t{k}" if k < 4000 - 800 * c else f"t{k} of {c}")
+            for c in range(4) for k in range(4000)]
+    rows += [(None, k, "user", f"t{k}") for k in range(1500)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    widest = chat_tree.conversation_paths(table).toPandas().drop(columns="segment").map(lambda v: len(str(v)))
+    assert widest.max().max() <= 32
+    emitted, members = (t.persist() for t in chat_tree.build_tree(table))
+    nodes = sorted(emitted.collect(), key=lambda n: n["start"])
+    assert len(nodes) == 4000 + 800 + 1600 + 2400 + 1500 - 1  # the null conversation shares its first turn
+    assert all(a["start"] + a["size"] == b["start"] for a, b in zip(nodes, nodes[1:]))
+    assert max(len(n["attend"]) for n in nodes) <= 2
+    inside = set()
+    below = []  # the open path; a node's parent must be on it
+    for n in nodes:
+        while below and below[-1] != n["parent"]:
+            inside.add(below.pop())
+        assert n["node"] not in inside and (below or not n["parent"])
+        below.append(n["node"])
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_tree.read_back(emitted, members).collect()}
+    for c in (0, 1, 2, 3, None):
+        said = [(r[2], r[3]) for r in rows if r[0] == c]
+        assert got[c] == (len(said), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest())
