@@ -20,6 +20,11 @@ Exact copies of an earlier text are found by their sha256 and marked as a whole.
 task finds repeated among its own texts is settled there, and only one representative
 is sent on, so a passage that very many texts share arrives once per task. (Where the
 texts differ around it, the stretches at its two ends differ as well and are all sent.)
+
+An anchor that very many texts hold would bring all their stretches to one task. Anchors
+are counted first, and the stretches of hot ones are cut into their windows, which meet by
+the hash of their own ``LENGTH`` bytes instead: equal windows still meet, the others go
+to many tasks.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ SEARCH_BYTES = 1 << 20
 ASK_KEYS, CUT_STRETCHES = 1 << 20, 1 << 18
 #: Windows sorted at a time (a key with more is taken whole).
 SORT_WINDOWS = 400_000
+#: An anchor with more stretches is hot; below ``HOT_LOCAL`` in ``ASK_KEYS`` of them it is not counted.
+HOT_STRETCHES, HOT_LOCAL = 4096, 8
 NO_ID = (1 << 63) - 1
 
 # -- anchors -----------------------------------------------------------------
@@ -309,6 +316,39 @@ def _ask_anchors(parts: int):
     return ask_anchors
 
 
+def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: the keys that many stretches have, and how many."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= HOT_LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
+
+    held, size = [], 0
+    for batch in arrow_rows(batches, "text", SEARCH_BYTES):
+        held.append(stretches(Texts(batch.column("text")))[1])
+        size += len(held[-1])
+        if size >= ASK_KEYS:
+            yield counted(held)
+            held, size = [], 0
+    if held:
+        yield counted(held)
+
+
+def hot_anchors(base: DataFrame, least: int) -> np.ndarray:
+    """The keys with more than ``least`` stretches, sorted: one in ``least`` stretches at most."""
+    counts = base.select("text").mapInArrow(_count_anchors, "key long, n long")
+    hot = counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("key").toArrow()
+    return np.sort(hot.column("key").to_numpy().view(np.uint64))
+
+
+def _among(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of ``key`` are in the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(key), bool)
+    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     held = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(held).combine_chunks() if held else None
@@ -339,8 +379,9 @@ _CUT = ("route int, keys binary, rows binary, docs binary, counts binary, at bin
         "known_rows binary, known_docs binary, known_counts binary, known_at binary, known_size binary")
 
 
-def _cut_stretches(parts: int):
-    """The wanted stretches of each text, for each of ``parts`` routes as one packed row."""
+def _cut_stretches(parts: int, hot: np.ndarray):
+    """The wanted stretches of each text, for each of ``parts`` routes as one packed row. Those
+    of ``hot`` anchors are cut into windows."""
     names = [f.split()[0] for f in _CUT.split(", ")]
 
     def packed(row: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[bytes, ...]:
@@ -348,20 +389,39 @@ def _cut_stretches(parts: int):
         counts = np.diff(np.append(starts, len(row))).astype("<u4")
         return row[starts].tobytes(), doc[starts].tobytes(), counts.tobytes(), _steps(at), size.astype(np.uint8).tobytes()
 
-    def send(key, doc, row, at, size, place, raw: bytes) -> pa.RecordBatch:
-        buf = padded(np.frombuffer(raw, np.uint8))
-        # Equal stretches: the least document asks for all, the others are marked.
-        same = span_keys(buf, place, place + size)
+    def repeats(doc, place, size, raw: bytes, same) -> np.ndarray:
+        """Which strings equal one of a smaller document, by ``same``, their hashes."""
         order = np.lexsort((doc, same))
         starts = _groups(same[order])
         head = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
         later = np.flatnonzero(doc[order] > doc[head])
         equal = [raw[a:a + n] == raw[b:b + m] for a, n, b, m in zip(
             *(x.tolist() for i in (order[later], head[later]) for x in (place[i], size[i])))]
-        marked = order[later[np.array(equal, bool)]]
-        wanted = np.ones(len(key), bool)
-        wanted[marked] = False
-        ask = np.flatnonzero(wanted)
+        out = np.zeros(len(doc), bool)
+        out[order[later[np.array(equal, bool)]]] = True
+        return out
+
+    def send(key, doc, row, at, size, place, raw: bytes) -> Iterator[pa.RecordBatch]:
+        buf = padded(np.frombuffer(raw, np.uint8))
+        # Equal stretches: the least document asks for all, the others are marked.
+        gone = repeats(doc, place, size, raw, span_keys(buf, place, place + size))
+        cut = ~gone & _among(hot, key)
+        yield sent(*(x[~cut] for x in (key, doc, row, at, size, place, gone)), raw)
+        # And so do equal windows of hot anchors, under keys of their own.
+        cut = np.flatnonzero(cut)
+        cut = cut[np.argsort(key[cut], kind="stable")]
+        block = np.cumsum(size[cut] - LENGTH + 1) // SORT_WINDOWS
+        for some in np.split(cut, np.flatnonzero(np.diff(block)) + 1) if len(cut) else ():
+            count = size[some] - LENGTH + 1
+            owner = np.repeat(some, count)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            where, wide = place[owner] + inner, np.full(len(owner), LENGTH)
+            windows = span_keys(buf, where, where + LENGTH)
+            yield sent(windows, doc[owner], row[owner], at[owner] + inner, wide, where,
+                       repeats(doc[owner], where, wide, raw, windows), raw)
+
+    def sent(key, doc, row, at, size, place, gone, raw: bytes) -> pa.RecordBatch:
+        marked, ask = np.flatnonzero(gone), np.flatnonzero(~gone)
         route = (key[ask] % U(parts)).astype(np.int64)
         by = np.lexsort((at[ask], row[ask], route))
         ask, route = ask[by], route[by]
@@ -401,10 +461,10 @@ def _cut_stretches(parts: int):
             size_held += len(texts.buf)
             count += len(pick)
             if count >= CUT_STRETCHES:
-                yield send(*(np.concatenate(x) for x in zip(*held)), b"".join(texts_held))
+                yield from send(*(np.concatenate(x) for x in zip(*held)), b"".join(texts_held))
                 held, texts_held, size_held, count = [], [], 0, 0
         if held:
-            yield send(*(np.concatenate(x) for x in zip(*held)), b"".join(texts_held))
+            yield from send(*(np.concatenate(x) for x in zip(*held)), b"".join(texts_held))
 
     return cut_stretches
 
@@ -497,7 +557,9 @@ def marked_bytes(base: DataFrame) -> DataFrame:
     asked = others.mapInArrow(_ask_anchors(parts), _ASK)
     anchors = asked.repartitionById(parts, F.col("route")).mapInArrow(_answer_anchors, "row long, idx int")
     lists = anchors.groupBy("row").agg(F.collect_list("idx").alias("anchors"))
-    cut = base.join(lists, "row").select("row", "doc_id", "doc", "text", "anchors").mapInArrow(_cut_stretches(parts), _CUT)
+    hot = hot_anchors(others, HOT_STRETCHES)
+    cut = base.join(lists, "row").select("row", "doc_id", "doc", "text", "anchors").mapInArrow(
+        _cut_stretches(parts, hot), _CUT)
     marks = cut.repartitionById(parts, F.col("route")).mapInArrow(_mark, "row long, doc long, at int, end int")
     return marks.unionByName(copies.select("row", "doc", F.lit(0).alias("at"), F.col("size").cast("int").alias("end")))
 

@@ -91,3 +91,41 @@ def test_small_blocks_and_empty_table(spark, monkeypatch):
     table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], DOCS).coalesce(1)
     assert sorted(r["n_removed"] for r in sd.remove_repeats(table).collect()) == sorted(r[2] for r in plain(rows))
     assert sd.remove_repeats(table.limit(0)).count() == 0
+
+
+def line_everywhere(n):
+    rng = random.Random(11)
+    prose = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    shared = [prose(40) for _ in range(6)]
+    return [(i, prose(60) + "Licensed under the same terms." + (rng.choice(shared) if i % 3 else prose(40)) + prose(60))
+            for i in range(n)]
+
+
+def test_hot_anchors_are_spread(spark):
+    rows = line_everywhere(400)
+    table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], DOCS).coalesce(1)
+    base = sd._base(table, "doc_id", "text")
+    hot = sd.hot_anchors(base, 50)
+    assert len(hot)
+    texts = pa.array([t for _, t in rows])
+    all_of = [list(range(200))] * len(rows)  # every stretch is wanted
+    ids = pa.array(range(len(rows)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, texts, pa.array(all_of, pa.list_(pa.int32()))],
+                                       names=["row", "doc_id", "doc", "text", "anchors"])
+    at_once = []
+    for keys in (np.zeros(0, np.uint64), hot):
+        seen = {}
+        for out in sd._cut_stretches(7, keys)(iter([batch])):
+            for r in out.to_pylist():
+                for k in np.frombuffer(r["keys"], "<u4").tolist():
+                    seen[r["route"], k] = seen.get((r["route"], k), 0) + 1
+        at_once.append(max(seen.values()))
+    assert at_once[0] > 100 and at_once[1] <= 50
+
+
+def test_hot_anchors_keep_the_result(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_STRETCHES", 9)
+    for rows in (line_everywhere(120), cases()):
+        table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], DOCS).repartition(3)
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted((tuple(r) for r in sd.remove_repeats(table).collect()), key=key) == sorted(plain(rows), key=key)
