@@ -57,8 +57,6 @@ GAP[[ord(c) for c in SEPARATORS]] = True
 SPELLED = 4
 #: Costs, in nats, of reading a sign as a letter, and of dropping a repeated letter or a gap.
 SIGN_COST, DROP_COST, KEEP_GAP_COST = 0.5, 0.1, 1.0
-#: Longer disguised runs are decoded in parts of this length.
-LATTICE_PART = 64
 
 ALPHABET = 28  # 0: no letter, 1-26: a-z, 27: a byte of another letter
 SYMBOL = np.zeros(256, np.int64)
@@ -118,13 +116,12 @@ def _slots(run: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(run: str, model: np.ndarray) -> str:
-    """The likeliest reading of a disguised run (Viterbi over the last two letters)."""
-    if len(run) > LATTICE_PART:
-        return "".join(decode(run[k:k + LATTICE_PART], model) for k in range(0, len(run), LATTICE_PART))
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a disguised run (Viterbi over the last two letters), however long it is."""
+    # A path is a chain (path before, reading), so paths share what they have in common.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*_slots(run), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, said) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for reading, cost in options:
                 x, y, s = a, b, score - cost
                 for letter in reading:
@@ -132,9 +129,13 @@ def decode(run: str, model: np.ndarray) -> str:
                     s += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, said + reading)
+                    after[x, y] = (s, (path, reading))
         states = after
-    return max(states.values())[1].strip()
+    path, said = max(states.values(), key=lambda found: found[0])[1], []
+    while path:
+        path, reading = path
+        said.append(reading)
+    return "".join(reversed(said)).strip()
 
 
 def disguised(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -161,6 +161,17 @@ def test_decode_is_the_best_path(letters):
         assert toxicity.decode(run, letters) == best[1].strip()
 
 
+def test_long_runs_are_read_as_a_whole(letters):
+    restore = toxicity.Restorer(letters).restore
+    assert restore("a st" + "u" * 70 + "pid moron") == "a stupid moron"
+    said = "the stupid moron was not that good " * 4
+    assert toxicity.decode(" ".join(said.replace(" ", "")), letters).replace(" ", "") == said.replace(" ", "")
+    # a break inside the text stays wherever it falls
+    one, two = " ".join("stupid" * 5), " ".join("moron" * 5)
+    assert toxicity.decode(one + " " + two, letters).count("stupid") == 5
+    assert len(toxicity.decode("l.o.s.e.r." * 20_000, letters).replace(" ", "")) == 100_000
+
+
 def test_letter_counts_cover_all_texts(spark):
     table = docs(spark, [(1, "ab ab"), (2, None), (3, "éa")])
     got = {r["code"]: r["n"] for r in toxicity.letter_counts(table).collect()}
