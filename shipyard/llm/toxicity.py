@@ -7,7 +7,8 @@ with the plain ones. Every other word has a lattice with a single path, so nothi
 to be decoded there.
 
 * The language model holds letter trigram counts over all documents, added up by Spark
-  (at most 28 ** 3 counters, however large the corpus).
+  (at most 64 ** 3 counters, however large the corpus): a-z and the most frequent
+  other letters have symbols of their own, the rest share one.
 * The lexicon holds words and word beginnings that toxic training texts have far more
   often than others; its weights are log odds.
 * A logistic model on a text's lexicon matches gives the score; it is fitted on
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,34 +49,117 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Signs that end a word rather than belong to it.
 PUNCTUATION = b"!|+"
 SEPARATORS = " ._-*"
-LETTER = np.zeros(256, bool)
-LETTER[97:123] = True
-SIGN = np.zeros(256, bool)
-SIGN[[ord(c) for c in LEET]] = True
-GAP = np.zeros(256, bool)
-GAP[[ord(c) for c in SEPARATORS]] = True
-#: Letters spelled out: at least so many in a row.
-SPELLED = 4
+#: Characters by class. Letters are those of any script.
+LETTER, SIGN, GAP, END = 1, 2, 4, 8
+#: Letters spelled out: at least so many in a row, or so many letters and signs.
+SPELLED_LETTERS, SPELLED = 3, 4
+#: Signs that stand for letters also where only three are spelled out (digits may be numbers).
+LETTER_LIKE = "@$"
 #: Costs, in nats, of reading a sign as a letter, and of dropping a repeated letter or a gap.
 SIGN_COST, DROP_COST, KEEP_GAP_COST = 0.5, 0.1, 1.0
 
-ALPHABET = 28  # 0: no letter, 1-26: a-z, 27: a byte of another letter
+ALPHABET = 28  # 0: no letter, 1-26: a-z, 27: a byte of another letter, or another letter without a symbol
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[128:] = 27
+#: Bound of the letters that have symbols besides.
+MORE_LETTERS = 36
+CODES = 0x110000
 
 
-def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``code``, ``n``: how often each letter trigram occurs in all texts."""
+@lru_cache(1)
+def char_classes() -> np.ndarray:
+    """The class of each code point."""
+    out = np.array([chr(c).isalpha() for c in range(CODES)]).astype(np.uint8) * LETTER
+    for chars, kind in (("".join(LEET), SIGN), (SEPARATORS, GAP), (PUNCTUATION.decode(), END)):
+        for c in chars:
+            out[ord(c)] |= kind
+    return out
+
+
+def chars(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each character's first byte, code point (ASCII letters in lower case) and text."""
+    b = padded(texts.buf, lower=True)
+    n = len(texts.buf)
+    if not (texts.buf > 127).any():
+        return np.arange(n), b[:n].astype(np.int32), texts.owner()
+    at = np.flatnonzero((b[:n] & 0xC0) != 0x80)
+    code = b[at].astype(np.int32)
+    for least, upto, bits, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
+        wide = np.flatnonzero((code >= least) & (code < upto) & (b[at] >= least))
+        value = code[wide] & bits
+        for k in range(1, more + 1):
+            value = value << 6 | b[at[wide] + k] & 0x3F
+        code[wide] = np.minimum(value, CODES - 1)
+    return at, code, texts.owner()[at]
+
+
+def more_letters(docs: DataFrame, text: str = "text") -> str:
+    """The most frequent letters of all texts besides a-z, in lower case."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ALPHABET ** 3, np.int64)
+        total = np.zeros(CODES, np.int64)
+        for batch in arrow_rows(batches, "_text"):
+            _, code, _ = chars(Texts(batch.column("_text")))
+            code, n = np.unique(code[code > 127], return_counts=True)
+            total[code] += n
+        some = np.flatnonzero(total)
+        some = some[char_classes()[some] == LETTER]
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in some], pa.string()), pa.array(total[some])], names=["letter", "n"])
+
+    rows = docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(work, "letter string, n long")
+    most = rows.groupBy(F.lower("letter").alias("letter")).agg(F.sum("n").alias("n")).where(
+        F.char_length("letter") == 1).orderBy(F.desc("n"), "letter").limit(MORE_LETTERS).collect()
+    return "".join(sorted(r["letter"] for r in most))
+
+
+def symbols(more: str) -> np.ndarray:
+    """The symbol of each code point."""
+    out = np.where(char_classes() == LETTER, 27, 0).astype(np.int64)
+    out[:128] = SYMBOL[:128]
+    for k, c in enumerate(more):
+        for same in (c, c.upper()):
+            if len(same) == 1:
+                out[ord(same)] = ALPHABET + k
+    return out
+
+
+@dataclass(frozen=True)
+class Letters:
+    """The letter model, and the letters besides a-z that have symbols in it."""
+
+    table: np.ndarray
+    more: str = ""
+
+    @cached_property
+    def costs(self) -> list:
+        return self.table.tolist()
+
+    @cached_property
+    def codes(self) -> dict[str, int]:
+        known = {c: ALPHABET + k for k, c in enumerate(self.more)}
+        return known | {chr(96 + k): k for k in range(1, 27)} | {" ": 0}
+
+
+def letter_counts(docs: DataFrame, text: str = "text", more: str | None = None) -> DataFrame:
+    """``code``, ``n``: how often each letter trigram occurs in all texts. Without ``more`` the
+    bytes of letters outside ASCII are counted, with it the letters."""
+    size = ALPHABET + len(more or "")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size ** 3, np.int64)
+        table = None if more is None else symbols(more)
         for batch in arrow_rows(batches, "_text"):
             texts = Texts(batch.column("_text"))
-            s = np.zeros(len(texts.buf) + len(texts) + 2, np.int64)  # a boundary between texts
-            s[np.arange(len(texts.buf)) + texts.owner() + 1] = SYMBOL[texts.buf]
-            counts += np.bincount(s[:-2] * ALPHABET ** 2 + s[1:-1] * ALPHABET + s[2:], minlength=ALPHABET ** 3)
+            if more is None:
+                found, own = SYMBOL[texts.buf], texts.owner()
+            else:
+                _, code, own = chars(texts)
+                found = table[code]
+            s = np.zeros(len(found) + len(texts) + 2, np.int64)  # a boundary between texts
+            s[np.arange(len(found)) + own + 1] = found
+            counts += np.bincount(s[:-2] * size ** 2 + s[1:-1] * size + s[2:], minlength=size ** 3)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["code", "n"])
 
@@ -82,13 +167,13 @@ def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def language_model(counts: DataFrame) -> np.ndarray:
+def language_model(counts: DataFrame, size: int = ALPHABET) -> np.ndarray:
     """log P(third letter | first two), interpolated with lower orders."""
-    c = np.zeros(ALPHABET ** 3)
-    for r in counts.collect():  # at most ALPHABET ** 3 rows
+    c = np.zeros(size ** 3)
+    for r in counts.collect():  # at most size ** 3 rows
         c[r["code"]] = r["n"]
-    c = c.reshape(ALPHABET, ALPHABET, ALPHABET)
-    one = (c.sum((0, 1)) + 1) / (c.sum() + ALPHABET)
+    c = c.reshape(size, size, size)
+    one = (c.sum((0, 1)) + 1) / (c.sum() + size)
     two = (c.sum(0) + 20 * one) / (c.sum(0).sum(1, keepdims=True) + 20)
     three = (c + 20 * two[None]) / (c.sum(2, keepdims=True) + 20)
     return np.log(three)
@@ -101,8 +186,8 @@ def _slots(run: str) -> list[list[tuple[str, float]]]:
     while k < len(run):
         c = run[k]
         same = 1
-        while k + same < len(run) and run[k + same] == c:
-            same += 1
+        while k + same < len(run) and (run[k + same] == c or c in SEPARATORS and run[k + same] in SEPARATORS):
+            same += 1  # a gap may be several characters
         k += same
         if c in SEPARATORS:
             slots.append([("", DROP_COST), (" ", KEEP_GAP_COST)])
@@ -115,8 +200,10 @@ def _slots(run: str) -> list[list[tuple[str, float]]]:
     return slots
 
 
-def decode(run: str, model: np.ndarray) -> str:
+def decode(run: str, model: np.ndarray | Letters) -> str:
     """The likeliest reading of a disguised run (Viterbi over the last two letters), however long it is."""
+    letters = model if isinstance(model, Letters) else Letters(model)
+    costs, codes = letters.costs, letters.codes
     # A path is a chain (path before, reading), so paths share what they have in common.
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*_slots(run), [(" ", 0.0)]]:
@@ -125,8 +212,8 @@ def decode(run: str, model: np.ndarray) -> str:
             for reading, cost in options:
                 x, y, s = a, b, score - cost
                 for letter in reading:
-                    z = ord(letter) - 96 if letter != " " else 0
-                    s += model[x, y, z]
+                    z = codes.get(letter, 27)
+                    s += costs[x][y][z]
                     x, y = y, z
                 if (x, y) not in after or after[x, y][0] < s:
                     after[x, y] = (s, (path, reading))
@@ -141,50 +228,52 @@ def decode(run: str, model: np.ndarray) -> str:
 def disguised(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs that may hide a word: text, start, end (byte positions).
 
-    Tokens of letters and signs in which a sign stands before a letter or a letter
-    comes three times in a row, and at least ``SPELLED`` single letters or signs with
-    one gap between each two.
+    Tokens of both letters and signs (``PUNCTUATION`` counts before a letter only) or
+    with a letter twice in a row; and at least ``SPELLED_LETTERS`` single letters, or
+    ``SPELLED`` single letters and signs, with gaps of one or more characters between.
     """
-    n = len(texts.buf)
+    at, code, own = chars(texts)
+    n = len(at)
     none = np.zeros(0, np.int64)
-    if n < 3:
+    if n < 2:
         return none, none, none
-    b = padded(texts.buf, lower=True)[:n]
-    own = texts.owner()
-    letter, sign, gap = LETTER[b], SIGN[b], GAP[b]
+    kind = char_classes()[code]
+    letter, sign, gap = kind & LETTER > 0, kind & SIGN > 0, kind & GAP > 0
     either = letter | sign
-    same1 = own[:-1] == own[1:]
-    marked = np.zeros(n, bool)
-    marked[:-1] = sign[:-1] & letter[1:] & same1
-    marked[:-2] |= letter[:-2] & (b[:-2] == b[1:-1]) & (b[1:-1] == b[2:]) & (own[:-2] == own[2:])
-    table_doc, start, end = _runs(texts, either)
-    hit = np.add.reduceat(marked.astype(np.int64), start) > 0 if len(start) else np.zeros(0, bool)
-    # reduceat sums up to the next run's start; what lies between two runs is never marked
-    token = table_doc[hit], start[hit], end[hit]
-    # single letters: runs of length 1, each followed by one gap and the next
+    edge = np.append(own[1:] != own[:-1], True)  # the last character of a text
+    first, last = either.copy(), either.copy()
+    first[1:] &= ~either[:-1] | edge[:-1]
+    last[:-1] &= ~either[1:] | edge[:-1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(start):
+        return none, none, none
+    after = np.append(at[1:], len(texts.buf))  # each character's end
+
+    def any_of(marked: np.ndarray) -> np.ndarray:
+        # reduceat sums up to the next run's start; what lies between two runs is never marked
+        return np.add.reduceat(marked.astype(np.int64), start) > 0
+
+    hides = sign & (kind & END == 0)
+    hides[:-1] |= sign[:-1] & letter[1:] & ~edge[:-1]
+    double = np.zeros(n, bool)
+    double[:-1] = letter[:-1] & (code[:-1] == code[1:]) & ~edge[:-1]
+    hit = any_of(letter) & any_of(hides) | any_of(double)
+    token = own[start[hit]], at[start[hit]], after[end[hit] - 1]
+    # single letters: runs of length 1, each followed by gaps only up to the next
     single = end - start == 1
+    other = np.concatenate([[0], np.cumsum(~gap)])
     link = np.zeros(len(start), bool)
-    if len(start) > 1:
-        link[:-1] = (single[:-1] & single[1:] & (start[1:] - start[:-1] == 2) & (table_doc[:-1] == table_doc[1:])
-                     & gap[np.minimum(start[:-1] + 1, n - 1)])
-    first = link & ~np.concatenate([[False], link[:-1]])
-    last = np.concatenate([[False], link[:-1]]) & ~link
-    lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    long = hi - lo + 1 >= SPELLED
+    link[:-1] = (single[:-1] & single[1:] & (own[start[:-1]] == own[start[1:]])
+                 & (other[start[1:]] == other[end[:-1]]))
+    lo = np.flatnonzero(link & ~np.concatenate([[False], link[:-1]]))
+    hi = np.flatnonzero(np.concatenate([[False], link[:-1]]) & ~link)
+    like = np.concatenate([[0], np.cumsum((letter | np.isin(code, [ord(c) for c in LETTER_LIKE]))[start])])
+    plain = np.concatenate([[0], np.cumsum(letter[start])])
+    long = (plain[hi + 1] > plain[lo]) & (
+        (hi - lo + 1 >= SPELLED) | (like[hi + 1] - like[lo] >= SPELLED_LETTERS))
     lo, hi = lo[long], hi[long]
-    return (np.concatenate([token[0], table_doc[lo]]), np.concatenate([token[1], start[lo]]),
-            np.concatenate([token[2], end[hi]]))
-
-
-def _runs(texts: Texts, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(inside)
-    edge = np.zeros(n + 1, bool)
-    edge[texts.starts] = edge[texts.ends] = True
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:n]
-    last[:-1] &= ~inside[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return np.searchsorted(texts.starts, start, "right") - 1, start, end
+    return (np.concatenate([token[0], own[start[lo]]]).astype(np.int64), np.concatenate([token[1], at[start[lo]]]),
+            np.concatenate([token[2], after[end[hi] - 1]]))
 
 
 class Restorer:
@@ -192,25 +281,24 @@ class Restorer:
 
     ENTRIES = 200_000
 
-    def __init__(self, model: np.ndarray):
-        self.model, self.seen = model, {}
+    def __init__(self, model: np.ndarray | Letters):
+        self.model, self.seen = model if isinstance(model, Letters) else Letters(model), {}
+
+    def read(self, run: bytes) -> str:
+        if run not in self.seen:
+            self.seen[run] = decode(run.decode(errors="replace").lower(), self.model)
+        return self.seen[run]
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, list[str]]:
         """Restored strings and the text that each belongs to."""
         doc, start, end = disguised(texts)
         raw = texts.buf.tobytes().lower()
-        out = []
         if len(self.seen) > self.ENTRIES:
             self.seen = {}
-        for a, b in zip(start.tolist(), end.tolist()):
-            run = raw[a:b].strip(PUNCTUATION).decode("ascii")
-            if run not in self.seen:
-                self.seen[run] = decode(run, self.model)
-            out.append(self.seen[run])
-        return doc, out
+        return doc, [self.read(raw[a:b].strip(PUNCTUATION)) for a, b in zip(start.tolist(), end.tolist())]
 
     def restore(self, text: str) -> str:
-        """A text in lower case with its disguised ASCII runs put back."""
+        """A text in lower case with its disguised runs put back."""
         raw = text.encode()
         texts = Texts(pa.array([text]))
         _, start, end = disguised(texts)
@@ -221,7 +309,7 @@ class Restorer:
             while a < b and raw[b - 1] in PUNCTUATION:
                 b -= 1
             if a >= at:
-                out += raw[at:a] + decode(raw[a:b].lower().decode("ascii"), self.model).encode()
+                out += raw[at:a] + self.read(raw[a:b].lower()).encode()
                 at = b
         return (out + raw[at:]).decode().lower()
 
@@ -252,7 +340,7 @@ def features(texts: Texts, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class ToxicModel:
-    letters: np.ndarray
+    letters: Letters
     keys: np.ndarray
     weights: np.ndarray
     coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0] + [0.0] * (EVIDENCE - 1)))
@@ -326,7 +414,7 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     return out.select("label", "half", "_text")
 
 
-def learn_lexicon(rows: DataFrame, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(rows: DataFrame, letters: Letters) -> tuple[np.ndarray, np.ndarray]:
     """Keys and weights of the features that toxic texts of ``rows`` (label, _text) have far
     more often than others: log odds, of those whose log-likelihood ratio leaves little to chance."""
 
@@ -371,7 +459,8 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, doc_id: str = "
     near copies one is used. Without both labels no lexicon is learned, and every
     text scores low.
     """
-    letters = language_model(letter_counts(corpus, text))
+    more = more_letters(corpus, text)
+    letters = Letters(language_model(letter_counts(corpus, text, more), ALPHABET + len(more)), more)
     empty = ToxicModel(letters, np.zeros(0, np.uint64), np.zeros(0))
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(
         F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))

@@ -161,6 +161,20 @@ def test_decode_is_the_best_path(letters):
         assert toxicity.decode(run, letters) == best[1].strip()
 
 
+def test_every_disguise_is_read(letters, spark):
+    restore = toxicity.Restorer(letters).restore
+    for said, meant in (("idi07", "idiot"), ("stuupid", "stupid"), ("ssttuuppiidd", "stupid"), ("l0$er, m0r0n", "loser, moron"),
+                        ("s  t u  p i d", "stupid"), ("w a s", "was"), ("w @ $", "was"), ("wa$", "was"), ("good", "good")):
+        assert restore(said) == meant
+    table = docs(spark, [(1, "le crétin est là, un crétin très bête à l'été, idiot " * 50), (2, "CRÉTIN")])
+    more = toxicity.more_letters(table)
+    assert more == "àèéê"
+    french = toxicity.Letters(toxicity.language_model(toxicity.letter_counts(table, "text", more), 28 + len(more)), more)
+    restore = toxicity.Restorer(french).restore
+    for said, meant in (("crét1n!", "crétin"), ("CRÉT1N", "crétin"), ("c r é t i n", "crétin"), ("bêêête", "bête"), ("c.r.é.t.1.n", "crétin")):
+        assert restore(said).rstrip("!") == meant
+
+
 def test_long_runs_are_read_as_a_whole(letters):
     restore = toxicity.Restorer(letters).restore
     assert restore("a st" + "u" * 70 + "pid moron") == "a stupid moron"
