@@ -302,6 +302,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)
 
 
+def _body(text: str):
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                  bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
@@ -312,24 +316,44 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     same id are one document. Rows without an id stay alone, with a null class of size
     1, and are kept. An empty table gives no rows. Other columns are ignored.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return _classes(docs, doc_id, text, similarity, bands, rows, True).drop("hash")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, bands: int, rows: int,
+             one_document: bool) -> DataFrame:
+    """:func:`near_classes` with each row's text hash; only with ``one_document`` does an id link its texts."""
+    body = _body(text)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(body.cast("binary")).alias("hash"),
                        F.lower(body).alias("text"))
     signed = signature_table(base.where("id IS NOT NULL"), bands, rows)
     # Copies: one row per text goes on. Equal texts have equal signatures.
-    texts = materialize_table(signed.groupBy("hash").agg(
-        F.min("id").alias("id"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig")))
-    sigs = texts.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig"))
+    texts = signed.groupBy("hash").agg(
+        F.min("id").alias("doc"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    # A text goes by its least id, or by its hash where that id bears other texts too.
+    bearers = base.where("id IS NOT NULL").select(F.col("id").alias("doc"), "hash")
+    several = materialize_table(bearers.groupBy("doc").agg(F.min("hash").alias("one"), F.max("hash").alias("two")).where(
+        "one < two").select("doc"))
+    node = F.when(F.col("_several").isNull(), F.col("doc")).otherwise(F.xxhash64("hash"))
+    texts = materialize_table(texts.join(several.select("doc", F.lit(1).alias("_several")), "doc", "left").withColumn(
+        "id", node).drop("_several"))
+    sigs = texts.select("id", "sig")
+    of_one = several.limit(0).select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    if one_document:
+        borne = bearers.join(several, "doc").join(texts.select("hash", "id"), "hash").select("doc", "id")
+        least = borne.groupBy("doc").agg(F.min("id").alias("b"))
+        of_one = materialize_table(borne.join(least, "doc").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
 
     members = texts.where("buckets IS NOT NULL").select("id", F.explode("buckets").alias("bucket")).distinct()
     heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head < other")
     shared = materialize_table(members.join(heads.select("bucket", "head"), "bucket"))
-    involved = shared.select("id").distinct()
-    bodies = materialize_table(base.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    involved = shared.select("id").distinct().join(texts.select("id", "doc", "hash"), "id").select(
+        F.col("id").alias("node"), F.col("doc").alias("id"), "hash")
+    bodies = materialize_table(base.join(involved, ["id", "hash"]).groupBy("node").agg(
+        F.min("text").alias("text")).withColumnRenamed("node", "id"))
 
     # Each text against the least partner of all its buckets.
     first = materialize_table(shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a"))
-    links = materialize_table(verified(first, sigs, bodies, similarity))
+    links = materialize_table(verified(first, sigs, bodies, similarity).unionByName(of_one))
     comps = components(links)
     signed_members = texts.where("buckets IS NOT NULL").select("id", "buckets", "sig")
     tried = first
@@ -347,21 +371,22 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         comps = components(links)
 
     copies = base.where("id IS NOT NULL").select("id", "hash")
-    of_text = texts.select("hash", F.col("id").alias("first"))
-    linked = materialize_table(comps).select(F.col("id").alias("first"), "comp")
-    texts_class = of_text.join(linked, "first", "left").select("hash", F.coalesce("comp", "first").alias("class_id"))
-    classed = copies.join(texts_class, "hash").select(F.col("id").alias("doc_id"), "class_id")
-    sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    known = classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size",
-                                                   (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = base.where("id IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"),
+    linked = materialize_table(comps).select("id", "comp")
+    of_text = texts.select("hash", "doc", "id").join(linked, "id", "left").select("hash", "doc", F.coalesce("comp", "id").alias("comp"))
+    heads = of_text.groupBy("comp").agg(F.min("doc").alias("class_id"))
+    texts_class = of_text.join(heads, "comp").select("hash", "comp", "class_id")
+    classed = copies.join(texts_class, "hash").select(F.col("id").alias("doc_id"), "hash", "comp", "class_id")
+    sizes = classed.groupBy("comp").agg(F.count(F.lit(1)).alias("class_size"))
+    known = classed.join(sizes, "comp").select("doc_id", "hash", "class_id", "class_size",
+                                               (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    alone = base.where("id IS NULL").select(F.col("id").alias("doc_id"), "hash", F.col("id").alias("class_id"),
                                             F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return known.unionByName(alone)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: of each class the document with the least id stays,
-    with all its columns."""
-    classes = near_classes(docs, doc_id, text)
-    gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    with all its columns. Of rows with the same id each goes by its own text."""
+    classes = _classes(docs, doc_id, text, SIMILARITY, BANDS, ROWS, False)
+    gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(gone, (docs[doc_id] == gone["_gone"]) & (F.md5(_body(text).cast("binary")) == gone["_hash"]), "left_anti")

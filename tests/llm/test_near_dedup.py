@@ -109,3 +109,17 @@ def test_components(spark):
     got = {r["id"]: r["comp"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: r for n, r in root.items() if n in got}
     assert all(n in got for a, b in edges if a != b for n in (a, b))
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(21)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    first = [prose() for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(first)]
+    # each further id bears a near copy of an earlier text and a text of its own
+    rows += [(100 + k, t + " end") for k, t in enumerate(first)] + [(100 + k, prose()) for k in range(12)]
+    table = spark.createDataFrame([(i, t, "x", "y", 1, "z") for i, t in rows], DOCS)
+    got = {(r["doc_id"], r["class_id"]) for r in nd.near_classes(table).collect()}
+    assert got == {(i, plain_classes(rows)[i]) for i, _ in rows}
+    kept = {(r["doc_id"], r["text"]) for r in nd.keep_first(table).collect()}
+    assert kept == {(i, t) for i, t in rows if not t.endswith(" end")}
