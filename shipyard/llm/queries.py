@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, chat_tree, exact_dedup, language, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
+from . import (
+    bitslice,
+    bpe,
+    chat_tree,
+    exact_dedup,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    suffix_dedup,
+    toxicity,
+)
 from .common import fold, materialize_table, read_table
 
 #: A score from here on predicts the label.
@@ -88,6 +100,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE: dict[str, str] = {
