@@ -39,11 +39,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_rows
 
-#: Text bytes that are encoded together.
-BLOCK_BYTES = 16 << 20
-BLOCK_ROWS = 1 << 16
 #: Ids of known pieces that a task keeps from block to block.
-KNOWN_IDS = 4_000_000
+KNOWN_IDS = 1_000_000
 #: Fixed value: how byte-level vocabularies cut texts into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in every Unicode version since long; a text that
@@ -237,13 +234,13 @@ class Encoder:
         """The ids of each text."""
         if len(self.flat) > KNOWN_IDS:
             self.forget()
-        cuts = [self.pieces(t) for t in texts]
-        known, new = self.known, []
-        for cut in cuts:
-            for p in cut:
-                if p not in known:
-                    known[p] = len(known)
-                    new.append(p)
+        known, new, numbered = self.known, [], []
+        for t in texts:
+            cut = self.pieces(t)
+            for p in set(cut).difference(known):
+                known[p] = len(known)
+                new.append(p)
+            numbered.append(np.fromiter(map(known.__getitem__, cut), np.int64, len(cut)))
         if new:
             ids, counts = encode_pieces([p.encode() for p in new if isinstance(p, str)], self.v)
             tokens = [p for p in new if not isinstance(p, str)]
@@ -259,11 +256,7 @@ class Encoder:
             self.flat = np.concatenate((self.flat, ids))
             self.start = np.concatenate((self.start, begin))
             self.count = np.concatenate((self.count, counts))
-        out = []
-        for cut in cuts:
-            which = np.fromiter(map(known.__getitem__, cut), np.int64, len(cut))
-            out.append(_gather(self.flat, self.start[which], self.count[which]))
-        return out
+        return [_gather(self.flat, self.start[w], self.count[w]) for w in numbered]
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -279,20 +272,27 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
     return _gather(v.bytes, v.start[at], v.length[at]).tobytes().decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids of every whole text: the id column, n_tokens long, ids binary (packed)."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """The ids of every whole text: the id column, n_tokens long, ids binary (packed).
+
+    ``decoded`` adds the text that the ids give, from the same pass.
+    """
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for part in arrow_rows(batches, "_text", BLOCK_BYTES, BLOCK_ROWS):
+        for part in arrow_rows(batches, "_text"):
             found = encoder.encode(part.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_doc"), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], ["_doc", "n_tokens", "ids"])
+            columns = {"_doc": part.column("_doc"), "n_tokens": pa.array([len(x) for x in found], pa.int64()),
+                       "ids": pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array([decode_ids(x, encoder.v) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = T.StructType([rows.schema["_doc"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(work, schema).withColumnRenamed("_doc", id_col)
+    fields = [rows.schema["_doc"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    if decoded:
+        fields.append(T.StructField("decoded", T.StringType()))
+    return rows.mapInArrow(work, T.StructType(fields)).withColumnRenamed("_doc", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -302,7 +302,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for part in arrow_rows(batches, ids_col, BLOCK_BYTES, BLOCK_ROWS):
+        for part in arrow_rows(batches, ids_col):
             texts = [decode_ids(np.frombuffer(x or b"", "<u4"), v) for x in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
@@ -312,7 +312,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 def unpack(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
     """Packed ids as an array of long."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_rows(batches, ids_col, BLOCK_BYTES, BLOCK_ROWS):
+        for part in arrow_rows(batches, ids_col):
             lists = [None if x is None else np.frombuffer(x, "<u4").astype(np.int64) for x in part.column(ids_col).to_pylist()]
             k = part.schema.get_field_index(ids_col)
             columns = [pa.array(lists, pa.list_(pa.int64())) if j == k else c for j, c in enumerate(part.columns)]
@@ -324,6 +324,6 @@ def unpack(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text: id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path, id_col, text_col), path)
+    both = encode(docs, path, id_col, text_col, decoded=True)
     return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -98,6 +98,8 @@ def test_round_trip_of_rows(spark, library):
     assert bpe.round_trip(df.where("false"), PATH).count() == 0
     ids = {r.doc_id: r.ids for r in bpe.unpack(bpe.encode(df.where("doc_id = 5"), PATH)).collect()}
     assert ids == {5: [50256]}
+    back = bpe.decode(bpe.encode(df, PATH), PATH).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in back) == sorted((str(i), t or "") for i, t in rows)
 
 
 def test_query_equals_library(spark, library):
