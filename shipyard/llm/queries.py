@@ -16,6 +16,7 @@ from . import (
     mixing,
     near_dedup,
     packing,
+    prefix_trie,
     quality,
     suffix_dedup,
     toxicity,
@@ -100,6 +101,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_bpe": op13_bpe,
 }
 
@@ -122,4 +128,5 @@ ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_bit_sliced_topk": bitslice.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
