@@ -347,9 +347,9 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 convs AS (
   SELECT DISTINCT c, c - c % 100 AS base,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-      (crc, b) -> list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
-        (v, z) -> xor(v // 2, (v % 2) * 3988292384))), 4294967295) % 6 AS h
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda v, z: xor(v // 2, (v % 2) * 3988292384))), 4294967295) % 6 AS h
   FROM t),
 rebuilt AS (
   SELECT v.c, row_number() OVER (PARTITION BY v.c ORDER BY part, pos) AS d, role, text FROM (
