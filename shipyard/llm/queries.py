@@ -20,6 +20,7 @@ from . import (
     quality,
     suffix_dedup,
     toxicity,
+    variants,
 )
 from .common import fold, materialize_table, read_table
 
@@ -105,6 +106,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_bpe": op13_bpe,
 }
 
@@ -129,4 +135,5 @@ ORACLE: dict[str, str] = {
     "op6_bit_sliced_topk": bitslice.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
 }
