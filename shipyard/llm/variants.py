@@ -221,9 +221,9 @@ hashed AS (
         ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64]::BIGINT[] END))),
       lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
         lambda v, z: xor(v // 2, (v % 2) * 3988292384))), 4294967295) AS h FROM per_doc),
-words AS (
-  SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(uses)::BIGINT AS n
-  FROM hashed GROUP BY ALL HAVING length(word) >= 7 AND n >= 2),
+spelled AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, uses FROM hashed),
+words AS (SELECT word, sum(uses)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(uses) >= 2),
 cut AS (SELECT word, n, p, word[:p] || word[p + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)),
 near AS (
   SELECT a.word, b.word AS near, b.n AS near_n, a.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
