@@ -6,9 +6,9 @@ flat tables keyed by ``msg_id`` first; nesting happens only at a sink.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -138,7 +138,7 @@ def first_products(app_rows: DataFrame, keys: Sequence[str] = ("msg_id",), name_
     return first_by(app_rows, list(keys) + [name_col], list(order))
 
 
-def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
+def expand_groups(app_rows: DataFrame, groups: Mapping[str, Sequence[str]], contexts: Mapping[str, str],
                   expandable: Sequence[str] = tuple(S.EXPANDABLE_PRODUCTS),
                   name_col: str = "productname", type_col: str = "type",
                   copy_cols: Sequence[str] = ("group", "version", "itemVersion", "port", "serverId",
@@ -149,22 +149,22 @@ def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
     The lookup key is the name with "-" turned into "_", plus "_REPORTS" when the
     app type is "reports". An item gets type "forms", the context of its own key,
     and the listed fields of its group app; other fields are dropped. A group
-    without that variant is kept as one row with ``_error`` set. ``groups`` and
-    ``contexts`` are dimension tables; Spark broadcasts them where their size allows.
-    Apps keep their place; items carry ``item_pos``.
+    without that variant is kept as one row with ``_error`` set. ``groups`` (key -> items)
+    and ``contexts`` (key -> context) are a few fixed rows; they stand in the plan as map
+    literals, so the apps are neither joined nor shuffled. Apps keep their place; items
+    carry ``item_pos``.
     """
     key = F.concat(F.translate(F.col(name_col), "-", "_"),
                    F.when(F.col(type_col) == S.REPORTS_TYPE, F.lit(S.REPORTS_SUFFIX)).otherwise(F.lit("")))
     is_group = F.coalesce(F.col(name_col).isin(*expandable), F.lit(False))
     flagged = app_rows.withColumn("_is_group", is_group).withColumn("_gkey", F.when(is_group, key))
-    g = groups.select(F.col("group_key").alias("_gkey"), F.col("items").alias("_items"))
-    ctx = contexts.select(F.col("context_key").alias("_ckey"), F.col("context").alias("_ctx"))
     # One pass: a group app explodes into its items; any other app (and a group
     # without its variant) stays one row, with no item.
-    looked = flagged.join(g, "_gkey", "left")
+    items = _lookup({k: F.array(*map(F.lit, v)) for k, v in groups.items()}, F.col("_gkey"))
+    looked = flagged.withColumn("_items", items)
     rows = looked.select("*", F.posexplode_outer(F.when(F.col("_is_group"), F.col("_items")))
                          .alias("item_pos", "_item"))
-    rows = rows.withColumn("_ckey", F.translate("_item", "-", "_")).join(ctx, "_ckey", "left")
+    rows = rows.withColumn("_ctx", _lookup({k: F.lit(v) for k, v in contexts.items()}, F.translate("_item", "-", "_")))
     item = F.col("_item").isNotNull()
     cols = app_rows.columns
     out = []
@@ -189,6 +189,11 @@ def expand_groups(app_rows: DataFrame, groups: DataFrame, contexts: DataFrame,
     return rows.select(*out, F.col("item_pos").cast("int").alias("item_pos"), error.alias("_error"))
 
 
+def _lookup(table: Mapping[str, Column], key: Column) -> Column:
+    """The value of ``key`` in a fixed table, NULL if it has none."""
+    return F.element_at(F.create_map(*[c for k, v in table.items() for c in (F.lit(k), v)]), key)
+
+
 def _app_fields() -> set[str]:
     return {f.name for f in S.APP_SCHEMA.fields}
 
@@ -260,6 +265,6 @@ def script_index(scripts: DataFrame, keys: Sequence[str] = ("msg_id",), name_col
     return first_by(scripts.select(*cols), list(keys) + [name_col], [pos_col], last=True)
 
 
-def dimension_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The fixed product-group and context tables."""
-    return S.product_groups(spark), S.product_contexts(spark)
+def dimension_tables() -> tuple[dict[str, list[str]], dict[str, str]]:
+    """The fixed product groups (key -> items) and contexts (key -> context)."""
+    return dict(S.PRODUCT_GROUPS), dict(S.PRODUCT_CONTEXTS)

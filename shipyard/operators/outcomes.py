@@ -65,6 +65,12 @@ def phase_outcome(phase_rows: DataFrame, keys: Sequence[str] = ("msg_id",),
         w = (Window.partitionBy(*keys).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = phase_rows.withColumn("effective_exit", F.last(F.col(exit_col), ignorenulls=True).over(w))
+    return phase_status(out, exit_col, status_error, status_complete)
+
+
+def phase_status(out: DataFrame, exit_col: str = "exit_status", status_error: str | Column = "statusError",
+                 status_complete: str | Column = "statusComplete") -> DataFrame:
+    """The status of phases whose ``effective_exit`` is known, and where it comes from."""
     se = F.col(status_error) if isinstance(status_error, str) else status_error
     sc = F.col(status_complete) if isinstance(status_complete, str) else status_complete
     return (out

@@ -11,13 +11,15 @@ handles many messages for many clients.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import codes
+from ..operators import chain as CH
 from ..operators import documents as D
 from ..operators import outcomes as O
 from ..operators import rules as R
@@ -30,178 +32,280 @@ STEP_ORDER = ["phase_id", "plan_pos", "srv_pos", "visit_pos", "entry_pos", "rec_
 APP_COLS = ["app_pos", "item_pos"]
 
 
-@dataclass
-class InstallationResult:
-    verdict: DataFrame          # msg_id, verdict, n_rules, n_failed
-    errors: DataFrame           # msg_id, error: messages that did not run, or not to their end
-    phases: DataFrame           # planned phases (J2)
-    steps: DataFrame            # steps that ran, with exit status (W3); _error where none was reported
-    phase_results: DataFrame    # completed phases with their effective exit (W4)
-    status_events: DataFrame    # environment-item rows (J6)
-    server_events: DataFrame    # server-item rows (J6)
-    logs: DataFrame             # log rows (U3)
-    topology: DataFrame         # merged topology, flat, per client, environment and message (J3, W6, J4)
-    registry_updates: DataFrame  # U1 rows (msg_id, client_id, environment lead) of completed installs
+class InstallationRun:
+    """The outputs of a run; each is computed when it is first asked for.
+
+    What several outputs read (the verdict, the messages that do not run, the steps that
+    ran) is written once as a table; nothing is computed for outputs that are not read.
+    """
+
+    def __init__(self, docs: DataFrame, outcomes: DataFrame, results: DataFrame | None, snapshot: DataFrame | None,
+                 created_at: str | None, observations: R.Observations | None, registries: DataFrame | None,
+                 order: Sequence[str] | None) -> None:
+        self._outcomes, self._results, self._snapshot, self._created_at = outcomes, results, snapshot, created_at
+        self._observations, self._registries, self._order = observations or R.Observations(), registries, order
+        self._docs = docs
+        self._head = docs.select("msg_id", "client_id", "environment", "execution_plan", "command")
+        self._bad = F.col("_corrupt").isNotNull() if "_corrupt" in docs.columns else F.col("doc").isNull()
+        self._whole = docs.where(~self._bad)
+
+    @cached_property
+    def verdict(self) -> DataFrame:
+        """msg_id, verdict, n_rules, n_failed (A2)."""
+        results = self._results
+        if results is None:
+            results = R.run_rules(R.required_rules(self._whole), self._observations)
+        return materialize_table(R.validation_verdict(results, self._whole.select("msg_id")))
+
+    @cached_property
+    def _passing(self) -> DataFrame:
+        good = self.verdict.where(F.col("verdict") & F.col("_error").isNull())
+        return self._whole.join(good.select("msg_id"), "msg_id", "left_semi")
+
+    def _expanded(self, srv: DataFrame) -> DataFrame:
+        return D.expand_groups(D.apps(srv), *D.dimension_tables())
+
+    @cached_property
+    def blocked(self) -> DataFrame:
+        """msg_id, error: messages that do not run because of their body, rules or product groups."""
+        corrupt = self._docs.where(self._bad).select("msg_id", F.lit("corrupt body").alias("error"))
+        unknown = self.verdict.where(F.col("_error").isNotNull()).select("msg_id", F.col("_error").alias("error"))
+        no_group = self._expanded(D.servers(self._passing)).where(F.col("_error").isNotNull()) \
+            .groupBy("msg_id").agg(F.min("_error").alias("error"))
+        return materialize_table(corrupt.unionByName(unknown).unionByName(no_group))
+
+    @cached_property
+    def _runnable(self) -> DataFrame:
+        return self._passing.join(self.blocked.select("msg_id"), "msg_id", "left_anti")
+
+    @cached_property
+    def _servers(self) -> DataFrame:
+        return D.servers(self._runnable)
+
+    @cached_property
+    def _products(self) -> DataFrame:
+        """W1 products, before the expansion of groups."""
+        return D.first_products(D.apps(self._servers)).select(
+            "msg_id", F.col("productname").alias("name"), "version", "itemVersion", "environment")
+
+    @cached_property
+    def phases(self) -> DataFrame:
+        """Planned phases."""
+        return D.plan_phases(D.phases(self._runnable), D.run_entries(self._servers))
+
+    @cached_property
+    def _ran(self) -> DataFrame:
+        """Steps: chef phases visit their servers; database phases run one script action; other
+        phases (AGENT) run nothing and reuse the previous response."""
+        p = self.phases.withColumnRenamed("id", "phase_id")
+        entries = D.run_entries(self._servers)
+        db_phase = codes.is_database_action("statusComplete")
+        chef = p.where((F.col("type") == "CHEF") & ~db_phase)
+        visits = chef.join(entries.select("msg_id", "srv_pos", "server_host", F.col("id").alias("phase_id"),
+                                          F.col("entry_pos").alias("visit_pos")), ["msg_id", "phase_id"])
+        # A visit with no recipe to run makes the agent throw: exit 1 and no server row.
+        chef_steps = D.steps(visits, entries).withColumn("throws", F.col("recipe").isNull()) \
+            .withColumn("carried", F.lit(False))
+
+        def single(rows: DataFrame, pos: int, recipe: str | None, carried: bool) -> DataFrame:
+            return rows.select("*", *[F.lit(pos).alias(c) for c in ("srv_pos", "visit_pos", "entry_pos", "rec_pos")],
+                               F.lit(None).cast("string").alias("server_host"), F.lit(recipe).cast("string")
+                               .alias("recipe"), F.lit(False).alias("throws"), F.lit(carried).alias("carried"))
+
+        db_steps = single(p.where(db_phase), -1, "database", False)
+        active = chef_steps.unionByName(db_steps, allowMissingColumns=True)
+        oc = self._outcomes.select(*STEP_KEY, F.col("exit_status").alias("_exit"))
+        active = active.join(oc, [active[k].eqNullSafe(oc[k]) for k in STEP_KEY], "left").select(active["*"], "_exit") \
+            .withColumn("exit_status", F.when(F.col("throws"), F.lit(1)).otherwise(F.col("_exit"))).drop("_exit")
+        # W4 at step level: an idle phase takes the last response before it. As a run stops at its
+        # first failure, that response is 0 if there is any; with none the agent fails.
+        place = F.struct("phase_id", "plan_pos")
+        answered = active.where(F.col("exit_status").isNotNull()).groupBy("msg_id").agg(F.min(place).alias("_first"))
+        idle = single(p.where(~db_phase & (F.col("type") != "CHEF")), -2, None, True).join(answered, "msg_id", "left") \
+            .withColumn("exit_status", F.when(F.col("_first") < place, F.lit(0)).otherwise(F.lit(1))).drop("_first")
+        steps = active.unionByName(idle, allowMissingColumns=True) \
+            .withColumn("silent", F.col("exit_status").isNull())
+        # A step without an outcome stops the message as a failing one does.
+        halts = steps.withColumn("_halt", F.coalesce("exit_status", F.lit(1)))
+        ran = O.fail_stop(halts, order=STEP_ORDER, exit_col="_halt")
+        ran = ran.withColumn("failed_here", F.coalesce(F.col("exit_status") != 0, F.lit(False)))
+        return ran.withColumn("_error", F.when(F.col("silent"), F.lit(NO_OUTCOME))).drop("_halt")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """Steps that ran, with exit status (W3); _error where none was reported."""
+        return materialize_table(self._ran)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """msg_id, error: messages that did not run, or not to their end."""
+        ran = self.__dict__.get("steps", self._ran)
+        return self.blocked.unionByName(ran.where("silent").select("msg_id", F.col("_error").alias("error")))
+
+    @cached_property
+    def _done(self) -> DataFrame:
+        """The messages that ran to their end."""
+        stopped = self.steps.where(F.col("failed_here") | F.col("silent")).select("msg_id").distinct()
+        return self._runnable.join(stopped, "msg_id", "left_anti").select(*self._head.columns)
+
+    @cached_property
+    def phase_results(self) -> DataFrame:
+        """Completed phases with their effective exit (W4): every phase up to the one holding the
+        first failure, but not one that waits for an outcome."""
+        key = ["msg_id", "phase_id", "plan_pos"]
+        waiting = self.steps.where("silent").select(*key)
+        response = O.phase_response(self.steps, keys=key, order=["srv_pos", "visit_pos", "entry_pos", "rec_pos"])
+        rows = self.phases.withColumnRenamed("id", "phase_id").join(response.select(*key, "exit_status"), key) \
+            .join(waiting, key, "left_anti")
+        # Every phase that ran has an exit by now, an idle one the one it took over.
+        return O.phase_status(rows.withColumn("effective_exit", F.col("exit_status")))
+
+    @cached_property
+    def status_events(self) -> DataFrame:
+        """Environment-item rows."""
+        phases = self.phase_results.join(self._head.select("msg_id", "client_id", "execution_plan"), "msg_id") \
+            .select("msg_id", "phase_id", "statusInitial", "statusComplete", "statusError", "initialProgress",
+                    "finalProgress", "initialDescription", "finalDescription", "exit_status", "client_id", "execution_plan")
+        return D.status_events(phases, self._products, created_at=self._created_at)
+
+    @cached_property
+    def server_events(self) -> DataFrame:
+        """Server-item rows (J6): one per visit that ran its recipes; its response is the last step run."""
+        ran = self.steps
+        silent_visit = ran.where("silent").select("msg_id", "phase_id", "srv_pos", "visit_pos").distinct()
+        response = first_by(ran.where(~F.col("throws") & (F.col("srv_pos") >= 0))
+                            .join(silent_visit, ["msg_id", "phase_id", "srv_pos", "visit_pos"], "left_anti")
+                            .select("msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos",
+                                    "exit_status", "statusComplete", "statusError"),
+                            ["msg_id", "phase_id", "srv_pos", "visit_pos"], ["entry_pos", "rec_pos"], last=True)
+        visits = response.join(self._head.select("msg_id", "client_id", "execution_plan"), "msg_id")
+        return D.server_status_events(visits, D.apps(self._servers).drop("server_host"))
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        """Log rows (U3)."""
+        return _logs(self.steps, self._head, self.verdict, self.errors, self._done, self._created_at)
+
+    @cached_property
+    def registry_updates(self) -> DataFrame:
+        """U1 rows (msg_id, client_id, environment lead) of completed installs.
+
+        The agent asks first whether the environment has the registry table (A5): with ``registries``
+        only those environments get rows.
+        """
+        done = self._done.where(F.col("command").isin(*S.INSTALL_COMMANDS)).select("msg_id", "client_id", "environment")
+        if self._registries is not None:
+            have = self._registries.where("registry_exists").select("client_id", "environment")
+            done = done.join(have, ["client_id", "environment"], "left_semi")
+        finished = self._products.drop("environment").join(done, "msg_id")
+        return O.registry_updates(finished, updated_at=self._created_at, keep=("msg_id", "client_id", "environment"))
+
+    @cached_property
+    def _where(self) -> DataFrame:
+        more = [c for c in self._order or () if c not in self._head.columns]
+        return self._docs.select("msg_id", "client_id", F.lower("environment").alias("environment"), "command", *more)
+
+    @cached_property
+    def _fresh(self) -> DataFrame:
+        """J3 and W6 per (client, environment, message), without any snapshot."""
+        expanded = self._expanded(self._servers).withColumn("item_pos", F.coalesce("item_pos", F.lit(0)))
+        bal = self._runnable.select("msg_id", F.posexplode("doc.listBalancer").alias("bal_pos", "b")).select(
+            "msg_id", "bal_pos", F.col("b.host").alias("balancer_host"), F.col("b.port").alias("balancer_port"))
+        ports = self._servers.select("msg_id", "srv_pos", F.explode("ports").alias("port"))
+        topo = TP.balancer_topology(bal, self._servers.select("msg_id", "srv_pos", "server_host"), ports, expanded,
+                                    app_cols=APP_COLS, commands=self._head)
+        return topo.join(self._where.select("msg_id", "client_id", "environment"), "msg_id")
+
+    @cached_property
+    def _stored(self) -> DataFrame | None:
+        """The snapshot as the messages find it."""
+        if self._snapshot is None:
+            return None
+        lacking = [c for c in CH.ENVIRONMENT if c not in self._snapshot.columns]
+        if lacking:
+            raise ValueError(f"the snapshot lacks {lacking}")
+        old = self._snapshot.drop("msg_id", "origin", "returned", "generation", "seq")
+        for c in APP_COLS:
+            if c not in old.columns:
+                old = old.withColumn(c, F.lit(0))
+        return old
+
+    @cached_property
+    def _chain(self) -> DataFrame:
+        if self._order is None:
+            raise ValueError("the chain of snapshots needs the messages' order")
+        rows = self._where.join(self._runnable.select("msg_id"), "msg_id", "left_semi")
+        return CH.message_chain(rows, order=self._order)
+
+    @cached_property
+    def _chained_rows(self) -> DataFrame:
+        return materialize_table(self._fresh)
+
+    @cached_property
+    def topology_history(self) -> DataFrame:
+        """J4 as a chain (``order`` given): each topology row and the messages whose snapshot holds it."""
+        return materialize_table(CH.topology_history(self._chained_rows, self._chain, order=["srv_pos", *APP_COLS], stored=self._stored))
+
+    @cached_property
+    def topology(self) -> DataFrame:
+        """Merged topology, flat, per client, environment and message.
+
+        With ``order`` each message finds what the one before it left; without, all find ``snapshot``.
+        """
+        if self._order is not None:
+            places = CH.balancer_places(self._chained_rows, self._chain)
+            return CH.snapshots(self.topology_history, places, stored=self._stored).drop("seq")
+        old = self._stored
+        if old is not None:
+            old = old.join(self._where.select("msg_id", "client_id", "environment"), ["client_id", "environment"])
+        return TP.merge_topology(self._fresh, old, keys=["client_id", "environment", "msg_id"],
+                                 order=["srv_pos", *APP_COLS], materialize=old is not None)
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        """What the last message of each environment leaves, to be stored; environments without a message keep theirs."""
+        return CH.last_snapshot(self.topology_history, self._chain)
+
+    @cached_property
+    def balancers(self) -> DataFrame:
+        """The balancers that stand on each server's own host, for installs."""
+        returned = self.topology.where("returned").select("msg_id", "balancer_host", "balancer_port")
+        return D.balancer_for_server(self._servers.select("msg_id", "srv_pos", "server_host"), returned, self._head)
 
 
 def run_installation(docs: DataFrame, outcomes: DataFrame, results: DataFrame | None = None,
                      snapshot: DataFrame | None = None, created_at: str | None = None,
-                     observations: R.Observations | None = None) -> InstallationResult:
+                     observations: R.Observations | None = None, registries: DataFrame | None = None,
+                     order: Sequence[str] | None = None) -> InstallationRun:
     """Run the plan of each installation message against its step outcomes.
 
     ``docs``: msg_id, client_id, environment, execution_plan, command (normalised), doc
     and, as ``parse_body`` gives it, _corrupt.
     ``outcomes``: msg_id, phase_id, srv_pos, visit_pos, entry_pos, rec_pos, exit_status
     (database phases use srv_pos = visit_pos = entry_pos = rec_pos = -1).
-    ``observations``: what the messages' own rules are judged on (``rules.run_rules``);
-    or ``results``: ready validation results (msg_id, rule, passed). Only passing messages run.
+    ``observations``: what the messages' own rules are judged on (``rules.run_rules``); a rule
+    whose table was not observed fails. Or ``results``: ready validation results (msg_id,
+    rule, passed). Only passing messages run.
     ``snapshot``: the stored topology (client_id and environment lead). Each message is
-    merged with its own client's environment; messages of one batch do not see each
-    other's topology.
+    merged with its own client's environment. ``order``: columns of ``docs`` by which an
+    environment's messages follow each other, each one finding the snapshot that the one
+    before left; without it the messages do not see each other's topology.
+    ``registries``: client_id, environment, registry_exists (``catalog.registry_exists``).
 
     A message with a corrupt body, an unknown rule or an app without its product group
     does not run and is an error. A planned step without a reported outcome stops its
     message there: the message is an error, its phase is not completed, and nothing of
     it counts as success.
     """
-    spark = docs.sparkSession
     missing = [f.name for f in S.STEP_OUTCOME_SCHEMA.fields if f.name not in outcomes.columns]
     if missing:
         raise ValueError(f"outcomes lack columns {missing} (see schemas.STEP_OUTCOME_SCHEMA)")
-    head = docs.select("msg_id", "client_id", "environment", "execution_plan", "command")
-    bad = F.col("_corrupt").isNotNull() if "_corrupt" in docs.columns else F.col("doc").isNull()
-    corrupt = docs.where(bad).select("msg_id", F.lit("corrupt body").alias("error"))
-    whole = docs.where(~bad)
-
-    if observations is not None:
-        results = materialize_table(R.run_rules(R.required_rules(whole), observations))
-    if results is None:
-        results = spark.createDataFrame([], "msg_id string, rule string, passed boolean")
-    verdict = R.validation_verdict(results, whole.select("msg_id"))
-    unknown = verdict.where(F.col("_error").isNotNull()).select("msg_id", F.col("_error").alias("error"))
-    passing = whole.join(verdict.where(F.col("verdict") & F.col("_error").isNull()).select("msg_id"), "msg_id", "left_semi")
-
-    # Flattened servers, the plan and the steps that ran are each read by several
-    # outputs; they are written once as tables (materialize_table) instead of being
-    # recomputed inside one very large plan.
-    servers = materialize_table(D.servers(passing))
-    # W1 products (before expansion), J1 expanded apps for the topology.
-    groups, contexts = D.dimension_tables(spark)
-    all_apps = D.apps(servers)
-    expanded = D.expand_groups(all_apps, groups, contexts)
-    no_group = expanded.where(F.col("_error").isNotNull()).groupBy("msg_id").agg(F.min("_error").alias("error"))
-    blocked = materialize_table(corrupt.unionByName(unknown).unionByName(no_group))
-    runnable = passing.join(blocked.select("msg_id"), "msg_id", "left_anti")
-    srv = servers.join(blocked.select("msg_id"), "msg_id", "left_anti")
-    app_rows = D.apps(srv)
-    products = D.first_products(app_rows).select(
-        "msg_id", F.col("productname").alias("name"), "version", "itemVersion", "environment")
-    entries = D.run_entries(srv)
-    plan = materialize_table(D.plan_phases(D.phases(runnable), entries))
-
-    merged = _topology(runnable, srv, expanded.join(blocked.select("msg_id"), "msg_id", "left_anti"), head, snapshot)
-
-    # Steps: chef phases visit their servers; database phases run one script action;
-    # other phases (AGENT) run nothing and reuse the previous response.
-    p = plan.withColumnRenamed("id", "phase_id")
-    db_phase = codes.is_database_action("statusComplete")
-    chef = p.where((F.col("type") == "CHEF") & ~db_phase)
-    visits = chef.join(entries.select("msg_id", "srv_pos", "server_host", F.col("id").alias("phase_id"),
-                                      F.col("entry_pos").alias("visit_pos")), ["msg_id", "phase_id"])
-    # A visit with no recipe to run makes the agent throw: exit 1 and no server row.
-    chef_steps = D.steps(visits, entries).withColumn("throws", F.col("recipe").isNull()) \
-        .withColumn("carried", F.lit(False))
-
-    def single(rows: DataFrame, pos: int, recipe: str | None, carried: bool) -> DataFrame:
-        return rows.select("*", *[F.lit(pos).alias(c) for c in ("srv_pos", "visit_pos", "entry_pos", "rec_pos")],
-                           F.lit(None).cast("string").alias("server_host"), F.lit(recipe).cast("string")
-                           .alias("recipe"), F.lit(False).alias("throws"), F.lit(carried).alias("carried"))
-
-    db_steps = single(p.where(db_phase), -1, "database", False)
-    idle_steps = single(p.where(~db_phase & (F.col("type") != "CHEF")), -2, None, True)
-    all_steps = chef_steps.unionByName(db_steps, allowMissingColumns=True) \
-        .unionByName(idle_steps, allowMissingColumns=True)
-    oc = outcomes.select(*STEP_KEY, F.col("exit_status").alias("_exit"))
-    all_steps = all_steps.join(oc, [all_steps[k].eqNullSafe(oc[k]) for k in STEP_KEY], "left") \
-        .select(all_steps["*"], "_exit") \
-        .withColumn("exit_status", F.when(F.col("throws"), F.lit(1))
-                    .when(F.col("carried"), F.lit(None).cast("int")).otherwise(F.col("_exit"))).drop("_exit")
-    silent = ~F.col("throws") & ~F.col("carried") & F.col("exit_status").isNull()
-    all_steps = all_steps.withColumn("silent", silent)
-    # W4 at step level: an idle phase takes the last response before it; with none the agent fails.
-    all_steps = O.phase_outcome(all_steps, order=STEP_ORDER, status_error=F.lit("e"), status_complete=F.lit("c"))
-    all_steps = all_steps.withColumn(
-        "exit_status", F.when(F.col("carried"), F.coalesce(F.col("effective_exit"), F.lit(1)))
-        .otherwise(F.col("exit_status"))) \
-        .drop("effective_exit", "exit_source", "phase_status", "_error")
-    # A step without an outcome stops the message as a failing one does.
-    halts = all_steps.withColumn("_halt", F.when(F.col("silent"), F.lit(1)).otherwise(F.col("exit_status")))
-    ran = O.fail_stop(halts, order=STEP_ORDER, exit_col="_halt")
-    ran = ran.withColumn("failed_here", F.coalesce(F.col("exit_status") != 0, F.lit(False)))
-    ran = materialize_table(ran.withColumn("_error", F.when(F.col("silent"), F.lit(NO_OUTCOME))).drop("_halt"))
-
-    # Phases that were completed: every phase up to the one holding the first failure, but
-    # not one that waits for an outcome.
-    stopped = ran.where(F.col("failed_here") | F.col("silent")).select("msg_id").distinct()
-    waiting = ran.where("silent").select("msg_id", "phase_id", "plan_pos")
-    response = O.phase_response(ran, keys=["msg_id", "phase_id", "plan_pos"],
-                                order=["srv_pos", "visit_pos", "entry_pos", "rec_pos"])
-    phase_rows = p.join(response.select("msg_id", "phase_id", "plan_pos", "exit_status"),
-                        ["msg_id", "phase_id", "plan_pos"], "inner") \
-        .join(waiting, ["msg_id", "phase_id", "plan_pos"], "left_anti")
-    phase_results = O.phase_outcome(phase_rows, order=["phase_id", "plan_pos"])
-    ev_phases = phase_results.join(head.select("msg_id", "client_id", "execution_plan"), "msg_id") \
-        .select("msg_id", "phase_id", "statusInitial", "statusComplete", "statusError", "initialProgress",
-                "finalProgress", "initialDescription", "finalDescription",
-                F.coalesce("effective_exit", F.lit(1)).alias("exit_status"), "client_id", "execution_plan")
-    status = D.status_events(ev_phases, products, created_at=created_at)
-
-    # One server row per visit that ran its recipes; its response is the last step run.
-    silent_visit = ran.where("silent").select("msg_id", "phase_id", "srv_pos", "visit_pos").distinct()
-    visit_resp = first_by(ran.where(~F.col("throws") & (F.col("srv_pos") >= 0))
-                          .join(silent_visit, ["msg_id", "phase_id", "srv_pos", "visit_pos"], "left_anti")
-                          .select("msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos",
-                                  "exit_status", "statusComplete", "statusError"),
-                          ["msg_id", "phase_id", "srv_pos", "visit_pos"], ["entry_pos", "rec_pos"], last=True)
-    visit_rows = visit_resp.join(head.select("msg_id", "client_id", "execution_plan"), "msg_id")
-    server_events = D.server_status_events(visit_rows, app_rows.drop("server_host"))
-
-    errors = blocked.unionByName(ran.where("silent").select("msg_id", F.col("_error").alias("error")))
-    done = materialize_table(runnable.join(stopped, "msg_id", "left_anti").select(*head.columns))
-    logs = _logs(ran, head, verdict, errors, done, created_at)
-    finished = products.drop("environment").join(
-        done.where(F.col("command").isin(*S.INSTALL_COMMANDS)).select("msg_id", "client_id", "environment"), "msg_id")
-    registry = O.registry_updates(finished, updated_at=created_at, keep=("msg_id", "client_id", "environment"))
-    return InstallationResult(verdict, errors, plan, ran, phase_results, status, server_events, logs, merged, registry)
+    return InstallationRun(docs, outcomes, results, snapshot, created_at, observations, registries, order)
 
 
 NO_OUTCOME = "no outcome reported"
 
 
-def _topology(docs: DataFrame, srv: DataFrame, expanded: DataFrame, head: DataFrame,
-              snapshot: DataFrame | None) -> DataFrame:
-    """J3, W6 and J4 per (client, environment, message)."""
-    where = head.select("msg_id", "client_id", F.lower("environment").alias("environment"))
-    apps = expanded.withColumn("item_pos", F.coalesce("item_pos", F.lit(0)))
-    bal = docs.select("msg_id", F.posexplode("doc.listBalancer").alias("bal_pos", "b")).select(
-        "msg_id", "bal_pos", F.col("b.host").alias("balancer_host"), F.col("b.port").alias("balancer_port"))
-    ports = srv.select("msg_id", "srv_pos", F.explode("ports").alias("port"))
-    topo = TP.balancer_topology(bal, srv.select("msg_id", "srv_pos", "server_host"), ports,
-                                apps, app_cols=APP_COLS, commands=head)
-    topo = topo.join(where, "msg_id")
-    if snapshot is not None:
-        lacking = [c for c in ("client_id", "environment") if c not in snapshot.columns]
-        if lacking:
-            raise ValueError(f"the snapshot lacks {lacking}")
-        old = snapshot.drop("msg_id", "origin", "returned", "generation")
-        for c in APP_COLS:
-            if c not in old.columns:
-                old = old.withColumn(c, F.lit(0))
-        snapshot = old.join(where, ["client_id", "environment"])  # each message meets its own
-    return TP.merge_topology(topo, snapshot, keys=["client_id", "environment", "msg_id"],
-                             order=["srv_pos", *APP_COLS], materialize=snapshot is not None)
-
-
 def _text(template: str, recipe: F.Column) -> F.Column:
     """A fixed log text with ``{recipe}`` filled in."""
     before, _, after = template.partition("{recipe}")

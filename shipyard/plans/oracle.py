@@ -605,6 +605,7 @@ SELECT msg_id, 'no outcome reported' FROM ended JOIN msg USING (k) WHERE silent
 ORACLE["flow_steps"] = _FLOW + """
 SELECT msg_id, phase_id, srv_pos::INTEGER AS srv_pos, pos AS visit_pos, pos AS entry_pos, rec_pos::INTEGER AS rec_pos, recipe,
        code AS exit_status, coalesce(code <> 0, false) AS failed_here,
+       recipe IN ('recipe[mv_balancer::create_jk]', 'recipe[mv_balancer::create_vhost]') AS is_balancer,
        CASE WHEN code IS NULL THEN 'no outcome reported' END AS _error
 FROM step JOIN msg USING (k)
 """
@@ -657,6 +658,52 @@ FROM ended JOIN msg USING (k) JOIN prod USING (k)
 WHERE installs AND NOT coalesce(silent, false) AND NOT coalesce(failed, false)
 """
 
+# The chain of snapshots: numbered messages, islands by place less rank, and for each row the next place of its key.
+_CHAIN = _FLOW + """,
+chain AS (
+  SELECT k, msg_id, client_id, row_number() OVER (PARTITION BY client_id ORDER BY o_orderdate, msg_id) - 1 AS seq
+  FROM msg JOIN orders ON o_orderkey = k WHERE stop IS NULL AND installs),
+item(product, context, item_pos) AS (
+  VALUES ('SOUL-PRODUCT-WORKSPACE', 'soul-product-workspace', 0), ('SOUL-PRODUCT-FORMS', 'soul-product-forms', 1)),
+app AS (
+  SELECT c.client_id, c.k, c.msg_id, c.seq, n_name AS balancer_host, l_returnflag AS balancer_port, l.s_name AS server_host, srv_pos,
+         CAST(l_linenumber AS VARCHAR) AS port, coalesce(i.product, l.product) AS product_name, i.context AS product_context,
+         CASE WHEN i.product IS NULL THEN 'web' ELSE 'forms' END AS product_type, rec_pos AS app_pos, coalesce(i.item_pos, 0) AS item_pos
+  FROM chain c JOIN line l ON l_orderkey = c.k JOIN supplier s ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  LEFT JOIN item i ON l.product = 'SOULMV-H5'),
+held AS (SELECT client_id, balancer_host, balancer_port, seq,
+           seq - row_number() OVER (PARTITION BY client_id, balancer_host, balancer_port ORDER BY seq) AS island
+         FROM (SELECT DISTINCT client_id, balancer_host, balancer_port, seq FROM app)),
+ends AS (SELECT client_id, balancer_host, balancer_port, island, max(seq) + 1 AS stop_seq FROM held GROUP BY ALL),
+placed AS (
+  SELECT a.*, island, stop_seq, row_number() OVER (
+      PARTITION BY client_id, balancer_host, balancer_port, seq, server_host, port, product_name, product_type
+      ORDER BY srv_pos, app_pos, item_pos) AS copy
+  FROM app a JOIN held USING (client_id, balancer_host, balancer_port, seq) JOIN ends USING (client_id, balancer_host, balancer_port, island)),
+history AS (
+  SELECT p.*, coalesce((
+      SELECT min(q.seq) FROM placed q
+      WHERE q.client_id = p.client_id AND q.balancer_host = p.balancer_host AND q.balancer_port = p.balancer_port AND q.island = p.island
+        AND q.server_host = p.server_host AND q.port = p.port AND q.seq > p.seq
+        AND (p.copy > 1 OR (q.product_name = p.product_name AND q.product_type = p.product_type))), stop_seq) AS until_seq
+  FROM placed p)
+"""
+_FLOW_TOPO = ("client_id, 'prod' AS environment, balancer_host, balancer_port, server_host, srv_pos::INTEGER AS srv_pos, port, product_name, "
+              "product_context, product_type, app_pos::INTEGER AS app_pos, item_pos::INTEGER AS item_pos")
+
+ORACLE["flow_topology"] = _CHAIN + f"""
+SELECT {_FLOW_TOPO}, seq::INTEGER AS from_seq, until_seq::INTEGER AS until_seq FROM history
+"""
+
+ORACLE["flow_snapshots"] = _CHAIN + f""",
+places AS (
+  SELECT k, msg_id, client_id, seq AS now_seq, balancer_host, balancer_port,
+         row_number() OVER (PARTITION BY k ORDER BY balancer_host, balancer_port) - 1 AS bal_pos
+  FROM (SELECT DISTINCT k, msg_id, client_id, seq, balancer_host, balancer_port FROM app))
+SELECT places.msg_id, bal_pos::INTEGER AS bal_pos, {_FLOW_TOPO}, CASE WHEN seq = now_seq THEN 'new' ELSE 'old' END AS origin, true AS returned
+FROM history JOIN places USING (client_id, balancer_host, balancer_port) WHERE seq <= now_seq AND now_seq < until_seq
+"""
+
 ORACLE["disk_nodes"] = f"""
 WITH dev AS (
   SELECT l_orderkey AS host, l_orderkey % 10 AS rest, l_orderkey % 3 = 0 AS win,

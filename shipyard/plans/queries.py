@@ -78,7 +78,7 @@ def q_group_expand(spark: SparkSession, d: str) -> DataFrame:
         "msg_id", *SI.LINE_ID, F.col("ptype").alias("productname"),
         F.when(F.col("l_returnflag") == "R", F.lit("reports")).otherwise(F.lit("web")).alias("type"),
         "version", "itemVersion")
-    groups, contexts = SI.standin_groups(spark)
+    groups, contexts = SI.standin_groups()
     out = D.expand_groups(apps, groups, contexts, expandable=SI.STANDIN_EXPANDABLE,
                           copy_cols=("version", "itemVersion"))
     return out.select("msg_id", *SI.LINE_ID, "productname", "type", "context", "version",
@@ -317,8 +317,9 @@ def q_topology_merge(spark: SparkSession, d: str) -> DataFrame:
 def _flow(spark: SparkSession, d: str):
     msgs, outcomes = SI.order_installations(spark, d)
     docs = M.parse_body(M.route(M.normalize_codes(msgs)), "INSTALLATION")
-    docs = materialize_table(docs.select("msg_id", "client_id", "environment", "execution_plan", "command", "doc", "_corrupt"))
-    return run_installation(docs, outcomes, created_at=EVENT_TS, observations=R.Observations(agents=SI.client_agents(spark, d)))
+    docs = materialize_table(docs.select("msg_id", "client_id", "environment", "execution_plan", "command", "arrival_ts", "doc", "_corrupt"))
+    return run_installation(docs, outcomes, created_at=EVENT_TS, observations=R.Observations(agents=SI.client_agents(spark, d)),
+                            order=("arrival_ts", "msg_id"))
 
 
 def q_parse_body(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +343,7 @@ def q_flow_errors(spark: SparkSession, d: str) -> DataFrame:
 def q_flow_steps(spark: SparkSession, d: str) -> DataFrame:
     """P7 + W3 + W5: the steps that ran, by text phase id; a missing outcome stops its message."""
     return _flow(spark, d).steps.select("msg_id", "phase_id", "srv_pos", "visit_pos", "entry_pos", "rec_pos", "recipe",
-                                        "exit_status", "failed_here", "_error")
+                                        "exit_status", "failed_here", "is_balancer", "_error")
 
 
 def q_flow_status(spark: SparkSession, d: str) -> DataFrame:
@@ -365,6 +366,21 @@ def q_flow_registry(spark: SparkSession, d: str) -> DataFrame:
     return _flow(spark, d).registry_updates
 
 
+FLOW_TOPO = ["client_id", "environment", "balancer_host", "balancer_port", "server_host", "srv_pos", "port", "product_name",
+             "product_context", "product_type", "app_pos", "item_pos"]
+
+
+def q_flow_topology(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + W6 + J4 as a chain: each topology row and the messages, by their place in the client's
+    environment, whose snapshot holds it."""
+    return _flow(spark, d).topology_history.select(*FLOW_TOPO, "from_seq", "until_seq")
+
+
+def q_flow_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The merged topology that each message leaves."""
+    return _flow(spark, d).topology.select("msg_id", "bal_pos", *FLOW_TOPO, "origin", "returned")
+
+
 def q_disk_nodes(spark: SparkSession, d: str) -> DataFrame:
     """nodes by their Ruby-hash attributes; every node is judged, readable or not."""
     nodes = SI.order_nodes(spark, d)
@@ -438,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "flow_server_events": q_flow_server_events,
     "flow_logs": q_flow_logs,
     "flow_registry": q_flow_registry,
+    "flow_topology": q_flow_topology,
+    "flow_snapshots": q_flow_snapshots,
     "disk_nodes": q_disk_nodes,
     "client_registry": q_client_registry,
     "stream_route": q_stream_route,

@@ -96,10 +96,8 @@ def line_apps(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_name").alias("version"), F.col("l_partkey").cast("string").alias("itemVersion"))
 
 
-def standin_groups(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    g = spark.createDataFrame(STANDIN_GROUPS, "group_key string, items array<string>")
-    c = spark.createDataFrame(STANDIN_CONTEXTS, "context_key string, context string")
-    return g, c
+def standin_groups() -> tuple[dict[str, list[str]], dict[str, str]]:
+    return dict(STANDIN_GROUPS), dict(STANDIN_CONTEXTS)
 
 
 def plan_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -518,7 +516,7 @@ def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
         F.col("o_orderkey").cast("string").alias("msg_id"), F.col("o_custkey").cast("string").alias("client_id"),
         F.lit("Prod").alias("environment"), F.col("o_orderpriority").alias("execution_plan"),
         F.when(F.col("o_orderstatus") == "P", F.lit("download")).otherwise(F.lit("install")).alias("command"),
-        F.lit("installation").alias("type_message"), body.alias("body"))
+        F.lit("installation").alias("type_message"), F.col("o_orderdate").alias("arrival_ts"), body.alias("body"))
     # Outcomes: every recipe exits 0 except a line with return flag R; some orders report none for their lines.
     srv_pos = per_server.select("l_orderkey", "l_suppkey", F.posexplode("items").alias("rec_pos", "it"))
     rank = per_server.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("sups"))

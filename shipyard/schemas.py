@@ -6,7 +6,6 @@ for results to match; they are stated plainly, in their natural order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -239,22 +238,3 @@ STEP_OUTCOME_SCHEMA = T.StructType([
     T.StructField("rec_pos", T.IntegerType()),
     T.StructField("exit_status", T.IntegerType()),
 ])
-
-
-# ---------------------------------------------------------------------------
-# Dimension tables built from the fixed values (a handful of rows each, so a
-# broadcast of them has a proven size bound)
-# ---------------------------------------------------------------------------
-
-def product_groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, items) for k, items in PRODUCT_GROUPS],
-        "group_key string, items array<string>")
-
-
-def product_contexts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRODUCT_CONTEXTS, "context_key string, context string")
-
-
-def tablespace_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TABLESPACE_RULES, "tablespace_name string, required_mb int")

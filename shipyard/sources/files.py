@@ -40,8 +40,9 @@ def read_catalog_jdbc(spark: SparkSession, url: str, table: str, properties: dic
     return spark.read.jdbc(url, table, properties=properties)
 
 
-def load_snapshot(spark: SparkSession, path: str, environment: str | None = None) -> DataFrame | None:
-    """The latest generation of each client environment's balancer snapshot.
+def load_snapshot(spark: SparkSession, path: str, environment: str | None = None,
+                  before: int | None = None) -> DataFrame | None:
+    """The latest generation (before ``before``) of each client environment's balancer snapshot.
 
     Partitions are pruned on the environment. None if the path does not exist; any other
     failure (an unreadable or schemaless folder) is raised, not taken for "no snapshot".
@@ -56,6 +57,8 @@ def load_snapshot(spark: SparkSession, path: str, environment: str | None = None
         return None
     if environment is not None:
         df = df.where(F.col("environment") == environment.lower())
+    if before is not None:
+        df = df.where(F.col("generation") < before)
     key = ["client_id", "environment"]
     latest = df.groupBy(*key).agg(F.max("generation").alias("generation"))
     return df.join(latest, [*key, "generation"], "left_semi")

@@ -21,8 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators import messages as M
+from ..operators import rules as R
 from ..operators.tables import materialize_table, scratch_tables
-from ..sources.files import read_messages
+from ..sources.files import load_snapshot, read_messages, save_snapshot
 
 
 def accepted_messages(msgs: DataFrame, clients: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -93,13 +94,22 @@ def start_fan_out(routed: DataFrame, out_dir: str, checkpoint_location: str,
     return w.start()
 
 
-def installation_writer(outcomes: DataFrame, out_dir: str,
-                        created_at: str | None = None) -> Callable[[DataFrame, int], None]:
+#: What a streamed installation leaves behind.
+INSTALLATION_OUTPUTS = ("status_events", "server_events", "logs", "errors", "topology", "registry_updates")
+
+
+def installation_writer(outcomes: DataFrame, out_dir: str, created_at: str | None = None,
+                        observations: R.Observations | None = None, registries: DataFrame | None = None,
+                        snapshot_dir: str | None = None) -> Callable[[DataFrame, int], None]:
     """X5 for the batch-only steps: run the installation flow on each micro-batch.
 
-    The INSTALLATION messages of a batch are parsed (secrets dropped) and run
-    against the static ``outcomes`` table (W1, W3, W4, W6 and the rest run here,
-    where each message is complete in one row). Status, server and log rows go to
+    The INSTALLATION messages of a batch are parsed (secrets dropped), judged on
+    ``observations`` (a rule whose table is not observed fails, an unknown one is an error) and
+    the passing ones run against the static ``outcomes`` table (W1, W3, W4, W6 and the rest
+    run here, where each message is complete in one row). The batch's messages of one environment follow
+    each other by arrival; with ``snapshot_dir`` the first finds what the batches
+    before left there, and the last one's topology is stored under the batch id + 1 (a retried
+    batch reads what older batches left and replaces its own). ``INSTALLATION_OUTPUTS`` go to
     ``<out_dir>/<output>/batch_id=<id>``; a retried batch overwrites its own folders.
     """
     from ..plans.installation import run_installation
@@ -107,10 +117,13 @@ def installation_writer(outcomes: DataFrame, out_dir: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         with scratch_tables():  # the flow's intermediate tables go with the batch
             docs = materialize_table(M.parse_body(batch, "INSTALLATION").select(
-                "msg_id", "client_id", "environment", "execution_plan", "command", "doc", "_corrupt"))
+                "msg_id", "client_id", "environment", "execution_plan", "command", "arrival_ts", "doc", "_corrupt"))
             mine = outcomes.join(docs.select("msg_id"), "msg_id", "left_semi")
-            res = run_installation(docs, mine, created_at=created_at)
-            for name in ("status_events", "server_events", "logs", "errors"):
-                getattr(res, name).write.mode("overwrite").parquet(
-                    f"{out_dir.rstrip('/')}/{name}/batch_id={batch_id}")
+            stored = load_snapshot(batch.sparkSession, snapshot_dir, before=batch_id + 1) if snapshot_dir else None
+            res = run_installation(docs, mine, created_at=created_at, observations=observations, registries=registries,
+                                   snapshot=stored, order=("arrival_ts", "msg_id"))
+            for name in INSTALLATION_OUTPUTS:
+                getattr(res, name).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}/batch_id={batch_id}")
+            if snapshot_dir:
+                save_snapshot(res.snapshot, snapshot_dir, batch_id + 1)
     return write

@@ -70,7 +70,7 @@ def test_servers_apps_and_first_products(spark):
 
 def test_expand_groups_with_reference_groups(spark):
     srv = D.servers(docs(spark).where("msg_id = 'm1'"))
-    groups, contexts = D.dimension_tables(spark)
+    groups, contexts = D.dimension_tables()
     out = D.expand_groups(D.apps(srv), groups, contexts)
     got = rows(out, "srv_pos", "app_pos", "item_pos", "productname", "type", "context", "_error")
     assert got == [
@@ -133,6 +133,6 @@ def test_script_index_last_package_wins(spark):
     assert rows(D.script_index(sc), "name", "package") == [("a.sql", "p2"), ("b.sql", "p1")]
 
 
-def test_group_dimension_is_the_fixed_list(spark):
-    g = {r.group_key: list(r.items) for r in S.product_groups(spark).collect()}
+def test_group_dimension_is_the_fixed_list():
+    g, _ = D.dimension_tables()
     assert g["SOULMV_H5_REPORTS"] == ["SOUL-PRODUCT-REPORTS"] and len(g) == 7

@@ -1,4 +1,5 @@
 import datetime as dt
+import copy
 import json
 import os
 
@@ -150,6 +151,62 @@ def test_installation_flow_inside_foreach_batch(spark, tmp_path):
     assert errors == [("m1", "no outcome reported"), ("m2", "no outcome reported")]  # phase "2" has none
 
 
+def test_streamed_installations_are_judged(spark, tmp_path):
+    """A2 + A5 + J4 inside foreachBatch: a failing, an unknown, an unobserved and passing messages;
+    the second batch finds the topology that the first has left."""
+    from shipyard.operators.catalog import registry_exists
+    from shipyard.operators.rules import Observations
+    from shipyard.sources.files import load_snapshot
+    from test_documents import RUNNABLE
+
+    def inst(mid, minute, rules, server=None, environment="Prod"):
+        doc = copy.deepcopy(RUNNABLE)
+        doc["executionPlan"] = [ph for ph in doc["executionPlan"] if ph["id"] == "10"]
+        doc["validations"] = rules
+        if server:
+            doc["list_server"][0]["soulmvlinux"]["serverHost"] = server
+        m = _msg(0, "c1", mid, "installation", "h1", minute)
+        return m | {"body": json.dumps(doc), "command": "install", "environment": environment}
+
+    v1 = [{"name": "CHECK_AGENT_VERSION", "metric": "v1"}]
+    batches = [[inst("pass1", 0, v1), inst("old", 1, [{"name": "CHECK_AGENT_VERSION", "metric": "v9"}]),
+                inst("moon", 2, [{"name": "CHECK_MOON", "metric": "full"}]),
+                inst("disk", 3, [{"name": "CHECK_SERVERS_DISK_SPACE", "metric": "1"}]), inst("bare", 4, v1, environment="Test")],
+               [inst("pass2", 10, v1, server="h9")]]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _write_batches(src, batches)
+    clients = spark.createDataFrame([("c1", "h1", "1")], S.CLIENT_SCHEMA)
+    everyone = ("pass1", "old", "moon", "disk", "bare", "pass2")
+    outcomes = spark.createDataFrame([(m, "10", 0, 1, 1, 0, 0) for m in everyone] + [(m, "10", 1, 0, 0, 0, 0) for m in everyone],
+                                     S.STEP_OUTCOME_SCHEMA)
+    agents = spark.createDataFrame([("c1", "v1")], "client_id string, agent_version string")
+    envs = spark.createDataFrame([("c1", "Prod"), ("c1", "Test")], "client_id string, environment string")
+    objects = spark.createDataFrame([("c1", "Prod", S.REGISTRY_OBJECT, S.REGISTRY_OWNER)],
+                                    "client_id string, environment string, object_name string, owner string")
+    routed = SM.message_stream(spark, src, clients, watermark="1 day", max_files_per_trigger=1).withColumn("msg_id", F.col("message_id"))
+    writer = SM.installation_writer(outcomes, out, created_at="2024-01-01 00:00:00", observations=Observations(agents=agents),
+                                    registries=registry_exists(envs, objects, ["client_id", "environment"]),
+                                    snapshot_dir=str(tmp_path / "snapshots"))
+    routed.writeStream.foreachBatch(writer).option("checkpointLocation", str(tmp_path / "ckpt")) \
+        .trigger(availableNow=True).start().awaitTermination(600)
+
+    read = {name: spark.read.parquet(f"{out}/{name}") for name in SM.INSTALLATION_OUTPUTS}
+    assert rows(read["errors"], "msg_id", "error") == [("moon", "unknown validation rule")]
+    texts = [r.lo_conteudo for r in read["logs"].collect()]
+    assert texts.count(S.LOG_REJECTED) == 2 and texts.count(S.LOG_DONE) == 3
+    ran = {r.msg_id for r in read["status_events"].select("msg_id").distinct().collect()}
+    assert ran == {"pass1", "bare", "pass2"}
+    # the environment without the registry table gets no rows
+    assert {r.msg_id for r in read["registry_updates"].collect()} == {"pass1", "pass2"}
+    topo = read["topology"]
+    assert {r.msg_id for r in topo.collect()} == {"pass1", "bare", "pass2"}
+    mine = rows(topo.where("msg_id = 'pass2' AND server_host IN ('h1', 'h9')").select("server_host", "origin").distinct())
+    assert mine == [("h1", "old"), ("h9", "new")]
+    snap = load_snapshot(spark, str(tmp_path / "snapshots"))
+    assert {(r.environment, r.generation) for r in snap.collect()} == {("prod", 2), ("test", 1)}
+    assert {"h1", "h9"} <= {r.server_host for r in snap.where("environment = 'prod'").collect()}
+
+
 def test_late_messages_are_found(spark, tmp_path):
     """What comes behind the watermark is dropped by the stream and returned as error rows."""
     def msg(seq, mid, minute):
