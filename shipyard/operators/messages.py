@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions import codes
 from .keyed import first_by
+from .scan import last_non_null
 
 DEDUP_KEYS = ["client_id", "message_id", "type_message"]
 
@@ -60,6 +61,39 @@ def accept_messages(msgs: DataFrame, clients: DataFrame, **cols) -> DataFrame:
     return checksum_gate(msgs.where(F.col(client_col).isNotNull()), clients, **cols)
 
 
+def accept_messages_asof(msgs: DataFrame, changes: DataFrame, id_cols: Sequence[str] = ("msg_id",),
+                         client_col: str = "client_id", type_col: str = "type_message", checksum_col: str = "checksum",
+                         ts_col: str = "arrival_ts", change_order: Sequence[str] = ()) -> DataFrame:
+    """P1 + P2 as of each message's time: the gate reads the hash that was stored when the message came.
+
+    ``changes``: client_id, changed_ts, env_hash and the columns of ``change_order`` (which of
+    several changes at one time is the last; after them the greatest hash). A client is known
+    from its first change on; a change holds for messages of the same time. A hash that was
+    set to NULL equals a NULL checksum. Messages without client id or time are left out, as are
+    those of a client not known by then; changes without client or time count as none.
+
+    Changes and messages are merged by (client, time) and the last hash is carried over
+    range chunks (``scan.last_non_null``), so a client with a third of all messages is spread over many
+    tasks. Only ids and gate columns take part; the messages are then kept by a semi join on
+    ``id_cols``, which name each message.
+    """
+    tie = list(change_order)
+    per_time = changes.where(F.col("client_id").isNotNull() & F.col("changed_ts").isNotNull()) \
+        .groupBy("client_id", "changed_ts").agg(F.max(F.struct(*tie, "env_hash")).alias("_c"))
+    none = [F.lit(None).cast(msgs.schema[c].dataType).alias(c) for c in id_cols]
+    known = per_time.select(
+        F.col("client_id").alias("_cid"), F.col("changed_ts").alias("_ts"), F.lit(0).alias("_kind"), *none,
+        F.lit(None).cast("string").alias("_checksum"), F.lit(False).alias("_gated"), F.struct(F.col("_c.env_hash").alias("hash")).alias("_hash"))
+    asked = msgs.where(F.col(client_col).isNotNull() & F.col(ts_col).isNotNull()).select(
+        F.col(client_col).alias("_cid"), F.col(ts_col).alias("_ts"), F.lit(1).alias("_kind"), *id_cols, F.col(checksum_col).alias("_checksum"),
+        F.col(type_col).isin(*S.CHECKSUM_TYPES).alias("_gated"), F.lit(None).cast(known.schema["_hash"].dataType).alias("_hash"))
+    merged = last_non_null(known.unionByName(asked), ["_cid"], ["_ts", "_kind", *id_cols], "_hash", "_held")
+    gated = F.coalesce(F.col("_gated"), F.lit(False))
+    passed = merged.where((F.col("_kind") == 1) & F.col("_held").isNotNull()
+                          & (~gated | F.col("_checksum").eqNullSafe(F.col("_held.hash")))).select(*id_cols)
+    return msgs.where(F.col(client_col).isNotNull()).join(passed, list(id_cols), "left_semi")
+
+
 def dedup_messages(msgs: DataFrame, keys: Sequence[str] = DEDUP_KEYS,
                    order: Sequence[str] = ("arrival_ts",)) -> DataFrame:
     """W2 (batch): the first message per (client, message id, type) by arrival.

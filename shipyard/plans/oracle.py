@@ -742,3 +742,44 @@ FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT client_id FROM new
 """
 
 ORACLE["stream_route"] = ORACLE["msg_route"]
+
+# ---------------------------------------------------------------------------
+# The registry as of message time
+# ---------------------------------------------------------------------------
+
+_CHANGES = """
+  SELECT client_id, changed_ts, arg_max(env_hash, change_id) AS env_hash FROM (
+    SELECT CAST(c_custkey AS VARCHAR) AS client_id, TIMESTAMP '2023-12-31' AS changed_ts, CAST(c_nationkey % 2 AS VARCHAR) AS env_hash, -1 AS change_id
+    FROM customer WHERE c_custkey % 2 = 1
+    UNION ALL
+    SELECT CAST(user_id AS VARCHAR), ts, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 AS VARCHAR), event_id
+    FROM events WHERE event_type = 'click') GROUP BY client_id, changed_ts
+"""
+_GATED = f"""
+  SELECT m.*, c.client_id IS NOT NULL AS known, type_message NOT IN ('BOOTSTRAP', 'INSTALLATION') OR m.checksum IS NOT DISTINCT FROM c.env_hash AS passes
+  FROM ({_MESSAGES}) m ASOF LEFT JOIN ({_CHANGES}) c ON m.client_id = c.client_id AND m.arrival_ts >= c.changed_ts
+"""
+
+ORACLE["msg_accept_asof"] = f"""
+SELECT msg_seq, client_id, message_id, type_message, checksum FROM ({_GATED}) WHERE known AND passes
+"""
+
+ORACLE["stream_gate"] = f"""
+WITH RECURSIVE gated AS (SELECT *, datediff('day', DATE '2024-01-01', CAST(arrival_ts AS DATE)) AS day FROM ({_GATED})),
+sent AS (SELECT *, CASE WHEN day < 10 THEN 0 WHEN day < 20 THEN 1 WHEN day < 40 THEN 2 ELSE 3 END
+           + CASE WHEN CAST(message_id AS INTEGER) % 10 = 7 THEN 1 ELSE 0 END AS part FROM gated),
+marks AS (SELECT p.part, (SELECT date_trunc('milliseconds', max(arrival_ts)) - INTERVAL 1 DAY FROM sent s WHERE s.part < p.part) AS mark
+          FROM (SELECT DISTINCT part FROM sent) p),
+timed AS (SELECT s.*, coalesce(arrival_ts < mark, false) AS late, client_id || '/' || message_id || '/' || type_message AS copy
+          FROM sent s JOIN marks USING (part)),
+passing AS (SELECT copy, arrival_ts, min(CAST(msg_seq AS VARCHAR)) AS tie FROM timed WHERE NOT late AND known AND passes GROUP BY ALL),
+kept AS (
+  SELECT copy, min(arrival_ts) AS arrival_ts FROM passing GROUP BY copy
+  UNION ALL
+  SELECT k.copy, min(p.arrival_ts) FROM kept k JOIN passing p ON p.copy = k.copy AND p.arrival_ts >= k.arrival_ts + INTERVAL 3 DAY
+  GROUP BY k.copy, k.arrival_ts),
+first_copy AS (SELECT copy, arrival_ts, tie FROM kept JOIN passing USING (copy, arrival_ts))
+SELECT msg_seq, client_id, CASE WHEN late THEN 'late' WHEN NOT known THEN 'unknown' WHEN NOT passes THEN 'rejected'
+  WHEN f.copy IS NOT NULL THEN 'accepted' ELSE 'repeat' END AS status
+FROM timed t LEFT JOIN first_copy f ON f.copy = t.copy AND f.arrival_ts = t.arrival_ts AND f.tie = CAST(t.msg_seq AS VARCHAR)
+"""

@@ -22,6 +22,7 @@ from ..operators import scripts as X
 from ..operators import topology as TP
 from ..operators.tables import materialize_table
 from ..session import checkpoint_dir
+from ..streaming import gate as GT
 from ..streaming import messages as SM
 from . import standins as SI
 from .installation import run_installation
@@ -43,6 +44,13 @@ def q_msg_accept(spark: SparkSession, d: str) -> DataFrame:
     return acc.select("msg_seq", "client_id", "message_id", "type_message", "checksum")
 
 
+def q_msg_accept_asof(spark: SparkSession, d: str) -> DataFrame:
+    """P1 + P2 with the hash as it was when the message came (clicks change it)."""
+    acc = M.accept_messages_asof(_normalized_messages(spark, d), SI.registry_changes(spark, d), id_cols=("msg_seq",),
+                                 change_order=["change_id"])
+    return acc.select("msg_seq", "client_id", "message_id", "type_message", "checksum")
+
+
 def q_msg_dedup(spark: SparkSession, d: str) -> DataFrame:
     """First message per (client, message id, type) by arrival, then sequence."""
     dd = M.dedup_messages(_normalized_messages(spark, d), order=("arrival_ts", "msg_seq"))
@@ -414,8 +422,36 @@ def q_stream_route(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
+def q_stream_gate(spark: SparkSession, d: str) -> DataFrame:
+    """X2 + X4: the events as a stream that arrives in parts, with a watermark of a day: status of every message.
+
+    Each part is written and drained in turn, so a part is a micro-batch. A last change far ahead
+    moves the watermark past all rows.
+    """
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+    msgs = _normalized_messages(spark, d)
+    msgs = msgs.withColumn("part", SI.arrival_part("arrival_ts", F.col("message_id").cast("int") % 10 == 7))
+    changes = SI.registry_changes(spark, d).withColumn("part", SI.arrival_part("changed_ts", F.lit(False)))
+    end = spark.range(1).select(F.lit("-").alias("client_id"), F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("changed_ts"),
+                                F.lit(None).cast("string").alias("env_hash"), F.lit(-1).cast("long").alias("change_id"))
+    for part in range(len(SI.ARRIVAL_DAYS) + 2):
+        last = part == len(SI.ARRIVAL_DAYS) + 1
+        msgs.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/messages")
+        (end if last else changes.where(F.col("part") == part).drop("part")).write.mode("append").parquet(f"{root}/changes")
+        arriving = spark.readStream.schema(msgs.drop("part").schema).parquet(f"{root}/messages")
+        changing = spark.readStream.schema(end.schema).parquet(f"{root}/changes")
+        stream = GT.gated_stream(arriving, changing, watermark=SI.STREAM_DELAY, keep_seconds=SI.STREAM_KEEP_DAYS * 86400, tie_col="msg_seq",
+                                 change_tie_col="change_id")
+        with GT.rocksdb_state(spark):
+            stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint") \
+                .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        F.get_json_object("payload", "$.msg_seq").cast("long").alias("msg_seq"), "client_id", "status")
+
+
 QUERIES: dict[str, Query] = {
     "msg_accept": q_msg_accept,
+    "msg_accept_asof": q_msg_accept_asof,
     "msg_dedup": q_msg_dedup,
     "msg_route": q_msg_route,
     "products_first": q_products_first,
@@ -459,4 +495,5 @@ QUERIES: dict[str, Query] = {
     "disk_nodes": q_disk_nodes,
     "client_registry": q_client_registry,
     "stream_route": q_stream_route,
+    "stream_gate": q_stream_gate,
 }

@@ -60,6 +60,30 @@ def clients(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("c_nationkey") % 2).cast("string").alias("env_hash"))
 
 
+def registry_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the client registry: customers of odd key stand in it from the start, and every
+    click (event) sets its user's hash to k % 2."""
+    start = clients(spark, d).where(F.col("client_id").cast("long") % 2 == 1).select(
+        "client_id", F.lit("2023-12-31 00:00:00").cast("timestamp_ntz").alias("changed_ts"), "env_hash", F.lit(-1).cast("long").alias("change_id"))
+    ev = read_table(spark, d, "events").where(F.col("event_type") == "click")
+    return start.unionByName(ev.select(F.col("user_id").cast("string").alias("client_id"), F.col("ts").cast("timestamp_ntz").alias("changed_ts"),
+                                       (event_k() % 2).cast("string").alias("env_hash"), F.col("event_id").alias("change_id")))
+
+
+#: The gated stream: events arrive in so many parts, by time; a message whose k ends in 7 comes one part later.
+ARRIVAL_DAYS = [10, 20, 40]
+STREAM_DELAY = "1 day"
+STREAM_KEEP_DAYS = 3
+
+
+def arrival_part(ts: str, late: F.Column) -> F.Column:
+    day = F.datediff(F.col(ts), F.lit("2024-01-01").cast("timestamp_ntz"))
+    part = F.lit(len(ARRIVAL_DAYS))
+    for k, until in reversed(list(enumerate(ARRIVAL_DAYS))):
+        part = F.when(day < until, k).otherwise(part)
+    return part + late.cast("int")
+
+
 # ---------------------------------------------------------------------------
 # Documents: an order is a document, its lines are apps / steps
 # ---------------------------------------------------------------------------
