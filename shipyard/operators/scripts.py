@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.text import fill, first_line, split_statements
+from ..sources.zips import text_contents, zip_index
+from .scan import row_numbers
 
 
 def statements(scripts: DataFrame, keys: Sequence[str] = ("script_id",), text_col: str = "text") -> DataFrame:
@@ -104,3 +106,34 @@ def scan_script_packages(spark: SparkSession, zip_glob: str, packages: DataFrame
 def scripts_per_package(scripts: DataFrame, keys: Sequence[str] = ("msg_id",)) -> DataFrame:
     """S4 count: number of scripts found per package."""
     return scripts.groupBy(*keys, "filename", "scriptId").agg(F.count("name").alias("n_scripts"))
+
+
+def scan_packages(spark: SparkSession, path: str, packages: DataFrame, keys: Sequence[str] = ("msg_id",)) -> DataFrame:
+    """S4 by ranges of entries (``sources.zips``): the rows of ``scan_script_packages`` with entry_pos.
+
+    Only entries under a package's own prefix are read. A package that is read by several messages is read once.
+    """
+    keys = list(keys)
+    pk = packages.select(*keys, "filename", "productName", "scriptId", "version")
+    index = zip_index(spark, path).withColumn("filename", F.element_at(F.split("path", "/"), -1))
+    wanted = pk.select("filename", "productName").distinct().withColumn(
+        "_prefix", fill(S.SCRIPT_ENTRY_PREFIX, product=F.col("productName")))
+    broken = F.col("entry_name").isNull()
+    mine = index.join(wanted, "filename").where(broken | F.startswith("entry_name", F.col("_prefix")))
+    read = text_contents(mine, S.SCRIPT_ENCODING)
+    name = F.when(~broken, F.substring("entry_name", F.length("_prefix") + 1, F.length("entry_name")))
+    found = read.select("filename", "productName", name.alias("name"), "entry_pos", "content", "_error")
+    return pk.join(found, ["filename", "productName"]).select(
+        *keys, "filename", "productName", "scriptId", "version", "name", F.lit(S.SCRIPT_PHASE).alias("phase"), "entry_pos", "content", "_error")
+
+
+def package_scripts(scripts: DataFrame, keys: Sequence[str] = ("msg_id",)) -> DataFrame:
+    """Each package's scripts by name: of entries with one name the last wins; name_pos is the place in name order (from 0).
+
+    The places come from range chunks (``scan.row_numbers``), so a package of any size is spread over tasks.
+    """
+    package = [*keys, "filename", "productName"]
+    named = scripts.where(F.col("name").isNotNull() & F.col("_error").isNull())
+    last = named.groupBy(*package, "name").agg(F.max("entry_pos").alias("entry_pos"))
+    placed = row_numbers(last, package, ["name"], "name_pos")
+    return named.join(placed, [*package, "name", "entry_pos"])

@@ -783,3 +783,17 @@ SELECT msg_seq, client_id, CASE WHEN late THEN 'late' WHEN NOT known THEN 'unkno
   WHEN f.copy IS NOT NULL THEN 'accepted' ELSE 'repeat' END AS status
 FROM timed t LEFT JOIN first_copy f ON f.copy = t.copy AND f.arrival_ts = t.arrival_ts AND f.tie = CAST(t.msg_seq AS VARCHAR)
 """
+
+ORACLE["script_packages"] = """
+WITH entry AS (
+  SELECT doc_id % 40 AS p, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) - 1 AS entry_pos, doc_id % 7 <> 3 AS pre,
+         (doc_id // 40 % 25)::VARCHAR || '.sql' AS name, strlen(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS md5
+  FROM documents WHERE doc_id IS NOT NULL),
+found AS (SELECT *, row_number() OVER (PARTITION BY p, name ORDER BY entry_pos DESC) AS back, count(*) OVER (PARTITION BY p) AS n_scripts
+          FROM entry WHERE pre AND p <> 13)
+SELECT 'p' || p || '.zip' AS filename, 'prod' || (p % 3) AS "productName", name, row_number() OVER (PARTITION BY p ORDER BY name) - 1 AS name_pos,
+       entry_pos, n_chars::INTEGER AS n_chars, md5, n_scripts, false AS broken
+FROM found WHERE back = 1
+UNION ALL
+SELECT 'p13.zip', 'prod1', NULL, NULL, NULL, NULL, NULL, 0, true WHERE EXISTS (SELECT 1 FROM entry WHERE p = 13)
+"""

@@ -422,6 +422,20 @@ def q_stream_route(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
+def q_script_packages(spark: SparkSession, d: str) -> DataFrame:
+    """S4 + J9: the scripts of zip packages (documents) by name, last entry wins; a broken package is an error row."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/packages/{uuid.uuid4().hex}"
+    packages = SI.document_packages(spark, d, folder)
+    scripts = materialize_table(X.scan_packages(spark, f"{folder}/p*.zip", packages))
+    kept = X.package_scripts(scripts).withColumn("md5", F.md5(F.encode("content", S.SCRIPT_ENCODING))) \
+        .withColumn("n_chars", F.length("content"))
+    broken = scripts.where(F.col("_error").isNotNull())
+    cols = ["filename", "productName", "name", "name_pos", "entry_pos", "n_chars", "md5"]
+    per = X.scripts_per_package(scripts).select("filename", "n_scripts")
+    return kept.select(*cols, "_error").unionByName(broken.select("filename", "productName", "_error"), allowMissingColumns=True) \
+        .join(per, "filename").select(*cols, "n_scripts", F.col("_error").isNotNull().alias("broken"))
+
+
 def q_stream_gate(spark: SparkSession, d: str) -> DataFrame:
     """X2 + X4: the events as a stream that arrives in parts, with a watermark of a day: status of every message.
 
@@ -496,4 +510,5 @@ QUERIES: dict[str, Query] = {
     "client_registry": q_client_registry,
     "stream_route": q_stream_route,
     "stream_gate": q_stream_gate,
+    "script_packages": q_script_packages,
 }

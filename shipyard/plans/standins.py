@@ -556,3 +556,65 @@ def order_installations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
         "msg_id", F.lit("2").alias("phase_id"), "srv_pos", F.lit(0).alias("visit_pos"), F.lit(0).alias("entry_pos"),
         F.lit(0).alias("rec_pos"), F.lit(0).alias("exit_status"))
     return msgs, line_out.unionByName(deploy_out)
+
+
+# ---------------------------------------------------------------------------
+# Script packages: documents in zip files (doc_id modulo PACKAGES names the package)
+# ---------------------------------------------------------------------------
+
+PACKAGES = 40
+
+
+def document_packages(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """Writes the documents' texts as zip files under ``folder``; returns the package table.
+
+    Package p<doc_id % 40>.zip holds its documents in order of id as scripts of 0 to 24 (doc_id div 40
+    modulo 25; a later one has the name of an earlier one) under its product's prefix, those of doc_id % 7 = 3 elsewhere.
+    Package 13 breaks off.
+    """
+    docs = read_table(spark, d, "documents").where(F.col("doc_id").isNotNull())
+    rows = docs.select(F.pmod("doc_id", F.lit(PACKAGES)).cast("int").alias("p"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def write(batches):
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        now, z, raw = None, None, None
+
+        def close():
+            z.close()
+            raw.close()
+            if now == 13:
+                with system.open_input_file(f"{base}/_p{now}.zip") as f:
+                    head = f.read(f.size() // 2)
+                with system.open_output_stream(f"{base}/_p{now}.zip") as f:
+                    f.write(head)
+            system.move(f"{base}/_p{now}.zip", f"{base}/p{now}.zip")
+            return now
+
+        done = []
+        for b in batches:
+            for p, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("p", "doc_id", "text"))):
+                if p != now:
+                    if z is not None:
+                        done.append(close())
+                    now, raw = p, system.open_output_stream(f"{base}/_p{p}.zip")
+                    z = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
+                name = f"{doc_id // PACKAGES % 25}.sql"
+                info = zipfile.ZipInfo(f"products/prod{p % 3}/database/{'post' if doc_id % 7 == 3 else 'pre'}/{name}")
+                info.compress_type = zipfile.ZIP_DEFLATED
+                z.writestr(info, text.encode())
+        if z is not None:
+            done.append(close())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["p"])
+
+    written = rows.repartition(PACKAGES, "p").sortWithinPartitions("p", "doc_id").mapInArrow(write, "p int")
+    written.write.format("noop").mode("overwrite").save()
+    return spark.range(PACKAGES).select(
+        F.lit("m").alias("msg_id"), F.concat(F.lit("p"), "id", F.lit(".zip")).alias("filename"), F.concat(F.lit("prod"), F.col("id") % 3).alias("productName"),
+        F.col("id").cast("string").alias("scriptId"), F.lit("1").alias("version"))
