@@ -105,6 +105,43 @@ def dedup_messages(msgs: DataFrame, keys: Sequence[str] = DEDUP_KEYS,
     return first_by(msgs, list(keys), list(order))
 
 
+def dedup_history(msgs: DataFrame, keys: Sequence[str] = DEDUP_KEYS, order: Sequence[str] = ("arrival_ts", "msg_id"),
+                  limit: int = 100, keep: int = 2, client_col: str = "client_id") -> DataFrame:
+    """W2 as the agent has it: a client's history of headers is cut to the last ``keep`` when it reaches ``limit``.
+
+    A copy is dropped while its header stands in the history, so very old repeats run again. What a
+    client's message meets depends on all before it, so a client is one pass in order of
+    arrival: rows are sorted within their task and streamed, with at most ``limit`` headers held,
+    whatever the client's size. Only the key's hash and the order take part in that pass; the messages are kept by
+    a semi join on ``order``, which names each message within its client.
+    """
+    import pyarrow as pa
+
+    order = list(order)
+    header = F.md5(F.to_json(F.struct(*keys))).alias("_header")
+    slim = msgs.where(F.col(client_col).isNotNull()).select(F.col(client_col).alias("_client"), *order, header)
+
+    def passes(batches):
+        client, history = None, []
+        for batch in batches:
+            take = []
+            for c, h in zip(batch.column("_client").to_pylist(), batch.column("_header").to_pylist()):
+                if c != client:
+                    client, history = c, []
+                new = h not in history
+                take.append(new)
+                if new:
+                    history.append(h)
+                    if len(history) == limit:
+                        history = history[-keep:]
+            yield batch.filter(pa.array(take, pa.bool_()))
+
+    kept = slim.repartition("_client").sortWithinPartitions("_client", *order).mapInArrow(passes, slim.schema) \
+        .select(F.col("_client").alias(client_col), *order)
+    same = [msgs[c].eqNullSafe(kept[c]) for c in (client_col, *order)]
+    return msgs.join(kept, same, "left_semi")
+
+
 def route(msgs: DataFrame, type_col: str = "type_message") -> DataFrame:
     """The route of each message; unknown types become error rows."""
     known = F.col(type_col).isin(*S.MESSAGE_TYPES)

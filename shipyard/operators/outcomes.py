@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.text import fill
 from .keyed import first_by
-from .scan import last_non_null
+from .scan import last_non_null, next_value
 
 STEP_ORDER = ("phase_id", "phase_pos", "visit_pos", "entry_pos", "rec_pos")
 
@@ -141,3 +141,33 @@ def log_events(df: DataFrame, level: str | Column, content: str | Column, client
         level.alias("ds_nivel"),
         ts.alias("dh_log"),
         text.alias("lo_conteudo"))
+
+
+def run_durations(events: DataFrame, keys: Sequence[str] = ("msg_id",), kind_col: str = "kind", ts_col: str = "ts",
+                  tie: Sequence[str] = ()) -> DataFrame:
+    """How long runs took: each start with the end that directly follows it in its key's order of time.
+
+    ``kind_col`` is "start" or "end" (other rows are left out); at one time a start stands before
+    an end, then ``tie`` decides. A start that another start or nothing follows, and an end that no
+    start stands before, are kept without their partner. ``elapsed`` is a day-time interval;
+    hours, minutes and seconds are its fields, so whole days are lost in them. Rows of a hot key are
+    spread over range chunks (``scan.next_value``).
+    """
+    keys = list(keys)
+    seen = events.where(F.col(kind_col).isin("start", "end")).select(
+        *keys, F.col(ts_col).alias("_ts"), (F.col(kind_col) == "end").alias("_end"), *tie)
+    seen = seen.withColumn("_self", F.struct("_end", "_ts"))
+    # The row after each one, and by the same scan backwards the row before: an end is matched if a start stands there.
+    order = ["_ts", "_end", *tie]
+    ahead = next_value(seen, keys, order, "_self", "_next")
+    starts = ahead.where(~F.col("_end")).select(*keys, F.col("_ts").alias("start_ts"), F.when(F.col("_next._end"), F.col("_next._ts")).alias("end_ts"))
+    # A row says of the one after it whether that is an end without a start; the first of a key has none before it.
+    lone = ahead.where(F.col("_end") & F.col("_next._end")).select(*keys, F.lit(None).cast(seen.schema["_ts"].dataType).alias("start_ts"),
+                                                                   F.col("_next._ts").alias("end_ts"))
+    opening = seen.groupBy(*keys).agg(F.min(F.struct("_ts", "_end")).alias("_f")).where("_f._end").select(
+        *keys, F.lit(None).cast(seen.schema["_ts"].dataType).alias("start_ts"), F.col("_f._ts").alias("end_ts"))
+    runs = starts.unionByName(lone).unionByName(opening)
+    elapsed = F.col("end_ts") - F.col("start_ts")
+    return runs.withColumn("elapsed", elapsed).select(
+        "*", F.expr("extract(HOUR FROM elapsed)").cast("int").alias("hours"), F.expr("extract(MINUTE FROM elapsed)").cast("int").alias("minutes"),
+        F.expr("extract(SECOND FROM elapsed)").cast("int").alias("seconds"))

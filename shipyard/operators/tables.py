@@ -40,4 +40,4 @@ def materialize_table(df: DataFrame) -> DataFrame:
     if _scratch:
         _scratch[-1].append((df.sparkSession, path))
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a table without rows may have no file to ask

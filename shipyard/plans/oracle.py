@@ -797,3 +797,32 @@ FROM found WHERE back = 1
 UNION ALL
 SELECT 'p13.zip', 'prod1', NULL, NULL, NULL, NULL, NULL, 0, true WHERE EXISTS (SELECT 1 FROM entry WHERE p = 13)
 """
+
+ORACLE["registry_store"] = """
+WITH ev AS (SELECT *, user_id || ':' || event_type AS cd_produto, event_type || '.' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS ds_versao,
+              CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+have AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'view' AND k < 20 AND k % 2 = 0)
+SELECT cd_produto, arg_max(ds_versao, (ts, event_id)) AS ds_versao, max(ts) AS dh_atualizacao
+FROM ev WHERE ts < TIMESTAMP '2024-01-08' OR user_id IN (SELECT user_id FROM have) GROUP BY cd_produto
+"""
+
+ORACLE["snapshot_roundtrip"] = """
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS client_id, lower(o_orderpriority) AS environment, o_orderkey AS srv_pos,
+             CASE WHEN year(o_orderdate) < 1997 THEN 1 ELSE 2 END AS generation FROM orders WHERE year(o_orderdate) <= 1998)
+SELECT client_id, environment, srv_pos, generation::BIGINT AS generation
+FROM o QUALIFY generation = max(generation) OVER (PARTITION BY client_id, environment)
+"""
+
+ORACLE["run_durations"] = """
+WITH e AS (
+  SELECT user_id, ts, event_type = 'signup' AS stop, lead(event_type = 'signup') OVER w AS next_stop, lead(ts) OVER w AS next_ts,
+         lag(event_type = 'signup') OVER w AS prev_stop
+  FROM events WHERE event_type IN ('purchase', 'signup')
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'signup', event_id)),
+r AS (
+  SELECT user_id, ts AS start_ts, CASE WHEN next_stop THEN next_ts END AS end_ts FROM e WHERE NOT stop
+  UNION ALL SELECT user_id, NULL, ts FROM e WHERE stop AND coalesce(prev_stop, true)),
+u AS (SELECT *, epoch_us(end_ts) - epoch_us(start_ts) AS us FROM r)
+SELECT user_id, start_ts, end_ts, (us // 3600000000 % 24)::INTEGER AS hours, (us // 60000000 % 60)::INTEGER AS minutes,
+       (us // 1000000 % 60)::INTEGER AS seconds FROM u
+"""

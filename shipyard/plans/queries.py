@@ -22,6 +22,8 @@ from ..operators import scripts as X
 from ..operators import topology as TP
 from ..operators.tables import materialize_table
 from ..session import checkpoint_dir
+from ..sources import files as FS
+from ..sources import registry as RS
 from ..streaming import gate as GT
 from ..streaming import messages as SM
 from . import standins as SI
@@ -57,6 +59,13 @@ def q_msg_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dd.select("msg_seq", "client_id", "message_id", "type_message", "arrival_ts")
 
 
+def q_msg_dedup_history(spark: SparkSession, d: str) -> DataFrame:
+    """W2 with the agent's bounded history (the headers of a client: 20, cut to 2)."""
+    msgs = _normalized_messages(spark, d)
+    dd = M.dedup_history(msgs, order=("arrival_ts", "msg_seq"), limit=20)
+    return dd.select("msg_seq", "client_id", "message_id", "type_message")
+
+
 def q_msg_route(spark: SparkSession, d: str) -> DataFrame:
     """P3 -> P1/P2 -> W2 -> P4: accepted, de-duplicated messages counted per route."""
     acc = M.accept_messages(_normalized_messages(spark, d), SI.clients(spark, d))
@@ -235,6 +244,45 @@ def q_registry(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cd_produto", "ds_versao", "dh_atualizacao", "origin")
 
 
+def q_registry_store(spark: SparkSession, d: str) -> DataFrame:
+    """U1 / U2 as a stored table: two rounds of updates (events) into its touched partitions; users without
+    the registry table get none (A5)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
+    key = ["user_id", "cd_produto"]
+
+    def with_user(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("user_id", F.split_part("cd_produto", F.lit(":"), F.lit(1)).cast("long"))
+
+    old, later = SI.event_registry(spark, d, split_at="2024-01-08")
+    RS.create_registry(with_user(O.replace_by_key(old.limit(0), old, ["cd_produto"], update_order=["dh_atualizacao", "event_id"])
+                                 .drop("event_id", "origin")), path, key)
+    have = q_registry_exists(spark, d)
+    at = F.lit("2024-01-20").cast("timestamp_ntz")
+    for part in (later.where(F.col("dh_atualizacao") < at), later.where(F.col("dh_atualizacao") >= at)):
+        RS.update_registry(spark, with_user(part), path, key, ["dh_atualizacao", "event_id"], registries=have)
+    return RS.read_registry(spark, path).select("cd_produto", "ds_versao", "dh_atualizacao")
+
+
+def q_snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as snapshot rows in three generations, the last one never committed; what is read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{uuid.uuid4().hex}"
+    o = SI.read_table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("client_id"), F.lower("o_orderpriority").alias("environment"),
+        F.col("o_orderkey").alias("srv_pos"), F.year("o_orderdate").alias("_year"))
+    FS.save_snapshot(o.where("_year < 1997").drop("_year"), path, 1)
+    FS.save_snapshot(o.where("_year BETWEEN 1997 AND 1998").drop("_year"), path, 2)
+    FS.write_generation(o.where("_year > 1998").drop("_year"), path, 3)  # its writer dies before the commit
+    return FS.load_snapshot(spark, path).select("client_id", "environment", "srv_pos", "generation")
+
+
+def q_run_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Durations of runs: per user a purchase starts one and a signup ends it."""
+    ev = SI.read_table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "purchase", "start").when(F.col("event_type") == "signup", "end")
+    runs = O.run_durations(ev.select("user_id", "event_id", "ts", kind.alias("kind")), keys=["user_id"], tie=["event_id"])
+    return runs.select("user_id", "start_ts", "end_ts", "hours", "minutes", "seconds")
+
+
 def q_disk(spark: SparkSession, d: str) -> DataFrame:
     """A4 + F2: largest partition of each node and its free MB against 150 MB."""
     out = R.disk_check(SI.event_devices(spark, d), ["node"], 150)
@@ -467,6 +515,7 @@ QUERIES: dict[str, Query] = {
     "msg_accept": q_msg_accept,
     "msg_accept_asof": q_msg_accept_asof,
     "msg_dedup": q_msg_dedup,
+    "msg_dedup_history": q_msg_dedup_history,
     "msg_route": q_msg_route,
     "products_first": q_products_first,
     "group_expand": q_group_expand,
@@ -488,6 +537,9 @@ QUERIES: dict[str, Query] = {
     "audit_tail_client": q_audit_tail_client,
     "registry_exists": q_registry_exists,
     "registry": q_registry,
+    "registry_store": q_registry_store,
+    "snapshot_roundtrip": q_snapshot_roundtrip,
+    "run_durations": q_run_durations,
     "disk": q_disk,
     "verdict": q_verdict,
     "version_check": q_version_check,

@@ -40,38 +40,65 @@ def read_catalog_jdbc(spark: SparkSession, url: str, table: str, properties: dic
     return spark.read.jdbc(url, table, properties=properties)
 
 
-def load_snapshot(spark: SparkSession, path: str, environment: str | None = None,
-                  before: int | None = None) -> DataFrame | None:
-    """The latest generation (before ``before``) of each client environment's balancer snapshot.
+def _commits(path: str) -> str:
+    return f"{path.rstrip('/')}_commits"
 
-    Partitions are pruned on the environment. None if the path does not exist; any other
-    failure (an unreadable or schemaless folder) is raised, not taken for "no snapshot".
-    """
+
+#: A commit: this client's environment is whole in this generation.
+COMMIT_SCHEMA = "client_id string, environment string, generation long"
+
+
+def _read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """None if the path does not exist; any other failure (an unreadable or schemaless folder) is raised."""
     from pyspark.errors import AnalysisException
 
     try:
-        df = spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def load_snapshot(spark: SparkSession, path: str, environment: str | None = None,
+                  before: int | None = None) -> DataFrame | None:
+    """The latest committed generation (before ``before``) of each client environment's balancer snapshot.
+
+    Which one that is stands in the commit rows, one per client, environment and generation,
+    so the snapshots themselves are not searched, and a generation that is half written (or
+    whose writer died) is never read. Partitions are pruned on the environment. None if
+    nothing was ever committed at the path.
+    """
+    commits = _read_if_there(spark, _commits(path), COMMIT_SCHEMA)
+    if commits is not None and commits.isEmpty():
+        return None
+    df = _read_if_there(spark, path)
+    if df is None or commits is None:
+        return None
     if environment is not None:
-        df = df.where(F.col("environment") == environment.lower())
+        same = F.col("environment") == environment.lower()
+        df, commits = df.where(same), commits.where(same)
     if before is not None:
-        df = df.where(F.col("generation") < before)
+        commits = commits.where(F.col("generation") < before)
     key = ["client_id", "environment"]
-    latest = df.groupBy(*key).agg(F.max("generation").alias("generation"))
+    latest = commits.groupBy(*key).agg(F.max("generation").alias("generation"))
     return df.join(latest, [*key, "generation"], "left_semi")
 
 
 def save_snapshot(topo: DataFrame, path: str, generation: int) -> None:
-    """Write a new generation (never overwrite one being read).
+    """Write a new generation (never overwrite one being read), then commit it.
 
     ``topo`` carries client_id and environment. Older generations stay readable as
     backups; readers take the latest one. A retry of the same generation replaces the
-    partitions it writes.
+    partitions it writes. The commit rows are written last.
     """
-    (topo.withColumn("generation", F.lit(generation).cast("long"))
+    write_generation(topo, path, generation)
+    write_generation(topo.select("client_id", "environment").distinct(), _commits(path), generation)
+
+
+def write_generation(rows: DataFrame, path: str, generation: int) -> None:
+    """The rows as partitions of (environment, generation); replaces those that it writes."""
+    (rows.withColumn("generation", F.lit(generation).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("environment", "generation").parquet(path))
 
