@@ -826,3 +826,5 @@ u AS (SELECT *, epoch_us(end_ts) - epoch_us(start_ts) AS us FROM r)
 SELECT user_id, start_ts, end_ts, (us // 3600000000 % 24)::INTEGER AS hours, (us // 60000000 % 60)::INTEGER AS minutes,
        (us // 1000000 % 60)::INTEGER AS seconds FROM u
 """
+
+ORACLE["event_sink"] = ORACLE["step_logs"]

@@ -22,6 +22,7 @@ from ..operators import scripts as X
 from ..operators import topology as TP
 from ..operators.tables import materialize_table
 from ..session import checkpoint_dir
+from ..sources import events as EV
 from ..sources import files as FS
 from ..sources import registry as RS
 from ..streaming import gate as GT
@@ -484,6 +485,14 @@ def q_script_packages(spark: SparkSession, d: str) -> DataFrame:
         .join(per, "filename").select(*cols, "n_scripts", F.col("_error").isNotNull().alias("broken"))
 
 
+def q_event_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The step logs written to the committed sink, and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/events/{uuid.uuid4().hex}"
+    logs = q_step_logs(spark, d)
+    EV.write_committed(logs, path, "1")
+    return EV.read_committed(spark, path, logs.schema)
+
+
 def q_stream_gate(spark: SparkSession, d: str) -> DataFrame:
     """X2 + X4: the events as a stream that arrives in parts, with a watermark of a day: status of every message.
 
@@ -563,4 +572,5 @@ QUERIES: dict[str, Query] = {
     "stream_route": q_stream_route,
     "stream_gate": q_stream_gate,
     "script_packages": q_script_packages,
+    "event_sink": q_event_sink,
 }
