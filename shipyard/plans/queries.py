@@ -505,10 +505,10 @@ def q_stream_gate(spark: SparkSession, d: str) -> DataFrame:
     changes = SI.registry_changes(spark, d).withColumn("part", SI.arrival_part("changed_ts", F.lit(False)))
     end = spark.range(1).select(F.lit("-").alias("client_id"), F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("changed_ts"),
                                 F.lit(None).cast("string").alias("env_hash"), F.lit(-1).cast("long").alias("change_id"))
-    for part in range(len(SI.ARRIVAL_DAYS) + 2):
-        last = part == len(SI.ARRIVAL_DAYS) + 1
+    for part in range(len(SI.ARRIVAL_DAYS) + 1):
+        news = changes.where(F.col("part") == part).drop("part")
         msgs.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/messages")
-        (end if last else changes.where(F.col("part") == part).drop("part")).write.mode("append").parquet(f"{root}/changes")
+        (news.unionByName(end) if part == len(SI.ARRIVAL_DAYS) else news).write.mode("append").parquet(f"{root}/changes")
         arriving = spark.readStream.schema(msgs.drop("part").schema).parquet(f"{root}/messages")
         changing = spark.readStream.schema(end.schema).parquet(f"{root}/changes")
         stream = GT.gated_stream(arriving, changing, watermark=SI.STREAM_DELAY, keep_seconds=SI.STREAM_KEEP_DAYS * 86400, tie_col="msg_seq",

@@ -38,7 +38,7 @@ _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
 
 class Gate(StatefulProcessor):
-    """Times are microseconds; a timer is in milliseconds, rounded up."""
+    """Times are microseconds; a timer is in milliseconds, rounded up. A key has a timer for its earliest row or expiry."""
 
     def __init__(self, keep_us: int) -> None:
         self.keep_us = keep_us
@@ -73,17 +73,20 @@ class Gate(StatefulProcessor):
                     late.append((int(ts), "late", payload))
         if wait:
             self.waiting.appendList(wait)
-            for ms in {-(-w[0] // 1000) for w in wait}:
-                self.handle.registerTimer(ms)
+            self._wake(min(w[0] for w in wait))
         yield from self._out(key, late)
 
+    def _wake(self, ts: int) -> None:
+        self.handle.registerTimer(-(-ts // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        """Takes all rows that the watermark has passed, however many timers stand for them, and sets the next timer."""
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         rows = list(self.waiting.get())
-        ready = sorted((r for r in rows if r[0] <= due), key=lambda r: (r[0], r[1], r[2]))
-        if ready:
-            rest = [tuple(r) for r in rows if r[0] > due]
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        ready = sorted((r for r in rows if r[0] < mark), key=lambda r: (r[0], r[1], r[2]))
+        rest = [tuple(r) for r in rows if r[0] >= mark]
+        first = {copy[0]: ts[0] for copy, ts in self.accepted.iterator()}
+        begun = dict(first)
         out = []
         for ts, kind, tie, copy, gated, checksum, payload in ready:
             if kind == 0:
@@ -94,18 +97,22 @@ class Gate(StatefulProcessor):
                 out.append((ts, "unknown", payload))
             elif gated and checksum != held[2]:
                 out.append((ts, "rejected", payload))
+            elif copy in first and ts < first[copy] + self.keep_us:
+                out.append((ts, "repeat", payload))
             else:
-                first = self.accepted.getValue((copy,)) if self.accepted.containsKey((copy,)) else None
-                if first is not None and ts < first[0] + self.keep_us:
-                    out.append((ts, "repeat", payload))
-                else:
-                    self.accepted.updateValue((copy,), (ts,))
-                    self.handle.registerTimer(-(-(ts + self.keep_us) // 1000))
-                    out.append((ts, "accepted", payload))
-        if self.accepted.exists():
-            for copy, first in list(self.accepted.iterator()):
-                if first[0] + self.keep_us <= due:
-                    self.accepted.removeKey(copy)
+                first[copy] = ts
+                out.append((ts, "accepted", payload))
+        for copy, ts in first.items():
+            if ts + self.keep_us <= mark:
+                if copy in begun:
+                    self.accepted.removeKey((copy,))
+            elif begun.get(copy) != ts:
+                self.accepted.updateValue((copy,), (ts,))
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        ahead = [r[0] for r in rest] + [ts + self.keep_us for ts in first.values() if ts + self.keep_us > mark]
+        if ahead:
+            self._wake(min(ahead))
         yield from self._out(key, out)
 
     def close(self) -> None:
