@@ -80,4 +80,4 @@ def test_pack_places_every_document(spark, results):
     for r in packed:
         used[r["sequence_id"]] += r["length"]
     assert max(used.values()) <= packing.CAPACITY
-    assert "pipeline" in __import__("__spark_entry__").queries() and len(queries.QUERIES) == 10
+    assert "pipeline" in __import__("__spark_entry__").queries() and len(queries.QUERIES) == 13
