@@ -5,10 +5,10 @@ to unlabelled text alone: it minimises the non-negative unbiased risk
 
     prior * E_p[loss(z)] + max(0, E_u[loss(-z)] - prior * E_p[loss(-z)])
 
-with the logistic loss, so the score estimates the probability of the label. Labelled
-negatives are never used as examples; they only enter the estimate of the class prior.
-Features are computed where the texts are, the fit sees a bounded sample of feature
-rows, and every text is scored in one pass without a shuffle.
+with the logistic loss, so the score estimates the probability of the label. The class
+prior is estimated from the same two sets; labelled negatives are used nowhere.
+Features are computed where the texts are, the fit sees a bounded sample of different
+texts, and every text is scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
@@ -99,12 +99,14 @@ def feature_rows(rows: DataFrame, keep: str) -> DataFrame:
     return rows.mapInArrow(work, f"{keep} long, x binary")
 
 
-def _sample(rows: DataFrame, key: Column, bound: int, seed: int) -> DataFrame:
-    """About ``bound`` rows (all, if fewer), chosen by a hash of ``key``."""
-    n = rows.count()
-    if n <= bound:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """The feature rows of ``_text`` in the order of ``_h``, filled in place batch by batch."""
+    got = feature_rows(rows, "_h").toArrow()
+    place = np.argsort(np.argsort(got.column("_h").to_numpy(), kind="stable"))
+    out = np.empty((len(place), WIDTH), np.float32)
+    for at, x in zip(place.tolist(), (v for chunk in got.column("x").chunks for v in chunk)):
+        out[at] = np.frombuffer(x.as_buffer(), np.float16)
+    return out
 
 
 @dataclass(frozen=True)
@@ -148,43 +150,57 @@ def fit_non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: f
     return Linear(whole, float(b), prior)
 
 
-def estimate_prior(quality: DataFrame) -> float | None:
-    """The share of label 1 among labelled rows, smoothed; None if only one label occurs."""
-    n, ones = quality.agg(F.count("label"), F.sum("label")).first()
-    return (ones + 1) / (n + 2) if n and 0 < (ones or 0) < n else None
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled rows, from the two sets alone.
+
+    Above any threshold the unlabelled rows hold at least prior times the positives'
+    share, so the least ratio of the two shares bounds the prior from above, and meets
+    it where few others score that high. Each half of the rows is scored by a model
+    fitted to the other half; both estimates are averaged, and taken a standard error
+    lower: a prior that is too high makes negatives of the unlabelled rows positive.
+    """
+    found = []
+    for k in range(2):
+        p, u = positive[1 - k::2], unlabelled[1 - k::2]
+        if len(positive) > 1 and len(unlabelled) > 1:
+            rough = fit_non_negative_risk(positive[k::2], unlabelled[k::2], 0.5, steps=200)
+        else:
+            p, u, rough = positive, unlabelled, fit_non_negative_risk(positive, unlabelled, 0.5, steps=200)
+        p, u = rough.score(p), rough.score(u)
+        for t in np.quantile(p, np.linspace(0.02, 0.5, 13)):
+            over, under = (u >= t).mean(), (p >= t).mean()
+            error = np.sqrt(over * (1 - over) / len(u) + (over / under) ** 2 * under * (1 - under) / len(p)) / under
+            found.append((k, over / under - error))
+    return float(np.clip(np.mean([min(r for j, r in found if j == k) for k in range(2)]), 0.02, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
           positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Linear:
     """Fits the model. ``docs`` and ``labels`` are what may be learned from.
 
-    Trusted positives are documents whose labels all say 1. Unlabelled text is a sample
-    of ``docs`` whatever their labels. Without positives or without text the model
-    scores every text as the prior.
+    Trusted positives are the texts of documents whose labels all say 1. Unlabelled text
+    is a sample of ``docs`` whatever their labels. Equal texts count once in each set (null
+    as empty), and the sets hold at most ``positive_rows`` and ``unlabelled_rows`` texts,
+    those that come first by a hash, however often rows, ids or texts repeat. Without
+    positives or without text the model scores every text alike.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(
-        F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("label"))
-    prior = estimate_prior(marks)
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"))
-    # At most the sample's bound of ids: small enough to send to every executor.
-    trusted = _sample(marks.where("label = 1"), F.col("_id"), positive_rows, 1).select("_id")
-    # A text that is copied often counts once, else a few of them would stand for the label.
-    positive = rows.join(F.broadcast(trusted), F.col("_doc") == F.col("_id")).select(F.lit(1).cast("long").alias("kind"), "_text")
-    unlabelled = _sample(rows, F.xxhash64("_doc", "_text"), unlabelled_rows, 2).select(
-        F.lit(0).cast("long").alias("kind"), "_text")
-    got = feature_rows(positive.unionByName(unlabelled), "kind").toArrow()
-    kind = got.column("kind").to_numpy()
-    raw = got.column("x").to_pylist()
-    x = np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), WIDTH).astype(np.float32)
-    p, u = x[kind == 1], x[kind == 0]
-    order = lambda a: a[np.lexsort(a[:, -4:].T)] if len(a) else a  # noqa: E731  the same rows in the same order
-    if not len(p) or not len(u):
-        return Linear(np.zeros(WIDTH), 0.0 if not len(p) else 4.0, 0.5)
-    if prior is None:
-        # No negatives were labelled: unlabelled rows that score above nearly all positives' worst.
-        rough = fit_non_negative_risk(order(p), order(u), 0.5, steps=200)
-        prior = float(np.clip((rough.score(u) >= np.quantile(rough.score(p), 0.05)).mean() / 0.95, 0.05, 0.95))
-    return fit_non_negative_risk(order(p), order(u), prior)
+        F.col(doc_id).alias("_doc")).agg(F.min(label).cast("int").alias("label"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("_doc"), body.alias("_text"))
+
+    def first(source: DataFrame, seed: int, bound: int) -> DataFrame:
+        # At most the sample's bound of hashes: small enough to send to every executor.
+        hashed = F.xxhash64("_text", F.lit(seed)).alias("_h")
+        lead = source.select(hashed).distinct().orderBy("_h").limit(bound)
+        return rows.select(hashed, "_text").join(F.broadcast(lead), "_h", "left_semi").dropDuplicates(["_h"])
+
+    trusted = rows.join(marks.where("label = 1"), "_doc", "left_semi")
+    positive = _matrix(first(trusted, 1, positive_rows))
+    unlabelled = _matrix(first(rows, 2, unlabelled_rows))
+    if not len(positive) or not len(unlabelled):
+        return Linear(np.zeros(WIDTH), 0.0, 0.5)
+    return fit_non_negative_risk(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Linear, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Held-out accuracy and edge cases of the three classifiers."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +114,68 @@ def test_quality_edge_cases(spark):
     for none in (labels.limit(0), labels.where("quality = 0")):
         flat = quality.train(table, none)
         assert {r["score"] for r in quality.score(table, flat).collect()} == {0.5}
-    only = quality.train(table, labels.where("quality = 1"))  # the prior comes from the scores
-    assert 0 < only.prior < 1
+    only = quality.train(table, labels.where("quality = 1"))  # labelled negatives are not needed
+    assert only.prior == model.prior and 0 < only.prior < 1
+
+
+def plain_risk(w, b, positive, unlabelled, prior):
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    zp, zu = positive @ w + b, unlabelled @ w + b
+    return prior * loss(zp) + max(0, loss(-zu) - prior * loss(-zp))
+
+
+def test_fit_reaches_the_least_risk():
+    # the non-negative part stays active here, so the risk is convex and a coarse search finds its least value
+    rng = np.random.default_rng(5)
+    positive = rng.normal(0.7, 1, (600, 2)).astype(np.float32)
+    unlabelled = np.concatenate([rng.normal(0.7, 1, (400, 2)), rng.normal(-0.7, 1, (800, 2))]).astype(np.float32)
+    model = quality.fit_non_negative_risk(positive, unlabelled, 1 / 3, steps=2000, rate=0.01)
+    got = plain_risk(model.weights, model.bias, positive, unlabelled, 1 / 3)
+    grid = np.linspace(-3, 3, 25)
+    best = min(plain_risk(np.array([x, y]), b, positive, unlabelled, 1 / 3) for x in grid for y in grid for b in grid)
+    assert got <= best + 1e-3
+
+
+def test_shape_features_against_a_loop():
+    texts = ["Plain words, in a row in a row.", "", "a a a b\nA a\na a a b\n", "|| 12 !! 12\r\nx"]
+    got = quality.shape_features(Texts(pa.array(texts)))
+    for text, row in zip(texts, got):
+        raw = text.encode()
+        counts = np.zeros(quality.TRIGRAMS)
+        for k in range(len(raw) - 2):
+            c = [int(quality.CLASS[raw[k + j]]) for j in range(3)]
+            counts[(c[0] * quality.CLASSES + c[1]) * quality.CLASSES + c[2]] += 1
+        assert np.allclose(row[:quality.TRIGRAMS], np.log1p(1e4 * counts / max(len(raw), 1)) / 5, atol=1e-5)
+        words = re.findall("[0-9a-z]+", text.lower())
+        pairs = list(zip(words, words[1:]))
+        lines = [x for x in re.split("[\r\n]+", text.lower()) if x]
+        again = sum(x == y for x, y in pairs)
+        n, m = max(len(words), 1), max(len(lines), 1)
+        want = [len(set(words)) / n, len(set(pairs)) / n, again / n, np.log1p(1e3 * again / n) / 5,
+                sum(map(len, words)) / n / 10, len(set(lines)) / m, np.log1p(n) / 10, np.log1p(len(raw) / m) / 10]
+        assert np.allclose(row[quality.TRIGRAMS:], want if text else 0, atol=1e-5)
+
+
+def test_quality_prior_is_near_the_share_of_positives(spark):
+    sf = "/root/testdata/sf0.1"
+    share = spark.read.parquet(f"{sf}/labels.parquet").agg(F.avg("quality")).first()[0]
+    model = queries.quality_model(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert abs(model.prior - share) < 0.05
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    # one labelled id on thousands of rows, copied texts and null texts do not pass the bounds
+    fitted = []
+    monkeypatch.setattr(quality, "fit_non_negative_risk", lambda p, u, *a, fit=quality.fit_non_negative_risk, **b: fitted.append(
+        (p, u)) or fit(p, u, *a, **b))
+    rows = [(7, f"Plain words in a row, number {k}.") for k in range(3000)] + [(7, "the very same text")] * 5000
+    rows += [(k, "JUNK!! ||| %d" % k) for k in range(100, 900)] + [(k, None) for k in range(900, 1900)]
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0)], "doc_id long, quality int")
+    quality.train(docs(spark, rows), labels, positive_rows=100, unlabelled_rows=100)
+    p, u = fitted[-1]
+    assert len(p) == 100 and len(u) == 100
+    again = quality.train(docs(spark, rows[::-1]), labels, positive_rows=100, unlabelled_rows=100)
+    assert np.allclose(again.weights, quality.train(docs(spark, rows), labels, positive_rows=100, unlabelled_rows=100).weights)
 
 
 @pytest.fixture(scope="module")
