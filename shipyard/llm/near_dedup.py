@@ -12,9 +12,14 @@ Classes are the connected components of the links (similarity >= 0.8, checked on
 texts) among the texts that share a bucket. Not all pairs of a bucket are needed for
 that: copies are first merged by hash, each text is then compared with the least
 partner of its buckets, and after that only pairs that the links found so far leave
-in different components are compared, first those that are likeliest to join them. Every such pair is, whatever a bucket's size, so
-no link between components is lost; signatures are compared block by block inside the
-tasks, and only pairs that come close are sent on to have their texts read.
+in different components are compared: first within blocks of a bucket, drawn anew each
+time, where only the pairs go on that could join components; then every pair that is
+left, whatever a bucket's size, so no link between components is lost. Signatures are
+compared block by block inside the tasks, and only pairs that come close are sent on to
+have their texts read. So a group of near copies costs pairs in proportion to its rows.
+
+Joins are sort-merge joins: a broadcast would take a side that grows with the corpus
+through the driver.
 """
 
 from __future__ import annotations
@@ -32,18 +37,33 @@ from .textnp import WORD, Texts, U, mix, padded, span_keys
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Two texts at the least similarity share no band once in about 16,000 cases.
-BANDS, ROWS = 32, 6
-#: Coordinates of a signature; the bands take the first of them.
+#: Coordinates of a signature; the bands take the first half of them or less.
 COORDINATES = 384
-#: Pairs whose signatures agree less than this are not read: at the least similarity the
-#: agreement of 384 coordinates lies 4 standard deviations (0.0204 each) above it.
-AGREEMENT = 0.718
+#: Two texts at the least similarity share no band once in so many cases.
+MISSED = 16_000
 #: Texts signed at a time: each throws about 3,000 darts, each dart some hundred bytes.
 SIGN_BYTES, SIGN_ROWS = 1 << 20, 256
 #: Members of a bucket that are compared with each other at a time.
 BLOCK_MEMBERS = 256
 
+
+def banding(similarity: float) -> tuple[int, int]:
+    """Bands, and coordinates in each: the longest bands with which half a signature
+    misses one pair in ``MISSED`` at this similarity (32 of 6 at 0.8). Where none are
+    that sure (below a similarity of about 0.05), all coordinates are bands of their own."""
+    for rows in range(12, 0, -1):
+        bands = math.ceil(-math.log(MISSED) / math.log(1 - similarity ** rows)) if similarity < 1 else 1
+        if bands * rows <= COORDINATES // 2:
+            return bands, rows
+    return COORDINATES, 1
+
+
+def least_agreement(similarity: float) -> float:
+    """Pairs whose signatures agree less are not read: 4 standard deviations below the
+    agreement expected at this similarity."""
+    return similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+
+
 # -- signatures --------------------------------------------------------------
 
 #: P(at most n darts in a region), up to 12.
@@ -107,7 +127,7 @@ def dart_minhash(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
     return out
 
 
-def signatures(texts: Texts, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(texts: Texts, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket keys (a row of ``bands``) and signature bytes of each text, and whether it has any."""
     owner, key, times = shingles(texts)
     ranks = dart_minhash(owner, key, 1 + np.log(times), len(texts), max(COORDINATES, bands * rows))
@@ -134,7 +154,7 @@ def similarities(a: Texts, b: Texts) -> np.ndarray:
     return least / np.maximum(most, 1e-300)
 
 
-def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signature_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``id``, ``hash``, ``buckets`` (null without words) and ``sig`` of each row of id, hash, text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +173,12 @@ def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 # -- links -------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that are links. Signatures sort out the clearly different ones;
-    the others are compared by their whole texts."""
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
+def close(pairs: DataFrame, sigs: DataFrame, agreement: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree at least that much."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,20 +186,25 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: fl
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                            for c in ("sa", "sb"))
-            ok = pa.array((left == right).mean(1) >= AGREEMENT)
+            ok = pa.array((left == right).mean(1) >= agreement)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
+    signed = _join(_join(pairs, sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a"),
+                   sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    return signed.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that are links, by their whole texts."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, "ta", 1 << 20):
             s = similarities(Texts(batch.column("ta")), Texts(batch.column("tb")))
             ok = pa.array(s >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    signed = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    close = signed.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
-    full = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    full = _join(_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"),
+                 texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
@@ -198,23 +226,35 @@ def _forest(edges: list[tuple[int, int]]) -> list[int]:
     return kept
 
 
-def close_pairs(members: DataFrame, forest: bool) -> DataFrame:
+def close_pairs(members: DataFrame, agreement: float, salt: int | None) -> DataFrame:
     """Pairs (a > b) of one bucket but different components whose signatures come close.
 
-    With ``forest`` only as many of them as could join the components of a block, those
-    that agree best first.
-
-    ``members``: bucket, n (its members), id, comp, buckets, sig. A bucket is cut into
-    blocks by a hash of the id, and each pair of blocks is compared in one place; a pair of
-    members is given by its first common band only.
+    ``members``: bucket, n (its members), top (the component that most of them are in),
+    id, comp, buckets, sig. With a ``salt`` a bucket is cut into blocks by a hash, pairs are
+    compared within blocks, and only as many go on as could join the components of a
+    block, those that agree best first. Without one all pairs are compared, each in one
+    place: the members of ``top`` and the others are cut into blocks of their own, and a
+    block meets all but those of the same side ``top``. A pair is given by its first
+    common band only.
     """
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    own = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = own.withColumn("other", other).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
-        "id", "comp", "buckets", "sig")
-    met = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    forest = salt is not None
+    if forest:
+        blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+        own = F.pmod(F.xxhash64("id", F.lit(salt)), blocks).cast("int")
+        spread = members.withColumn("block", own).withColumns({"low": F.col("block"), "high": F.col("block")})
+    else:
+        in_top = F.col("comp") == F.col("top")
+        # blocks of the others come first, then those of the component that holds most
+        rest = F.ceil(F.col("others") / BLOCK_MEMBERS).cast("int")
+        main = F.ceil((F.col("n") - F.col("others")) / BLOCK_MEMBERS).cast("int")
+        hashed = F.xxhash64("id")
+        own = F.when(in_top, rest + F.pmod(hashed, main)).otherwise(F.pmod(hashed, rest)).cast("int")
+        meets = F.when(in_top, rest).otherwise(rest + main) - 1
+        spread = members.withColumn("block", own).where(meets >= 0).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), meets))).withColumns(
+            {"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    met = spread.select("bucket", "low", "high", "block", "id", "comp", "buckets", "sig").repartition(
+        "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         bucket, low, high, block, node, comp = (table.column(c).to_numpy() for c in (
@@ -239,7 +279,7 @@ def close_pairs(members: DataFrame, forest: bool) -> DataFrame:
             for k in range(0, len(left), 1 << 14):
                 x, y = left[k:k + (1 << 14)], right[k:k + (1 << 14)]
                 agree = (sigs[x] == sigs[y]).mean(1)
-                near = agree >= AGREEMENT
+                near = agree >= agreement
                 x, y, agree = x[near], y[near], agree[near]
                 common = (bands[x] == bands[y]).argmax(1)
                 once = bands[x, common] == bucket[x]
@@ -290,9 +330,9 @@ def components(edges: DataFrame) -> DataFrame:
     while was[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(
+        small = _join(large, least, "a").select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = materialize_table(small.select("e.*").where("a <> b").distinct())
         then, was = was, mark(now)
@@ -306,8 +346,7 @@ def _body(text: str):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
 
     ``class_id`` is the least id of the row's class and ``kept`` marks the rows that bear
@@ -316,16 +355,16 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     same id are one document. Rows without an id stay alone, with a null class of size
     1, and are kept. An empty table gives no rows. Other columns are ignored.
     """
-    return _classes(docs, doc_id, text, similarity, bands, rows, True).drop("hash")
+    return _classes(docs, doc_id, text, similarity, True).drop("hash")
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, bands: int, rows: int,
-             one_document: bool) -> DataFrame:
+def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, one_document: bool) -> DataFrame:
     """:func:`near_classes` with each row's text hash; only with ``one_document`` does an id link its texts."""
     body = _body(text)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(body.cast("binary")).alias("hash"),
                        F.lower(body).alias("text"))
-    signed = signature_table(base.where("id IS NOT NULL"), bands, rows)
+    agreement = least_agreement(similarity)
+    signed = signature_table(base.where("id IS NOT NULL"), *banding(similarity))
     # Copies: one row per text goes on. Equal texts have equal signatures.
     texts = signed.groupBy("hash").agg(
         F.min("id").alias("doc"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
@@ -334,50 +373,49 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, bands:
     several = materialize_table(bearers.groupBy("doc").agg(F.min("hash").alias("one"), F.max("hash").alias("two")).where(
         "one < two").select("doc"))
     node = F.when(F.col("_several").isNull(), F.col("doc")).otherwise(F.xxhash64("hash"))
-    texts = materialize_table(texts.join(several.select("doc", F.lit(1).alias("_several")), "doc", "left").withColumn(
+    texts = materialize_table(_join(texts, several.select("doc", F.lit(1).alias("_several")), "doc", "left").withColumn(
         "id", node).drop("_several"))
     sigs = texts.select("id", "sig")
     of_one = several.limit(0).select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     if one_document:
-        borne = bearers.join(several, "doc").join(texts.select("hash", "id"), "hash").select("doc", "id")
+        borne = _join(_join(bearers, several, "doc"), texts.select("hash", "id"), "hash").select("doc", "id")
         least = borne.groupBy("doc").agg(F.min("id").alias("b"))
-        of_one = materialize_table(borne.join(least, "doc").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
+        of_one = materialize_table(_join(borne, least, "doc").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
 
     members = texts.where("buckets IS NOT NULL").select("id", F.explode("buckets").alias("bucket")).distinct()
     heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head < other")
-    shared = materialize_table(members.join(heads.select("bucket", "head"), "bucket"))
-    involved = shared.select("id").distinct().join(texts.select("id", "doc", "hash"), "id").select(
+    shared = materialize_table(_join(members, heads.select("bucket", "head"), "bucket"))
+    involved = _join(shared.select("id").distinct(), texts.select("id", "doc", "hash"), "id").select(
         F.col("id").alias("node"), F.col("doc").alias("id"), "hash")
-    bodies = materialize_table(base.join(involved, ["id", "hash"]).groupBy("node").agg(
+    bodies = materialize_table(_join(base, involved, ["id", "hash"]).groupBy("node").agg(
         F.min("text").alias("text")).withColumnRenamed("node", "id"))
 
     # Each text against the least partner of all its buckets.
     first = materialize_table(shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a"))
-    links = materialize_table(verified(first, sigs, bodies, similarity).unionByName(of_one))
-    comps = components(links)
+    links = materialize_table(verified(close(first, sigs, agreement), bodies, similarity).unionByName(of_one))
+    comps = materialize_table(components(links))
     signed_members = texts.where("buckets IS NOT NULL").select("id", "buckets", "sig")
     tried = first
-    for forest in (True, True, False):
+    for salt in (1, 2, None):
         # Pairs that the links so far leave in different components: the likeliest first, then all.
-        comps = materialize_table(comps)
-        placed = shared.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                             F.count(F.lit(1)).alias("n")).where("lo < hi")
-        rest = placed.join(mixed.select("bucket", "n"), "bucket").join(signed_members, "id")
-        pairs = close_pairs(rest.where(F.expr("array_contains(buckets, bucket)")), forest)
-        pairs = materialize_table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        placed = _join(shared, comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+        most = F.max(F.struct("m", "comp"))
+        mixed = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), most["m"].alias("m"), most["comp"].alias("top")).where(
+            "m < n").select("bucket", "n", (F.col("n") - F.col("m")).alias("others"), "top")
+        rest = _join(_join(placed, mixed, "bucket"), signed_members, "id")
+        pairs = materialize_table(_join(close_pairs(rest, agreement, salt).distinct(), tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
-        links = materialize_table(links.unionByName(verified(pairs, sigs, bodies, similarity)))
-        comps = components(links)
+        links = materialize_table(links.unionByName(verified(pairs, bodies, similarity)))
+        comps = materialize_table(components(links))
 
     copies = base.where("id IS NOT NULL").select("id", "hash")
-    linked = materialize_table(comps).select("id", "comp")
-    of_text = texts.select("hash", "doc", "id").join(linked, "id", "left").select("hash", "doc", F.coalesce("comp", "id").alias("comp"))
+    of_text = _join(texts.select("hash", "doc", "id"), comps, "id", "left").select("hash", "doc", F.coalesce("comp", "id").alias("comp"))
     heads = of_text.groupBy("comp").agg(F.min("doc").alias("class_id"))
-    texts_class = of_text.join(heads, "comp").select("hash", "comp", "class_id")
-    classed = copies.join(texts_class, "hash").select(F.col("id").alias("doc_id"), "hash", "comp", "class_id")
+    texts_class = _join(of_text, heads, "comp").select("hash", "comp", "class_id")
+    classed = _join(copies, texts_class, "hash").select(F.col("id").alias("doc_id"), "hash", "comp", "class_id")
     sizes = classed.groupBy("comp").agg(F.count(F.lit(1)).alias("class_size"))
-    known = classed.join(sizes, "comp").select("doc_id", "hash", "class_id", "class_size",
+    known = _join(classed, sizes, "comp").select("doc_id", "hash", "class_id", "class_size",
                                                (F.col("doc_id") == F.col("class_id")).alias("kept"))
     alone = base.where("id IS NULL").select(F.col("id").alias("doc_id"), "hash", F.col("id").alias("class_id"),
                                             F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
@@ -387,6 +425,6 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, bands:
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: of each class the document with the least id stays,
     with all its columns. Of rows with the same id each goes by its own text."""
-    classes = _classes(docs, doc_id, text, SIMILARITY, BANDS, ROWS, False)
+    classes = _classes(docs, doc_id, text, SIMILARITY, False)
     gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_hash")).distinct()
-    return docs.join(gone, (docs[doc_id] == gone["_gone"]) & (F.md5(_body(text).cast("binary")) == gone["_hash"]), "left_anti")
+    return docs.join(gone.hint("merge"), (docs[doc_id] == gone["_gone"]) & (F.md5(_body(text).cast("binary")) == gone["_hash"]), "left_anti")

@@ -98,6 +98,43 @@ def test_near_classes(spark):
     assert nd.near_classes(table.limit(0)).count() == 0 and nd.keep_first(table.limit(0)).count() == 0
 
 
+def test_banding_follows_the_similarity():
+    assert nd.banding(0.8) == (32, 6) and math.ceil(nd.least_agreement(0.8) * 384) == 276
+    for s in (0.1, 0.3, 0.5, 0.6, 0.9, 0.99, 1.0):
+        bands, rows = nd.banding(s)
+        assert bands * rows <= 192 and (1 - s ** rows) ** bands <= 1 / nd.MISSED
+
+
+def test_lower_similarity_finds_its_links(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(25):  # pairs of a similarity between 0.6 and 0.8
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(100)]
+        other = list(base)
+        for k in (10, 40, 70):
+            other[k] = "changed"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    assert all(0.6 <= plain_similarity(rows[2 * g][1], rows[2 * g + 1][1]) < 0.8 for g in range(25))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(table, similarity=0.6).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_pairs_between_blocks(spark, monkeypatch):
+    # every pair of different components is met once, and within salted blocks pairs grow with the rows only
+    monkeypatch.setattr(nd, "BLOCK_MEMBERS", 4)
+    sig = bytes(384)
+    for comps in ([0] * 30 + list(range(1, 12)), list(range(23)), [0] * 9 + [1] * 9):
+        top = max(set(comps), key=comps.count)
+        rows = [(7, len(comps), len(comps) - comps.count(top), top, k, c, [7], sig) for k, c in enumerate(comps)]
+        members = spark.createDataFrame(
+            rows, "bucket long, n long, others long, top long, id long, comp long, buckets array<long>, sig binary")
+        got = [(r["a"], r["b"]) for r in nd.close_pairs(members, 0.7, None).collect()]
+        assert sorted(got) == [(a, b) for a in range(len(comps)) for b in range(a) if comps[a] != comps[b]]
+        some = nd.close_pairs(members, 0.7, 1).collect()
+        assert len(some) < len(comps) and {(r["a"], r["b"]) for r in some} <= set(got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)]
