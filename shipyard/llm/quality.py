@@ -189,15 +189,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("_doc"), body.alias("_text"))
 
-    def first(source: DataFrame, seed: int, bound: int) -> DataFrame:
-        # At most the sample's bound of hashes: small enough to send to every executor.
+    def first(seed: int, bound: int, ids: DataFrame | None = None) -> DataFrame:
         hashed = F.xxhash64("_text", F.lit(seed)).alias("_h")
-        lead = source.select(hashed).distinct().orderBy("_h").limit(bound)
+        keys = rows.select("_doc", hashed)  # hashes are shuffled, not texts
+        if ids is not None:
+            keys = keys.join(ids, "_doc", "left_semi")
+        # At most the sample's bound of hashes: small enough to send to every executor.
+        lead = keys.select("_h").distinct().orderBy("_h").limit(bound)
         return rows.select(hashed, "_text").join(F.broadcast(lead), "_h", "left_semi").dropDuplicates(["_h"])
 
-    trusted = rows.join(marks.where("label = 1"), "_doc", "left_semi")
-    positive = _matrix(first(trusted, 1, positive_rows))
-    unlabelled = _matrix(first(rows, 2, unlabelled_rows))
+    positive = _matrix(first(1, positive_rows, marks.where("label = 1")))
+    unlabelled = _matrix(first(2, unlabelled_rows))
     if not len(positive) or not len(unlabelled):
         return Linear(np.zeros(WIDTH), 0.0, 0.5)
     return fit_non_negative_risk(positive, unlabelled, estimate_prior(positive, unlabelled))
