@@ -6,7 +6,7 @@ dual-feasible functions give a number of bins that no packing can go below: wher
 best-fit decreasing meets it, the partition is certified and done. Partitions with a
 gap hand on all pieces but those in full bins, certified ones only those of bins with
 much room; these are dealt anew over fewer partitions, and best-fit decreasing is run
-again, until nothing is handed on or a deal no longer saves a bin.
+again, until nothing is handed on or a deal saves no bin. That last deal is not kept.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces dealt to one partition, roughly.
 DEAL_ROWS = 50_000
-#: Deals after the first one.
-EXCHANGES = 3
 #: A certified partition hands on its bins that are filled less than this: every
 #: partition's last bins are, and they fill up with those of others.
 SEALED = 0.97
@@ -263,8 +261,7 @@ def _packer(capacity: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, deal_rows: int = DEAL_ROWS,
-                exchanges: int = EXCHANGES) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, deal_rows: int = DEAL_ROWS) -> DataFrame:
     """Places pieces (doc_id, piece, copy, length) in sequences: adds sequence_id and offset.
 
     ``copy`` tells rows apart that repeat a document. Full pieces are sequences of
@@ -276,21 +273,24 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, deal_rows: int = DE
     open_pieces = pieces.select(*keys)
     left = open_pieces.count()
     done: list[DataFrame] = []
-    previous = None
-    for deal in range(exchanges + 1):
+    deal, kept, bins_kept = 0, None, None
+    while True:
         parts = max(1, -(-left // deal_rows))
         dealt = _deal(open_pieces, parts, deal)
         packed = materialize_table(dealt.groupBy("_part").applyInPandas(_packer(capacity), _pack_schema()))
         number = ((F.lit(deal) * F.lit(1 << 24) + F.col("part")) * F.lit(1 << 32) + F.col("bin")).alias("sequence_id")
-        placed = packed.select(*keys, "offset", number, "sealed", "used")
-        still = placed.where("NOT sealed")
-        bins = still.agg(F.count_distinct("sequence_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
-        last = deal == exchanges or not bins["n"] or (previous is not None and bins["b"] >= previous and parts == 1)
-        if last:
-            done.append(placed.drop("sealed", "used"))
+        placed = packed.select(*keys, "offset", number, "sealed")
+        is_open = (F.col("offset") == 0) & ~F.col("sealed")  # a bin has one piece at offset 0
+        bins = placed.agg(F.count_if(F.col("offset") == 0).alias("all"), F.count_if(is_open).alias("open"),
+                          F.count_if(~F.col("sealed")).alias("rows")).first()
+        if kept is not None and bins["all"] >= bins_kept:
+            done.append(kept.drop("sealed"))
             break
-        done.append(placed.where("sealed").drop("sealed", "used"))
-        previous, open_pieces, left = bins["b"], still.select(*keys), bins["n"]
+        done.append(placed.where("sealed").drop("sealed"))
+        kept, bins_kept, left = placed.where("NOT sealed"), bins["open"], bins["rows"]
+        if not left:
+            break
+        open_pieces, deal = kept.select(*keys), deal + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
