@@ -27,6 +27,9 @@ from .textnp import WORD, Texts, mix, padded, span_keys
 #: Bounds of the sample the model is fitted on.
 POSITIVE_ROWS = 4_000
 UNLABELLED_ROWS = 8_000
+#: Text bytes and rows whose features are computed at a time: some 60 bytes for each byte,
+#: 14 KB for each row.
+FEATURE_BYTES, FEATURE_ROWS = 1 << 20, 512
 
 # Byte classes, told apart by their use in running text.
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:",
@@ -91,7 +94,7 @@ def feature_rows(rows: DataFrame, keep: str) -> DataFrame:
     """``keep`` (a long) and the feature row, as float16 bytes, of each ``_text``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches, "_text"):
+        for batch in arrow_rows(batches, "_text", FEATURE_BYTES, FEATURE_ROWS):
             x = shape_features(Texts(batch.column("_text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(keep), pa.array([r.tobytes() for r in x], pa.binary())], names=[keep, "x"])
@@ -209,7 +212,7 @@ def score(docs: DataFrame, model: Linear, doc_id: str = "doc_id", text: str = "t
     """``_doc`` and ``score`` (0 to 1) of each row; null and empty texts get the score of no features."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches, "_text"):
+        for batch in arrow_rows(batches, "_text", FEATURE_BYTES, FEATURE_ROWS):
             s = model.score(shape_features(Texts(batch.column("_text"))))
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(s, pa.float64())], names=["_doc", "score"])
 
@@ -222,7 +225,7 @@ def keep_good(docs: DataFrame, model: Linear, threshold: float, text: str = "tex
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches, text):
+        for batch in arrow_rows(batches, text, FEATURE_BYTES, FEATURE_ROWS):
             s = model.score(shape_features(Texts(batch.column(text))))
             yield batch.filter(pa.array(s >= threshold))
 
