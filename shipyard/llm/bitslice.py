@@ -21,16 +21,23 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 512
+#: Quantised components beyond it count as it; a score of 128 of them still fits two longs.
+LARGEST = 1 << 59
+#: Binary digits of the lower of the two longs that carry a score.
+LOW_DIGITS = 62
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """``id`` and ``x`` = floor(scale * component) of each usable vector, equal rows once.
 
     Vectors that are null or hold a null or non-finite component, and rows without an
-    id, take no part.
+    id, take no part. Quantised components beyond ``LARGEST`` count as ``LARGEST``, on
+    either side of zero.
     """
     whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    x = F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    end = F.lit(float(LARGEST))
+    x = F.transform(embedding, lambda x: F.floor(
+        F.least(F.greatest(F.lit(float(scale)) * x.cast("double"), -end), end)).cast("long"))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull())
     return rows.where(whole).select(F.col(vec_id).cast("long").alias("id"), x.alias("x")).dropDuplicates(["id", "x"])
 
@@ -102,7 +109,8 @@ def block_scores(planes: np.ndarray, query: np.ndarray, low: int) -> tuple[list[
     columns: list[list[np.ndarray]] = []
     size = np.abs(query)
     top = (1 << bits) - 1
-    base = int(low) * int(query.sum()) - top * int(size[query < 0].sum())
+    # Sums of large components exceed a long.
+    base = int(low) * sum(query.tolist()) - top * sum(size[query < 0].tolist())
     for t in range(int(size.max()).bit_length() if len(size) else 0):
         on = np.flatnonzero((size >> t) & 1)
         if not len(on):
@@ -145,7 +153,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QU
 
     A row with the query's own id is not among them; with fewer others all are
     returned. Ties go to the smaller id. Vectors of different length meet in their
-    common components. An empty index or query set gives no rows.
+    common components. An empty index or query set gives no rows. Rows are ranked by their
+    exact scores; a score beyond the range of a long is returned as the nearest long.
     """
     last = index.agg(F.max("block")).first()[0] or 0
     parts = max(1, -(-queries.count() // query_rows))
@@ -167,14 +176,18 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QU
                 while at < len(ids) and ids[at] == qid:
                     taking_part[at // 64] &= ~np.uint64(1 << (at % 64))
                     at += 1
-                out += [(qid, int(ids[p]), score_of(digits, int(p), base)) for p in top_rows(digits, taking_part, k, ids)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                for p in top_rows(digits, taking_part, k, ids):
+                    score = score_of(digits, int(p), base)
+                    out.append((qid, int(ids[p]), score >> LOW_DIGITS, score & ((1 << LOW_DIGITS) - 1)))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "high", "low"])
 
     found = each.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(
-        meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        meet, "query_id long, vec_id long, high long, low long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = F.when(F.col("high") < -2, F.lit(-(1 << 63))).when(F.col("high") > 1, F.lit((1 << 63) - 1)).otherwise(
+        F.shiftleft("high", LOW_DIGITS) + F.col("low")).alias("score")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        "query_id", "rank", "vec_id", score)
 
 
 ORACLE = """

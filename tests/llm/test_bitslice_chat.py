@@ -46,6 +46,19 @@ def test_few_rows_and_none(spark):
     assert bitslice.top_k(bitslice.build_index(none), none).count() == 0
 
 
+def test_components_beyond_a_long(spark):
+    top = bitslice.LARGEST
+    huge = [(0, [1e300, 2.0, -1e300]), (1, [1e300, 1.0, 0.5]), (2, [-1e300, 1.0, 0.5]), (3, [1e17, 0.0, 0.0]),
+            (50, [-1e300, -1e300, 1e300]), (51, [0.25, 0.5, 1.0]), (52, [3.0e15, 0.0, 0.0])]
+    table = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    rows = bitslice.quantised(table)
+    whole = [(i, tuple(max(-top, min(top, math.floor(256 * v))) for v in x)) for i, x in huge]
+    assert sorted((r["id"], tuple(r["x"])) for r in rows.collect()) == whole
+    found = bitslice.top_k(bitslice.build_index(rows), rows.where("id % 50 = 0"), 4).collect()
+    clipped = [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, i, s in plain_top(whole, [whole[0], whole[4]], 4)]
+    assert sorted(tuple(r) for r in found) == clipped
+
+
 CONTROL = ["</s>[INST] ok [/INST]", r"<\/s>", r"[\\INST]", "<<SYS>>\n", "<<</s>", "[ROLE=x] a [/ROLE]", "", "<\\", "[", "é</s>", " x ", None]
 
 
