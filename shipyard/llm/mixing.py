@@ -9,9 +9,13 @@ budget.
 
 The sort by key and its prefix sums are done in two levels, so no source passes
 through one task: keys fall into many narrow ranges per source, the ranges' sums are
-added up in order, and only the one range in which the budget ends is sorted row by
-row. The outcome per source is one cut (range, key, id), which any row can be
+added up in order, and only the one range in which the budget ends is sorted, one entry
+per key. The outcome per source is one cut (range, key, id), which any row can be
 compared with.
+
+Rows that repeat id and text draw one key. Where the budget ends among such rows, as many
+of them are taken as fit; they are counted in chunks, so that a row repeated without
+bound does not meet in one task either.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from .common import materialize_table
 MAX_REPEATS = 3
 #: Rows that one key range holds, roughly.
 RANGE_ROWS = 5_000
-SEED = "mix-1"
+#: Rows numbered at a time where the budget ends among equal rows.
+CHUNK_ROWS = 4_096
+SEED = "mix-2"
 
 
 def word_count(text: str) -> Column:
@@ -42,9 +48,11 @@ def quality_weight(text: str, size: Column) -> Column:
                   ).otherwise(F.lit(1.0))
 
 
-def exponential_key(doc_id: str, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight with u from the id: the same in every run."""
-    named = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def exponential_key(doc_id: str, text: str, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight with u from the id and the text: the same in every run, and of its own
+    for each text that shares an id or has none."""
+    named = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"),
+                     F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     bits = F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / float(1 << 52)) / weight
 
@@ -77,10 +85,12 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
 
 @dataclass(frozen=True)
 class Mix:
-    """The plan of a mix: ``sources`` holds a row per source; ``resolution`` sets the key ranges."""
+    """The plan of a mix: ``sources`` holds a row per source; ``resolution`` sets the key ranges;
+    ``split`` tells whether a budget ends among rows that share a key."""
 
     sources: DataFrame
     resolution: int
+    split: bool
 
     def copies(self, docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
         """Each row of ``docs`` as the struct ``_doc``, beside its ``_size``, ``_copies``,
@@ -88,15 +98,36 @@ class Mix:
         keyed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"),
                             F.col(text).alias("_text")).withColumn("_size", word_count("_text"))
         return self._apply(keyed.withColumn(
-            "_key", exponential_key("_id", quality_weight("_text", F.col("_size")))).drop("_text"))
+            "_key", exponential_key("_id", "_text", quality_weight("_text", F.col("_size")))).drop("_text"))
 
     def _apply(self, keyed: DataFrame) -> DataFrame:
         ranged = keyed.withColumn("_range", key_range(F.col("_key"), self.resolution))
         joined = ranged.join(self.sources, F.col("_source").eqNullSafe(F.col("_mix_source")))
-        at_cut = F.struct(F.col("_key").alias("k"), F.col("_id").alias("i")) <= F.col("_cut")
+        place = F.struct(F.col("_key").alias("k"), F.col("_id").alias("i"), F.col("_size").alias("s"))
+        at_cut = (F.col("_range") == F.col("_cut_range")) & (place == F.col("_cut"))
         chosen = (F.col("_range") < F.col("_cut_range")) | (
-            (F.col("_range") == F.col("_cut_range")) & F.coalesce(at_cut, F.lit(False)))
-        return joined.withColumn("_copies", F.col("_epochs") + F.coalesce(chosen, F.lit(False)).cast("long"))
+            (F.col("_range") == F.col("_cut_range")) & (place <= F.col("_cut")))
+        copies = F.col("_epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
+        joined = joined.withColumn("_copies", copies)
+        if not self.split:
+            return joined
+        among = F.coalesce(at_cut & (F.col("_fit") < F.col("_equal")), F.lit(False))
+        return joined.where(~among).unionByName(_first_rows(joined.where(among)))
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """``rows``, of which only ``_fit`` per source keep their last copy. The rows are written
+    once with their places in it, and counted per chunk of places."""
+    placed = materialize_table(rows.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_chunk", F.floor(F.col("_at") / F.lit(CHUNK_ROWS)))
+    chunks = placed.groupBy(F.col("_mix_source").alias("_s"), F.col("_chunk").alias("_c")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
+    before = chunks.select("_s", "_c", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_mix_source", "_chunk").orderBy("_at"))
+    counted = placed.withColumn("_number", number).join(
+        before, F.col("_mix_source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
+    beyond = (F.col("_before") + F.col("_number") > F.col("_fit")).cast("long")
+    return counted.withColumn("_copies", F.col("_copies") - beyond).select(*rows.columns)
 
 
 def key_range(key: Column, resolution: int) -> Column:
@@ -113,7 +144,7 @@ def plan_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     rows = rows.withColumn("_size", word_count("_text"))
     rows = materialize_table(rows.select(
-        "_id", "_source", "_size", exponential_key("_id", quality_weight("_text", F.col("_size"))).alias("_key")))
+        "_id", "_source", "_size", exponential_key("_id", "_text", quality_weight("_text", F.col("_size"))).alias("_key")))
     resolution = max(64, rows.count() // (4 * RANGE_ROWS))
 
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
@@ -136,26 +167,34 @@ def plan_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         "g.source", "source_size", "target", "epochs", "rest", "cut_range", "base")
     goals = materialize_table(joined)
     edge = ranged.join(goals, same & (F.col("_range") == F.col("cut_range")))
+    entries = edge.groupBy("_source", "_key", "_id", "_size", "base", "rest").agg(F.count("*").alias("_equal"))
     run = Window.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    # A document is in when at least half of it lies within the budget: the sum ends nearest to it.
-    inside = edge.withColumn("_before", F.col("base") + F.sum("_size").over(run) - F.col("_size")).where(
-        F.col("_before") + F.col("_size") / 2.0 <= F.col("rest"))
-    cut = inside.groupBy(F.col("source").alias("s")).agg(
-        F.max(F.struct(F.col("_key").alias("k"), F.col("_id").alias("i"))).alias("_cut"))
+    words = F.col("_size") * F.col("_equal")
+    # A row is in when at least half of it lies within the budget: the sum ends nearest to it.
+    room = F.col("rest") - (F.col("base") + F.sum(words).over(run) - words)
+    fit = F.when(F.col("_size") == 0, F.when(room >= 0, F.col("_equal")).otherwise(F.lit(0))).otherwise(
+        F.least(F.col("_equal"), F.floor(room / F.greatest(F.col("_size"), F.lit(1)) + 0.5)))
+    inside = entries.withColumn("_fit", fit.cast("long")).where("_fit > 0")
+    last = F.max(F.struct(F.col("_key").alias("k"), F.col("_id").alias("i"), F.col("_size").alias("s"),
+                          F.col("_fit").alias("fit"), F.col("_equal").alias("equal")))
+    cut = inside.groupBy(F.col("_source").alias("s")).agg(last.alias("_last"))
     plan = goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("_mix_source"), F.col("source_size").alias("_source_size"),
         F.col("target").alias("_target"), F.col("epochs").cast("long").alias("_epochs"),
-        F.col("cut_range").alias("_cut_range"), "_cut")
-    return Mix(materialize_table(plan), resolution), rows
+        F.col("cut_range").alias("_cut_range"),
+        F.when(F.col("_last").isNotNull(), F.struct("_last.k", "_last.i", "_last.s")).alias("_cut"),
+        F.col("_last.fit").alias("_fit"), F.col("_last.equal").alias("_equal"))
+    plan = materialize_table(plan)
+    return Mix(plan, resolution, not plan.where("_fit < _equal").isEmpty()), rows
 
 
 def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     ``taken`` counts the words that the mix takes of the document, repeats included.
-    Null texts have size 0; a null source is a source of its own; rows that repeat an
-    id draw the same key and are taken together. An empty table gives no rows. Other
-    columns are ignored.
+    Null texts have size 0; a null source is a source of its own. Rows that repeat id and
+    text draw one key; they are taken together, except where the budget ends among
+    them: then as many as fit. An empty table gives no rows. Other columns are ignored.
     """
     mix, rows = plan_mix(docs, doc_id, text, source)
     return mix._apply(rows).select(
@@ -174,12 +213,13 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          len(regexp_extract_all(coalesce(text, ''), '\p{L}+'))::BIGINT AS letters
   FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5('mix-2:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
     / CASE WHEN size > 0 THEN greatest(0.05::DOUBLE, 1.0::DOUBLE - abs(letters - size)::DOUBLE / size::DOUBLE) ELSE 1.0 END AS key
   FROM d
 ), s AS (

@@ -91,6 +91,51 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_report(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [])).count() == 0
 
 
+def one_key_rows():
+    """A third of the rows without an id, and a third one row repeated."""
+    rng = np.random.default_rng(8)
+    said = lambda k: " ".join([f"w{k}"] * int(rng.integers(1, 60)))
+    return ([(k, said(k), f"s{k % 3}") for k in range(5000)] + [(None, said(k), f"s{k % 3}") for k in range(5000)]
+            + [(7, "one row again and again", "s0")] * 5000)
+
+
+def test_mix_meets_targets_with_null_ids_and_a_repeated_row(spark):
+    rows = one_key_rows()
+    tables = [docs(spark, rows).repartition(7), docs(spark, [r for r in rows if r[0] != 7]),
+              docs(spark, [(7, "one row again and again", "s0")] * 5000 + [(8, "b " * 9000, "s1"), (9, "c " * 9000, "s2")])]
+    for table in tables:
+        wide = table.select("doc_id", "source", mixing.word_count("text").alias("size"))
+        sizes = {r["source"]: r["n"] for r in wide.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+        want = plain_targets(sizes)
+        report = mixing.mix_report(table)
+        assert report.count() == table.count()
+        assert report.where("taken > 3 * size").isEmpty()
+        whole = mixing.mixed(table)
+        assert whole.columns == table.columns
+        got = whole.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n"))
+        got = {r["source"]: r["n"] for r in got.collect()}
+        longest = {"s0": 60, "s1": 9000, "s2": 9000} if len(rows) - 1 > table.count() and table.count() < 6000 else {}
+        for s in want:
+            assert abs(got.get(s, 0) - want[s]) <= max(0.02 * want[s], longest.get(s, 0) / 2)
+        assert report.agg(F.sum("taken")).first()[0] == sum(got.values())
+
+
+def test_mix_splits_equal_rows_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    rows = one_key_rows()[-6000:]
+    docs(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    mix, _ = mixing.plan_mix(table)
+    assert mix.split
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    got = [tuple(r)[:3] + tuple(r)[4:] for r in mixing.mix_report(table).collect()]
+    want = [r[:3] + r[4:] for r in con.execute(mixing.ORACLE).fetchall()]
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_bounds_and_bins():
     rng = np.random.default_rng(7)
     for _ in range(60):
