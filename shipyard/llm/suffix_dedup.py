@@ -119,6 +119,16 @@ def _groups(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
+def _once(row: np.ndarray, place: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """``columns`` at one of the entries for each (row, place): rows that repeat id and text share both."""
+    order = np.lexsort((place, row))
+    r, p = row[order], place[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+    keep = np.sort(order[first])
+    return [c[keep] for c in columns]
+
+
 def _repeated(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by key, the starts of its groups, and which groups hold different rows."""
     order = np.argsort(key, kind="stable")
@@ -269,6 +279,7 @@ def _ask_anchors(parts: int):
     names = [f.split()[0] for f in _ASK.split(", ")]
 
     def send(key: np.ndarray, row: np.ndarray, idx: np.ndarray) -> pa.RecordBatch:
+        key, row, idx = _once(row, idx, key, row, idx)
         order, starts, many = _repeated(key, row)
         sizes = np.diff(np.append(starts, len(order)))
         settled = order[np.repeat(many, sizes)]
@@ -403,6 +414,7 @@ def _cut_stretches(parts: int, hot: np.ndarray):
 
     def send(key, doc, row, at, size, place, raw: bytes) -> Iterator[pa.RecordBatch]:
         buf = padded(np.frombuffer(raw, np.uint8))
+        key, doc, row, at, size, place = _once(row, at, key, doc, row, at, size, place)
         # Equal stretches: the least document asks for all, the others are marked.
         gone = repeats(doc, place, size, raw, span_keys(buf, place, place + size))
         cut = ~gone & _among(hot, key)
@@ -556,7 +568,7 @@ def marked_bytes(base: DataFrame) -> DataFrame:
     others = base.join(copies.select("row").distinct(), "row", "left_anti").select("row", "doc_id", "doc", "text")
     asked = others.mapInArrow(_ask_anchors(parts), _ASK)
     anchors = asked.repartitionById(parts, F.col("route")).mapInArrow(_answer_anchors, "row long, idx int")
-    lists = anchors.groupBy("row").agg(F.collect_list("idx").alias("anchors"))
+    lists = anchors.groupBy("row").agg(F.collect_set("idx").alias("anchors"))
     hot = hot_anchors(others, HOT_STRETCHES)
     cut = base.join(lists, "row").select("row", "doc_id", "doc", "text", "anchors").mapInArrow(
         _cut_stretches(parts, hot), _CUT)
@@ -573,6 +585,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     no rows; other columns are ignored.
     """
     base = _base(docs, doc_id, text)
-    marks = marked_bytes(base).groupBy("row").agg(F.collect_list(F.struct("doc", "at", "end")).alias("marks"))
+    marks = marked_bytes(base).groupBy("row").agg(F.collect_set(F.struct("doc", "at", "end")).alias("marks"))
     return base.join(marks, "row", "left").select("row", "doc_id", "doc", "text", "marks").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -129,3 +129,23 @@ def test_hot_anchors_keep_the_result(spark, monkeypatch):
         table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], DOCS).repartition(3)
         key = lambda r: tuple((x is None, x or 0) for x in r)
         assert sorted((tuple(r) for r in sd.remove_repeats(table).collect()), key=key) == sorted(plain(rows), key=key)
+
+
+def repeated_row(n):
+    """``n`` copies of one row, texts of other rows that share its strings, and unlike ones."""
+    rng = random.Random(13)
+    prose = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    said = prose(400)
+    return [(5, said)] * n + [(9, prose(30) + said[100:300]), (2, said[250:] + prose(40)), (5, prose(80)), (None, said)]
+
+
+def test_a_repeated_row_counts_once(spark, monkeypatch):
+    sent = []
+    for n in (100, 400):
+        table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in repeated_row(n)], DOCS).coalesce(1)
+        sent.append(sd.marked_bytes(sd._base(table, "doc_id", "text")).count())
+    assert sent[0] == sent[1]
+    rows = repeated_row(5000)
+    table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], DOCS).repartition(6)
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in sd.remove_repeats(table).collect()), key=key) == sorted(plain(rows), key=key)
