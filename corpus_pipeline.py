@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, packed training sequences out.
+"""The corpus pipeline: documents in, places in packed training sequences out.
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; ``run``
 writes each result as Parquet under spark.checkpoint.dir and gives it to the next
@@ -8,7 +8,15 @@ stage. All but the last one return the columns of ``documents``.
 2. exact: of equal texts one document stays;
 3. near: of each class of near copies one document stays;
 4. mix: sources are mixed to their targets (a document may stay up to 3 times);
-5. pack: the documents are tokenised and packed into sequences.
+5. pack: the documents are tokenised and packed into sequences: where each piece lies,
+   with a checksum of its ids (``packing.sequences`` writes the ids themselves).
+
+Null and empty texts are one text to the exact stage, of which one row stays if the
+classifier keeps it; it has no words for the mix and one token for the pack. Rows that
+repeat id and text are copies like others. Null ids and sources have no special
+meaning: a row without an id is the last choice of the exact stage and stays in the near
+stage, a null source is a source of its own. Columns beyond those of ``documents`` are carried along, whatever
+their names, up to the pack. An empty table stays empty.
 """
 
 from __future__ import annotations

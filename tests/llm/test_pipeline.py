@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_near_dedup import plain_similarity
 
 import corpus_pipeline
@@ -81,3 +82,40 @@ def test_pack_places_every_document(spark, results):
         used[r["sequence_id"]] += r["length"]
     assert max(used.values()) <= packing.CAPACITY
     assert "pipeline" in __import__("__spark_entry__").queries() and len(queries.QUERIES) == 13
+
+
+def odd_documents(spark):
+    """The documents with columns of clashing names, and rows with nulls, empty, long and repeated texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fields = {f.name: f.dataType for f in docs.schema}
+    blank = dict.fromkeys(fields)
+    long = " ".join(f"word{k}" for k in range(60_000))
+    odd = [blank, blank, {**blank, "doc_id": 900_001}, {**blank, "doc_id": 900_002, "text": ""},
+           {**blank, "text": "no id but a text of some words", "source": "s"},
+           *[{**blank, "doc_id": 900_003, "text": "one row again and again and again", "source": "s"}] * 40,
+           {**blank, "doc_id": 900_004, "text": long}]
+    more = spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in odd], docs.schema)
+    clashing = {c: F.lit(1) for c in ("_doc", "_text", "_id", "_size", "_key", "row", "hash", "copy", "piece", "score", "class_id")}
+    return docs.unionByName(more).withColumns(clashing)
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    docs = odd_documents(spark)
+    results = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        results.append(corpus_pipeline.materialize_table(stage(spark, results[-1], SF)))
+    assert all(r.columns == docs.columns for r in results[:-1])
+    quality, exact, near, mix, pack = results[1:]
+    assert exact.count() == exact.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert exact.count() == quality.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert near.exceptAll(exact).isEmpty() and mix.select("doc_id", "text").distinct().exceptAll(near.select("doc_id", "text")).isEmpty()
+    assert pack.where("piece = 0").count() == mix.count()
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        if name != "pack":
+            assert out.columns == docs.columns
