@@ -10,9 +10,9 @@ of times, so the suffixes are first brought together by anchors:
    occur in one row of the table only are done with.
 2. The stretch of text that an anchor's windows cover is exchanged, whole and byte by
    byte, for the anchors left. All suffixes of a stretch that hold a full window are
-   sorted: multikey quicksort, eight bytes a symbol, to ``SHALLOW`` bytes, then blind
-   tries order the groups with longer common prefixes, looking only at the symbols
-   where a group branches. Windows equal over their whole length end up in one class,
+   sorted, eight bytes a symbol, to ``SHALLOW`` bytes; the groups with longer common
+   prefixes are then split at the first symbol where they branch. (That symbol is found by
+   reading a group's symbols, not from the nodes of a blind trie.) Windows equal over their whole length end up in one class,
    and its least document id decides.
 3. The marked intervals go back to their texts.
 
@@ -168,7 +168,7 @@ def sort_windows(buf: np.ndarray, at: np.ndarray, length: int = LENGTH,
     deep = [p for p in places if p >= shallow]
     for p in places[1:len(places) - len(deep)]:
         order, starts = _step(at8, at, order, starts, lambda live, p=p: np.full(len(live), p))
-    # Deep: blind tries. A group goes straight to the first symbol at which it branches.
+    # Deep: a group is split at the first symbol at which it branches.
     while True:
         sizes = np.diff(np.append(starts, len(order)))
         big = np.flatnonzero(sizes > 1)
