@@ -47,30 +47,35 @@ class Gate(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", _ROW)
         self.hash = handle.getValueState("hash", "ts long, tie string, env_hash string")
-        self.accepted = handle.getMapState("accepted", "copy string", "ts long")
+        self.accepted = handle.getListState("accepted", "copy string, ts long")
 
     def _out(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
             yield pd.DataFrame({"client_id": key[0], "ts": pd.to_datetime([r[0] for r in rows], unit="us"),
                                 "status": [r[1] for r in rows], "payload": [r[2] for r in rows]})
 
-    def _set(self, ts: int, tie: str, env_hash: str | None) -> None:
-        held = self.hash.get()
-        if held is None or (held[0], held[1]) <= (ts, tie):
-            self.hash.update((ts, tie, env_hash))
+    @staticmethod
+    def _newer(held: tuple | None, change: tuple) -> tuple:
+        """The later of the stored hash and a change (time, tie, hash)."""
+        return change if held is None or (held[0], held[1]) <= change[:2] else held
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        late, wait = [], []
+        late, wait, changes = [], [], []
         for frame in rows:
             for r in frame[_NAMES].itertuples(index=False, name=None):
                 ts, kind, tie, _, _, checksum, payload = r
                 if ts >= mark:
                     wait.append((int(ts), int(kind), tie, r[3], bool(r[4]), checksum, payload))
                 elif kind == 0:
-                    self._set(int(ts), tie, checksum)
+                    changes.append((int(ts), tie, checksum))
                 else:
                     late.append((int(ts), "late", payload))
+        if changes:
+            held = self.hash.get()
+            for change in changes:
+                held = self._newer(held, change)
+            self.hash.update(tuple(held))
         if wait:
             self.waiting.appendList(wait)
             self._wake(min(w[0] for w in wait))
@@ -80,19 +85,22 @@ class Gate(StatefulProcessor):
         self.handle.registerTimer(-(-ts // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Takes all rows that the watermark has passed, however many timers stand for them, and sets the next timer."""
+        """Takes all rows that the watermark has passed, however many timers stand for them, and sets the next timer.
+
+        Each call to the state is a message to Spark, so the state is read and written once, not by row.
+        """
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         rows = list(self.waiting.get())
         ready = sorted((r for r in rows if r[0] < mark), key=lambda r: (r[0], r[1], r[2]))
         rest = [tuple(r) for r in rows if r[0] >= mark]
-        first = {copy[0]: ts[0] for copy, ts in self.accepted.iterator()}
+        first = {copy: ts for copy, ts in self.accepted.get()}
         begun = dict(first)
+        held = stored = self.hash.get()
         out = []
         for ts, kind, tie, copy, gated, checksum, payload in ready:
             if kind == 0:
-                self._set(ts, tie, checksum)
+                held = self._newer(held, (ts, tie, checksum))
                 continue
-            held = self.hash.get()
             if held is None:
                 out.append((ts, "unknown", payload))
             elif gated and checksum != held[2]:
@@ -102,15 +110,14 @@ class Gate(StatefulProcessor):
             else:
                 first[copy] = ts
                 out.append((ts, "accepted", payload))
-        for copy, ts in first.items():
-            if ts + self.keep_us <= mark:
-                if copy in begun:
-                    self.accepted.removeKey((copy,))
-            elif begun.get(copy) != ts:
-                self.accepted.updateValue((copy,), (ts,))
+        live = {copy: ts for copy, ts in first.items() if ts + self.keep_us > mark}
+        if live != begun:
+            self.accepted.put(list(live.items())) if live else self.accepted.clear()
+        if held is not stored:
+            self.hash.update(tuple(held))
         if ready:
             self.waiting.put(rest) if rest else self.waiting.clear()
-        ahead = [r[0] for r in rest] + [ts + self.keep_us for ts in first.values() if ts + self.keep_us > mark]
+        ahead = [r[0] for r in rest] + [ts + self.keep_us for ts in live.values()]
         if ahead:
             self._wake(min(ahead))
         yield from self._out(key, out)
