@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 
@@ -113,3 +114,20 @@ def fill(template: str, null_text: str = "null", **values: Column) -> Column:
         pos = m.end()
     parts.append(F.lit(template[pos:]))
     return F.concat(*parts)
+
+
+def holds_text(value: Column, dtype: T.DataType, word: str) -> Column:
+    """Whether any text inside a nested value contains ``word``; what ``to_json(value).contains(word)`` says for letters
+    that no field name holds, without writing the value out. Never NULL."""
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(value.contains(word), F.lit(False))
+    if isinstance(dtype, T.StructType):
+        found = F.lit(False)
+        for f in dtype.fields:
+            found = found | holds_text(value.getField(f.name), f.dataType, word)
+        return found
+    if isinstance(dtype, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda x: holds_text(x, dtype.elementType, word)), F.lit(False))
+    if isinstance(dtype, T.MapType):
+        return holds_text(F.map_keys(value), T.ArrayType(dtype.keyType), word) | holds_text(F.map_values(value), T.ArrayType(dtype.valueType), word)
+    return F.lit(False)
