@@ -17,6 +17,9 @@ time, where only the pairs go on that could join components; then every pair tha
 left, whatever a bucket's size, so no link between components is lost. Signatures are
 compared block by block inside the tasks, and only pairs that come close are sent on to
 have their texts read. So a group of near copies costs pairs in proportion to its rows.
+Texts that are nearly near (signatures cannot tell 0.75 from 0.8) would still be read in
+pairs that grow with the square of their number; their binned weights bound the similarity
+from above, and a pair whose bound is too low is no link and is not read.
 
 Joins are sort-merge joins: a broadcast would take a side that grows with the corpus
 through the driver.
@@ -45,6 +48,8 @@ MISSED = 16_000
 SIGN_BYTES, SIGN_ROWS = 1 << 20, 256
 #: Members of a bucket that are compared with each other at a time.
 BLOCK_MEMBERS = 256
+#: Bins of a text's shingle weights, and their parts of a unit weight.
+BINS, BIN_PARTS = 2048, 4
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -154,6 +159,45 @@ def similarities(a: Texts, b: Texts) -> np.ndarray:
     return least / np.maximum(most, 1e-300)
 
 
+def binned_weights(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle weights of each text summed in ``BINS`` bins, rounded up to whole parts, and their total.
+
+    The total is 0 where the bins do not hold (a sum beyond a byte): there is no bound for that text.
+    """
+    owner, key, times = shingles(texts)
+    weight = 1 + np.log(times)
+    place = owner * BINS + (mix(key) >> U(64 - BINS.bit_length() + 1)).astype(np.int64)
+    # the slack is for sums that rounding has left below the true ones
+    parts = np.ceil(np.bincount(place, weights=weight, minlength=len(texts) * BINS).reshape(-1, BINS) * BIN_PARTS - 1e-6)
+    held = (parts <= 255).all(1)
+    total = np.where(held, np.bincount(owner, weights=weight, minlength=len(texts)), 0.0)
+    return np.minimum(parts, 255).astype(np.uint8), total
+
+
+def may_link(bins: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """False for pairs (x, y) of texts that are less similar for certain.
+
+    Shingles that share a bin can only add to what two texts have in common, so the
+    overlap of the bins is at least that of the texts.
+    """
+    common = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64) / BIN_PARTS
+    known = (total[x] > 0) & (total[y] > 0)
+    return ~known | (common >= (similarity - 1e-4) * (total[x] + total[y] - common))
+
+
+def with_bins(bodies: DataFrame) -> DataFrame:
+    """``bodies`` (id, text) with bins and total of :func:`binned_weights`."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, "text", SIGN_BYTES, SIGN_ROWS):
+            bins, total = binned_weights(Texts(batch.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text"), pa.array([r.tobytes() for r in bins], pa.binary()),
+                 pa.array(total)], names=["id", "text", "bins", "total"])
+
+    return bodies.select("id", "text").mapInArrow(work, "id long, text string, bins binary, total double")
+
+
 def signature_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``id``, ``hash``, ``buckets`` (null without words) and ``sig`` of each row of id, hash, text."""
 
@@ -226,18 +270,19 @@ def _forest(edges: list[tuple[int, int]]) -> list[int]:
     return kept
 
 
-def close_pairs(members: DataFrame, agreement: float, salt: int | None) -> DataFrame:
+def close_pairs(members: DataFrame, agreement: float, salt: int | None, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a > b) of one bucket but different components whose signatures come close.
 
     ``members``: bucket, n (its members), top (the component that most of them are in),
-    id, comp, buckets, sig. With a ``salt`` a bucket is cut into blocks by a hash, pairs are
+    id, comp, buckets, sig, and bins and total if pairs that are less similar for certain
+    are to be left out. With a ``salt`` a bucket is cut into blocks by a hash, pairs are
     compared within blocks, and only as many go on as could join the components of a
     block, those that agree best first. Without one all pairs are compared, each in one
     place: the members of ``top`` and the others are cut into blocks of their own, and a
     block meets all but those of the same side ``top``. A pair is given by its first
     common band only.
     """
-    forest = salt is not None
+    forest, binned = salt is not None, "bins" in members.columns
     if forest:
         blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
         own = F.pmod(F.xxhash64("id", F.lit(salt)), blocks).cast("int")
@@ -253,7 +298,7 @@ def close_pairs(members: DataFrame, agreement: float, salt: int | None) -> DataF
         spread = members.withColumn("block", own).where(meets >= 0).withColumn(
             "other", F.explode(F.sequence(F.lit(0), meets))).withColumns(
             {"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    met = spread.select("bucket", "low", "high", "block", "id", "comp", "buckets", "sig").repartition(
+    met = spread.select("bucket", "low", "high", "block", "id", "comp", "buckets", "sig", *(["bins", "total"] if binned else [])).repartition(
         "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
@@ -261,6 +306,9 @@ def close_pairs(members: DataFrame, agreement: float, salt: int | None) -> DataF
             "bucket", "low", "high", "block", "id", "comp"))
         bands = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+        if binned:
+            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(node), BINS)
+            total = table.column("total").to_numpy()
         new = np.ones(len(node), bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         starts = np.flatnonzero(new)
@@ -283,7 +331,12 @@ def close_pairs(members: DataFrame, agreement: float, salt: int | None) -> DataF
                 x, y, agree = x[near], y[near], agree[near]
                 common = (bands[x] == bands[y]).argmax(1)
                 once = bands[x, common] == bucket[x]
-                found.append((x[once], y[once], agree[once]))
+                x, y, agree = x[once], y[once], agree[once]
+                if binned and len(x):
+                    may = np.concatenate([may_link(bins, total, x[j:j + (1 << 11)], y[j:j + (1 << 11)], similarity)
+                                          for j in range(0, len(x), 1 << 11)])
+                    x, y, agree = x[may], y[may], agree[may]
+                found.append((x, y, agree))
             row = stop
         x, y, agree = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
         if forest and len(x):
@@ -387,14 +440,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, one_doc
     shared = materialize_table(_join(members, heads.select("bucket", "head"), "bucket"))
     involved = _join(shared.select("id").distinct(), texts.select("id", "doc", "hash"), "id").select(
         F.col("id").alias("node"), F.col("doc").alias("id"), "hash")
-    bodies = materialize_table(_join(base, involved, ["id", "hash"]).groupBy("node").agg(
-        F.min("text").alias("text")).withColumnRenamed("node", "id"))
+    bodies = materialize_table(with_bins(_join(base, involved, ["id", "hash"]).groupBy("node").agg(
+        F.min("text").alias("text")).withColumnRenamed("node", "id")))
 
     # Each text against the least partner of all its buckets.
     first = materialize_table(shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a"))
     links = materialize_table(verified(close(first, sigs, agreement), bodies, similarity).unionByName(of_one))
     comps = materialize_table(components(links))
-    signed_members = texts.where("buckets IS NOT NULL").select("id", "buckets", "sig")
+    signed_members = materialize_table(_join(texts.select("id", "buckets", "sig"), bodies.select("id", "bins", "total"), "id"))
     tried = first
     for salt in (1, 2, None):
         # Pairs that the links so far leave in different components: the likeliest first, then all.
@@ -404,7 +457,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, one_doc
         mixed = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), most["m"].alias("m"), most["comp"].alias("top")).where(
             "m < n").select("bucket", "n", (F.col("n") - F.col("m")).alias("others"), "top")
         rest = _join(_join(placed, mixed, "bucket"), signed_members, "id")
-        pairs = materialize_table(_join(close_pairs(rest, agreement, salt).distinct(), tried, ["a", "b"], "left_anti"))
+        pairs = materialize_table(_join(close_pairs(rest, agreement, salt, similarity).distinct(), tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = materialize_table(links.unionByName(verified(pairs, bodies, similarity)))
         comps = materialize_table(components(links))

@@ -160,3 +160,46 @@ def test_texts_of_one_id_are_told_apart(spark):
     assert got == {(i, plain_classes(rows)[i]) for i, _ in rows}
     kept = {(r["doc_id"], r["text"]) for r in nd.keep_first(table).collect()}
     assert kept == {(i, t) for i, t in rows if not t.endswith(" end")}
+
+
+def test_bins_bound_the_similarity(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200)]
+    texts = []
+    for n in (3, 40, 150, 700):
+        base = [rng.choice(words) for _ in range(n)]
+        for share in (0, 0.02, 0.04, 0.3):
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base * rng.choice([1, 1, 3])))
+    true = {(x, y): plain_similarity(texts[x], texts[y]) for x in range(len(texts)) for y in range(x)}
+    x, y = (np.array(c) for c in zip(*true))
+    for size in (2048, 64):  # in few bins nearly all share one: a weaker bound, but still a bound
+        monkeypatch.setattr(nd, "BINS", size)
+        bins, total = nd.binned_weights(Texts(pa.array(texts)))
+        for least in (0.3, 0.8):
+            may = nd.may_link(bins, total, x, y, least)
+            assert all(m for m, s in zip(may, true.values()) if s >= least)
+            assert size == 64 or not any(m for m, s in zip(may, true.values()) if s < least - 0.1)
+    # a sum beyond a byte gives no bound
+    monkeypatch.setattr(nd, "BINS", 2)
+    bins, total = nd.binned_weights(Texts(pa.array(texts)))
+    assert total[-1] == 0 < total[0] and nd.may_link(bins, total, np.array([15]), np.array([0]), 0.8).all()
+
+
+def test_texts_that_are_nearly_near_are_not_read_in_pairs(spark, monkeypatch):
+    rng = random.Random(31)
+    base = ["w%d" % k for k in range(1000)]
+    rows = []
+    for k in range(60):  # one passage, changed in places of their own: signatures come close, no two are near
+        own = list(base)
+        for at in rng.sample(range(0, 1000, 5), 14):
+            own[at] = "own%d" % rng.randrange(10 ** 9)
+        rows.append((k, " ".join(own)))
+    rows.append((100, rows[7][1] + " end"))
+    near = {(i, j) for (i, s), (j, t) in itertools.combinations(rows, 2) if plain_similarity(s, t) >= 0.8}
+    read = []
+    plain = nd.verified
+    monkeypatch.setattr(nd, "verified", lambda pairs, *a: (read.append(pairs.count()), plain(pairs, *a))[1])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(table).collect()}
+    assert got == plain_classes(rows)
+    assert sum(read) <= 3 * (len(rows) + len(near)), (read, len(near))
