@@ -364,7 +364,7 @@ HOST_SUPPLIERS = 50  # server host = h<suppkey div 50>: about two entries per na
 
 
 def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until: str | None = None,
-                    split_at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+                    split_at: str | None = None, stored: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(balancers, servers, server_ports, apps) of one document built from lines.
 
     Balancer = (supplier nation name, return flag); server entry = supplier at
@@ -373,6 +373,8 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
     parts of type PROMO carry the reports context. ``since`` / ``until`` select lines
     by ship date. ``split_at`` makes two documents instead: "new" (lines shipped
     from that date) and "old" (earlier lines), each with every supplier as a server.
+    ``stored`` writes the joined lines as a table first: the topology reads balancers
+    twice and apps once, and each would join all lines with suppliers and parts again.
     """
     li = read_table(spark, d, "lineitem")
     if since:
@@ -384,6 +386,9 @@ def topology_inputs(spark: SparkSession, d: str, since: str | None = None, until
     p = read_table(spark, d, "part")
     sn = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "n_name", "n_nationkey")
     lines = li.join(sn, li.l_suppkey == sn.s_suppkey).join(p, li.l_partkey == p.p_partkey)
+    if stored:
+        lines = materialize_table(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+                                               "l_shipdate", "n_name", "n_nationkey", "p_brand", "p_type"))
     if split_at:
         doc = F.when(F.col("l_shipdate") >= F.lit(split_at).cast("timestamp_ntz"), F.lit("new")) \
             .otherwise(F.lit("old")).alias("msg_id")

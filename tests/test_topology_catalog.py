@@ -210,3 +210,31 @@ def test_merge_follows_the_nested_loops(spark):
         got = TP.merge_topology(*frames, order=["srv_pos", "app_pos"], materialize=False)
         cols = schema.split(", ")[:8]
         assert sorted((tuple(r) for r in got.select(*[c.split()[0] for c in cols]).collect()), key=str) == _plain_merge(new, old)
+
+
+def test_topology_joins_its_lines_once(spark, tmp_path):
+    import datetime
+
+    from shipyard.plans import queries as Q
+    from shipyard.plans import standins as SI
+
+    early, late = datetime.datetime(1995, 1, 1), datetime.datetime(1999, 1, 1)
+    tables = {
+        "lineitem": ([(1, 1, 5, 7, "A", "O", late), (1, 2, 5, 7, "N", "F", late), (2, 1, 6, 8, "A", "O", early), (3, 1, None, 8, "R", "O", early),
+                      (4, 1, 5, 9, "A", "O", early)],
+                     "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+        "supplier": ([(7, 1), (8, 1), (8, 1), (9, None)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(1, "N1")], "n_nationkey int, n_name string"),
+        "part": ([(5, "B5", "PROMO"), (6, "B6", None)], "p_partkey long, p_brand string, p_type string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    for split in (None, "1998-01-01"):
+        got, want = (SI.topology_inputs(spark, d, split_at=split, stored=s) for s in (True, False))
+        for k, (x, y) in enumerate(zip(got, want)):
+            assert x.columns == y.columns and rows(x) == rows(y) and x.count()
+            if k in (0, 3):  # balancers and apps read the joined lines
+                assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(Q.q_topology_merge(spark, d), "server_host", "port", "product_name", "origin") == [
+        ("h0", "1", "B5", "new"), ("h0", "1", "B6", "old"), ("h0", None, None, "new")]
