@@ -21,6 +21,12 @@ Texts that are nearly near (signatures cannot tell 0.75 from 0.8) would still be
 pairs that grow with the square of their number; their binned weights bound the similarity
 from above, and a pair whose bound is too low is no link and is not read.
 
+Links that are found later lie between components, so only those few are joined again
+and not all links. What is left of a graph is joined in one task once it has at most
+``LAST_EDGES`` edges: each of the passes over it costs a task per partition, however
+few rows there are. The second draw of blocks is left out where a draw would compare no
+fewer pairs than are left in all.
+
 Joins are sort-merge joins: a broadcast would take a side that grows with the corpus
 through the driver.
 """
@@ -50,6 +56,8 @@ SIGN_BYTES, SIGN_ROWS = 1 << 20, 256
 BLOCK_MEMBERS = 256
 #: Bins of a text's shingle weights, and their parts of a unit weight.
 BINS, BIN_PARTS = 2048, 4
+#: So many edges at most are joined in one task.
+LAST_EDGES = 1 << 14
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -186,16 +194,18 @@ def may_link(bins: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarray,
 
 
 def with_bins(bodies: DataFrame) -> DataFrame:
-    """``bodies`` (id, text) with bins and total of :func:`binned_weights`."""
+    """``bodies`` (id, text, buckets, sig) with bins and total of :func:`binned_weights`."""
+    given = ["id", "text", "buckets", "sig"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, "text", SIGN_BYTES, SIGN_ROWS):
             bins, total = binned_weights(Texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text"), pa.array([r.tobytes() for r in bins], pa.binary()),
-                 pa.array(total)], names=["id", "text", "bins", "total"])
+                [*(batch.column(c) for c in given), pa.array([r.tobytes() for r in bins], pa.binary()),
+                 pa.array(total)], names=[*given, "bins", "total"])
 
-    return bodies.select("id", "text").mapInArrow(work, "id long, text string, bins binary, total double")
+    return bodies.select(*given).mapInArrow(
+        work, "id long, text string, buckets array<long>, sig binary, bins binary, total double")
 
 
 def signature_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -239,31 +249,32 @@ def close(pairs: DataFrame, sigs: DataFrame, agreement: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole texts."""
+    """The pairs (a, b, and other numbers) with ``link``: whether they are one, by their whole texts."""
+    given = pairs.columns
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, "ta", 1 << 20):
             s = similarities(Texts(batch.column("ta")), Texts(batch.column("tb")))
-            ok = pa.array(s >= similarity - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(s >= similarity - 1e-9)],
+                                             names=[*given, "link"])
 
     full = _join(_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"),
                  texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return full.select(*given, "ta", "tb").mapInArrow(compare, "".join(f"{c} long, " for c in given) + "link boolean")
+
+
+def _find(root: dict[int, int], x: int) -> int:
+    while (up := root.setdefault(x, x)) != x:
+        root[x] = x = root[up]
+    return x
 
 
 def _forest(edges: list[tuple[int, int]]) -> list[int]:
     """The places of the edges that join what the edges before them have not joined."""
     root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
     kept = []
     for k, (x, y) in enumerate(edges):
-        x, y = find(x), find(y)
+        x, y = _find(root, x), _find(root, y)
         if x != y:
             root[x] = y
             kept.append(k)
@@ -271,7 +282,7 @@ def _forest(edges: list[tuple[int, int]]) -> list[int]:
 
 
 def close_pairs(members: DataFrame, agreement: float, salt: int | None, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a > b) of one bucket but different components whose signatures come close.
+    """Pairs (a > b, and their components ca, cb) of one bucket but different components whose signatures come close.
 
     ``members``: bucket, n (its members), top (the component that most of them are in),
     id, comp, buckets, sig, and bins and total if pairs that are less similar for certain
@@ -345,8 +356,8 @@ def close_pairs(members: DataFrame, agreement: float, salt: int | None, similari
             best = np.argsort(-agree, kind="stable")
             kept = best[_forest(list(zip(part[x[best]].tolist(), part[y[best]].tolist())))]
             x, y = x[kept], y[kept]
-        x, y = node[x], node[y]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+        x, y = np.where(node[x] > node[y], x, y), np.where(node[x] > node[y], y, x)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], comp[x], comp[y])], names=["a", "b", "ca", "cb"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -367,7 +378,23 @@ def close_pairs(members: DataFrame, agreement: float, salt: int | None, similari
         if held is not None and held.num_rows:
             yield compare(held.combine_chunks())
 
-    return met.mapInArrow(work, "a long, b long")
+    return met.mapInArrow(work, "a long, b long, ca long, cb long")
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """:func:`components` of at most ``LAST_EDGES`` edges, in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = _find(root, a), _find(root, b)
+                root[max(a, b)] = min(a, b)
+        ids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_find(root, x) for x in ids], pa.int64())],
+                                         names=["id", "comp"])
+
+    return materialize_table(edges.select("a", "b").where("a <> b").repartition(1).mapInArrow(work, "id long, comp long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -376,7 +403,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every larger neighbour of a node is
     linked to the node's least neighbour, then every smaller one. Each step is a
     minimum per node and a join, so a node with many neighbours is no single group.
+    At most ``LAST_EDGES`` edges are joined in one task.
     """
+    if edges.count() <= LAST_EDGES:
+        return _joined(edges)
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = materialize_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     was = mark(now)
@@ -391,6 +421,8 @@ def components(edges: DataFrame) -> DataFrame:
         then, was = was, mark(now)
         if then == was:
             break
+        if was[0] <= LAST_EDGES:
+            return _joined(now)
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)
 
@@ -428,39 +460,53 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, one_doc
     node = F.when(F.col("_several").isNull(), F.col("doc")).otherwise(F.xxhash64("hash"))
     texts = materialize_table(_join(texts, several.select("doc", F.lit(1).alias("_several")), "doc", "left").withColumn(
         "id", node).drop("_several"))
-    sigs = texts.select("id", "sig")
     of_one = several.limit(0).select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     if one_document:
         borne = _join(_join(bearers, several, "doc"), texts.select("hash", "id"), "hash").select("doc", "id")
         least = borne.groupBy("doc").agg(F.min("id").alias("b"))
         of_one = materialize_table(_join(borne, least, "doc").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
 
-    members = texts.where("buckets IS NOT NULL").select("id", F.explode("buckets").alias("bucket")).distinct()
+    members = texts.where("buckets IS NOT NULL").select("id", F.explode(F.array_distinct("buckets")).alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head < other")
     shared = materialize_table(_join(members, heads.select("bucket", "head"), "bucket"))
-    involved = _join(shared.select("id").distinct(), texts.select("id", "doc", "hash"), "id").select(
-        F.col("id").alias("node"), F.col("doc").alias("id"), "hash")
+    involved = _join(shared.select("id").distinct(), texts.select("id", "doc", "hash", "buckets", "sig"), "id").select(
+        F.col("id").alias("node"), F.col("doc").alias("id"), "hash", "buckets", "sig")
     bodies = materialize_table(with_bins(_join(base, involved, ["id", "hash"]).groupBy("node").agg(
-        F.min("text").alias("text")).withColumnRenamed("node", "id")))
+        F.min("text").alias("text"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig")).withColumnRenamed("node", "id")))
+    signed_members = bodies.select("id", "buckets", "sig", "bins", "total")
 
     # Each text against the least partner of all its buckets.
-    first = materialize_table(shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a"))
-    links = materialize_table(verified(close(first, sigs, agreement), bodies, similarity).unionByName(of_one))
-    comps = materialize_table(components(links))
-    signed_members = materialize_table(_join(texts.select("id", "buckets", "sig"), bodies.select("id", "bins", "total"), "id"))
-    tried = first
+    first = shared.groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")).where("b < a")
+    tried = materialize_table(verified(close(first, bodies.select("id", "sig"), agreement), bodies, similarity))
+    found = components(tried.where("link").select("a", "b").unionByName(of_one))
+    single = _join(bodies.select("id", F.col("id").alias("comp")), found.select("id"), "id", "left_anti")
+    comps = materialize_table(found.unionByName(single))
+    tried = tried.select("a", "b")
     for salt in (1, 2, None):
         # Pairs that the links so far leave in different components: the likeliest first, then all.
-        placed = _join(shared, comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        placed = _join(shared, comps, "id").select("bucket", "id", "comp")
         sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
         most = F.max(F.struct("m", "comp"))
         mixed = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), most["m"].alias("m"), most["comp"].alias("top")).where(
             "m < n").select("bucket", "n", (F.col("n") - F.col("m")).alias("others"), "top")
+        if salt == 2:
+            mixed = materialize_table(mixed)
+            rows, left = mixed.agg(F.sum("n"), F.sum(F.col("others").cast("double") * F.col("n"))).first()
+            if not rows:
+                break
+            if left <= BLOCK_MEMBERS * rows:
+                salt = None
         rest = _join(_join(placed, mixed, "bucket"), signed_members, "id")
-        pairs = materialize_table(_join(close_pairs(rest, agreement, salt, similarity).distinct(), tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = materialize_table(links.unionByName(verified(pairs, bodies, similarity)))
-        comps = materialize_table(components(links))
+        # a pair is found once, in the bucket of its first common band
+        pairs = _join(close_pairs(rest, agreement, salt, similarity), tried, ["a", "b"], "left_anti").select("a", "b", "ca", "cb")
+        judged = materialize_table(verified(pairs, bodies, similarity))
+        tried = tried.unionByName(judged.select("a", "b"))
+        links = judged.where("link").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        if not links.isEmpty():
+            moved = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+            comps = materialize_table(_join(comps, moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+        if salt is None:
+            break
 
     copies = base.where("id IS NOT NULL").select("id", "hash")
     of_text = _join(texts.select("hash", "doc", "id"), comps, "id", "left").select("hash", "doc", F.coalesce("comp", "id").alias("comp"))

@@ -148,6 +148,55 @@ def test_components(spark):
     assert all(n in got for a, b in edges if a != b for n in (a, b))
 
 
+def test_components_end_in_one_task(spark, monkeypatch):
+    # whether all edges, those that the first passes leave or none are joined in one task
+    edges = [(k, k + 1) for k in range(0, 40, 2)] + [(1 + k, 2 + k) for k in range(0, 38, 2)] + [(100, 100 + k) for k in range(1, 9)]
+    edges += edges[::3] + [(7, 7)]
+    want = {n: 0 if n < 100 else 100 for e in edges for n in e}
+    for last in (0, 50, 1 << 14):
+        monkeypatch.setattr(nd, "LAST_EDGES", last)
+        got = nd.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((r["id"], r["comp"]) for r in got) == sorted(want.items())
+    assert nd.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_take_few_passes(spark, monkeypatch):
+    # every pass costs its tasks, however few rows there are: they are most of the time on many partitions
+    rng = random.Random(41)
+    rows = []
+    for g in range(10):
+        base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(100)]
+        for k in range(6):  # a chain of near texts
+            rows.append((len(rows), " ".join(base)))
+            base[(17 * k + g) % 100] = "new%d" % k
+    written = []
+    plain = nd.materialize_table
+    monkeypatch.setattr(nd, "materialize_table", lambda df: (written.append(df.columns), plain(df))[1])
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+    assert len(written) <= 15, written
+
+
+def test_a_second_draw_is_made_for_large_buckets(spark, monkeypatch):
+    rng = random.Random(17)
+    base = ["w%d" % k for k in range(300)]
+    rows = []
+    for k in range(70):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 5), rng.choice([2, 5])):
+            own[at] = "own%d" % rng.randrange(10 ** 9)
+        rows.append((k, " ".join(own)))
+    salts = []
+    plain = nd.close_pairs
+    monkeypatch.setattr(nd, "close_pairs", lambda members, agreement, salt, *a: (salts.append(salt), plain(members, agreement, salt, *a))[1])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for members, draws in ((4, [1, 2, None]), (256, [1, None])):
+        monkeypatch.setattr(nd, "BLOCK_MEMBERS", members)
+        salts.clear()
+        assert {r["doc_id"]: r["class_id"] for r in nd.near_classes(table).collect()} == plain_classes(rows)
+        assert salts == draws
+
+
 def test_texts_of_one_id_are_told_apart(spark):
     rng = random.Random(21)
     prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
