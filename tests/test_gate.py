@@ -70,3 +70,40 @@ def test_gated_stream(spark, tmp_path):
     got = {r.msg_id: r.status for r in spark.read.parquet(out).select("status", F.get_json_object("payload", "$.msg_id").alias("msg_id")).collect()}
     assert got == {"m1": "accepted", "m2": "rejected", "m3": "unknown", "m4": "repeat", "m5": "accepted", "m6": "rejected",
                    "m7": "accepted", "m8": "late", "m9": "accepted"}
+
+
+def test_clients_share_the_state_of_a_few_keys(spark, tmp_path):
+    """Many clients in few keys get what a loop over each client's rows gives, and the state holds blocks, not a row per message."""
+    rng = random.Random(5)
+    who = [f"c{k}" for k in range(80)]
+    msgs = [(f"m{k:04d}", rng.choice([*who, None]), rng.choice("ab"), rng.choice(["INSTALLATION", "CHECK_DATABASE"]),
+             rng.choice(["h1", "h2", None]), START + dt.timedelta(minutes=rng.randrange(600))) for k in range(1500)]
+    changes = [(rng.choice([*who, None]), START + dt.timedelta(minutes=rng.randrange(300)), rng.choice(["h1", "h2", None]), k) for k in range(120)]
+    end = [("end", "c-", "z", "CHECK_DATABASE", None, START + dt.timedelta(days=30))]
+    src, reg, ckpt, out = (str(tmp_path / x) for x in ("msgs", "changes", "ckpt", "out"))
+    held = []
+    for m, c in ((msgs, changes), (end, [])):
+        spark.createDataFrame(m, MSG).write.mode("append").parquet(src)
+        spark.createDataFrame(c, CHANGE).write.mode("append").parquet(reg)
+        stream = G.gated_stream(spark.readStream.schema(MSG).parquet(src), spark.readStream.schema(CHANGE).parquet(reg),
+                                watermark="10 days", keep_seconds=7200, salts=2, change_tie_col="change_id", buckets=3)
+        with G.rocksdb_state(spark):
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+            q.awaitTermination(300)
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    got = {r.msg_id: r.status for r in spark.read.parquet(out).select("status", F.get_json_object("payload", "$.msg_id").alias("msg_id")).collect()}
+    assert got.pop("end", None) in (None, "unknown")
+    want, first = {}, {}
+    for mid, client, message, kind, checksum, ts in sorted((m for m in msgs if m[1]), key=lambda m: (m[5], m[0])):
+        known = sorted((c[1], str(c[3]), c[2]) for c in changes if c[0] == client and c[1] <= ts)
+        copy = (client, message, kind)
+        if not known:
+            want[mid] = "unknown"
+        elif kind in S.CHECKSUM_TYPES and checksum != known[-1][2]:
+            want[mid] = "rejected"
+        elif copy in first and ts < first[copy] + dt.timedelta(seconds=7200):
+            want[mid] = "repeat"
+        else:
+            first[copy], want[mid] = ts, "accepted"
+    assert got == want and set(want.values()) == {"accepted", "repeat", "rejected", "unknown"}
+    assert 0 < max(held) < 100
