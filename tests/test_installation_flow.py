@@ -172,3 +172,26 @@ def test_no_password_reaches_a_file(spark, tmp_path):
     for f in glob.glob(f"{out}/**/*.parquet", recursive=True):
         raw = open(f, "rb").read()
         assert b"hunter" not in raw and b"secret" not in raw
+
+
+def test_no_output_writes_or_shuffles_whole_documents(spark, monkeypatch):
+    """Messages that do not run are told by their ids: no table of the flow holds documents, and no message of theirs gives a row."""
+    from shipyard.operators import tables
+    from shipyard.plans import installation
+
+    written = []
+    monkeypatch.setattr(installation, "materialize_table", lambda df: written.append(df.columns) or tables.materialize_table(df))
+    failing = copy.deepcopy(RUNNABLE)
+    failing["validations"] = [{"name": "CHECK_AGENT_VERSION", "metric": "v9"}]
+    ran = copy.deepcopy(RUNNABLE)
+    ran["executionPlan"] = [ph for ph in ran["executionPlan"] if ph["id"] != "1"]
+    msgs = _docs(spark, [("m1", ran), ("m2", failing), ("m3", RUNNABLE)]).withColumn("arrival_ts", F.lit("2024-01-01").cast("timestamp"))
+    ok = [("10", 0, 1, 1, 0), ("10", 1, 0, 0, 0), ("2", 0, 0, 0, 0), ("2", 0, 0, 0, 1), ("2", 0, 0, 2, 0),
+          ("2", 0, 2, 0, 0), ("2", 0, 2, 0, 1), ("2", 0, 2, 2, 0)]
+    out = [(m, *k, 0) for m in ("m1", "m2", "m3") for k in ok]
+    res = run_installation(msgs, spark.createDataFrame(out, OUT_SCHEMA), created_at="2024-01-01 00:00:00", order=("arrival_ts", "msg_id"))
+    held = {name: {r.msg_id for r in getattr(res, name).select("msg_id").collect()}
+            for name in ("phases", "steps", "status_events", "server_events", "registry_updates", "topology", "balancers")}
+    assert held == {"phases": {"m1", "m3"}, "steps": {"m1", "m3"}, "status_events": {"m1", "m3"}, "server_events": {"m1"},
+                    "registry_updates": {"m1"}, "topology": {"m1", "m3"}, "balancers": {"m1", "m3"}}
+    assert written and not [c for c in written if "doc" in c]
