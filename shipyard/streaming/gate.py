@@ -57,7 +57,7 @@ def _unpacked(value: tuple) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(value[0])).read_all()
 
 
-class Gate(StatefulProcessor):
+class BucketGate(StatefulProcessor):
     """Times are microseconds; a timer is in milliseconds, rounded up. A key has a timer for its earliest row or expiry."""
 
     def __init__(self, keep_us: int) -> None:
@@ -164,6 +164,99 @@ class Gate(StatefulProcessor):
         pass
 
 
+_CLIENT_ROW = "ts long, kind int, tie string, copy string, gated boolean, checksum string, payload string"
+_NAMES = [f.split()[0] for f in _CLIENT_ROW.split(", ")]
+
+
+class Gate(StatefulProcessor):
+    """The state of one client and salt, for checkpoints that were begun with it. Times are microseconds; a timer is in milliseconds, rounded up. A key has a timer for its earliest row or expiry."""
+
+    def __init__(self, keep_us: int) -> None:
+        self.keep_us = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _CLIENT_ROW)
+        self.hash = handle.getValueState("hash", "ts long, tie string, env_hash string")
+        self.accepted = handle.getListState("accepted", "copy string, ts long")
+
+    def _out(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame({"client_id": key[0], "ts": pd.to_datetime([r[0] for r in rows], unit="us"),
+                                "status": [r[1] for r in rows], "payload": [r[2] for r in rows]})
+
+    @staticmethod
+    def _newer(held: tuple | None, change: tuple) -> tuple:
+        """The later of the stored hash and a change (time, tie, hash)."""
+        return change if held is None or (held[0], held[1]) <= change[:2] else held
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        late, wait, changes = [], [], []
+        for frame in rows:
+            for r in frame[_NAMES].itertuples(index=False, name=None):
+                ts, kind, tie, _, _, checksum, payload = r
+                if ts >= mark:
+                    wait.append((int(ts), int(kind), tie, r[3], bool(r[4]), checksum, payload))
+                elif kind == 0:
+                    changes.append((int(ts), tie, checksum))
+                else:
+                    late.append((int(ts), "late", payload))
+        if changes:
+            held = self.hash.get()
+            for change in changes:
+                held = self._newer(held, change)
+            self.hash.update(tuple(held))
+        if wait:
+            self.waiting.appendList(wait)
+            self._wake(min(w[0] for w in wait))
+        yield from self._out(key, late)
+
+    def _wake(self, ts: int) -> None:
+        self.handle.registerTimer(-(-ts // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Takes all rows that the watermark has passed, however many timers stand for them, and sets the next timer.
+
+        Each call to the state is a message to Spark, so the state is read and written once, not by row.
+        """
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get())
+        ready = sorted((r for r in rows if r[0] < mark), key=lambda r: (r[0], r[1], r[2]))
+        rest = [tuple(r) for r in rows if r[0] >= mark]
+        first = {copy: ts for copy, ts in self.accepted.get()}
+        begun = dict(first)
+        held = stored = self.hash.get()
+        out = []
+        for ts, kind, tie, copy, gated, checksum, payload in ready:
+            if kind == 0:
+                held = self._newer(held, (ts, tie, checksum))
+                continue
+            if held is None:
+                out.append((ts, "unknown", payload))
+            elif gated and checksum != held[2]:
+                out.append((ts, "rejected", payload))
+            elif copy in first and ts < first[copy] + self.keep_us:
+                out.append((ts, "repeat", payload))
+            else:
+                first[copy] = ts
+                out.append((ts, "accepted", payload))
+        live = {copy: ts for copy, ts in first.items() if ts + self.keep_us > mark}
+        if live != begun:
+            self.accepted.put(list(live.items())) if live else self.accepted.clear()
+        if held is not stored:
+            self.hash.update(tuple(held))
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        ahead = [r[0] for r in rest] + [ts + self.keep_us for ts in live.values()]
+        if ahead:
+            self._wake(min(ahead))
+        yield from self._out(key, out)
+
+    def close(self) -> None:
+        pass
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in RocksDB, which this kind of state needs (a cluster sets it for all)."""
@@ -176,13 +269,13 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 def gated_stream(msgs: DataFrame, changes: DataFrame, watermark: str = "1 hour", keep_seconds: int = 3600,
-                 salts: int = 4, tie_col: str = "msg_id", change_tie_col: str | None = None, buckets: int = 256) -> DataFrame:
+                 salts: int = 4, tie_col: str = "msg_id", change_tie_col: str | None = None, buckets: int | None = 256) -> DataFrame:
     """Status of every message: client_id, ts, status, payload (the message as JSON, secrets unparsed in its body).
 
     ``msgs``: a stream with the columns of ``MESSAGE_SCHEMA`` in use (codes normalised); ``changes``: a stream of client_id,
     changed_ts, env_hash. ``tie_col`` orders messages of one time. Rows without client or time are left out.
     ``buckets`` times ``salts`` keys hold the state, so a key's share of the waiting rows has to fit a task; both stay as they
-    are for the life of a checkpoint.
+    are for the life of a checkpoint. None gives each client keys of its own, as checkpoints begun before buckets have it.
     """
     copy = F.to_json(F.struct(*DEDUP_KEYS))
     salt = F.pmod(F.xxhash64(*DEDUP_KEYS), F.lit(salts)).cast("int")
@@ -198,7 +291,12 @@ def gated_stream(msgs: DataFrame, changes: DataFrame, watermark: str = "1 hour",
         F.col("env_hash").alias("checksum"), F.lit("").alias("payload"))
     both = asked.unionByName(known).where(F.col("_at").isNotNull()).withWatermark("_at", watermark)
     # The watermark's own column ends here, so late rows reach the state instead of being dropped before it.
-    bucket = F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int")
-    rows = both.select(bucket.alias("bucket"), "salt", "client_id", F.unix_micros("_at").alias("ts"), *_ROW.names[2:])
-    return rows.groupBy("bucket", "salt").transformWithStateInPandas(
-        statefulProcessor=Gate(keep_seconds * 1_000_000), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
+    names, keep_us = _ROW.names[2:], keep_seconds * 1_000_000
+    if buckets is None:
+        rows, keys, gate = both.select("client_id", "salt", F.unix_micros("_at").alias("ts"), *names), ["client_id", "salt"], Gate(keep_us)
+    else:
+        bucket = F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int").alias("bucket")
+        rows = both.select(bucket, "salt", "client_id", F.unix_micros("_at").alias("ts"), *names)
+        keys, gate = ["bucket", "salt"], BucketGate(keep_us)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=gate, outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
